@@ -6,8 +6,11 @@ from importlib import import_module
 
 #: Module of each query.
 _MODULES = {
+    "op4_benchmark_decontamination": "decontaminate",
+    "op5_mixing_sources": "mixing",
     "op8_quality_classifier": "quality",
     "op9_simhash_near_dedup": "simhash",
+    "op10_sharding": "sharding",
 }
 
 
