@@ -9,12 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.common import table, written
+from siftwell.llm.decontaminate import decontamination_stage
+from siftwell.llm.mixing import mixing_stage
 from siftwell.llm.quality import quality_stage
+from siftwell.llm.sharding import sharding_stage
 from siftwell.llm.simhash import near_dedup_stage
 
 STAGES = [
     ("quality", quality_stage),
     ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
 ]
 
 #: The classifier is fitted to data, so SQL can't express the rows.
