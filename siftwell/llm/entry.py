@@ -6,8 +6,12 @@ from importlib import import_module
 
 #: Module of each query.
 _MODULES = {
+    "op1_edit_aware_token_counts": "token_counts",
+    "op2_html_extraction": "html_text",
     "op4_benchmark_decontamination": "decontaminate",
     "op5_mixing_sources": "mixing",
+    "op6_nearest_neighbours": "neighbours",
+    "op7_suffix_array_dedup": "suffixes",
     "op8_quality_classifier": "quality",
     "op9_simhash_near_dedup": "simhash",
     "op10_sharding": "sharding",
