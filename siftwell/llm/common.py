@@ -102,3 +102,35 @@ def narrow_batches(batches, most: int = 4 << 20):
         step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+#: Bytes of lists up to which they are broadcast to the documents.
+LIST_BYTES = 64 << 20
+
+
+def with_hash(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text): a hash of the text tells rows with one doc_id apart."""
+    return docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
+
+
+def packed(rows: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id, th, blob): the integers in columns of a document's rows, 8 bytes each, in no order.
+
+    For rows whose number a document's length bounds.
+    """
+    entry = F.concat(*(F.lpad(F.hex(F.col(c).cast("long")), 16, "0") for c in columns))
+    return rows.groupBy("doc_id", "th").agg(F.unhex(F.array_join(F.collect_list(entry), "")).alias("blob"))
+
+
+def unpacked(blob: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(blob, ">i8").astype(np.int64).reshape(-1, width)
+
+
+def listed(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
+    """(doc_id, th, text, blob): documents with their list, by broadcast if the lists are proven small, else by a sorted join."""
+    lists = lists.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th")
+    size = lists.agg(F.sum(F.length("blob") + 64)).first()[0] or 0
+    if size <= LIST_BYTES:
+        lists = F.broadcast(lists)
+    docs = with_hash(docs)
+    return docs.join(lists, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")), how).select("doc_id", "th", "text", "blob")

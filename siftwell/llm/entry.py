@@ -8,6 +8,7 @@ from importlib import import_module
 _MODULES = {
     "op1_edit_aware_token_counts": "token_counts",
     "op2_html_extraction": "html_text",
+    "op3_line_dedup": "line_dedup",
     "op4_benchmark_decontamination": "decontaminate",
     "op5_mixing_sources": "mixing",
     "op6_nearest_neighbours": "neighbours",
