@@ -1,0 +1 @@
+"""A PySpark engine for hybrid search over source trees and text collections."""
