@@ -13,6 +13,10 @@ K1, B = 1.2, 0.75
 FLOOR = 0.001
 
 
+def frequency(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+
+
 def with_bm25(rows: DataFrame, query: str, text: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """rows with bm25 (the score of text for the query) and bm25_share (that over the best, at least 0.001).
 
@@ -25,7 +29,7 @@ def with_bm25(rows: DataFrame, query: str, text: Column, by: tuple[str, ...] = (
     rows = rows.withColumn("_length", F.size("_tokens").cast("double"))
     terms = query_tokens(query)
     rows = rows.withColumn("_n", F.count(F.lit(1)).over(over)).withColumn("_mean", F.avg("_length").over(over))
-    tf = {t: F.size(F.filter("_tokens", lambda x, t=t: x == F.lit(t))).cast("double") for t in dict.fromkeys(terms)}
+    tf = {t: frequency(F.col("_tokens"), t).cast("double") for t in dict.fromkeys(terms)}
     for i, (t, count) in enumerate(tf.items()):
         rows = rows.withColumn(f"_tf{i}", count)
         rows = rows.withColumn(f"_df{i}", F.sum(F.when(F.col(f"_tf{i}") > 0, 1).otherwise(0)).over(over))

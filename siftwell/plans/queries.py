@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.languages import BY_EXTENSION, BY_NAME, with_language
 from ..functions.text import is_identifier, matches_glob, sha256, tokens
 from ..functions.vectors import embed_text, hash_embedding, mean_vectors, similarity
-from ..operators.bm25 import B, K1
+from ..operators.bm25 import B, K1, frequency
 from ..operators.changes import change_counts, delete_paths, detect_changes, file_rollup, merged, reused_vectors
 from ..operators.chunking import line_chunks, symbol_chunks
 from ..operators.knn import nearest, nearest_to_each
@@ -120,7 +120,7 @@ def glob_filter(spark, sf_dir):
 
 def contains_literal(spark, sf_dir):
     files = _files(spark, sf_dir)
-    return files.where(F.contains("content", F.lit("100%")) | F.contains("content", F.lit("_")) | F.contains("content", F.lit("'"))).select("filePath")
+    return files.where(F.contains("content", F.lit("%%%")) | F.contains("content", F.lit("_")) | F.contains("content", F.lit("'"))).select("filePath")
 
 
 def symbol_type_filter(spark, sf_dir):
@@ -152,7 +152,7 @@ def bm25_scores(spark, sf_dir):
     """Scores of all documents for TERMS. Unlike a search's few candidates these are all rows, so the
     statistics are sums of one row, broadcast, and no row changes its task."""
     rows = _files(spark, sf_dir).select("filePath", tokens(F.col("content")).alias("t"))
-    rows = rows.select("filePath", F.size("t").alias("dl"), *(F.size(F.filter("t", lambda x, w=w: x == F.lit(w))).alias(f"tf{i}") for i, w in enumerate(TERMS)))
+    rows = rows.select("filePath", F.size("t").alias("dl"), *(frequency(F.col("t"), w).alias(f"tf{i}") for i, w in enumerate(TERMS)))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(TERMS))))
     score = F.lit(0.0)
     for i in range(len(TERMS)):
@@ -245,7 +245,7 @@ def deleted_paths(spark, sf_dir):
 def vector_reuse(spark, sf_dir):
     files = _files(spark, sf_dir)
     old = line_chunks(files, 20, 5).select("filePath", "id", "summary").withColumn("vector", hash_embedding(F.col("summary")))
-    edited = files.withColumn("content", F.when(F.crc32("filePath") % 3 == 0, F.concat(F.lit("new first line\n"), "content")).when(F.crc32("filePath") % 3 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    edited = files.withColumn("content", F.when(F.length("filePath") % 3 == 0, F.concat(F.lit("new first line\n"), "content")).when(F.length("filePath") % 3 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     fresh = line_chunks(edited, 20, 5).select("filePath", "id", "summary")
     found = reused_vectors(fresh, old)
     return found.groupBy("filePath").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("vector").isNotNull()).alias("reused"))
@@ -366,7 +366,7 @@ SELECT filePath, language, grammar, count(*) AS n FROM g LEFT JOIN m ON g.key =
     "identifier_queries": "SELECT p_partkey, regexp_matches(regexp_replace(CASE WHEN p_partkey % 2 = 0 THEN ' ' || split_part(p_name, ' ', 1) || ' ' ELSE p_name END, '^\\s+|\\s+$', '', 'g'), '^[a-zA-Z_][a-zA-Z0-9_.]*$') AS named FROM part",
     "glob_filter": f"""WITH {_FILES}, p(pattern, l) AS (VALUES ('star', 'src1/%'), ('deep', '%1%.txt'), ('one', 'src_/%5.txt'), ('plain', 'src\\_/\\%'), ('star_twice', 'src1%/%.txt'))
 SELECT pattern, filePath FROM files, p WHERE filePath LIKE l ESCAPE '\\'""",
-    "contains_literal": f"WITH {_FILES} SELECT filePath FROM files WHERE contains(content, '100%') OR contains(content, '_') OR contains(content, chr(39))",
+    "contains_literal": f"WITH {_FILES} SELECT filePath FROM files WHERE contains(content, '%%%') OR contains(content, '_') OR contains(content, chr(39))",
     "symbol_type_filter": f"WITH {_PARTS} SELECT filePath, symbolName FROM parts WHERE symbolType IN ('class') AND symbolName <> ''",
     "line_count": f"WITH {_FILES} SELECT filePath, CAST(len(string_split(content, chr(10))) AS INT) AS n FROM files",
     "line_windows": f"WITH {_FILES}, {_sql_chunks(20, 5)} SELECT filePath, startLine, endLine FROM chunks",
@@ -387,5 +387,8 @@ rolled AS (SELECT filePath, first(language) AS language, CAST(count(*) AS INT) A
     "detected_changes": f"WITH {_SNAPSHOTS} SELECT filePath, status FROM changes",
     "changes_by_status": f"WITH {_SNAPSHOTS} SELECT status, count(*) AS n FROM changes GROUP BY status",
     "incremental_merge": f"WITH {_SNAPSHOTS} SELECT filePath, fileHash FROM stored WHERE filePath NOT IN (SELECT filePath FROM changes WHERE status <> 'added') UNION ALL SELECT filePath, fileHash FROM current_ WHERE filePath IN (SELECT filePath FROM changes WHERE status <> 'deleted')",
+    "vector_reuse": f"""WITH {_FILES}, edited AS (SELECT filePath, language, CASE WHEN length(filePath) % 3 = 0 THEN 'new first line' || chr(10) || content WHEN length(filePath) % 3 = 1 THEN content || '!' ELSE content END AS content FROM files),
+old AS (WITH {_sql_chunks(20, 5)} SELECT * FROM chunks), new AS (WITH {_sql_chunks(20, 5, "edited")} SELECT * FROM chunks)
+SELECT n.filePath, count(*) AS chunks, count(*) FILTER (o.id IS NOT NULL) AS reused FROM new n LEFT JOIN old o ON n.filePath = o.filePath AND n.id = o.id AND n.summary = o.summary GROUP BY n.filePath""",
     "deleted_paths": f"WITH {_SNAPSHOTS} SELECT filePath, fileHash FROM stored WHERE filePath NOT IN (SELECT filePath FROM current_)",
 }
