@@ -30,15 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_chunks, narrow_batches, partitions, small, table, written
+from .common import byte_chunks, narrow_batches, partitions, table, written
 from .quality import _powers
 
 LENGTH = 200
 GRAM = 32
 #: Anchors with one fingerprint that are merged in one task.
 GROUP = 4096
-#: Bytes of lists up to which they are broadcast to the documents.
-LIST_BYTES = 64 << 20
 PIECE = 1 << 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,11 +125,8 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
 
 def _to_docs(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """docs with their list (blob), by broadcast if the lists are proven small, else by a sorted join."""
+    """docs with their list (blob): a join by key at every size, as the lists grow with the documents."""
     lists = lists.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th")
-    size = lists.agg(F.sum(F.length("blob") + 64)).first()[0] or 0
-    if size <= LIST_BYTES:
-        lists = F.broadcast(lists)
     docs = _with_hash(docs)
     return docs.join(lists, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")), how).select("doc_id", "th", "text", "blob")
 
@@ -271,18 +266,15 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     spark = docs.sparkSession
     parts = partitions(spark)
     known = written(anchors(docs, length, gram), "anchors")
-    again = small(written(known.groupBy("h").count().where("count > 1").select("h"), "prints"))
+    again = known.groupBy("h").count().where("count > 1").select("h")
     met = written(known.join(again, "h"), "met")
-    kinds = met.groupBy("h", "f").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "lo")).alias("first"))
-    kinds = written(kinds, "kinds")
+    one = F.min(F.struct("doc_id", "th", "lo", "off", "n")).alias("one")
+    kinds = written(met.groupBy("h", "f").agg(F.count("*").alias("copies"), one), "kinds")
     whole = kinds.where("copies > 1").select("h", "f")
     copied = met.join(whole, ["h", "f"], "left_semi").select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1).alias("b"))
 
-    mixed = written(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
-    standing = kinds.join(small(mixed), "h").select("h", "f", "kinds", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.col("first.lo").alias("lo"))
-    entries = met.select("h", "f", "doc_id", "th", "lo", "off", "n").dropDuplicates(["h", "f", "doc_id", "th", "lo"])
-    chosen = standing.join(entries.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th").withColumnRenamed("lo", "_lo").withColumnRenamed("h", "_h").withColumnRenamed("f", "_f"), (F.col("h") == F.col("_h")) & (F.col("f") == F.col("_f")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("lo") == F.col("_lo")))
-    chosen = written(chosen.select("doc_id", "th", "lo", "off", "n", "h", (F.col("kinds") > group).alias("hot")), "chosen")
+    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    chosen = written(kinds.join(mixed, "h").select("one.*", "h", (F.col("kinds") > group).alias("hot")), "chosen")
 
     id_type = _id_field(docs)
     id_arrow = pa.schema([("doc_id", _arrow(id_type.dataType))]).field(0).type
@@ -319,7 +311,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
                     key = (h & (1 << 64) - 1).to_bytes(8, "big") + text[q : lo + n - 1 + length]
                     held.append((key, text[lo:q][::-1], id_, (th, lo, off, n)))
                     held_bytes += len(key) + off + 200
-            if held_bytes > 48 << 20:
+            if held_bytes > 24 << 20:
                 yield from runs()
                 held, held_bytes = [], 0
         yield from runs()
@@ -364,7 +356,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
 
     listed = written(_packed(chosen.where("NOT hot"), "lo", "off", "n", "h"), "lists")
     sent = _to_docs(docs, listed, "inner").mapInArrow(send, run_schema)
-    merged = sent.repartitionByRange(parts, "part").mapInArrow(receive, found_schema)
+    merged = sent.repartitionById(parts, F.col("part")).mapInArrow(receive, found_schema)
     out = copied.union(merged)
 
     hot = written(_packed(chosen.where("hot"), "lo", "off", "n", "h"), "hot")
