@@ -243,10 +243,28 @@ def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, fit
     both = both.repartition(partitions(spark), "leaf", "part").sortWithinPartitions("leaf", "part", "side")
 
     def meet(batches):
+        """The best of a task for each of its queries, over all leaves and parts that it got."""
         key, ids, vectors_ = None, [], []
+        held: list = []
+        n = 0
+
+        def best():
+            v1, v2, score, first = (np.concatenate(c) for c in list(zip(*held))[:4])
+            lists_ = [x for part in held for x in part[4]]
+            order = np.lexsort((first, -score, v2, v1))
+            new = np.flatnonzero(np.concatenate(([True], (v1[order][1:] != v1[order][:-1]) | (v2[order][1:] != v2[order][:-1]))))
+            place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
+            kept = order[place <= k]
+            return v1[kept], v2[kept], score[kept], first[kept], [lists_[i] for i in kept.tolist()]
+
+        def told():
+            for v1, v2, score, _, lists_ in held:
+                yield pa.RecordBatch.from_arrays([pa.array(v1), pa.array(v2), pa.array(score), pa.array(lists_, id_list)], ["v1", "v2", "score", "ids"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
+            id_list = batch.schema.field("ids").type
             leaf, part, side = (batch[c].to_numpy() for c in ("leaf", "part", "side"))
             edge = np.flatnonzero(np.concatenate(([True], (leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1]), [True])))
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
@@ -258,11 +276,21 @@ def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, fit
                     vectors_.append(_matrix(piece["embedding"], dim))
                 elif key == (leaf[a], part[a]):
                     vectors_ = [np.concatenate(vectors_)] if len(vectors_) > 1 else vectors_
+                    firsts = np.array([x[0] for x in ids])
                     for at in range(0, len(piece), 512):
                         block = piece.slice(at, 512)
                         q, p, score = _nearest(_matrix(block["embedding"], dim), vectors_[0], k + 1)
-                        at_ = pa.array(q)
-                        yield pa.RecordBatch.from_arrays([block["v1"].take(at_), block["v2"].take(at_), pa.array(score), pa.array([ids[j] for j in p.tolist()], piece["ids"].type)], ["v1", "v2", "score", "ids"])
+                        held.append((block["v1"].to_numpy()[q], block["v2"].to_numpy()[q], score, firsts[p], [ids[j] for j in p.tolist()]))
+                        n += len(q)
+                    if n > 1 << 18:
+                        held = [best()]
+                        n = len(held[0][0])
+                        if n > 1 << 17:  # many queries: what they have so far goes on
+                            yield from told()
+                            held, n = [], 0
+        if held:
+            held = [best()]
+            yield from told()
 
     best = both.mapInArrow(meet, f"v1 long, v2 int, score double, ids array<{id_type}>")
     best = best.select("v1", "v2", "score", F.explode("ids").alias("vec_id"))
