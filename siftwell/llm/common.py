@@ -73,7 +73,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def byte_chunks(column: pa.Array, most: int = 1 << 20):
+def byte_chunks(column: pa.Array, most: int = 1 << 18):
     """(first row, offsets, bytes) for runs of rows of at most ``most`` bytes, one row at least.
 
     A null counts as an empty text.
@@ -104,10 +104,6 @@ def narrow_batches(batches, most: int = 4 << 20):
             yield batch.slice(at, step)
 
 
-#: Bytes of lists up to which they are broadcast to the documents.
-LIST_BYTES = 64 << 20
-
-
 def with_hash(docs: DataFrame) -> DataFrame:
     """(doc_id, th, text): a hash of the text tells rows with one doc_id apart."""
     return docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
@@ -126,11 +122,14 @@ def unpacked(blob: bytes, width: int) -> np.ndarray:
     return np.frombuffer(blob, ">i8").astype(np.int64).reshape(-1, width)
 
 
-def listed(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
-    """(doc_id, th, text, blob): documents with their list, by broadcast if the lists are proven small, else by a sorted join."""
+#: Bytes of lists up to which they may be broadcast to the documents.
+LIST_BYTES = 64 << 20
+
+
+def listed(docs: DataFrame, lists: DataFrame, how: str = "inner", broadcast_bytes: int = 0) -> DataFrame:
+    """(doc_id, th, text, blob): documents with their list: a join by key, or a broadcast of lists of at most broadcast_bytes."""
     lists = lists.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th")
-    size = lists.agg(F.sum(F.length("blob") + 64)).first()[0] or 0
-    if size <= LIST_BYTES:
+    if broadcast_bytes and (lists.agg(F.sum(F.length("blob") + 64)).first()[0] or 0) <= broadcast_bytes:
         lists = F.broadcast(lists)
     docs = with_hash(docs)
     return docs.join(lists, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")), how).select("doc_id", "th", "text", "blob")

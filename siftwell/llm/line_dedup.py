@@ -4,13 +4,14 @@ A line is the set of its words. Lines with equal sets form a class; a join finds
 the pairs of classes with a Jaccard similarity of at least ``similarity``.
 
 1. One pass counts words in a table of fixed size by hash; the counts, in steps
-   of a logarithm, order a line's words by rarity. A second such table counts
-   the words of prefixes: of a set of n words, the n - ceil(t n) + 1 rarest.
-   Similar sets share a word of their prefixes.
-2. Prefix words that occur once are dropped. The rest meet by word. Lengths,
-   the word's positions and a bitmap of the sets bound the overlap; a word's
-   place in the list survives if a partner may be similar there, and no earlier
-   common word shows that the pair meets elsewhere.
+   of a logarithm, order a line's words by rarity. Similar sets share a word of
+   their prefixes: of a set of n words, the n - ceil(t n) + 1 rarest. A second
+   such table counts the words of prefixes.
+2. Prefix words that no other class has are dropped. The rest meet by word.
+   Lengths, the word's positions and the bitmaps bound the overlap; a word's
+   place in the list survives if a partner may be similar there, and their
+   two rarest words don't show that the pair meets elsewhere. Texts are read again
+   for each table and for the words' lists, so that no set is stored for them.
 3. The survivors meet again with their whole sets and are compared exactly. A
    pair counts where its first common word is. Only counts leave a task: the
    pairs of a dense group are never written.
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, listed, narrow_batches, packed, partitions, table, unpacked, with_hash, written
+from .common import LIST_BYTES, byte_chunks, listed, narrow_batches, packed, partitions, small, table, unpacked, with_hash, written
 from .quality import _powers
 
 SIMILARITY = "4/5"
@@ -37,6 +38,8 @@ BITS = 24
 SLOTS = 64
 #: Lines that share a prefix word and are compared in one task.
 PART = 512
+#: Words up to which 64 bits tell sets apart; longer ones have four times as many.
+SHORT = 80
 #: Sets up to which a group is compared pair by pair; larger groups are compared by matrix products.
 FEW = 12
 
@@ -53,6 +56,30 @@ def _mixed(words: np.ndarray, by: np.uint64) -> np.ndarray:
         return words ^ words >> np.uint64(29)
 
 
+def _by_line(line: np.ndarray, words: np.ndarray, rank: np.ndarray | None) -> np.ndarray:
+    """Order by line, rank and word: by one number made of them, and by all three only if that number can't tell words apart."""
+    if len(line) and line[-1] < 1 << 20:
+        key = line.astype(np.uint64) << np.uint64(44)
+        key |= words >> np.uint64(20) if rank is None else rank.astype(np.uint64) << np.uint64(36) | words >> np.uint64(28)
+        order = np.argsort(key)
+        key, sorted_ = key[order], words[order]
+        if not ((key[1:] == key[:-1]) & (sorted_[1:] != sorted_[:-1])).any():
+            return order
+    return np.lexsort((words, line) if rank is None else (words, rank, line))
+
+
+def _class_sums(line: np.ndarray, word: np.ndarray, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Number of words of each line, and two sums of hashes that stand for its set."""
+    n = np.bincount(line, minlength=rows)
+    ends = np.cumsum(n)
+    sums = []
+    with np.errstate(over="ignore"):
+        for by in (_MIX1, _MIX2):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(word, by))))
+            sums.append((total[ends] - total[ends - n]).view(np.int64))
+    return n, sums
+
+
 class Lines:
     """The distinct words of the lines of texts that lie end to end.
 
@@ -84,7 +111,7 @@ class Lines:
         of = np.searchsorted(ends, starts, side="right") - 1
         line = first[of] + before[starts] - before[ends[of]] if len(starts) else np.zeros(0, np.int64)
         rank = ranks[(words >> np.uint64(64 - BITS)).astype(np.int64)] if ranks is not None else None
-        order = np.lexsort((words, line) if rank is None else (words, rank, line))
+        order = _by_line(line, words, rank)
         line, words = line[order], words[order]
         new = np.concatenate(([True], (line[1:] != line[:-1]) | (words[1:] != words[:-1])))[: len(words)]
         return row, number, line[new], words[new]
@@ -223,13 +250,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for at, ends, data in byte_chunks(batch.column(2)):
                 row, number, line, word = lines.of(ends, data)
                 counts.add(word)
-                n = np.bincount(line, minlength=len(row))
-                with np.errstate(over="ignore"):
-                    sums = []
-                    for by in (_MIX1, _MIX2):
-                        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(word, by))))
-                        ends_ = np.cumsum(n)
-                        sums.append((total[ends_] - total[ends_ - n]).view(np.int64))
+                n, sums = _class_sums(line, word, len(row))
                 rows, none = pa.array(row + at), n == 0
                 yield pa.RecordBatch.from_arrays([ids.take(rows), hashes.take(rows), pa.array(number.astype(np.int32)), pa.array(sums[0], mask=none), pa.array(sums[1], mask=none), pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.binary())], names)
         slots = list(counts.slots())
@@ -256,101 +277,112 @@ def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART
     lines, blobs = line_classes(docs)
     ranks = spark.sparkContext.broadcast(_count_codes(blobs))
     classes = written(lines.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line", "th")).alias("first")), "classes")
-    firsts = written(packed(classes.select("first.doc_id", "first.th", "first.line"), "line"), "firsts")
-
-    def chosen(batches):
-        """(ids, hashes, row, number, line, words in order of rarity, words of each line) of the listed lines."""
-        found = Lines()
-        for batch in narrow_batches(batches):
-            texts, blobs_ = batch.column(2), batch.column(3)
-            for at, ends, data in byte_chunks(texts):
-                row, number, line, word = found.of(ends, data, ranks.value)
-                keep = np.zeros(len(row), bool)
-                first = np.searchsorted(row, np.arange(len(ends)))
-                for r in range(len(ends) - 1):
-                    keep[first[r] + unpacked(blobs_[at + r].as_py(), 1)[:, 0]] = True
-                inside = keep[line]
-                n = np.bincount(line[inside], minlength=len(row))
-                yield batch, row + at, number, line[inside], word[inside], n
 
     def places(line: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.arange(len(line)) - (np.cumsum(n) - n)[line]
 
+    def describe(batches):
+        """The sets of a task's lines, each once as long as the task remembers it."""
+        found, met_before = Lines(), set()
+        for batch in narrow_batches(batches):
+            for _, ends, data in byte_chunks(batch.column(2)):
+                row, _, line, word = found.of(ends, data, ranks.value)
+                n, sums = _class_sums(line, word, len(row))
+                keep = []
+                for i, key in zip(np.flatnonzero(n).tolist(), zip(sums[0][n > 0].tolist(), sums[1][n > 0].tolist())):
+                    if key not in met_before:
+                        met_before.add(key)
+                        keep.append(i)
+                if len(met_before) > 1 << 17:
+                    met_before.clear()
+                if not keep:
+                    continue
+                begin = np.cumsum(n) - n
+                bit = _mixed(word, _MIX2)
+                which = np.uint64(1) << (bit >> np.uint64(58))
+                quarter = np.where(n[line] > SHORT, bit >> np.uint64(8) & np.uint64(3), np.uint64(0))
+                bits = np.zeros((4, len(n)), np.uint64)
+                for k in range(4):
+                    bits[k, n > 0] = np.bitwise_or.reduceat(np.where(quarter == k, which, np.uint64(0)), begin[n > 0])
+                prefix = prefix_length(n, t)
+                blobs_ = [word[begin[i] : begin[i] + prefix[i]].tobytes() for i in keep]
+                keep = np.array(keep)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sums[0][keep]), pa.array(n[keep].astype(np.int32)), *(pa.array(b[keep].view(np.int64)) for b in bits), pa.array(blobs_, pa.binary())],
+                    ["c1", "size", "b0", "b1", "b2", "b3", "prefix"],
+                )
+
+    def prefixes(batch):
+        """(row, word, position) of all prefix words, and the rows' lengths."""
+        words = np.frombuffer(b"".join(batch["prefix"].to_pylist()), np.uint64)
+        size = batch["size"].to_numpy().astype(np.int64)
+        n = prefix_length(size, t)
+        row = np.repeat(np.arange(len(n)), n)
+        return row, words, np.arange(len(row)) - (np.cumsum(n) - n)[row], size
+
     def count(batches):
         counts = _Counts()
-        for _, _, _, line, word, n in chosen(batches):
-            counts.add(word[places(line, n) < prefix_length(n, t)[line]])
+        for batch in describe(batches):
+            if batch.num_rows:
+                counts.add(prefixes(batch)[1])
         slots = list(counts.slots())
         if slots:
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in slots], pa.int32()), pa.array([b for _, b in slots], pa.binary())], ["slot", "blob"])
 
-    met = spark.sparkContext.broadcast(_count_codes(listed(docs, firsts).mapInArrow(count, "slot int, blob binary")))
-
-    def dealt(token: np.ndarray, entry: np.ndarray, key: np.ndarray):
-        """Rows (index, p, q, side): a part of its word's list meets each of the others."""
-        code = met.value[(token >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64)
-        parts = np.maximum(1, np.ceil(2 ** ((code - 1) / 8) / part)).astype(np.int64)
-        own = (_mixed(key, _MIX2) % parts.astype(np.uint64)).astype(np.int64)
-        at = np.repeat(entry, parts)
-        other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
-        mine = np.repeat(own, parts)
-        return at, np.minimum(mine, other).astype(np.int32), np.maximum(mine, other).astype(np.int32), (mine > other).astype(np.int32)
+    met = spark.sparkContext.broadcast(_count_codes(with_hash(docs).mapInArrow(count, "slot int, blob binary")))
+    post_schema = "token long, deal long, c1 long, place long, b0 long, b1 long, b2 long, b3 long, rarest long, second long"
 
     def post(batches):
-        names = ["token", "p", "q", "side", "doc_id", "th", "line", "size", "pos", "s1", "s2", "t0", "t1"]
-        for batch, row, number, line, word, n in chosen(batches):
-            if not len(line):
-                continue
-            pos, begin = places(line, n), np.cumsum(n) - n
-            with np.errstate(over="ignore"):
-                bit = _mixed(word, _MIX2)
-            which = np.uint64(1) << (bit & np.uint64(63))
-            high = (bit >> np.uint64(6) & np.uint64(1)).astype(bool)
-            edges = begin[n > 0]
-            sketch = np.zeros((2, len(n)), np.uint64)
-            for k, own in enumerate((~high, high)):
-                sketch[k, n > 0] = np.bitwise_or.reduceat(np.where(own, which, np.uint64(0)), edges)
-            code = met.value[(word >> np.uint64(64 - BITS)).astype(np.int64)]
-            use = np.flatnonzero((pos < prefix_length(n, t)[line]) & (code > 1))
-            if not len(use):
-                continue
-            of = line[use]
-            at, p, q, side = dealt(word[use], np.arange(len(use)), word[begin[of]] ^ sketch[0][of] ^ sketch[1][of])
-            use, of = use[at], of[at]
-            rows = pa.array(row[of])
-            second = np.where(n[of] > 1, word[np.minimum(begin[of] + 1, len(word) - 1)], word[begin[of]])
-            signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [signed(word[use]), pa.array(p), pa.array(q), pa.array(side), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number[of].astype(np.int32)), pa.array(n[of].astype(np.int32)), pa.array(pos[use].astype(np.int32)), signed(sketch[0][of]), signed(sketch[1][of]), signed(word[begin[of]]), signed(second)], names
-            )
-
-    posted = listed(docs, firsts).mapInArrow(post, f"{_ENTRY}, doc_id {id_type}, th long, line int, size int, pos int, s1 long, s2 long, t0 long, t1 long")
+        for batch in describe(batches):
+            row, words, pos, size = prefixes(batch)
+            code = met.value[(words >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64)
+            use = np.flatnonzero(code > 1)
+            n_parts = np.maximum(1, np.ceil(2 ** ((code[use] - 1) / 8) / part)).astype(np.int64)
+            c1, bits = batch["c1"].to_numpy(), [batch[f"b{k}"].to_numpy() for k in range(4)]
+            mine = (_mixed(c1.view(np.uint64), _MIX2)[row[use]] % n_parts.astype(np.uint64)).astype(np.int64)
+            at = np.repeat(np.arange(len(use)), n_parts)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
+            mine, use = mine[at], use[at]
+            of = row[use]
+            deal = (np.minimum(mine, other) << 31 | np.maximum(mine, other)) << 1 | (mine > other)
+            begin = np.searchsorted(row, np.arange(batch.num_rows))
+            first, second = words[begin], words[np.where(prefix_length(size, t) > 1, begin + 1, begin)]
+            columns = (words[use].view(np.int64), deal, c1[of], size[of] << 31 | pos[use], *(b[of] for b in bits), first[of].view(np.int64), second[of].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], [c.split()[0] for c in post_schema.split(", ")])
+
+    low = (1 << 31) - 1
+    posted = with_hash(docs).mapInArrow(post, post_schema)
+    posted = posted.select("*", F.expr("cast(shiftright(deal, 32) as int) p"), F.expr(f"cast(shiftright(deal, 1) & {low} as int) q"))
 
     def filtered(rows: pa.Table):
         group = _group_numbers(rows)
-        col = {c: rows[c].to_numpy() for c in ("side", "size", "pos", "t0", "t1", "p", "q")}
-        col |= {c: rows[c].to_numpy().view(np.uint64) for c in ("s1", "s2")}
-        alone = col["p"] == col["q"]
+        place, c1, deal = (rows[c].to_numpy() for c in ("place", "c1", "deal"))
+        early = [rows[c].to_numpy() for c in ("rarest", "second")]
+        size, pos, side = place >> 31, place & low, deal & 1
+        bits = [rows[f"b{k}"].to_numpy().view(np.uint64) for k in range(4)]
+        folded = bits[0] | bits[1] | bits[2] | bits[3]
+        long = size > SHORT
         survive = np.zeros(len(group), bool)
-        for i, j in _pairs(group, col["side"], alone, col["size"], t):
-            total = col["size"][i] + col["size"][j]
+        for i, j in _pairs(group, side, rows["p"].to_numpy() == rows["q"].to_numpy(), size, t):
+            total = size[i] + size[j]
             need = least_overlap(total, t)
-            bound = 1 + np.minimum(col["size"][i] - col["pos"][i], col["size"][j] - col["pos"][j]) - 1
-            # The pair shares at most what comes before the word in both, the word, and what comes after it.
-            bound = bound + np.minimum(col["pos"][i], col["pos"][j])
-            differ = np.bitwise_count(col["s1"][i] ^ col["s1"][j]).astype(np.int64) + np.bitwise_count(col["s2"][i] ^ col["s2"][j])
-            keep = (bound >= need) & (differ <= total - 2 * need)
-            i, j = i[keep], j[keep]
-            for a, pa_ in (("t0", 0), ("t1", 1)):  # an earlier common word: the pair meets there
-                for b, pb in (("t0", 0), ("t1", 1)):
-                    keep = ~((col[a][i] == col[b][j]) & (col["pos"][i] > pa_) & (col["pos"][j] > pb))
-                    i, j = i[keep], j[keep]
-            survive[i] = True
-            survive[j] = True
-        yield pa.RecordBatch.from_arrays([rows[c].combine_chunks().filter(pa.array(survive)) for c in ("token", "p", "q", "side", "doc_id", "th", "line")], ["token", "p", "q", "side", "doc_id", "th", "line"])
-
-    left = written(_grouped(posted, filtered, f"{_ENTRY}, doc_id {id_type}, th long, line int"), "left")
-    lists = written(packed(left, "line", "token", "p", "q", "side"), "left-lists")
+            # A pair shares at most what comes before the word in both, and the word with what comes after it.
+            bound = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
+            differ = np.where(long[i] & long[j], sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits), np.bitwise_count(folded[i] ^ folded[j]))
+            keep = (bound >= need) & (differ <= total - 2 * need) & (c1[i] != c1[j])
+            for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)):  # an earlier common word: the pair meets there
+                keep &= (early[a][i] != early[b][j]) | (pos[i] <= a) | (pos[j] <= b)
+            survive[i[keep]] = True
+            survive[j[keep]] = True
+        names = ["token", "p", "q", "side", "c1"]
+        columns = [*(rows[c].combine_chunks() for c in names[:3]), pa.array(side.astype(np.int32)), rows["c1"].combine_chunks()]
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(survive)) for c in columns], names)
+
+    left = written(_grouped(posted, filtered, f"{_ENTRY}, c1 long").distinct(), "left")
+    # Classes are looked up by one sum of their words' hashes; two classes that agree in it are both taken.
+    left = classes.select("c1", "first.doc_id", "first.th", "first.line").join(small(left), "c1")
+    dealt = (F.col("p").cast("long") * (1 << 31) + F.col("q")) * 2 + F.col("side")
+    lists = written(packed(left.withColumn("dealt", dealt), "line", "token", "dealt"), "left-lists")
 
     def send(batches):
         found = Lines()
@@ -361,14 +393,14 @@ def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART
                 begin = np.cumsum(n) - n
                 out: list = []
                 for r in range(len(ends) - 1):
-                    for number, token, p, q, side in unpacked(batch.column(3)[at + r].as_py(), 5).tolist():
+                    for number, token, dealt_ in unpacked(batch.column(3)[at + r].as_py(), 3).tolist():
                         own = first[r] + number
-                        out.append((token, p, q, side, at + r, number, word[begin[own] : begin[own] + n[own]].tobytes()))
-                token, p, q, side, rows, number, sets = zip(*out) if out else ((),) * 7
+                        out.append((token, dealt_ >> 32, dealt_ >> 1 & low, dealt_ & 1, at + r, number, word[begin[own] : begin[own] + n[own]].tobytes()))
+                token, p, q, side, rows, number, sets_ = zip(*out) if out else ((),) * 7
                 rows = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), *(pa.array(c, pa.int32()) for c in (p, q, side)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(sets, pa.binary())], ["token", "p", "q", "side", "doc_id", "th", "line", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), *(pa.array(c, pa.int32()) for c in (p, q, side)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(sets_, pa.binary())], ["token", "p", "q", "side", "doc_id", "th", "line", "words"])
 
-    sent = listed(docs, lists).mapInArrow(send, f"{_ENTRY}, doc_id {id_type}, th long, line int, words binary")
+    sent = listed(docs, lists, broadcast_bytes=LIST_BYTES).mapInArrow(send, f"{_ENTRY}, doc_id {id_type}, th long, line int, words binary")
 
     def compared(rows: pa.Table):
         group = _group_numbers(rows)
