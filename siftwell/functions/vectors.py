@@ -16,14 +16,18 @@ _UNROLLED = 256
 
 def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """byte(sha256(text), i mod 32) / 128 - 1, scaled to length 1, as doubles."""
-    digest = F.sha2(text, 256)
-    digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring(digest, at, 1)) - 1
-    byte = [(digit(2 * i + 1) * 16 + digit(2 * i + 2)).cast("double") / 128 - 1 for i in range(min(32, dimensions))]
-    values = F.array(*byte)
+
+    def read(digest: Column) -> Column:
+        digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring(digest, at, 1)) - 1
+        return F.array(*((digit(2 * i + 1) * 16 + digit(2 * i + 2)).cast("double") / 128 - 1 for i in range(min(32, dimensions))))
+
+    # Arrays of one element name what would else be written out, and computed, again for each use.
+    values = F.transform(F.array(F.sha2(text, 256)), read)[0]
     whole, rest = divmod(dimensions, 32)
     if whole:
         values = F.concat(*[values] * whole, *([F.slice(values, 1, rest)] if rest else [])) if whole > 1 or rest else values
-    return F.transform(F.array(values), lambda v: F.transform(v, lambda x: x / norm(v)))[0]
+    with_norm = F.transform(F.array(values), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return F.transform(with_norm, lambda s: F.transform(s["v"], lambda x: x / s["n"]))[0]
 
 
 def embed_text(text: str, dimensions: int = DIMENSIONS) -> list[float]:
