@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_chunks, narrow_batches, partitions, table, written
+from .common import LIST_BYTES, byte_chunks, listed, narrow_batches, packed, partitions, table, unpacked, with_hash, written
 from .quality import _powers
 
 LENGTH = 200
@@ -93,11 +93,6 @@ def _id_field(docs: DataFrame) -> T.StructField:
     return T.StructField("doc_id", docs.schema["doc_id"].dataType)
 
 
-def _with_hash(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, text): a hash of the text tells rows with one doc_id apart."""
-    return docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
-
-
 def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, th, lo, off, n, h, f): f is a hash of all strings of the run."""
 
@@ -121,27 +116,7 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 )
 
     schema = T.StructType([_id_field(docs), *T.StructType.fromDDL("th long, lo int, off short, n short, h long, f long")])
-    return _with_hash(docs).mapInArrow(run, schema)
-
-
-def _to_docs(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """docs with their list (blob): a join by key at every size, as the lists grow with the documents."""
-    lists = lists.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th")
-    docs = _with_hash(docs)
-    return docs.join(lists, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th")), how).select("doc_id", "th", "text", "blob")
-
-
-def _packed(rows: DataFrame, *columns: str) -> DataFrame:
-    """(doc_id, th, blob): the integers in columns of a document's rows, 8 bytes each, in no order.
-
-    A document's list is no longer than a part of its text.
-    """
-    entry = F.concat(*(F.lpad(F.hex(F.col(c).cast("long")), 16, "0") for c in columns))
-    return rows.groupBy("doc_id", "th").agg(F.unhex(F.array_join(F.collect_list(entry), "")).alias("blob"))
-
-
-def _unpacked(blob: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(blob, ">i8").astype(np.int64).reshape(-1, width)
+    return with_hash(docs).mapInArrow(run, schema)
 
 
 def common_prefix(a: bytes, b: bytes, at: int) -> int:
@@ -266,7 +241,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     spark = docs.sparkSession
     parts = partitions(spark)
     known = written(anchors(docs, length, gram), "anchors")
-    again = known.groupBy("h").count().where("count > 1").select("h")
+    # Written on its own: the join then has exchanges of its own, which Spark can split where a fingerprint is hot.
+    again = written(known.groupBy("h").count().where("count > 1").select("h"), "prints")
     met = written(known.join(again, "h"), "met")
     one = F.min(F.struct("doc_id", "th", "lo", "off", "n")).alias("one")
     kinds = written(met.groupBy("h", "f").agg(F.count("*").alias("copies"), one), "kinds")
@@ -306,7 +282,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
             texts = batch.column(2).cast(pa.large_binary())
             for i, (id_, th, blob) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())):
                 text = texts[i].as_py() or b""
-                for lo, off, n, h in _unpacked(blob, 4).tolist():
+                for lo, off, n, h in unpacked(blob, 4).tolist():
                     q = lo + off
                     key = (h & (1 << 64) - 1).to_bytes(8, "big") + text[q : lo + n - 1 + length]
                     held.append((key, text[lo:q][::-1], id_, (th, lo, off, n)))
@@ -354,12 +330,12 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
         row, a, b = _start_runs(found, lo + off)
         yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in row.tolist()], id_arrow), pa.array(th[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], found_schema.names)
 
-    listed = written(_packed(chosen.where("NOT hot"), "lo", "off", "n", "h"), "lists")
-    sent = _to_docs(docs, listed, "inner").mapInArrow(send, run_schema)
+    lists = written(packed(chosen.where("NOT hot"), "lo", "off", "n", "h"), "lists")
+    sent = listed(docs, lists, broadcast_bytes=LIST_BYTES).mapInArrow(send, run_schema)
     merged = sent.repartitionById(parts, F.col("part")).mapInArrow(receive, found_schema)
     out = copied.union(merged)
 
-    hot = written(_packed(chosen.where("hot"), "lo", "off", "n", "h"), "hot")
+    hot = written(packed(chosen.where("hot"), "lo", "off", "n", "h"), "hot")
     if hot.isEmpty():
         return out
 
@@ -368,12 +344,12 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
             texts = batch.column(2).cast(pa.large_binary())
             for i, blob in enumerate(batch.column(3).to_pylist()):
                 text = texts[i].as_py() or b""
-                starts = np.concatenate([np.arange(lo, lo + n) for lo, _, n, _ in _unpacked(blob, 4).tolist()])
+                starts = np.concatenate([np.arange(lo, lo + n) for lo, _, n, _ in unpacked(blob, 4).tolist()])
                 prints = np.array([xxhash.xxh3_128_intdigest(text[s : s + length]).to_bytes(16, "big") for s in starts.tolist()])
                 rows = pa.array(np.full(len(starts), i))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts.astype(np.int32)), pa.array([bytes(p).ljust(16, b"\0") for p in prints], pa.binary())], ["doc_id", "th", "a", "w"])
 
-    spelled = written(_to_docs(docs, hot, "inner").mapInArrow(spell, T.StructType([id_type, *T.StructType.fromDDL("th long, a int, w binary")])), "spelled")
+    spelled = written(listed(docs, hot).mapInArrow(spell, T.StructType([id_type, *T.StructType.fromDDL("th long, a int, w binary")])), "spelled")
     twice = spelled.groupBy("w").count().where("count > 1").select("w")
     return out.union(spelled.join(twice, "w", "left_semi").select("doc_id", "th", "a", F.col("a").alias("b")))
 
@@ -392,7 +368,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     copies of each other, whatever their doc_id.
     """
     runs = written(repeated_starts(docs, length, gram, group), "repeated")
-    lists = written(_packed(runs, "a", "b"), "spans")
+    lists = written(packed(runs, "a", "b"), "spans")
     id_type = _id_field(docs)
     schema = T.StructType([id_type, *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")])
 
@@ -403,7 +379,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
                 text = texts[i].as_py() or b""
                 spans, kept, last = [], [], 0
                 if blob:
-                    runs_ = _unpacked(blob, 2)
+                    runs_ = unpacked(blob, 2)
                     for a, b in runs_[np.argsort(runs_[:, 0], kind="stable")].tolist():
                         if spans and a <= spans[-1][1]:
                             spans[-1][1] = max(spans[-1][1], b + length)
@@ -418,7 +394,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], schema.names)
 
-    return _to_docs(docs, lists, "left").mapInArrow(cut, schema)
+    return listed(docs, lists, "left").mapInArrow(cut, schema)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
