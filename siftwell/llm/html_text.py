@@ -53,6 +53,8 @@ THRESHOLD, HOLDS = 0.5, 0.8
 
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _SPACE = re.compile(r"\s+")
+#: Marked sections that end with ]]>.
+_SECTION = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata)(?![-_.a-z0-9])", re.IGNORECASE)
 
 
 class _Page(HTMLParser):
@@ -112,6 +114,12 @@ class _Page(HTMLParser):
         self.elements.append((tag, parent, aside, header))
         self.links += tag == "a"
 
+    def parse_marked_section(self, i, report=1):
+        """A section that ends with ]]>; any other <![ is, as in browsers, a comment up to the next >."""
+        if _SECTION.match(self.rawdata, i):
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i, report)
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
@@ -149,11 +157,8 @@ class _Page(HTMLParser):
 def main_text(html: str) -> str:
     """The article of a page: its blocks in order, one a line; empty if there is none."""
     page = _Page()
-    try:
-        page.feed(html)
-        page.close()
-    except AssertionError:  # markup declarations that html.parser gives up on
-        pass
+    page.feed(html)
+    page.close()
     elements = page.elements
     aside, header, framed = [False] * len(elements), [-1] * len(elements), [False] * len(elements)
     titled: set = set()

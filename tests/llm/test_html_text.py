@@ -26,6 +26,11 @@ def test_odd_pages(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize("odd", ["<![foo[ x ]]>", "<![ endif]>", "<![endif]>", "<![if IE>", "<![]>", "<![CDATA-x[ y ]]>", "<![cdata[ y ]]>", "<![1]>"])
+def test_text_after_odd_declarations(odd):
+    assert main_text(f"<article><p>One, two.</p>{odd}<p>Three, four.</p><p>Five, six. {odd}</p></article><![if !x]>") == "One, two.\nThree, four.\nFive, six."
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "old"), (2, None, None, None), (3, "w", "", "x"), (1, "u", PAGE, "old"), (4, "v", "<article>" + "<p>word, word.</p>" * 20000 + "</article>", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
