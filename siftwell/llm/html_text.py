@@ -5,7 +5,8 @@ its text length and its punctuation marks for each of its nodes; along the page
 they are smoothed by a Gaussian, fused to one value and compared with a
 threshold. The nodes of the chosen paths tell which element holds the article;
 its blocks are the text, without what markup names as a menu, advert, form,
-notice, comment and so on.
+notice, comment and so on. A class, id or role that says so doesn't count where
+the element holds the article: see ``_misnamed``.
 """
 
 from __future__ import annotations
@@ -46,10 +47,14 @@ ASIDE_WORDS = frozenset(
     "recommended related reply replies respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 HEADER_WORDS = frozenset(["header", "pageheader", "siteheader", "topbar"])
+#: Of these, the words for what readers write.
+READER_WORDS = frozenset("comment comments disqus replies reply respond".split())
 PUNCTUATION = frozenset(".,;:!?…。，；：！？、؟،।¡¿")
 SMOOTHING = (0.2741, 0.4518, 0.2741)
 #: Share of the mean fused value that a path must reach, and share of the chosen text that the article's element holds.
 THRESHOLD, HOLDS = 0.5, 0.8
+#: Share of the text beyond which an element holds the article, whatever its words say.
+MOST = 0.5
 
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _SPACE = re.compile(r"\s+")
@@ -58,11 +63,14 @@ _SECTION = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata)(?![-_.a-z0-9])"
 
 
 class _Page(HTMLParser):
-    """Elements, as (tag, parent, aside, header), and blocks of text below them."""
+    """Elements, as (tag, parent, aside, header, frame, doubt), and blocks of text below them.
+
+    doubt is the share of the text that speaks against an element's words, 0 if more than words tell what it is.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.elements: list = [("", -1, False, False)]
+        self.elements: list = [("", -1, False, False, False, 0)]
         self.open = [0]
         self.blocks: list = []  # [element, path, texts, link characters]
         self.paths: dict = {}
@@ -105,13 +113,15 @@ class _Page(HTMLParser):
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 hidden = True
         frame = tag in ("html", "body", "main", "article") and not words & {"comment", "comments", "reply", "replies", "ad", "ads", "advert"}
-        aside = tag in SKIPPED or hidden or (not frame and bool(words & ASIDE_WORDS))
+        sure = tag in SKIPPED or hidden
+        aside = sure or (not frame and bool(words & ASIDE_WORDS))
         header = tag == "header" or (not frame and tag not in HEADINGS and bool(words & HEADER_WORDS))
+        doubt = 0 if sure or tag == "header" or not (aside or header) else HOLDS if words & READER_WORDS else MOST
         parent = self.open[-1]
         self.open.append(len(self.elements))
         path = self.pathed[-1]
         self.pathed.append(path if tag in INLINE else self.paths.setdefault((path, tag), len(self.paths) + 1))
-        self.elements.append((tag, parent, aside, header))
+        self.elements.append((tag, parent, aside, header, frame and tag in ("article", "main"), doubt))
         self.links += tag == "a"
 
     def parse_marked_section(self, i, report=1):
@@ -154,18 +164,106 @@ class _Page(HTMLParser):
             self.current[3] += len(data)
 
 
+def _chosen(blocks: list) -> set:
+    """The paths whose ratios reach the threshold."""
+    sums: dict = {}
+    for _, path, text, links in blocks:
+        n, length, marks, linked = sums.get(path, (0, 0, 0, 0))
+        sums[path] = (n + 1, length + len(text), marks + sum(c in PUNCTUATION for c in text), linked + min(links, len(text)))
+    ratio = {p: (length / n, marks / n * (1 - linked / length)) for p, (n, length, marks, linked) in sums.items()}
+
+    def smoothed(k: int) -> list:
+        values = [ratio[b[1]][k] for b in blocks]
+        padded = [values[0], *values, values[-1]]
+        return [sum(w * x for w, x in zip(SMOOTHING, padded[i : i + 3])) for i in range(len(values))]
+
+    fused: dict = {}
+    for (_, path, _, _), length, marks in zip(blocks, smoothed(0), smoothed(1)):
+        fused.setdefault(path, []).append(length * (1 + marks))
+    fused = {p: (sum(v) / len(v) * ratio[p][0] * (1 + ratio[p][1])) ** 0.5 for p, v in fused.items()}
+    mean = sum(fused[b[1]] for b in blocks) / len(blocks)
+    return {p for p, v in fused.items() if v >= THRESHOLD * mean}
+
+
+def _misnamed(elements: list, texts: list) -> set:
+    """Elements that hold the article though their words name something else, as in class="has-sidebar".
+
+    texts: all blocks. An element that holds an article or main is one if these
+    have more text than those outside it. If it holds none and none is outside it
+    (but for those in other such elements), the paths decide: it must hold most of the text of the chosen paths, links
+    aside. What readers write is often longer than an article: elements named
+    so need four times as much in both cases, and are judged last.
+    """
+    named = [i for i, e in enumerate(elements) if e[5]]
+    if not named:
+        return set()
+    out: set = set()
+    sure, reader = [False] * len(elements), [False] * len(elements)
+    for i, (tag, parent, aside, head, _, doubt) in enumerate(elements):
+        if i:
+            sure[i] = sure[parent] or ((aside or head) and not doubt)
+            reader[i] = reader[parent] or doubt == HOLDS
+    texts = [b for b in texts if not sure[b[0]]]
+
+    def framed(plain: bool) -> tuple[list, list]:
+        """Text in articles and mains below each element, and in those that neither hold it nor lie in it.
+
+        plain: of the latter only those that no element with a doubt parts from it.
+        """
+        whole, kids, outside = [0] * len(elements), [0] * len(elements), [0] * len(elements)
+        for element, _, text, _ in texts:
+            whole[element] += len(text)
+        own = [0] * len(elements)
+        for i in range(len(elements) - 1, 0, -1):
+            _, parent, _, _, frame, doubt = elements[i]
+            own[i] = whole[i] if frame else kids[i]
+            if plain and doubt:
+                own[i] = 0
+            whole[parent] += whole[i]
+            kids[parent] += own[i]
+        for i in range(1, len(elements)):
+            parent = elements[i][1]
+            outside[i] = outside[parent] + kids[parent] - own[i]
+        return kids, outside
+
+    inside, outside = framed(False)
+    out.update(i for i in named if inside[i] > elements[i][5] * (inside[i] + outside[i]))
+    _, outside = framed(True)
+    for doubt in (MOST, HOLDS):
+        open_ = [i for i in named if elements[i][5] == doubt and i not in out and not inside[i] and not outside[i]]
+        if not open_:
+            continue
+        gone = [False] * len(elements)
+        for i, e in enumerate(elements):
+            if i:
+                gone[i] = gone[e[1]] or (doubt == HOLDS and e[5] == MOST and i not in out)
+        rest = [b for b in texts if not gone[b[0]] and not (doubt == MOST and reader[b[0]])]
+        if not rest:
+            continue
+        chosen, held = _chosen(rest), [0] * len(elements)
+        for element, path, text, links in rest:
+            if path in chosen:
+                held[element] += max(0, len(text) - links)
+        for i in range(len(elements) - 1, 0, -1):
+            held[elements[i][1]] += held[i]
+        out.update(i for i in open_ if held[i] > doubt * held[0])
+    return out
+
+
 def main_text(html: str) -> str:
     """The article of a page: its blocks in order, one a line; empty if there is none."""
     page = _Page()
     page.feed(html)
     page.close()
     elements = page.elements
+    texts = [(element, path, text, links) for element, path, parts, links in page.blocks if (text := _SPACE.sub(" ", "".join(parts)).strip())]
+    misnamed = _misnamed(elements, texts)
     aside, header, framed = [False] * len(elements), [-1] * len(elements), [False] * len(elements)
     titled: set = set()
-    for i, (tag, parent, own, head) in enumerate(elements):
+    for i, (tag, parent, own, head, _, _) in enumerate(elements):
         if i:
-            aside[i] = own or aside[parent]
-            header[i] = i if head else header[parent]
+            aside[i] = own and i not in misnamed or aside[parent]
+            header[i] = i if head and i not in misnamed else header[parent]
             framed[i] = framed[parent] or tag in ("article", "main")
             if tag == "h1" and header[i] >= 0 and framed[i]:
                 titled.add(header[i])
@@ -178,31 +276,13 @@ def main_text(html: str) -> str:
         return False
 
     blocks = []
-    for element, path, texts, links in page.blocks:
-        text = _SPACE.sub(" ", "".join(texts)).strip()
+    for element, path, text, links in texts:
         outside = header[element] >= 0 and not (header[element] in titled and heading(element))
-        if text and not aside[element] and not outside:
+        if not aside[element] and not outside:
             blocks.append((element, path, text, links))
     if not blocks:
         return ""
-
-    sums: dict = {}
-    for _, path, text, links in blocks:
-        n, length, marks, linked = sums.get(path, (0, 0, 0, 0))
-        sums[path] = (n + 1, length + len(text), marks + sum(c in PUNCTUATION for c in text), linked + min(links, len(text)))
-    ratio = {p: (length / n, marks / n * (1 - linked / length)) for p, (n, length, marks, linked) in sums.items()}
-
-    def smoothed(k: int) -> list:
-        values = [ratio[b[1]][k] for b in blocks]
-        padded = [values[0], *values, values[-1]]
-        return [sum(w * x for w, x in zip(SMOOTHING, padded[i : i + 3])) for i in range(len(values))]
-
-    fused: dict = {}
-    for (_, path, _, _), length, marks in zip(blocks, smoothed(0), smoothed(1)):
-        fused.setdefault(path, []).append(length * (1 + marks))
-    fused = {p: (sum(v) / len(v) * ratio[p][0] * (1 + ratio[p][1])) ** 0.5 for p, v in fused.items()}
-    mean = sum(fused[b[1]] for b in blocks) / len(blocks)
-    chosen = {p for p, v in fused.items() if v >= THRESHOLD * mean}
+    chosen = _chosen(blocks)
 
     held: dict = {}
     for element, path, text, _ in blocks:

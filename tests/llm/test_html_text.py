@@ -31,6 +31,47 @@ def test_text_after_odd_declarations(odd):
     assert main_text(f"<article><p>One, two.</p>{odd}<p>Three, four.</p><p>Five, six. {odd}</p></article><![if !x]>") == "One, two.\nThree, four.\nFive, six."
 
 
+STORY = "<p>One part, with words. It goes on, and on.</p><p>Another part, with more words. It ends here, really.</p><p>Third part, short.</p>"
+LINES = "One part, with words. It goes on, and on.\nAnother part, with more words. It ends here, really.\nThird part, short."
+SIDE = "<div class='sidebar'><p>Other things, to read now.</p></div>"
+TALK = "<div id='comments'>" + "<p>I liked it, really. So did my friends, all of them.</p>" * 6 + "</div>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<div class='layout has-sidebar'><article>{STORY}</article>{SIDE}</div>",
+        f"<div class='layout has-sidebar'><div>{STORY}</div>{SIDE}</div>",
+        f"<div id='content-with-comments'><main>{STORY}</main></div>",
+        f"<div id='content-with-comments'><article>{STORY}</article>{TALK}</div>",
+        f"<div class='no-sidebar'>{STORY}</div><p><a href='/x'>Home page</a></p>",
+        f"<section class='widget-area post'>{STORY}</section>{SIDE}",
+        f"<section class='widget-area post'>{STORY}</section>{TALK}",
+        f"<div class='fixed-header'><div class='page with-menu'><div class='widget'>{STORY}</div></div></div>",
+        f"<main><div class='promo-layout'>{STORY}</div></main>",
+        f"<article class='post ad-free'>{STORY}</article>",
+        f"<div class='widgets'>{STORY}</div><div class='related'><article><p>Card, short.</p></article></div>",
+        f"<div class='menu'><ul><li><a href='/a'>{'Menu entry, long. ' * 30}</a></li></ul></div><div class='menu-page'>{STORY}</div>",
+    ],
+)
+def test_wrappers_named_like_asides(html):
+    assert main_text(html) == LINES
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<article>{STORY}</article><div class='related'><article><p>Card, short.</p></article></div>",
+        f"<div class='has-sidebar'><article>{STORY}</article><div class='sidebar'>{'<p>Other things, to read. Many of them, really.</p>' * 9}</div></div>",
+        f"<article>{STORY}</article>{TALK}",
+        f"<div>{STORY}</div>{TALK}",
+        f"<main>{STORY}{SIDE}</main>",
+    ],
+)
+def test_asides_stay_out(html):
+    assert main_text(html) == LINES
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "old"), (2, None, None, None), (3, "w", "", "x"), (1, "u", PAGE, "old"), (4, "v", "<article>" + "<p>word, word.</p>" * 20000 + "</article>", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
