@@ -385,7 +385,8 @@ def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART
     lists = written(packed(left.withColumn("dealt", dealt), "line", "token", "dealt"), "left-lists")
 
     def send(batches):
-        found = Lines()
+        """The sets of listed lines; of rows alike in doc_id and text one, as long as the task remembers it."""
+        found, met_before = Lines(), set()
         for batch in narrow_batches(batches):
             for at, ends, data in byte_chunks(batch.column(2)):
                 row, _, line, word = found.of(ends, data, ranks.value)
@@ -393,9 +394,15 @@ def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART
                 begin = np.cumsum(n) - n
                 out: list = []
                 for r in range(len(ends) - 1):
+                    key = (batch.column(0)[at + r].as_py(), batch.column(1)[at + r].as_py())
+                    if key in met_before:
+                        continue
+                    met_before.add(key)
                     for number, token, dealt_ in unpacked(batch.column(3)[at + r].as_py(), 3).tolist():
                         own = first[r] + number
                         out.append((token, dealt_ >> 32, dealt_ >> 1 & low, dealt_ & 1, at + r, number, word[begin[own] : begin[own] + n[own]].tobytes()))
+                if len(met_before) > 1 << 17:
+                    met_before.clear()
                 token, p, q, side, rows, number, sets_ = zip(*out) if out else ((),) * 7
                 rows = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), *(pa.array(c, pa.int32()) for c in (p, q, side)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(sets_, pa.binary())], ["token", "p", "q", "side", "doc_id", "th", "line", "words"])
@@ -406,6 +413,11 @@ def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART
         group = _group_numbers(rows)
         order = lambda a: (a is not None, a)  # noqa: E731  nulls first, as in Spark's min
         ids, th, number = (rows[c].to_pylist() for c in ("doc_id", "th", "line"))
+        once = {key: i for i, key in enumerate(zip(group.tolist(), ids, th, number))}
+        if len(once) < len(group):  # rows alike in doc_id and text, from different tasks
+            rows = rows.take(pa.array(sorted(once.values())))
+            group = _group_numbers(rows)
+            ids, th, number = (rows[c].to_pylist() for c in ("doc_id", "th", "line"))
         token = rows["token"].to_numpy().view(np.uint64)
         side, p, q = (rows[c].to_numpy() for c in ("side", "p", "q"))
         blobs_ = rows["words"].to_pylist()

@@ -64,6 +64,18 @@ def test_odd_rows(make_docs):
     assert found(make_docs(["x"]).limit(0)) == ({}, 0)
 
 
+def test_repeated_rows_count_once(make_docs):
+    rows = some_rows(3, 0.95)
+    again = [*rows, *rows[:20], *rows[:5], *rows[:5]]
+    for part, partitions in ((512, 1), (512, 7), (3, 7)):
+        got, n = found(make_docs(again, partitions), part=part)
+        assert got == brute(rows) and n == 5 * len(again)
+    docs = make_docs([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e g")], 3)
+    assert sorted((r.doc_id, r.text) for r in without_later_lines(docs).collect()) == [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e g")]
+    docs = make_docs([(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (2, "a b c d e f g h i k")], 3)
+    assert sorted((r.doc_id, r.text) for r in without_later_lines(docs).collect()) == [(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (2, "")]
+
+
 def test_texts(make_docs):
     docs = make_docs([(1, "one two three\nkeep me"), (2, "one two three\nnew"), (3, None)])
     assert {r.doc_id: r.text for r in without_later_lines(docs).collect()} == {1: "one two three\nkeep me", 2: "new", 3: None}
