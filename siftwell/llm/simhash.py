@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import narrow_batches, partitions, small, table, written
+from .common import narrow_batches, partitions, small, table, with_hash, written
 from .components import components
 
 ERRORS = 4
@@ -48,15 +48,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, fp) for each row of docs (doc_id, text); a null text has no words."""
+    """docs with fp in place of text, its last column; a null text has no words."""
+    keys = docs.columns[:-1]
 
     def run(batches):
         for batch in narrow_batches(batches):
-            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t or b"", **how) for t in texts], pa.int64())], ["doc_id", "fp"])
+            texts = batch.column(len(keys)).cast(pa.large_binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array([fingerprint(t or b"", **how) for t in texts], pa.int64())], [*keys, "fp"])
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[: len(keys)], T.StructField("fp", T.LongType())]))
 
 
 def trie_pairs(keys: np.ndarray, groups: np.ndarray, sides: np.ndarray, depth: int, errors: int, block: int = 1 << 19):
@@ -236,13 +236,18 @@ def near_components(docs: DataFrame, errors: int = ERRORS, **how) -> DataFrame:
     like others. Repeated rows come back as often as they stand there; a null
     doc_id never is a component_id unless all ids of its component are null.
     """
+    return _rooted(docs.select("doc_id", "text"), errors, **how).select("doc_id", "fp", "component_id")
+
+
+def _rooted(docs: DataFrame, errors: int = ERRORS, **how) -> DataFrame:
+    """docs with fp, root and component_id in place of text, its last column; root tells components apart."""
     prints = written(fingerprints(docs, **how), "fingerprints")
     firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     roots = components(links(firsts, errors))
     joined = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    named = joined.join(least, "root", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = joined.join(least, "root", "left").select("fp", "root", F.coalesce("component_id", "first").alias("component_id"))
+    return prints.join(named, "fp").select(*prints.columns, "root", "component_id")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,18 +256,28 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, one row each.
+    """One row of docs for each component: one whose doc_id is the component's smallest.
 
+    A doc_id may stand with several texts: each row is judged by its own text, and of
+    the first id's texts in one component the one with the smallest hash stays.
     Rows with a null doc_id stay: nothing tells which of them is first.
     """
-    found = written(near_components(docs, **how), "components")
-    later = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "later")
-    kept = docs.join(small(later), "doc_id", "left_anti").select(docs.columns)
-    again = written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if again.isEmpty():
+    found = written(_rooted(with_hash(docs), **how).drop("fp"), "components")
+    firsts = found.where("doc_id = component_id")
+    several = firsts.groupBy("root").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("th").alias("th")).where("n > 1")
+    several = written(several.select("root", "doc_id", "th"), "several")
+    others = firsts.join(small(several.select("root", F.col("th").alias("least"))), "root").where("th <> least")
+    later = written(found.where("doc_id <> component_id").select("doc_id", "th").union(others.select("doc_id", "th")).distinct(), "later")
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = small(keys.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")))
+        return rows.join(keys, (rows["doc_id"] == keys["_id"]) & (F.coalesce(F.xxhash64(rows["text"]), F.lit(0)) == keys["_th"]), how)
+
+    kept = among(docs, later, "left_anti")
+    if several.isEmpty():
         return kept
-    again = small(again)
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    again = among(kept, several, "left_semi").select(F.struct("*").alias("row"), "doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
+    return among(kept, several, "left_anti").union(again.dropDuplicates(["doc_id", "th"]).select("row.*"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

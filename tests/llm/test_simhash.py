@@ -88,3 +88,11 @@ def test_rows(spark, make_docs):
     kept = first_of_each(make_docs([*rows, (3, near)]))
     assert sorted(str(x.doc_id) for x in kept.collect()) == ["1", "3", "8", "9", "None"] and kept.columns[:2] == ["doc_id", "text"]
     assert near_components(make_docs(rows).limit(0)).collect() == []
+
+
+def test_one_id_with_several_texts(make_docs):
+    r = random.Random(5)
+    a, b, c = (" ".join(f"{x}{r.randrange(400)}" for _ in range(2000)) for x in "abc")
+    rows = [(3, a), (5, a + " end"), (5, b), (7, b + " end"), (5, c), (5, c), (5, c + " end"), (9, c), (3, None), (8, "")]
+    kept = [(x.doc_id, (x.text or "")[:1]) for x in first_of_each(make_docs(rows)).collect()]
+    assert sorted(kept) == [(3, ""), (3, "a"), (5, "b"), (5, "c")]
