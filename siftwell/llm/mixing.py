@@ -187,7 +187,10 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs, each row as often as its source's budget asks for; at least once."""
+    """docs, each row as often as its source's budget asks for; at least once.
+
+    A row travels as one column, so columns of any name stand beside the work columns.
+    """
     mixture = plan(written(token_rows(docs), "tokens"))
-    rows = docs.withColumn("n_tokens", n_tokens(F.col("text"))).withColumn("h", doc_hash(F.col("doc_id")))
-    return passes(rows, mixture).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), doc_hash(F.col("doc_id")).alias("h"))
+    return passes(rows, mixture).select("row.*")

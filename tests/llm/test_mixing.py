@@ -54,3 +54,15 @@ def test_odd_rows(spark, make_docs):
     assert mixed(docs.limit(0)).collect() == []
     out = mixing_stage(spark, docs, "")
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {1, 2, 3, None}
+
+
+def test_stage_keeps_columns_of_any_name(spark, make_docs):
+    docs = make_docs(uneven())
+    want = sorted(r.doc_id for r in mixing_stage(spark, docs, "").collect())
+    for names in (("n_tokens", "h"), ("_source", "_epoch"), ("row", "_cut")):
+        more = docs.selectExpr("*", f"-doc_id AS `{names[0]}`", f"'kept' AS `{names[1]}`")
+        out = mixing_stage(spark, more, "")
+        assert out.columns == more.columns
+        found = out.collect()
+        assert sorted(r.doc_id for r in found) == want
+        assert all(r[names[0]] == -r.doc_id and r[names[1]] == "kept" for r in found)
