@@ -130,12 +130,24 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def collapsed(rows: DataFrame, k: int) -> DataFrame:
-    """(v1, v2, embedding, ids): each vector once, with its k + 1 smallest ids; two hashes stand for it."""
+    """(v1, v2, embedding, ids): each vector once, with its k + 1 smallest ids, each at most k times; two hashes stand for it.
+
+    Whichever id a query leaves out, the k smallest others are there.
+    """
     keys = rows.withColumn("v1", F.xxhash64("embedding")).withColumn("v2", F.hash("embedding"))
-    ranked = keys.withColumn("r", F.row_number().over(W.partitionBy("v1", "v2").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    ranked = keys.withColumn("r", F.dense_rank().over(W.partitionBy("v1", "v2").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    ranked = ranked.withColumn("again", F.row_number().over(W.partitionBy("v1", "v2", "vec_id").orderBy("vec_id"))).where(F.col("again") <= k)
     return ranked.groupBy("v1", "v2").agg(F.first("embedding").alias("embedding"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
+def _own(rows: DataFrame, asked: DataFrame, k: int) -> tuple[int, int]:
+    """The most different vectors that stand with one id of a query, and the most of its rows that collapsed() may keep."""
+    ids = asked.select(F.col("query_id").alias("vec_id")).distinct()
+    each = rows.join(ids, "vec_id", "left_semi").groupBy("vec_id", F.xxhash64("embedding"), F.hash("embedding")).agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+    most = each.groupBy("vec_id").agg(F.count("*").alias("vectors"), F.sum("n").alias("rows")).agg(F.max("vectors"), F.max("rows")).first()
+    return most[0] or 1, most[1] or 1
+
+
 def _fit(each: DataFrame, count: int, dim: int, fit_rows: int, leaf_rows: int) -> Tree:
     sample = each.select("v1", "v2", "embedding").orderBy("v2", "v1").limit(fit_rows)
     share = max(8, round(leaf_rows * min(1.0, fit_rows / max(1, count))))
@@ -221,6 +233,7 @@ def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, fit
     visits = _calibrated(index, tree.value, dim, k, CALIBRATE_ROWS, recall)
 
     asked = written(queries.select(F.xxhash64("embedding").alias("v1"), F.hash("embedding").alias("v2"), F.col("vec_id").alias("query_id")), "asked")
+    own_vectors, own_rows = _own(rows, asked, k)
     distinct = index.join(asked.select("v1", "v2").distinct(), ["v1", "v2"], "left_semi").select("v1", "v2", "embedding")
 
     def visit(batches):
@@ -254,7 +267,7 @@ def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, fit
             order = np.lexsort((first, -score, v2, v1))
             new = np.flatnonzero(np.concatenate(([True], (v1[order][1:] != v1[order][:-1]) | (v2[order][1:] != v2[order][:-1]))))
             place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
-            kept = order[place <= k]
+            kept = order[place < k + own_vectors]
             return v1[kept], v2[kept], score[kept], first[kept], [lists_[i] for i in kept.tolist()]
 
         def told():
@@ -279,7 +292,7 @@ def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, fit
                     firsts = np.array([x[0] for x in ids])
                     for at in range(0, len(piece), 512):
                         block = piece.slice(at, 512)
-                        q, p, score = _nearest(_matrix(block["embedding"], dim), vectors_[0], k + 1)
+                        q, p, score = _nearest(_matrix(block["embedding"], dim), vectors_[0], k + own_vectors)
                         held.append((block["v1"].to_numpy()[q], block["v2"].to_numpy()[q], score, firsts[p], [ids[j] for j in p.tolist()]))
                         n += len(q)
                     if n > 1 << 18:
@@ -294,7 +307,7 @@ def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, fit
 
     best = both.mapInArrow(meet, f"v1 long, v2 int, score double, ids array<{id_type}>")
     best = best.select("v1", "v2", "score", F.explode("ids").alias("vec_id"))
-    best = best.withColumn("r", F.row_number().over(W.partitionBy("v1", "v2").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
+    best = best.withColumn("r", F.row_number().over(W.partitionBy("v1", "v2").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + own_rows)
     lists = best.groupBy("v1", "v2").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
     pairs = asked.join(lists, ["v1", "v2"]).select("query_id", F.filter("near", lambda x: x["vec_id"] != F.col("query_id")).alias("near"))
     return pairs.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

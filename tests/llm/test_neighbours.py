@@ -50,3 +50,15 @@ def test_few_rows(spark):
     rows = search(table, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in rows] == [(0, 1, 7), (0, 2, 50), (50, 1, 7), (50, 2, 0)]
     assert search(table.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_repeated_query_id(spark):
+    a = [1.0, 0.0, 0.0]
+    turned = [[0.0, 1.0, i / 100] for i in range(8)]
+    rows = [(50, a)] * 8 + [(i, a) for i in (51, 52, 53)] + [(54, a)] * 7 + [(100, v) for v in turned] + [(101 + i, [0.0, 1.0, -0.2 - i / 100]) for i in range(6)]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    found = {}
+    for x in search(table, F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(x.query_id, []).append((x["rank"], x.vec_id))
+    assert sorted(found[50]) == sorted([(1, 51), (2, 52), (3, 53), (4, 54), (5, 54)] * 8)
+    assert sorted(found[100]) == sorted([(i + 1, 101 + i) for i in range(5)] * 8)
