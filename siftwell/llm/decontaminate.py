@@ -113,7 +113,11 @@ def phrase_matches(index: DataFrame, windows: DataFrame, window: int = WINDOW) -
 
 def proximity_matches(index: DataFrame, windows: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, h, item_id, at, share): places where at least the share ``least`` of the terms around
-    a window's rarest term stand within the same distance of it, in whatever order."""
+    a window's rarest term stand within the same distance of it, in whatever order.
+
+    Places without the window's rarest term aren't found, nor are windows with a term that no
+    document has: test_windows leaves these out, which is right for exact phrases only.
+    """
     wanted = F.array_distinct(F.array_compact("wanted"))
     share = F.size(F.array_intersect(wanted, F.array_compact("around"))) / F.size(wanted)
     return index.join(windows.withColumnRenamed("around", "wanted"), "term").select("doc_id", "h", "item_id", "at", share.alias("share")).where(F.col("share") >= least)
