@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which a table of a few narrow columns may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -109,6 +110,25 @@ def with_hash(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
 
 
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has, in whatever letter case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def to_arrow(kind: T.DataType) -> pa.DataType:
+    """The Arrow type that Spark sends a column of this type as."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
 def packed(rows: DataFrame, *columns: str) -> DataFrame:
     """(doc_id, th, blob): the integers in columns of a document's rows, 8 bytes each, in no order.
 

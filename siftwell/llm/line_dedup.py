@@ -5,49 +5,60 @@ the pairs of classes with a Jaccard similarity of at least ``similarity``.
 
 1. One pass counts words in a table of fixed size by hash; the counts, in steps
    of a logarithm, order a line's words by rarity. Similar sets share a word of
-   their prefixes: of a set of n words, the n - ceil(t n) + 1 rarest. A second
-   such table counts the words of prefixes.
-2. Prefix words that no other class has are dropped. The rest meet by word.
-   Lengths, the word's positions and the bitmaps bound the overlap; a word's
-   place in the list survives if a partner may be similar there, and their
-   two rarest words don't show that the pair meets elsewhere. Texts are read again
-   for each table and for the words' lists, so that no set is stored for them.
+   their prefixes: of a set of n words, the n - ceil(t n) + 1 rarest.
+2. The next pass posts each set under its prefix words, but not under those that
+   occur once in all lines. Postings travel packed, sorted by word, a row for
+   each receiver. A receiver joins the postings of a word: lengths, the word's
+   positions and bitmaps of the sets bound the overlap, and a pair whose two rarest
+   words that others have too show that it meets earlier is left to that place.
+   A posting survives if a partner may be similar.
 3. The survivors meet again with their whole sets and are compared exactly. A
    pair counts where its first common word is. Only counts leave a task: the
    pairs of a dense group are never written.
 
-Words that many prefixes hold are dealt to tasks in parts, each pair of parts
-to one task.
+A word that more than ``part`` prefixes hold is not joined but split by a second
+word: similar sets share l words of their n - ceil(t n) + l rarest, so the sets
+meet again under each two words, and where these are as frequent under three and
+four. Texts are read again for it, but only the lines concerned are posted.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LIST_BYTES, byte_chunks, listed, narrow_batches, packed, partitions, small, table, unpacked, with_hash, written
+from .common import LIST_BYTES, byte_chunks, listed, narrow_batches, packed, partitions, small, table, to_arrow, unpacked, unused, with_hash, written
 from .quality import _powers
 
 SIMILARITY = "4/5"
 BITS = 24
 SLOTS = 64
-#: Lines that share a prefix word and are compared in one task.
-PART = 512
+#: Classes that share a prefix word, or the first words of a chain, and are joined in one task.
+PART = 1 << 15
+#: Words that may be sent to all tasks because more than PART classes share them.
+HOT_WORDS = 1 << 22
+#: Postings that a receiver holds at once, about, and those that a sender gathers.
+HELD, GATHERED = 1 << 21, 1 << 20
 #: Words up to which 64 bits tell sets apart; longer ones have four times as many.
 SHORT = 80
 #: Sets up to which a group is compared pair by pair; larger groups are compared by matrix products.
-FEW = 12
+FEW = 48
+#: Pairs that are looked at together.
+BLOCK = 1 << 19
 
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_VALUE = np.arange(1, 257, dtype=np.uint64)
+_VALUE[65:91] += np.uint64(32)
 
 
 def _mixed(words: np.ndarray, by: np.uint64) -> np.ndarray:
@@ -56,16 +67,18 @@ def _mixed(words: np.ndarray, by: np.uint64) -> np.ndarray:
         return words ^ words >> np.uint64(29)
 
 
-def _by_line(line: np.ndarray, words: np.ndarray, rank: np.ndarray | None) -> np.ndarray:
-    """Order by line, rank and word: by one number made of them, and by all three only if that number can't tell words apart."""
-    if len(line) and line[-1] < 1 << 20:
-        key = line.astype(np.uint64) << np.uint64(44)
-        key |= words >> np.uint64(20) if rank is None else rank.astype(np.uint64) << np.uint64(36) | words >> np.uint64(28)
-        order = np.argsort(key)
-        key, sorted_ = key[order], words[order]
+def _by_line(line: np.ndarray, words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Order by line, rank and word: by one number that ends with the place, and by all three only if that can't tell words apart."""
+    if len(line) and len(line) <= 1 << 16 and line[-1] < 1 << 12:
+        key = line.astype(np.uint64) << np.uint64(52) | rank.astype(np.uint64) << np.uint64(44) | words >> np.uint64(36) << np.uint64(16)
+        key |= np.arange(len(line), dtype=np.uint64)
+        key.sort()
+        order = (key & np.uint64(0xFFFF)).astype(np.int64)
+        key >>= np.uint64(16)
+        sorted_ = words[order]
         if not ((key[1:] == key[:-1]) & (sorted_[1:] != sorted_[:-1])).any():
             return order
-    return np.lexsort((words, line) if rank is None else (words, rank, line))
+    return np.lexsort((words, rank, line))
 
 
 def _class_sums(line: np.ndarray, word: np.ndarray, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -81,82 +94,68 @@ def _class_sums(line: np.ndarray, word: np.ndarray, rows: int) -> tuple[np.ndarr
 
 
 class Lines:
-    """The distinct words of the lines of texts that lie end to end.
-
-    row, number: a line's text and its number in it; line, word: the line and
-    the hash of each of its distinct words, a line's words together.
-    """
+    """The words of the lines of texts that lie end to end."""
 
     def __init__(self) -> None:
-        self.up, self.down = _powers(1 << 21)
+        self.up, self.down = _powers(1 << 19)
 
-    def of(self, ends: np.ndarray, data: np.ndarray, ranks: np.ndarray | None = None):
+    def words(self, ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin, and their hashes, repeats included."""
         n = len(data)
         if n >= len(self.up):
             self.up, self.down = _powers(2 * n)
-        feeds = data == 10
-        before = np.concatenate(([0], np.cumsum(feeds)))
-        lines_of = before[ends[1:]] - before[ends[:-1]] + 1
-        first = np.concatenate(([0], np.cumsum(lines_of)))
-        row = np.repeat(np.arange(len(ends) - 1), lines_of)
-        number = np.arange(first[-1]) - first[row]
-        solid = np.concatenate(([False], ~_SPACES[data], [False]))
+        solid = np.zeros(n + 2, bool)
+        np.logical_not(_SPACES[data], out=solid[1:-1])
         cut = np.zeros(n + 1, bool)
         cut[ends] = True
         starts = np.flatnonzero(solid[1:] & (~solid[:-1] | cut))
         stops = np.flatnonzero(solid[:-1] & (~solid[1:] | cut))
+        if not len(starts):
+            return starts, np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * self.up[:n])))
-            words = _mixed((sums[stops] - sums[starts]) * self.down[starts], _MIX1) if len(starts) else np.zeros(0, np.uint64)
-        of = np.searchsorted(ends, starts, side="right") - 1
-        line = first[of] + before[starts] - before[ends[of]] if len(starts) else np.zeros(0, np.int64)
-        rank = ranks[(words >> np.uint64(64 - BITS)).astype(np.int64)] if ranks is not None else None
-        order = _by_line(line, words, rank)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_VALUE[data] * self.up[:n], out=sums[1:])
+            return starts, _mixed((sums[stops] - sums[starts]) * self.down[starts], _MIX1)
+
+    def of(self, ends: np.ndarray, data: np.ndarray, ranks: np.ndarray):
+        """row, number: a line's text and its number in it; line, word: the line and the hash of each of
+        its distinct words, a line's words together, the rarest first."""
+        starts, words = self.words(ends, data)
+        feeds = np.flatnonzero(data == 10)
+        lines_of = np.diff(np.searchsorted(feeds, ends)) + 1
+        row = np.repeat(np.arange(len(ends) - 1), lines_of)
+        number = np.arange(len(row)) - (np.cumsum(lines_of) - lines_of)[row]
+        # An empty last line begins where the next text does; the words there are the later line's.
+        begins = np.sort(np.concatenate((ends[:-1], feeds + 1)))
+        line = np.repeat(np.arange(len(begins)), np.diff(np.append(np.searchsorted(starts, begins), len(starts))))
+        order = _by_line(line, words, ranks[_place(words)])
         line, words = line[order], words[order]
         new = np.concatenate(([True], (line[1:] != line[:-1]) | (words[1:] != words[:-1])))[: len(words)]
         return row, number, line[new], words[new]
 
 
-class _Counts:
-    """Counts by the leading bits of a hash, given out in compressed slots."""
-
-    def __init__(self) -> None:
-        self.held: list = []
-        self.n = 0
-        self.sums: dict = {}
+def _place(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - BITS)).astype(np.int64)
 
-    def add(self, words: np.ndarray) -> None:
-        self.held.append((words >> np.uint64(64 - BITS)).astype(np.int64))
-        self.n += len(words)
-        if self.n > 4_000_000:
-            self._settle()
 
-    def _settle(self) -> None:
-        if not self.held:
-            return
-        places, counts = np.unique(np.concatenate(self.held), return_counts=True)
-        self.held, self.n = [], 0
-        if self.sums:
-            places, at = np.unique(np.concatenate((self.sums["places"], places)), return_inverse=True)
-            counts = np.bincount(at, np.concatenate((self.sums["counts"], counts))).astype(np.int64)
-        self.sums = {"places": places, "counts": counts}
-
-    def slots(self):
-        """(slot, blob) for each slot with counts."""
-        self._settle()
-        if not self.sums:
-            return
-        slot = self.sums["places"] >> (BITS - 6)
-        for s in np.unique(slot).tolist():
-            own = slot == s
-            pair = np.stack((self.sums["places"][own] & ((1 << (BITS - 6)) - 1), self.sums["counts"][own])).astype(np.uint32)
-            yield s, zstandard.compress(pair.tobytes(), 1)
+def _counted(batches):
+    """(slot, blob) for the words of a task's texts, counted by the leading bits of their hash."""
+    lines, counts = Lines(), np.zeros(1 << BITS, np.uint32)
+    for batch in narrow_batches(batches):
+        for _, ends, data in byte_chunks(batch.column(0)):
+            np.add.at(counts, _place(lines.words(ends, data)[1]), np.uint32(1))
+    for slot, part in enumerate(counts.reshape(SLOTS, -1)):
+        places = np.flatnonzero(part).astype(np.uint32)
+        if len(places):
+            steps = np.diff(places, prepend=np.uint32(0))
+            blob = zstandard.compress(np.stack((steps, part[places])).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([blob], pa.binary())], ["slot", "blob"])
 
 
-def _count_codes(slots: DataFrame) -> np.ndarray:
+def _count_codes(texts: DataFrame) -> np.ndarray:
     """A byte for each place of the table: 0 for none, else 1 + 8 times the count's logarithm to base 2.
 
-    slots: (slot, blob). Each slot is summed in one task, from blobs of bounded
+    texts: (text). Each slot is summed in one task, from blobs of bounded
     size; the driver gets 2^24 bytes, however large the data.
     """
 
@@ -164,14 +163,15 @@ def _count_codes(slots: DataFrame) -> np.ndarray:
         total: dict = {}
         for batch in batches:
             for s, blob in zip(batch["slot"].to_pylist(), batch["blob"].to_pylist()):
-                places, counts = np.frombuffer(zstandard.decompress(blob), np.uint32).reshape(2, -1)
+                steps, counts = np.frombuffer(zstandard.decompress(blob), np.uint32).reshape(2, -1)
                 if s not in total:
                     total[s] = np.zeros(1 << (BITS - 6), np.int64)
-                total[s][places] += counts
+                total[s][np.cumsum(steps)] += counts
         codes = [np.where(v > 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(v, 1)))), 0).astype(np.uint8).tobytes() for v in total.values()]
         yield pa.RecordBatch.from_pydict({"slot": list(total), "blob": codes}, schema=pa.schema([("slot", pa.int32()), ("blob", pa.binary())]))
 
     out = np.zeros((SLOTS, 1 << (BITS - 6)), np.uint8)
+    slots = texts.mapInArrow(_counted, "slot int, blob binary")
     for slot, blob in slots.repartition(SLOTS, "slot").mapInArrow(add, "slot int, blob binary").collect():
         out[slot] = np.frombuffer(bytes(blob), np.uint8)
     return out.ravel()
@@ -188,78 +188,309 @@ def least_overlap(total, t: Fraction):
     return (share.numerator * total + share.denominator - 1) // share.denominator
 
 
-def _pairs(group: np.ndarray, side: np.ndarray, alone: np.ndarray, size: np.ndarray, t: Fraction):
-    """Index pairs i < j of rows of one group: all if the group stands alone, else of different sides; similar sizes.
+def least_size(t: Fraction) -> int:
+    """The fewest words that two different sets can share if they are similar."""
+    return math.ceil(t / (1 - t))
 
-    Rows are in order of group.
-    """
-    last = np.searchsorted(group, group, side="right") - np.arange(len(group))
-    live = np.arange(len(group))
-    for d in range(1, int(last.max(initial=1))):
-        live = live[last[live] > d]
-        i, j = live, live + d
-        a, b = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        keep = (alone[i] | (side[i] != side[j])) & (a * t.denominator >= b * t.numerator)
-        if keep.any():
-            yield i[keep], j[keep]
 
+def _window_pairs(group: np.ndarray, size: np.ndarray, t: Fraction):
+    """Index pairs i < j of rows of one group whose sizes allow similarity, in blocks. Rows are in order of group and size."""
+    high = group.astype(np.int64) << 40
+    last = np.searchsorted(high | size, high | size * t.denominator // t.numerator, side="right")
+    count = last - np.arange(len(group)) - 1
+    total = np.cumsum(count)
+    at = 0
+    while at < len(group):
+        done = int(total[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + BLOCK, side="right")))
+        if int(total[to - 1]) > done:
+            i = np.repeat(np.arange(at, to), count[at:to])
+            yield i, i + 1 + np.arange(len(i)) - np.repeat(total[at:to] - count[at:to] - done, count[at:to])
+        at = to
 
-_ENTRY = "token long, p int, q int, side int"
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Sorted numbers as the bytes of their steps, all first bytes before all second ones: what compresses well."""
+    with np.errstate(over="ignore"):
+        return np.diff(numbers, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-def _grouped(rows: DataFrame, judge, schema: str) -> DataFrame:
-    """judge(table of whole groups) for rows dealt by token and parts, about 2^17 rows at a time."""
-    rows = rows.repartition(partitions(rows.sparkSession), "token", "p", "q").sortWithinPartitions("token", "p", "q")
 
-    def run(batches):
-        held, n = [], 0
+def _from_planes(blob: bytes) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+#: What is posted under a word: the class, its number of words, the word's place among them, two rarer
+#: words (0 for none), the set's bitmap, and the last word of a chain. A posting of size 0 says that its word has too many.
+_POSTING = np.dtype([("token", "u8"), ("c1", "i8"), ("size", "u4"), ("pos", "u4"), ("e0", "u8"), ("e1", "u8"), ("b0", "u8"), ("b1", "u8"), ("b2", "u8"), ("b3", "u8"), ("word", "u8")])
+
+
+def _pack(posts: dict[str, np.ndarray], level: int) -> bytes:
+    """Postings in order of token; the bitmap's other quarters only for long sets, the word only for chains."""
+    long = posts["size"] > SHORT
+    fields = [posts[c].tobytes() for c in ("c1", "size", "pos", "e0", "e1", "b0")] + [posts[c][long].tobytes() for c in ("b1", "b2", "b3")]
+    if level > 1:
+        fields.append(posts["word"].tobytes())
+    return zstandard.compress(np.array([len(long), long.sum()], np.int64).tobytes() + _planes(posts["token"]) + b"".join(fields), 1)
+
+
+def _unpack(blob: bytes, level: int) -> dict[str, np.ndarray]:
+    data = zstandard.decompress(blob)
+    n, n_long = np.frombuffer(data, np.int64, 2).tolist()
+    at = 16 + 8 * n
+    out = {"token": _from_planes(data[16:at])}
+    for c in ("c1", "size", "pos", "e0", "e1", "b0"):
+        out[c] = np.frombuffer(data, _POSTING[c], n, at)
+        at += out[c].nbytes
+    long = out["size"] > SHORT
+    for c in ("b1", "b2", "b3"):
+        out[c] = np.zeros(n, np.uint64)
+        out[c][long] = np.frombuffer(data, np.uint64, n_long, at)
+        at += 8 * n_long
+    out["word"] = np.frombuffer(data, np.uint64, n, at) if level > 1 else out["token"]
+    return out
+
+
+def _taken(posts: dict, rows) -> dict:
+    return {c: v[rows] for c, v in posts.items()}
+
+
+def _joined(parts: list[dict]) -> dict:
+    return {c: np.concatenate([p[c] for p in parts]) for c in _POSTING.names}
+
+
+def _tidied(posts: dict, part: float) -> tuple[dict, np.ndarray]:
+    """Postings in order of token and size, each class once; and the tokens that more than part classes have, whose postings go."""
+    order = np.lexsort((posts["c1"], posts["size"], posts["token"]))
+    token, c1 = posts["token"][order], posts["c1"][order]
+    new = np.concatenate(([True], (token[1:] != token[:-1]) | (c1[1:] != c1[:-1])))[: len(token)]
+    order = order[new]
+    token, edge = token[new], np.flatnonzero(np.concatenate(([True], token[new][1:] != token[new][:-1])))[: len(token)]
+    runs = np.diff(np.append(edge, len(token)))
+    hot = (runs > part) | (posts["size"][order[edge]] == 0) if len(edge) else np.zeros(0, bool)
+    return _taken(posts, order[~np.repeat(hot, runs)]), token[edge[hot]]
+
+
+def _marks(tokens: np.ndarray) -> dict:
+    return {c: tokens if c in ("token", "word") else np.zeros(len(tokens), _POSTING[c]) for c in _POSTING.names}
+
+
+def _may_be_similar(posts: dict, t: Fraction) -> np.ndarray:
+    """Which postings have a partner under their token that the filters don't rule out and that meets them nowhere earlier."""
+    token, size, pos = posts["token"], posts["size"].astype(np.int64), posts["pos"].astype(np.int64)
+    group = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))[: len(token)] if len(token) else np.zeros(0, np.int64)
+    bits = [posts[f"b{k}"] for k in range(4)]
+    folded = bits[0] | bits[1] | bits[2] | bits[3]
+    survive = np.zeros(len(token), bool)
+    for i, j in _window_pairs(group, size, t):
+        total = size[i] + size[j]
+        need = least_overlap(total, t)
+        # A pair shares at most what comes before the word in both, and the word with what comes after it.
+        keep = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
+        keep &= np.bitwise_count(folded[i] ^ folded[j]) <= total - 2 * need
+        keep = np.flatnonzero(keep)
+        i, j, room = i[keep], j[keep], (total - 2 * need)[keep]
+        both = np.minimum(size[i], size[j]) > SHORT
+        keep = ~both | (sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits) <= room)
+        for a in ("e0", "e1"):
+            for b in ("e0", "e1"):
+                keep &= (posts[a][i] != posts[b][j]) | (posts[a][i] == 0)
+        survive[i[keep]] = True
+        survive[j[keep]] = True
+    return survive
+
+def _described(batch: pa.RecordBatch, found: Lines, ranks: np.ndarray, t: Fraction):
+    """For each chunk of a batch (doc_id, th, text): at, row, number, line, word, n, sums and where each line's words begin."""
+    for at, ends, data in byte_chunks(batch.column(2)):
+        row, number, line, word = found.of(ends, data, ranks)
+        n, sums = _class_sums(line, word, len(row))
+        yield at, row, number, line, word, n, sums, np.cumsum(n) - n
+
+
+class _Poster:
+    """Gathers a task's postings of one level and gives them out in packed rows (part, sub, blob)."""
+
+    def __init__(self, t: Fraction, ranks: np.ndarray, parts: int, subs: int, part: float, hot: list[np.ndarray]) -> None:
+        self.t, self.ranks, self.parts, self.subs, self.part, self.hot, self.level = t, ranks, parts, subs, part, hot, len(hot) + 1
+        self.held: list[dict] = []
+        self.n = 0
+        self.met: set = set()
+
+    def add(self, line, word, n, sums, begin) -> None:
+        """The postings of a chunk's lines, each class once as long as the task remembers it."""
+        t, least = self.t, least_size(self.t)
+        lines = np.flatnonzero(n >= least)
+        keep = []
+        for i, key in zip(lines.tolist(), sums[0][lines].tolist()):
+            if key not in self.met:
+                self.met.add(key)
+                keep.append(i)
+        if len(self.met) > 1 << 17:
+            self.met.clear()
+        if not keep:
+            return
+        keep = np.array(keep)
+        size, first = n[keep], begin[keep]
+        codes = self.ranks[_place(word)]
+        prefix = prefix_length(size, t)
+        of = np.repeat(np.arange(len(keep)), prefix)
+        pos = np.arange(len(of)) - (np.cumsum(prefix) - prefix)[of]
+        at = first[of] + pos
+        use = codes[at] > 1  # a word that stands once in all lines is in no other set
+        if self.level > 1:
+            use &= np.isin(word[at], self.hot[0])
+        of, pos, at = of[use], pos[use], at[use]
+        if not len(of):
+            return
+        last = word[at]
+        if self.level > 1:
+            token, of, pos = self._chains(word, size, first, of, pos)
+            last = word[first[of] + pos]
+            early = [np.zeros(len(of), np.uint64)] * 2
+        else:
+            token = last
+            # The two rarest words of the prefix that stand more than once, where they come before the word.
+            new = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            nth = np.arange(len(of)) - np.repeat(new, np.diff(np.append(new, len(of))))
+            heads = np.repeat(new, np.diff(np.append(new, len(of))))
+            early = [np.where(nth > k, last[np.minimum(heads + k, len(last) - 1)], np.uint64(0)) for k in range(2)]
+        bit = _mixed(word, _MIX2)
+        which = np.uint64(1) << (bit >> np.uint64(58))
+        quarter = np.where(n[line] > SHORT, bit >> np.uint64(8) & np.uint64(3), np.uint64(0))
+        some = np.flatnonzero(n)
+        posts = {"token": token, "c1": sums[0][keep][of], "size": size[of].astype(np.uint32), "pos": pos.astype(np.uint32), "e0": early[0], "e1": early[1], "word": last}
+        for k in range(4):
+            bits = np.zeros(len(n), np.uint64)
+            bits[some] = np.bitwise_or.reduceat(np.where(quarter == k, which, np.uint64(0)), begin[some])
+            posts[f"b{k}"] = bits[keep[of]]
+        self.held.append(posts)
+        self.n += len(of)
+
+    def _chains(self, word, size, first, of, pos):
+        """The chains of ``level`` words whose shorter chains all are too frequent: key, row, and position of the last word."""
+        token, row, last = word[first[of] + pos], of, pos
+        reach = prefix_length(size, self.t)
+        for level in range(2, self.level + 1):
+            more = np.maximum(0, (reach + level - 1)[row] - 1 - last)
+            at = np.repeat(np.arange(len(row)), more)
+            last = last[at] + 1 + np.arange(len(at)) - (np.cumsum(more) - more)[at]
+            row = row[at]
+            with np.errstate(over="ignore"):
+                token = _mixed(token[at] * _MIX1 + word[first[row] + last], _MIX2)
+            if level < self.level:
+                hot = np.isin(token, self.hot[level - 1])
+                token, row, last = token[hot], row[hot], last[hot]
+        return token, row, last
+
+    def rows(self):
+        if not self.held:
+            return
+        posts, hot = _tidied(_joined(self.held), self.part)
+        self.held, self.n = [], 0
+        if len(hot):
+            posts = _joined([posts, _marks(hot)])
+            posts = _taken(posts, np.argsort(posts["token"], kind="stable"))
+        share = self.parts * self.subs
+        of = ((posts["token"] >> np.uint64(32)) * np.uint64(share) >> np.uint64(32)).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(of)]):
+            yield int(of[a]) // self.subs, int(of[a]) % self.subs, _pack(_taken(posts, slice(a, b)), self.level)
+
+
+def _settled(blobs, level: int, t: Fraction, part: float):
+    """(survivors, tokens with too many classes) of the postings in blobs, which are all there are of their tokens."""
+    parts, n, hot = [], 0, np.zeros(0, np.uint64)
+    for blob in blobs:
+        posts = _unpack(blob, level)
+        if len(hot):
+            posts = _taken(posts, ~np.isin(posts["token"], hot))
+        parts.append(posts)
+        n += len(posts["token"])
+        if n > HELD:  # copies of a class and frequent words go at once
+            tidy, found = _tidied(_joined(parts), part)
+            parts, n, hot = [tidy], 0, np.union1d(hot, found)
+    posts, found = _tidied(_joined(parts), part)
+    return _taken(posts, _may_be_similar(posts, t)), np.union1d(hot, found)
+
+
+def _survivors(rows: DataFrame, level: int, t: Fraction, part: float, id_type: T.DataType, what: str) -> DataFrame:
+    """What receivers make of rows (part, sub, ids, lines, posts), written: lines (doc_id, th, line, c1, c2), survivors
+    (c1, token, word) and frequent tokens (token), told apart by their nulls."""
+    parts = partitions(rows.sparkSession)
+    schema = T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL("th long, line int, c1 long, c2 long, token long, word long")])
+    id_arrow = to_arrow(id_type)
+
+    def told(survivors: dict, hot: np.ndarray):
+        n, m = len(survivors["token"]), len(hot)
+        token = np.concatenate((survivors["token"], hot)).view(np.int64)
+        c1, word = (pa.concat_arrays([pa.array(np.ascontiguousarray(survivors[c]).view(np.int64)), pa.nulls(m, pa.int64())]) for c in ("c1", "word"))
+        return pa.RecordBatch.from_arrays([pa.nulls(n + m, id_arrow), pa.nulls(n + m, pa.int64()), pa.nulls(n + m, pa.int32()), c1, pa.nulls(n + m, pa.int64()), pa.array(token), word], schema.names)
+
+    def receive(batches):
+        key, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            n += batch.num_rows
-            if n >= 1 << 17:
-                whole = pa.Table.from_batches(held)
-                token, p, q = (whole[c].to_numpy() for c in ("token", "p", "q"))
-                ends = np.flatnonzero((token != token[-1]) | (p != p[-1]) | (q != q[-1]))
-                if len(ends):
-                    to = int(ends[-1]) + 1
-                    yield from judge(whole.slice(0, to))
-                    held, n = whole.slice(to).to_batches(), n - to
+            for i in range(batch.num_rows):
+                if batch["lines"][i].is_valid:
+                    yield _lines_from(batch["ids"][i].values, batch["lines"][i].as_py(), schema.names)
+                    continue
+                own = (batch["part"][i].as_py(), batch["sub"][i].as_py())
+                if own != key and held:
+                    yield told(*_settled(held, level, t, part))
+                    held = []
+                key = own
+                held.append(batch["posts"][i].as_py())
         if held:
-            yield from judge(pa.Table.from_batches(held))
+            yield told(*_settled(held, level, t, part))
+
+    return written(rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "sub").mapInArrow(receive, schema), what)
 
-    return rows.mapInArrow(run, schema)
 
+def _pack_lines(th, number, sums, none) -> bytes:
+    return zstandard.compress(np.array([len(th)], np.int64).tobytes() + b"".join(np.ascontiguousarray(x).tobytes() for x in (th, number.astype(np.int32), *sums, none)), 1)
 
-def _group_numbers(rows: pa.Table) -> np.ndarray:
-    token, p, q = (rows[c].to_numpy() for c in ("token", "p", "q"))
-    new = (token[1:] != token[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-    return np.concatenate(([0], np.cumsum(new)))
 
+def _lines_from(ids: pa.Array, blob: bytes, names: list[str]) -> pa.RecordBatch:
+    data = zstandard.decompress(blob)
+    n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+    for kind in (np.int64, np.int32, np.int64, np.int64, bool):
+        out.append(np.frombuffer(data, kind, n, at))
+        at += out[-1].nbytes
+    th, number, c1, c2, none = out
+    return pa.RecordBatch.from_arrays([ids, pa.array(th), pa.array(number), pa.array(c1, mask=none), pa.array(c2, mask=none), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
 
-def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, line, c1, c2) for each line, c1 and c2 null without words; and the blobs of word counts."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+def _posted(docs: DataFrame, ranks, t: Fraction, part: float, subs: int, hot: list, with_lines: bool) -> DataFrame:
+    """Rows (part, sub, ids, lines, posts) of all docs: postings for the receiver of their words, and packed lines for any one."""
+    parts, id_type = partitions(docs.sparkSession), docs.schema["doc_id"].dataType
+    schema = T.StructType([*T.StructType.fromDDL("part int, sub int"), T.StructField("ids", T.ArrayType(id_type)), *T.StructType.fromDDL("lines binary, posts binary")])
+    id_list = pa.list_(to_arrow(id_type))
 
     def run(batches):
-        lines, counts = Lines(), _Counts()
-        names = ["doc_id", "th", "line", "c1", "c2", "slot", "blob"]
+        found, poster = Lines(), _Poster(t, ranks.value, parts, subs, part, hot)
+
+        def packed_posts():
+            rows = list(poster.rows())
+            if rows:
+                of, sub, blobs = zip(*rows)
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(sub, pa.int32()), pa.nulls(n, id_list), pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())], schema.names)
+
         for batch in narrow_batches(batches):
-            ids, hashes = batch.column(0), batch.column(1)
-            for at, ends, data in byte_chunks(batch.column(2)):
-                row, number, line, word = lines.of(ends, data)
-                counts.add(word)
-                n, sums = _class_sums(line, word, len(row))
-                rows, none = pa.array(row + at), n == 0
-                yield pa.RecordBatch.from_arrays([ids.take(rows), hashes.take(rows), pa.array(number.astype(np.int32)), pa.array(sums[0], mask=none), pa.array(sums[1], mask=none), pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.binary())], names)
-        slots = list(counts.slots())
-        if slots:
-            n = len(slots)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, ids.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([s for s, _ in slots], pa.int32()), pa.array([b for _, b in slots], pa.binary())], names)
-
-    out = written(with_hash(docs).mapInArrow(run, f"doc_id {id_type}, th long, line int, c1 long, c2 long, slot int, blob binary"), "lines")
-    return out.where("slot IS NULL").select("doc_id", "th", "line", "c1", "c2"), out.where("slot IS NOT NULL").select("slot", "blob")
+            th, kept = batch.column(1).to_numpy(), []
+            for at, row, number, line, word, n, sums, begin in _described(batch, found, ranks.value, t):
+                poster.add(line, word, n, sums, begin)
+                if with_lines:
+                    kept.append((row + at, number, *sums, n == 0))
+                if poster.n >= GATHERED:
+                    yield from packed_posts()
+            if kept:
+                rows, number, a, b, none = (np.concatenate(x) for x in zip(*kept))
+                ids = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), batch.column(0).take(pa.array(rows)))
+                blob = _pack_lines(th[rows], number, (a, b), none)
+                yield pa.RecordBatch.from_arrays([pa.array([int(np.bitwise_xor.reduce(a) % parts)], pa.int32()), pa.array([-1], pa.int32()), ids, pa.array([blob], pa.binary()), pa.nulls(1, pa.binary())], schema.names)
+        yield from packed_posts()
+
+    return with_hash(docs).mapInArrow(run, schema)
 
 
 def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART) -> DataFrame:
@@ -269,245 +500,232 @@ def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART
     n_links counts the other classes that are similar. A line is removed if an
     earlier line of all docs has an equal or a similar set. Lines without words
     have no class and stay. Rows that agree in doc_id and text count as one
-    document; their lines are judged alike. A null text is one empty line.
+    document; their lines are judged alike. A null text is one empty line, a null
+    doc_id comes before all others. Other columns of docs, of any name, aren't
+    looked at; a table without rows gives none. ``part`` is the number of classes
+    that share a word beyond which these are told apart by a second one.
     """
     t = Fraction(similarity)
-    spark = docs.sparkSession
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    lines, blobs = line_classes(docs)
-    ranks = spark.sparkContext.broadcast(_count_codes(blobs))
-    classes = written(lines.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line", "th")).alias("first")), "classes")
-
-    def places(line: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.arange(len(line)) - (np.cumsum(n) - n)[line]
-
-    def describe(batches):
-        """The sets of a task's lines, each once as long as the task remembers it."""
-        found, met_before = Lines(), set()
-        for batch in narrow_batches(batches):
-            for _, ends, data in byte_chunks(batch.column(2)):
-                row, _, line, word = found.of(ends, data, ranks.value)
-                n, sums = _class_sums(line, word, len(row))
-                keep = []
-                for i, key in zip(np.flatnonzero(n).tolist(), zip(sums[0][n > 0].tolist(), sums[1][n > 0].tolist())):
-                    if key not in met_before:
-                        met_before.add(key)
-                        keep.append(i)
-                if len(met_before) > 1 << 17:
-                    met_before.clear()
-                if not keep:
-                    continue
-                begin = np.cumsum(n) - n
-                bit = _mixed(word, _MIX2)
-                which = np.uint64(1) << (bit >> np.uint64(58))
-                quarter = np.where(n[line] > SHORT, bit >> np.uint64(8) & np.uint64(3), np.uint64(0))
-                bits = np.zeros((4, len(n)), np.uint64)
-                for k in range(4):
-                    bits[k, n > 0] = np.bitwise_or.reduceat(np.where(quarter == k, which, np.uint64(0)), begin[n > 0])
-                prefix = prefix_length(n, t)
-                blobs_ = [word[begin[i] : begin[i] + prefix[i]].tobytes() for i in keep]
-                keep = np.array(keep)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sums[0][keep]), pa.array(n[keep].astype(np.int32)), *(pa.array(b[keep].view(np.int64)) for b in bits), pa.array(blobs_, pa.binary())],
-                    ["c1", "size", "b0", "b1", "b2", "b3", "prefix"],
-                )
-
-    def prefixes(batch):
-        """(row, word, position) of all prefix words, and the rows' lengths."""
-        words = np.frombuffer(b"".join(batch["prefix"].to_pylist()), np.uint64)
-        size = batch["size"].to_numpy().astype(np.int64)
-        n = prefix_length(size, t)
-        row = np.repeat(np.arange(len(n)), n)
-        return row, words, np.arange(len(row)) - (np.cumsum(n) - n)[row], size
-
-    def count(batches):
-        counts = _Counts()
-        for batch in describe(batches):
-            if batch.num_rows:
-                counts.add(prefixes(batch)[1])
-        slots = list(counts.slots())
-        if slots:
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in slots], pa.int32()), pa.array([b for _, b in slots], pa.binary())], ["slot", "blob"])
-
-    met = spark.sparkContext.broadcast(_count_codes(with_hash(docs).mapInArrow(count, "slot int, blob binary")))
-    post_schema = "token long, deal long, c1 long, place long, b0 long, b1 long, b2 long, b3 long, rarest long, second long"
-
-    def post(batches):
-        for batch in describe(batches):
-            row, words, pos, size = prefixes(batch)
-            code = met.value[(words >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64)
-            use = np.flatnonzero(code > 1)
-            n_parts = np.maximum(1, np.ceil(2 ** ((code[use] - 1) / 8) / part)).astype(np.int64)
-            c1, bits = batch["c1"].to_numpy(), [batch[f"b{k}"].to_numpy() for k in range(4)]
-            mine = (_mixed(c1.view(np.uint64), _MIX2)[row[use]] % n_parts.astype(np.uint64)).astype(np.int64)
-            at = np.repeat(np.arange(len(use)), n_parts)
-            other = np.arange(len(at)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
-            mine, use = mine[at], use[at]
-            of = row[use]
-            deal = (np.minimum(mine, other) << 31 | np.maximum(mine, other)) << 1 | (mine > other)
-            begin = np.searchsorted(row, np.arange(batch.num_rows))
-            first, second = words[begin], words[np.where(prefix_length(size, t) > 1, begin + 1, begin)]
-            columns = (words[use].view(np.int64), deal, c1[of], size[of] << 31 | pos[use], *(b[of] for b in bits), first[of].view(np.int64), second[of].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], [c.split()[0] for c in post_schema.split(", ")])
-
-    low = (1 << 31) - 1
-    posted = with_hash(docs).mapInArrow(post, post_schema)
-    posted = posted.select("*", F.expr("cast(shiftright(deal, 32) as int) p"), F.expr(f"cast(shiftright(deal, 1) & {low} as int) q"))
-
-    def filtered(rows: pa.Table):
-        group = _group_numbers(rows)
-        place, c1, deal = (rows[c].to_numpy() for c in ("place", "c1", "deal"))
-        early = [rows[c].to_numpy() for c in ("rarest", "second")]
-        size, pos, side = place >> 31, place & low, deal & 1
-        bits = [rows[f"b{k}"].to_numpy().view(np.uint64) for k in range(4)]
-        folded = bits[0] | bits[1] | bits[2] | bits[3]
-        long = size > SHORT
-        survive = np.zeros(len(group), bool)
-        for i, j in _pairs(group, side, rows["p"].to_numpy() == rows["q"].to_numpy(), size, t):
-            total = size[i] + size[j]
-            need = least_overlap(total, t)
-            # A pair shares at most what comes before the word in both, and the word with what comes after it.
-            bound = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
-            differ = np.where(long[i] & long[j], sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits), np.bitwise_count(folded[i] ^ folded[j]))
-            keep = (bound >= need) & (differ <= total - 2 * need) & (c1[i] != c1[j])
-            for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)):  # an earlier common word: the pair meets there
-                keep &= (early[a][i] != early[b][j]) | (pos[i] <= a) | (pos[j] <= b)
-            survive[i[keep]] = True
-            survive[j[keep]] = True
-        names = ["token", "p", "q", "side", "c1"]
-        columns = [*(rows[c].combine_chunks() for c in names[:3]), pa.array(side.astype(np.int32)), rows["c1"].combine_chunks()]
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(survive)) for c in columns], names)
-
-    left = written(_grouped(posted, filtered, f"{_ENTRY}, c1 long").distinct(), "left")
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType
+    codes = _count_codes(docs.select("text"))
+    ranks = spark.sparkContext.broadcast(codes)
+    some = codes > 0
+    postings = float(1 - t) * (2.0 ** ((codes[some] - 1) / 8.0)).sum()
+    subs = max(1, math.ceil(postings / partitions(spark) / HELD))
+    levels = least_size(t) if t < 1 else 1
+
+    hot: list[np.ndarray] = []
+    every = lambda level: float("inf") if level >= levels else part
+    met = _survivors(_posted(docs, ranks, t, every(1), subs, hot, True), 1, t, every(1), id_type, "lines")
+    lines = met.where("line IS NOT NULL").select("doc_id", "th", "line", "c1", "c2")
+    left = met.where("line IS NULL AND c1 IS NOT NULL").select("c1", "token", "word", F.lit(1).alias("level"))
+    for level in range(2, levels + 1):
+        tokens = met.where("line IS NULL AND c1 IS NULL").select("token").distinct()
+        found = tokens.limit(HOT_WORDS + 1).collect()
+        if not found:
+            break
+        if len(found) > HOT_WORDS:
+            raise ValueError("too many words that more than part classes share: choose a larger part")
+        hot.append(np.sort(np.array([r.token for r in found], np.int64).view(np.uint64)))
+        met = _survivors(_posted(docs, ranks, t, every(level), subs, hot, False), level, t, every(level), id_type, "chains")
+        left = left.union(met.where("c1 IS NOT NULL").select("c1", "token", "word", F.lit(level)))
+
+    # Only classes of several lines, or with a survivor, are more than what their line says.
+    first = F.min(F.struct("doc_id", "line", "th")).alias("first")
+    classes = lines.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(first, F.count("*").alias("n"))
+    partnered = written(left.select(F.col("c1").alias("s1")).distinct(), "partnered")
+    classes = written(classes.join(small(partnered), F.col("c1") == F.col("s1"), "left").where("n > 1 OR s1 IS NOT NULL").drop("n"), "classes")
     # Classes are looked up by one sum of their words' hashes; two classes that agree in it are both taken.
-    left = classes.select("c1", "first.doc_id", "first.th", "first.line").join(small(left), "c1")
-    dealt = (F.col("p").cast("long") * (1 << 31) + F.col("q")) * 2 + F.col("side")
-    lists = written(packed(left.withColumn("dealt", dealt), "line", "token", "dealt"), "left-lists")
+    wanted = classes.where("s1 IS NOT NULL").select("c1", "first.doc_id", "first.th", "first.line")
+    lists = written(packed(left.join(wanted, "c1"), "line", "token", "word", "level"), "left-lists")
 
     def send(batches):
         """The sets of listed lines; of rows alike in doc_id and text one, as long as the task remembers it."""
         found, met_before = Lines(), set()
         for batch in narrow_batches(batches):
-            for at, ends, data in byte_chunks(batch.column(2)):
-                row, _, line, word = found.of(ends, data, ranks.value)
-                first, n = np.searchsorted(row, np.arange(len(ends))), np.bincount(line, minlength=len(row))
-                begin = np.cumsum(n) - n
-                out: list = []
-                for r in range(len(ends) - 1):
-                    key = (batch.column(0)[at + r].as_py(), batch.column(1)[at + r].as_py())
-                    if key in met_before:
-                        continue
-                    met_before.add(key)
-                    for number, token, dealt_ in unpacked(batch.column(3)[at + r].as_py(), 3).tolist():
-                        own = first[r] + number
-                        out.append((token, dealt_ >> 32, dealt_ >> 1 & low, dealt_ & 1, at + r, number, word[begin[own] : begin[own] + n[own]].tobytes()))
-                if len(met_before) > 1 << 17:
-                    met_before.clear()
-                token, p, q, side, rows, number, sets_ = zip(*out) if out else ((),) * 7
-                rows = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), *(pa.array(c, pa.int32()) for c in (p, q, side)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(sets_, pa.binary())], ["token", "p", "q", "side", "doc_id", "th", "line", "words"])
-
-    sent = listed(docs, lists, broadcast_bytes=LIST_BYTES).mapInArrow(send, f"{_ENTRY}, doc_id {id_type}, th long, line int, words binary")
-
-    def compared(rows: pa.Table):
-        group = _group_numbers(rows)
-        order = lambda a: (a is not None, a)  # noqa: E731  nulls first, as in Spark's min
-        ids, th, number = (rows[c].to_pylist() for c in ("doc_id", "th", "line"))
-        once = {key: i for i, key in enumerate(zip(group.tolist(), ids, th, number))}
-        if len(once) < len(group):  # rows alike in doc_id and text, from different tasks
-            rows = rows.take(pa.array(sorted(once.values())))
-            group = _group_numbers(rows)
-            ids, th, number = (rows[c].to_pylist() for c in ("doc_id", "th", "line"))
-        token = rows["token"].to_numpy().view(np.uint64)
-        side, p, q = (rows[c].to_numpy() for c in ("side", "p", "q"))
-        blobs_ = rows["words"].to_pylist()
-        links, earlier = np.zeros(len(group), np.int64), np.zeros(len(group), bool)
-
-        def later(i: int, j: int) -> int:
-            return j if (order(ids[i]), number[i], th[i]) <= (order(ids[j]), number[j], th[j]) else i
-
-        edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            if b - a < 2:
+            ids, th, texts, blobs = (batch.column(k) for k in range(4))
+            texts = texts.cast(pa.large_binary())
+            rows, entries, spans, held = [], [], [], []
+            for r, key in enumerate(zip(ids.to_pylist(), th.to_pylist())):
+                if key in met_before:
+                    continue
+                met_before.add(key)
+                listed_ = unpacked(blobs[r].as_py(), 4)
+                numbers, of = np.unique(listed_[:, 0], return_inverse=True)
+                text = np.frombuffer(texts[r].as_py() or b"", np.uint8)
+                edge = np.concatenate(([-1], np.flatnonzero(text == 10), [len(text)]))
+                entries.append(np.column_stack((listed_, len(spans) + of)))
+                rows.append(np.full(len(listed_), r))
+                spans += [text[edge[k] + 1 : edge[k + 1]] for k in numbers.tolist()]
+            if len(met_before) > 1 << 17:
+                met_before.clear()
+            if not entries:
                 continue
-            alone, word = p[a] == q[a], token[a]
-            sets = [np.frombuffer(x, np.uint64) for x in blobs_[a:b]]
-            if b - a <= FEW:
-                py = [x.tolist() for x in sets]
-                as_sets = [set(x) for x in py]
-                for i in range(b - a):
-                    for j in range(i + 1, b - a):
-                        if not alone and side[a + i] == side[a + j]:
-                            continue
-                        total = len(py[i]) + len(py[j])
-                        if len(as_sets[i] & as_sets[j]) >= least_overlap(total, t) and next(x for x in py[i] if x in as_sets[j]) == int(word):
-                            links[a + i] += 1
-                            links[a + j] += 1
-                            earlier[later(a + i, a + j)] = True
+            ends = np.cumsum([0, *map(len, spans)])
+            for column in byte_chunks(pa.array([x.tobytes() for x in spans], pa.large_binary())):
+                at, cuts, data = column
+                row, _, line, word = found.of(cuts, data, ranks.value)
+                n = np.bincount(line, minlength=len(row))
+                begin = np.cumsum(n) - n
+                held += [word[b : b + k].tobytes() for b, k in zip(begin.tolist(), n.tolist())]
+            entries, rows = np.concatenate(entries), np.concatenate(rows)
+            sets_ = pa.array(held, pa.binary()).take(pa.array(entries[:, 4]))
+            rows = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(np.ascontiguousarray(entries[:, k])) for k in (1, 2)), pa.array(entries[:, 3].astype(np.int32)), ids.take(rows), th.take(rows), pa.array(entries[:, 0].astype(np.int32)), sets_], ["token", "word", "level", "doc_id", "th", "line", "words"]
+            )
+
+    entry = T.StructType([*T.StructType.fromDDL("token long, word long, level int"), T.StructField("doc_id", id_type), *T.StructType.fromDDL("th long, line int, words binary")])
+    sent = listed(docs, lists, broadcast_bytes=LIST_BYTES).mapInArrow(send, entry)
+    sent = sent.repartition(partitions(spark), "token").sortWithinPartitions("token", "word", "level")
+
+    def compared(batches):
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            sizes = np.array([len(x) for x in sets])
-            every = np.concatenate(sets)
-            rank = ranks.value[(every >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.int64)
-            by = np.lexsort((every, rank))
-            new = np.concatenate(([True], every[by][1:] != every[by][:-1]))
-            column = np.empty(len(every), np.int64)
-            column[by] = np.cumsum(new) - 1
-            width = int(new.sum())
-            before = int(column[np.flatnonzero(every == word)[0]])
-            of = np.repeat(np.arange(b - a), sizes)
-
-            def dense(lo: int, hi: int, x: int, y: int) -> np.ndarray:
-                out = np.zeros((hi - lo, y - x), np.float32)
-                use = (of >= lo) & (of < hi) & (column >= x) & (column < y)
-                out[of[use] - lo, column[use] - x] = 1
-                return out
-
-            step, wide, span = 512, 8192, b - a
-            place = sorted(range(span), key=lambda k: (order(ids[a + k]), number[a + k], th[a + k]))
-            turn = np.empty(span, np.int64)
-            turn[place] = np.arange(span)
-            for lo in range(0, span, step):
-                for lo2 in range(lo, span, step):
-                    hi, hi2 = min(span, lo + step), min(span, lo2 + step)
-                    overlap, ahead = np.zeros((hi - lo, hi2 - lo2), np.float32), np.zeros((hi - lo, hi2 - lo2), np.float32)
-                    for x in range(0, width, wide):
-                        y = min(width, x + wide)
-                        overlap += dense(lo, hi, x, y) @ dense(lo2, hi2, x, y).T
-                    for x in range(0, before, wide):
-                        y = min(before, x + wide)
-                        ahead += dense(lo, hi, x, y) @ dense(lo2, hi2, x, y).T
-                    need = least_overlap(sizes[lo:hi, None] + sizes[None, lo2:hi2], t)
-                    ok = (overlap >= need) & (ahead == 0)
-                    if not alone:
-                        ok &= side[a + lo : a + hi, None] != side[None, a + lo2 : a + hi2]
-                    if lo == lo2:
-                        ok = np.triu(ok, 1)
-                    i, j = np.nonzero(ok)
-                    i, j = i + lo, j + lo2
-                    np.add.at(links, a + i, 1)
-                    np.add.at(links, a + j, 1)
-                    earlier[a + np.where(turn[i] < turn[j], j, i)] = True
-        told = pa.array(links > 0)
-        yield pa.RecordBatch.from_arrays([*(rows[c].combine_chunks().filter(told) for c in ("doc_id", "th", "line")), pa.array(links).filter(told), pa.array(earlier).filter(told)], ["doc_id", "th", "line", "links", "earlier"])
-
-    similar = _grouped(sent, compared, f"doc_id {id_type}, th long, line int, links long, earlier boolean")
+            held.append(batch)
+            n += batch.nbytes
+            if n >= 32 << 20:
+                whole = pa.Table.from_batches(held)
+                token = whole["token"].to_numpy()
+                ends = np.flatnonzero(token != token[-1])
+                if len(ends):
+                    to = int(ends[-1]) + 1
+                    yield _compared(whole.slice(0, to), ranks.value, t)
+                    held = whole.slice(to).to_batches()
+                    n = sum(x.nbytes for x in held)
+        if held:
+            yield _compared(pa.Table.from_batches(held), ranks.value, t)
+
+    similar = sent.mapInArrow(compared, T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL("th long, line int, links long, earlier boolean")]))
     similar = similar.groupBy("doc_id", "th", "line").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
     similar = written(similar.select(F.struct("doc_id", "line", "th").alias("s"), "links", "earlier"), "similar")
-    known = classes.join(similar, classes["first"].eqNullSafe(F.col("s")), "left").select("c1", "c2", "first", "links", "earlier")
-    known = written(known, "known").withColumnRenamed("c1", "k1").withColumnRenamed("c2", "k2")
+    known = classes.join(small(similar), classes["first"].eqNullSafe(F.col("s")), "left").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "first", "links", "earlier")
+    known = small(written(known, "known"))
+    # Lines without words have a null for c2 and so meet no class; a hash deals them out.
+    by = F.coalesce("c1", F.xxhash64("doc_id", "line"))
+    out = lines.join(known, (by == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
+    alone = F.col("k1").isNull() & F.col("c1").isNotNull()
     is_first = F.struct("doc_id", "line", "th").eqNullSafe(F.col("first"))
-    removed = F.col("c1").isNotNull() & (~is_first | F.coalesce("earlier", F.lit(False)))
-    return lines.join(known, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left").select(
-        "doc_id", "th", "line", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line").alias("class_line"), F.coalesce("links", F.lit(0)).alias("n_links"), removed.alias("removed")
+    removed = F.col("k1").isNotNull() & (~is_first | F.coalesce("earlier", F.lit(False)))
+    return out.select(
+        "doc_id", "th", "line", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_doc_id"), F.when(alone, F.col("line")).otherwise(F.col("first.line")).alias("class_line"), F.coalesce("links", F.lit(0)).alias("n_links"), removed.alias("removed")
     )
 
 
+def _compared(rows: pa.Table, ranks: np.ndarray, t: Fraction) -> pa.RecordBatch:
+    """(doc_id, th, line, links, earlier) of the rows with a similar partner in their group (token, word, level).
+
+    A pair counts in the group whose chain are its first common words: then as many of its common
+    words as the chain is long stand up to the chain's last.
+    """
+    names = ["doc_id", "th", "line"]
+    id_rank = pc.rank(rows["doc_id"].combine_chunks(), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    token, last, level, th, number = (rows[c].to_numpy() for c in ("token", "word", "level", "th", "line"))
+    turn = np.lexsort((th, number, id_rank))
+    place = np.empty(len(turn), np.int64)
+    place[turn] = np.cumsum(np.concatenate(([0], np.any([c[turn][1:] != c[turn][:-1] for c in (id_rank, number, th)], axis=0))))[: len(turn)]
+    blobs = rows["words"].combine_chunks()
+    bounds = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64) // 8
+    size = np.diff(bounds)
+    every = np.frombuffer(blobs.buffers()[2], np.uint64)[bounds[0] : bounds[-1]] if blobs.buffers()[2] is not None else np.zeros(0, np.uint64)
+    # In order of group and size, each line once: rows alike in doc_id and text may come from different tasks.
+    order = np.lexsort((place, size, level, last, token))
+    same = np.all([c[order][1:] == c[order][:-1] for c in (place, level, last, token)], axis=0)
+    order = order[np.concatenate(([True], ~same))]
+    token, last, level, place, size, begin = token[order], last[order], level[order], place[order], size[order], bounds[:-1][order] - bounds[0]
+    group = np.cumsum(np.concatenate(([0], (token[1:] != token[:-1]) | (last[1:] != last[:-1]) | (level[1:] != level[:-1]))))
+    # Words by their place in the order of all words that are here.
+    words = np.unique(every)
+    words = words[np.lexsort((words, ranks[_place(words)]))]
+    by = np.argsort(words)
+    column = by[np.searchsorted(words[by], every)] if len(every) else np.zeros(0, np.int64)
+    starts = np.cumsum(size) - size
+    columns = column[np.repeat(begin - starts, size) + np.arange(int(size.sum()))]
+    own = by[np.searchsorted(words[by], last.view(np.uint64))]
+    links, earlier = np.zeros(len(group), np.int64), np.zeros(len(group), bool)
+
+    def tell(i: np.ndarray, j: np.ndarray) -> None:
+        np.add.at(links, i, 1)
+        np.add.at(links, j, 1)
+        earlier[np.where(place[i] < place[j], j, i)] = True
+
+    edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+    few = np.repeat(np.diff(edge) <= FEW, np.diff(edge))
+    wide = np.int64(len(words) + 1)
+    chosen = np.flatnonzero(few)
+    if len(chosen):
+        keys = np.repeat(np.arange(len(group)), size) * wide + columns
+        for i, j in _window_pairs(group[chosen], size[chosen], t):
+            i, j = chosen[i], chosen[j]
+            for at in range(0, len(i), 1 << 14):
+                a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                pair = np.repeat(np.arange(len(a)), size[a])
+                where = np.repeat(starts[a] - (np.cumsum(size[a]) - size[a]), size[a]) + np.arange(len(pair))
+                key = b[pair] * wide + columns[where]
+                both = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+                shared = np.bincount(pair, both, len(a))
+                ahead = np.bincount(pair, both & (columns[where] <= own[a][pair]), len(a))
+                ok = (shared >= least_overlap(size[a] + size[b], t)) & (ahead == level[a])
+                tell(a[ok], b[ok])
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        if b - a > FEW:
+            _dense_pairs(columns, starts[a:b], size[a:b], int(own[a]), int(level[a]), t, lambda i, j, a=a: tell(i + a, j + a))
+    told = links > 0
+    out = rows.select(names).take(pa.array(order[told])).combine_chunks()
+    return pa.RecordBatch.from_arrays([*(out[c].combine_chunks() for c in names), pa.array(links[told]), pa.array(earlier[told])], [*names, "links", "earlier"])
+
+
+def _dense_pairs(columns: np.ndarray, starts: np.ndarray, size: np.ndarray, own: int, level: int, t: Fraction, tell, step: int = 256, wide: int = 8192) -> None:
+    """The similar pairs of one group, whose rows are in order of size, by matrix products of blocks of rows."""
+    low, high = int(starts[0]), int(starts[-1] + size[-1])
+    every, column = np.unique(columns[low:high], return_inverse=True)
+    shared = np.bincount(column) > 1  # a word of one row is common to none
+    place = np.cumsum(shared) - 1
+    row = np.repeat(np.arange(len(size)), size)[shared[column]]
+    column = place[column[shared[column]]]
+    upto = int(np.searchsorted(every[shared], own, side="right"))
+    edge = np.searchsorted(row, np.arange(0, len(size) + step, step))
+    at_of = np.full(int(shared.sum()), -1, np.int64)
+    for x in range(len(edge) - 1):
+        lo, hi = x * step, min(len(size), (x + 1) * step)
+        r, c = row[edge[x] : edge[x + 1]] - lo, column[edge[x] : edge[x + 1]]
+        own_columns = np.unique(c)
+        at_of[own_columns] = np.arange(len(own_columns))
+        ahead_to = int(np.searchsorted(own_columns, upto))
+        for y in range(x, len(edge) - 1):
+            lo2, hi2 = y * step, min(len(size), (y + 1) * step)
+            if size[lo2] * t.numerator > size[hi - 1] * t.denominator:
+                break
+            r2, c2 = row[edge[y] : edge[y + 1]] - lo2, at_of[column[edge[y] : edge[y + 1]]]
+            overlap, ahead = np.zeros((hi - lo, hi2 - lo2), np.float32), np.zeros((hi - lo, hi2 - lo2), np.float32)
+            for start in range(0, max(1, len(own_columns)), wide):
+                stop = min(len(own_columns), start + wide)
+                left, right = np.zeros((hi - lo, stop - start), np.float32), np.zeros((hi2 - lo2, stop - start), np.float32)
+                c1 = at_of[c]
+                use = (c1 >= start) & (c1 < stop)
+                left[r[use], c1[use] - start] = 1
+                use = (c2 >= start) & (c2 < stop)
+                right[r2[use], c2[use] - start] = 1
+                overlap += left @ right.T
+                if start < ahead_to:
+                    ahead += left[:, : ahead_to - start] @ right[:, : ahead_to - start].T
+            ok = (overlap >= least_overlap(size[lo:hi, None] + size[None, lo2:hi2], t)) & (ahead == level)
+            if x == y:
+                ok = np.triu(ok, 1)
+            i, j = np.nonzero(ok)
+            tell(i + lo, j + lo2)
+        at_of[own_columns] = -1
+
+
 def without_later_lines(docs: DataFrame, similarity: str = SIMILARITY) -> DataFrame:
-    """docs with removed lines taken out of text; all rows and other columns stay, a null text too."""
-    gone = joined_lines(docs, similarity).where("removed").groupBy("doc_id", "th").agg(F.collect_set("line").alias("_gone"))
-    gone = written(gone, "gone").withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == F.col("_th"))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i)), "\n")
+    """docs with removed lines taken out of text; all rows and other columns, of any name, stay, a null text too."""
+    names = unused(docs, "id", "th", "gone")
+    gone = joined_lines(docs.select("doc_id", "text"), similarity).where("removed").groupBy("doc_id", "th").agg(F.collect_set("line").alias(names[2]))
+    gone = written(gone.withColumnsRenamed({"doc_id": names[0], "th": names[1]}), "gone")
+    same = docs["doc_id"].eqNullSafe(gone[names[0]]) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == gone[names[1]])
+    kept = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.coalesce(gone[names[2]], F.array().cast("array<int>")), i)), "\n")
     return docs.join(gone, same, "left").select(*(kept.alias("text") if c == "text" else docs[c] for c in docs.columns))
 
 

@@ -55,6 +55,33 @@ def test_against_all_pairs(make_docs):
         assert got == brute(rows) and n == 200
 
 
+def test_large_groups_and_long_lines(make_docs):
+    """Groups that are compared by matrix products, whose words are split further, and sets with wide bitmaps."""
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        short, long = base[:16], list(base)
+        for line, most in ((short := list(short), 2), (long, 25)):
+            for _ in range(r.randrange(most)):
+                line[r.randrange(len(line))] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(short) + "\n" + " ".join(long)))
+    for part in (1 << 15, 20):
+        got, n = found(make_docs(rows), part=part)
+        assert got == brute(rows) and n == 300
+
+
+def test_columns_of_any_name(make_docs):
+    rows = [(1, "one two three\nkeep me"), (2, "one two three\nnew"), (3, None)]
+    docs = make_docs(rows).selectExpr("*", "'kept' AS _gone", "-doc_id AS th", "1 AS gone", "2 AS id", "3 AS _id", "4 AS line", "5 AS _th")
+    out = without_later_lines(docs)
+    assert out.columns == docs.columns
+    assert {(r.doc_id, r.text, r._gone, r.th, r.gone, r.id, r._id, r.line, r._th) for r in out.collect()} == {
+        (i, t, "kept", -i, 1, 2, 3, 4, 5) for i, t in ((1, "one two three\nkeep me"), (2, "new"), (3, None))
+    }
+    assert len(found(docs)[0]) == 5
+
+
 def test_odd_rows(make_docs):
     rows = [(1, "a b c"), (2, None), (3, ""), (4, "\n\n"), (5, "A  b\tC"), (6, "x" * 50_000 + " y"), (None, "a b c")]
     got, _ = found(make_docs(rows))
