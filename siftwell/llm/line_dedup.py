@@ -19,7 +19,8 @@ the pairs of classes with a Jaccard similarity of at least ``similarity``.
 A word that more than ``part`` prefixes hold is not joined but split by a second
 word: similar sets share l words of their n - ceil(t n) + l rarest, so the sets
 meet again under each two words, and where these are as frequent under three and
-four. Texts are read again for it, but only the lines concerned are posted.
+four. Texts are read again for it, but only the lines concerned are posted. Sets
+that share even so many words are dealt to tasks in blocks, each pair of blocks to one.
 """
 
 from __future__ import annotations
@@ -46,9 +47,12 @@ PART = 1 << 15
 #: Words that may be sent to all tasks because more than PART classes share them.
 HOT_WORDS = 1 << 22
 #: Postings that a receiver holds at once, about, and those that a sender gathers.
-HELD, GATHERED = 1 << 21, 1 << 20
-#: Words up to which 64 bits tell sets apart; longer ones have four times as many.
-SHORT = 80
+HELD = GATHERED = 1 << 19
+#: Bitmaps have 64 bits for sets of up to so many words, and twice as many for each of these bounds that a set exceeds.
+BOUNDS = (60, 120, 240)
+WIDEST = 1 << len(BOUNDS)
+#: Survivors of one group that are compared in one task; larger groups are dealt out in blocks.
+DEALT = 2048
 #: Sets up to which a group is compared pair by pair; larger groups are compared by matrix products.
 FEW = 48
 #: Pairs that are looked at together.
@@ -222,31 +226,54 @@ def _from_planes(blob: bytes) -> np.ndarray:
 
 #: What is posted under a word: the class, its number of words, the word's place among them, two rarer
 #: words (0 for none), the set's bitmap, and the last word of a chain. A posting of size 0 says that its word has too many.
-_POSTING = np.dtype([("token", "u8"), ("c1", "i8"), ("size", "u4"), ("pos", "u4"), ("e0", "u8"), ("e1", "u8"), ("b0", "u8"), ("b1", "u8"), ("b2", "u8"), ("b3", "u8"), ("word", "u8")])
+_POSTING = {"token": np.uint64, "c1": np.int64, "size": np.uint32, "pos": np.uint32, "e0": np.uint64, "e1": np.uint64, "word": np.uint64} | {f"b{k}": np.uint64 for k in range(WIDEST)}
+
+
+def _width(size: np.ndarray) -> np.ndarray:
+    """64-bit words in the bitmap of a set."""
+    return 1 << sum((size > b).astype(np.int64) for b in BOUNDS)
+
+
+def _bitmaps(word: np.ndarray, n: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """Of each line WIDEST arrays, of which the width of its set is in use."""
+    bit = _mixed(word, _MIX2)
+    which = np.uint64(1) << (bit >> np.uint64(58))
+    some = np.flatnonzero(n)
+    width = _width(n)
+    part = (bit >> np.uint64(8)).astype(np.int64) & np.repeat(width - 1, n)
+    out = []
+    for k in range(WIDEST):
+        rows = some[width[some] > k]
+        bits = np.zeros(len(n), np.uint64)
+        if len(rows):
+            bits[some] = np.bitwise_or.reduceat(np.where(part == k, which, np.uint64(0)), begin[some])
+        out.append(bits)
+    return out
 
 
 def _pack(posts: dict[str, np.ndarray], level: int) -> bytes:
-    """Postings in order of token; the bitmap's other quarters only for long sets, the word only for chains."""
-    long = posts["size"] > SHORT
-    fields = [posts[c].tobytes() for c in ("c1", "size", "pos", "e0", "e1", "b0")] + [posts[c][long].tobytes() for c in ("b1", "b2", "b3")]
+    """Postings in order of token; of bitmaps what is in use, the word only for chains."""
+    width = _width(posts["size"])
+    fields = [posts[c].tobytes() for c in ("c1", "size", "pos", "e0", "e1")] + [posts[f"b{k}"][width > k].tobytes() for k in range(WIDEST)]
     if level > 1:
         fields.append(posts["word"].tobytes())
-    return zstandard.compress(np.array([len(long), long.sum()], np.int64).tobytes() + _planes(posts["token"]) + b"".join(fields), 1)
+    return zstandard.compress(np.array([len(width)], np.int64).tobytes() + _planes(posts["token"]) + b"".join(fields), 1)
 
 
 def _unpack(blob: bytes, level: int) -> dict[str, np.ndarray]:
     data = zstandard.decompress(blob)
-    n, n_long = np.frombuffer(data, np.int64, 2).tolist()
-    at = 16 + 8 * n
-    out = {"token": _from_planes(data[16:at])}
-    for c in ("c1", "size", "pos", "e0", "e1", "b0"):
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    at = 8 + 8 * n
+    out = {"token": _from_planes(data[8:at])}
+    for c in ("c1", "size", "pos", "e0", "e1"):
         out[c] = np.frombuffer(data, _POSTING[c], n, at)
         at += out[c].nbytes
-    long = out["size"] > SHORT
-    for c in ("b1", "b2", "b3"):
-        out[c] = np.zeros(n, np.uint64)
-        out[c][long] = np.frombuffer(data, np.uint64, n_long, at)
-        at += 8 * n_long
+    width = _width(out["size"])
+    for k in range(WIDEST):
+        used = width > k
+        out[f"b{k}"] = np.zeros(n, np.uint64)
+        out[f"b{k}"][used] = np.frombuffer(data, np.uint64, m := int(used.sum()), at)
+        at += 8 * m
     out["word"] = np.frombuffer(data, np.uint64, n, at) if level > 1 else out["token"]
     return out
 
@@ -256,31 +283,36 @@ def _taken(posts: dict, rows) -> dict:
 
 
 def _joined(parts: list[dict]) -> dict:
-    return {c: np.concatenate([p[c] for p in parts]) for c in _POSTING.names}
+    return {c: np.concatenate([p[c] for p in parts]) for c in _POSTING}
 
 
-def _tidied(posts: dict, part: float) -> tuple[dict, np.ndarray]:
-    """Postings in order of token and size, each class once; and the tokens that more than part classes have, whose postings go."""
+def _tidied(posts: dict, part: float) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Postings in order of token and size, each class once; and the tokens that more than part classes have, whose postings go, and how many."""
     order = np.lexsort((posts["c1"], posts["size"], posts["token"]))
     token, c1 = posts["token"][order], posts["c1"][order]
     new = np.concatenate(([True], (token[1:] != token[:-1]) | (c1[1:] != c1[:-1])))[: len(token)]
     order = order[new]
     token, edge = token[new], np.flatnonzero(np.concatenate(([True], token[new][1:] != token[new][:-1])))[: len(token)]
     runs = np.diff(np.append(edge, len(token)))
-    hot = (runs > part) | (posts["size"][order[edge]] == 0) if len(edge) else np.zeros(0, bool)
-    return _taken(posts, order[~np.repeat(hot, runs)]), token[edge[hot]]
+    if not len(edge):
+        return _taken(posts, order), token, np.zeros(0, np.int64)
+    marked = posts["size"][order] == 0
+    number = np.add.reduceat(np.where(marked, posts["c1"][order], 1), edge)
+    hot = (runs > part) | marked[edge]
+    return _taken(posts, order[~np.repeat(hot, runs)]), token[edge[hot]], number[hot]
 
 
-def _marks(tokens: np.ndarray) -> dict:
-    return {c: tokens if c in ("token", "word") else np.zeros(len(tokens), _POSTING[c]) for c in _POSTING.names}
+def _marks(tokens: np.ndarray, number: np.ndarray) -> dict:
+    return {c: {"token": tokens, "word": tokens, "c1": number}.get(c, np.zeros(len(tokens), kind)) for c, kind in _POSTING.items()}
 
 
-def _may_be_similar(posts: dict, t: Fraction) -> np.ndarray:
-    """Which postings have a partner under their token that the filters don't rule out and that meets them nowhere earlier."""
+def _may_be_similar(posts: dict, t: Fraction, early: bool) -> np.ndarray:
+    """Which postings have a partner under their token that the filters don't rule out and, if ``early``, that meets them nowhere earlier."""
     token, size, pos = posts["token"], posts["size"].astype(np.int64), posts["pos"].astype(np.int64)
     group = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))[: len(token)] if len(token) else np.zeros(0, np.int64)
-    bits = [posts[f"b{k}"] for k in range(4)]
-    folded = bits[0] | bits[1] | bits[2] | bits[3]
+    width = _width(size)
+    bits = [posts[f"b{k}"] for k in range(WIDEST)]
+    folded = np.bitwise_or.reduce(bits)
     survive = np.zeros(len(token), bool)
     for i, j in _window_pairs(group, size, t):
         total = size[i] + size[j]
@@ -290,11 +322,19 @@ def _may_be_similar(posts: dict, t: Fraction) -> np.ndarray:
         keep &= np.bitwise_count(folded[i] ^ folded[j]) <= total - 2 * need
         keep = np.flatnonzero(keep)
         i, j, room = i[keep], j[keep], (total - 2 * need)[keep]
-        both = np.minimum(size[i], size[j]) > SHORT
-        keep = ~both | (sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits) <= room)
-        for a in ("e0", "e1"):
-            for b in ("e0", "e1"):
-                keep &= (posts[a][i] != posts[b][j]) | (posts[a][i] == 0)
+        # A wider bitmap folds to a narrower one: place k of it is place k modulo the other's width.
+        keep = np.ones(len(i), bool)
+        for w in (2 ** np.arange(1, len(BOUNDS) + 1)).tolist():
+            rows = np.flatnonzero(np.minimum(width[i], width[j]) == w)
+            if len(rows):
+                a, b, differ = i[rows], j[rows], np.zeros(len(rows), np.int64)
+                for k in range(w):
+                    differ += np.bitwise_count(np.bitwise_or.reduce([x[a] for x in bits[k::w]]) ^ np.bitwise_or.reduce([x[b] for x in bits[k::w]]))
+                keep[rows] = differ <= room[rows]
+        if early:
+            for a in ("e0", "e1"):
+                for b in ("e0", "e1"):
+                    keep &= (posts[a][i] != posts[b][j]) | (posts[a][i] == 0)
         survive[i[keep]] = True
         survive[j[keep]] = True
     return survive
@@ -308,10 +348,15 @@ def _described(batch: pa.RecordBatch, found: Lines, ranks: np.ndarray, t: Fracti
 
 
 class _Poster:
-    """Gathers a task's postings of one level and gives them out in packed rows (part, sub, blob)."""
+    """Gathers a task's postings of one level and gives them out in packed rows (part, sub, blob).
+
+    hot: for each level before, the tokens that are too frequent. dealt: for those of this level the
+    number of blocks, if their postings are to be dealt out: then token stands for a pair of blocks, e0 for the token.
+    """
 
-    def __init__(self, t: Fraction, ranks: np.ndarray, parts: int, subs: int, part: float, hot: list[np.ndarray]) -> None:
-        self.t, self.ranks, self.parts, self.subs, self.part, self.hot, self.level = t, ranks, parts, subs, part, hot, len(hot) + 1
+    def __init__(self, t: Fraction, ranks: np.ndarray, parts: int, subs: int, part: float, hot: list[np.ndarray], dealt: np.ndarray | None) -> None:
+        self.t, self.ranks, self.parts, self.subs, self.part, self.hot, self.dealt = t, ranks, parts, subs, part, hot, dealt
+        self.level = len(hot) + (dealt is None)
         self.held: list[dict] = []
         self.n = 0
         self.met: set = set()
@@ -337,7 +382,7 @@ class _Poster:
         pos = np.arange(len(of)) - (np.cumsum(prefix) - prefix)[of]
         at = first[of] + pos
         use = codes[at] > 1  # a word that stands once in all lines is in no other set
-        if self.level > 1:
+        if self.hot:
             use &= np.isin(word[at], self.hot[0])
         of, pos, at = of[use], pos[use], at[use]
         if not len(of):
@@ -354,15 +399,10 @@ class _Poster:
             nth = np.arange(len(of)) - np.repeat(new, np.diff(np.append(new, len(of))))
             heads = np.repeat(new, np.diff(np.append(new, len(of))))
             early = [np.where(nth > k, last[np.minimum(heads + k, len(last) - 1)], np.uint64(0)) for k in range(2)]
-        bit = _mixed(word, _MIX2)
-        which = np.uint64(1) << (bit >> np.uint64(58))
-        quarter = np.where(n[line] > SHORT, bit >> np.uint64(8) & np.uint64(3), np.uint64(0))
-        some = np.flatnonzero(n)
         posts = {"token": token, "c1": sums[0][keep][of], "size": size[of].astype(np.uint32), "pos": pos.astype(np.uint32), "e0": early[0], "e1": early[1], "word": last}
-        for k in range(4):
-            bits = np.zeros(len(n), np.uint64)
-            bits[some] = np.bitwise_or.reduceat(np.where(quarter == k, which, np.uint64(0)), begin[some])
-            posts[f"b{k}"] = bits[keep[of]]
+        posts |= {f"b{k}": bits[keep[of]] for k, bits in enumerate(_bitmaps(word, n, begin))}
+        if self.dealt is not None:
+            posts, of = self._in_blocks(posts)
         self.held.append(posts)
         self.n += len(of)
 
@@ -377,18 +417,31 @@ class _Poster:
             row = row[at]
             with np.errstate(over="ignore"):
                 token = _mixed(token[at] * _MIX1 + word[first[row] + last], _MIX2)
-            if level < self.level:
+            if level < self.level or self.dealt is not None:
                 hot = np.isin(token, self.hot[level - 1])
                 token, row, last = token[hot], row[hot], last[hot]
         return token, row, last
 
+    def _in_blocks(self, posts: dict) -> tuple[dict, np.ndarray]:
+        """Each posting once for every pair of blocks that its own is in."""
+        blocks = self.dealt[np.searchsorted(self.hot[-1], posts["token"])]
+        at = np.repeat(np.arange(len(blocks)), blocks)
+        other = np.arange(len(at)) - (np.cumsum(blocks) - blocks)[at]
+        own = (_mixed(posts["c1"].view(np.uint64), _MIX2) % blocks.astype(np.uint64)).astype(np.int64)[at]
+        pair = (np.minimum(own, other) << 31 | np.maximum(own, other)).astype(np.uint64)
+        posts = _taken(posts, at)
+        posts["e0"] = posts["token"]
+        with np.errstate(over="ignore"):
+            posts["token"] = _mixed(posts["token"] * _MIX1 + pair, _MIX1)
+        return posts, at
+
     def rows(self):
         if not self.held:
             return
-        posts, hot = _tidied(_joined(self.held), self.part)
+        posts, hot, number = _tidied(_joined(self.held), self.part)
         self.held, self.n = [], 0
         if len(hot):
-            posts = _joined([posts, _marks(hot)])
+            posts = _joined([posts, _marks(hot, number)])
             posts = _taken(posts, np.argsort(posts["token"], kind="stable"))
         share = self.parts * self.subs
         of = ((posts["token"] >> np.uint64(32)) * np.uint64(share) >> np.uint64(32)).astype(np.int64)
@@ -397,50 +450,71 @@ class _Poster:
             yield int(of[a]) // self.subs, int(of[a]) % self.subs, _pack(_taken(posts, slice(a, b)), self.level)
 
 
-def _settled(blobs, level: int, t: Fraction, part: float):
-    """(survivors, tokens with too many classes) of the postings in blobs, which are all there are of their tokens."""
-    parts, n, hot = [], 0, np.zeros(0, np.uint64)
-    for blob in blobs:
-        posts = _unpack(blob, level)
-        if len(hot):
-            posts = _taken(posts, ~np.isin(posts["token"], hot))
-        parts.append(posts)
-        n += len(posts["token"])
-        if n > HELD:  # copies of a class and frequent words go at once
-            tidy, found = _tidied(_joined(parts), part)
-            parts, n, hot = [tidy], 0, np.union1d(hot, found)
-    posts, found = _tidied(_joined(parts), part)
-    return _taken(posts, _may_be_similar(posts, t)), np.union1d(hot, found)
+class _Receiver:
+    """The postings of some tokens, given blob by blob; survivors, and the tokens with too many classes and about how many these are."""
+
+    def __init__(self, level: int, t: Fraction, part: float, dealt: bool) -> None:
+        self.level, self.t, self.part, self.dealt = level, t, part, dealt
+        self.parts, self.n = [], 0
+        self.hot, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
+    def _found(self, hot: np.ndarray, number: np.ndarray) -> None:
+        self.hot, at = np.unique(np.concatenate((self.hot, hot)), return_inverse=True)
+        self.number = np.bincount(at, np.concatenate((self.number, number)), len(self.hot)).astype(np.int64)
 
-def _survivors(rows: DataFrame, level: int, t: Fraction, part: float, id_type: T.DataType, what: str) -> DataFrame:
+    def _tidy(self) -> None:
+        posts, hot, number = _tidied(_joined(self.parts), self.part)
+        self._found(hot, number)
+        known = np.isin(posts["token"], self.hot)  # found frequent before
+        if known.any():
+            self._found(*np.unique(posts["token"][known], return_counts=True))
+            posts = _taken(posts, ~known)
+        self.parts, self.n = [posts], 0
+
+    def add(self, blob: bytes) -> None:
+        self.parts.append(_unpack(blob, self.level))
+        self.n += len(self.parts[-1]["token"])
+        if self.n > HELD:  # copies of a class and frequent words go at once
+            self._tidy()
+
+    def settled(self) -> tuple[dict, np.ndarray, np.ndarray]:
+        self._tidy()
+        posts = self.parts[0]
+        posts = _taken(posts, _may_be_similar(posts, self.t, self.level == 1 and not self.dealt))
+        if self.dealt:
+            posts["token"] = posts["e0"]
+        return posts, self.hot, self.number
+
+
+def _survivors(rows: DataFrame, level: int, t: Fraction, part: float, dealt: bool, id_type: T.DataType, what: str) -> DataFrame:
     """What receivers make of rows (part, sub, ids, lines, posts), written: lines (doc_id, th, line, c1, c2), survivors
-    (c1, token, word) and frequent tokens (token), told apart by their nulls."""
+    (c1, token, word) and frequent tokens (token, their number as word), told apart by their nulls."""
     parts = partitions(rows.sparkSession)
     schema = T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL("th long, line int, c1 long, c2 long, token long, word long")])
     id_arrow = to_arrow(id_type)
 
-    def told(survivors: dict, hot: np.ndarray):
+    def told(survivors: dict, hot: np.ndarray, number: np.ndarray):
         n, m = len(survivors["token"]), len(hot)
         token = np.concatenate((survivors["token"], hot)).view(np.int64)
-        c1, word = (pa.concat_arrays([pa.array(np.ascontiguousarray(survivors[c]).view(np.int64)), pa.nulls(m, pa.int64())]) for c in ("c1", "word"))
-        return pa.RecordBatch.from_arrays([pa.nulls(n + m, id_arrow), pa.nulls(n + m, pa.int64()), pa.nulls(n + m, pa.int32()), c1, pa.nulls(n + m, pa.int64()), pa.array(token), word], schema.names)
+        word = np.concatenate((survivors["word"].view(np.int64), number))
+        c1 = pa.concat_arrays([pa.array(survivors["c1"]), pa.nulls(m, pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.nulls(n + m, id_arrow), pa.nulls(n + m, pa.int64()), pa.nulls(n + m, pa.int32()), c1, pa.nulls(n + m, pa.int64()), pa.array(token), pa.array(word)], schema.names)
 
     def receive(batches):
-        key, held = None, []
+        key, held = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch["lines"][i].is_valid:
                     yield _lines_from(batch["ids"][i].values, batch["lines"][i].as_py(), schema.names)
                     continue
                 own = (batch["part"][i].as_py(), batch["sub"][i].as_py())
-                if own != key and held:
-                    yield told(*_settled(held, level, t, part))
-                    held = []
-                key = own
-                held.append(batch["posts"][i].as_py())
+                if own != key:
+                    if held:
+                        yield told(*held.settled())
+                    key, held = own, _Receiver(level, t, part, dealt)
+                held.add(batch["posts"][i].as_py())
         if held:
-            yield told(*_settled(held, level, t, part))
+            yield told(*held.settled())
 
     return written(rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "sub").mapInArrow(receive, schema), what)
 
@@ -459,14 +533,14 @@ def _lines_from(ids: pa.Array, blob: bytes, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(th), pa.array(number), pa.array(c1, mask=none), pa.array(c2, mask=none), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
 
 
-def _posted(docs: DataFrame, ranks, t: Fraction, part: float, subs: int, hot: list, with_lines: bool) -> DataFrame:
+def _posted(docs: DataFrame, ranks, t: Fraction, part: float, subs: int, hot: list, dealt: np.ndarray | None, with_lines: bool) -> DataFrame:
     """Rows (part, sub, ids, lines, posts) of all docs: postings for the receiver of their words, and packed lines for any one."""
     parts, id_type = partitions(docs.sparkSession), docs.schema["doc_id"].dataType
     schema = T.StructType([*T.StructType.fromDDL("part int, sub int"), T.StructField("ids", T.ArrayType(id_type)), *T.StructType.fromDDL("lines binary, posts binary")])
     id_list = pa.list_(to_arrow(id_type))
 
     def run(batches):
-        found, poster = Lines(), _Poster(t, ranks.value, parts, subs, part, hot)
+        found, poster = Lines(), _Poster(t, ranks.value, parts, subs, part, hot, dealt)
 
         def packed_posts():
             rows = list(poster.rows())
@@ -514,21 +588,34 @@ def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART
     subs = max(1, math.ceil(postings / partitions(spark) / HELD))
     levels = least_size(t) if t < 1 else 1
 
-    hot: list[np.ndarray] = []
-    every = lambda level: float("inf") if level >= levels else part
-    met = _survivors(_posted(docs, ranks, t, every(1), subs, hot, True), 1, t, every(1), id_type, "lines")
+    def met_at(level: int, hot: list, dealt: np.ndarray | None, what: str) -> DataFrame:
+        most = part if dealt is None else float("inf")
+        return _survivors(_posted(docs, ranks, t, most, subs, hot, dealt, not hot), level, t, most, dealt is not None, id_type, what)
+
+    met = met_at(1, [], None, "lines")
     lines = met.where("line IS NOT NULL").select("doc_id", "th", "line", "c1", "c2")
     left = met.where("line IS NULL AND c1 IS NOT NULL").select("c1", "token", "word", F.lit(1).alias("level"))
-    for level in range(2, levels + 1):
-        tokens = met.where("line IS NULL AND c1 IS NULL").select("token").distinct()
-        found = tokens.limit(HOT_WORDS + 1).collect()
+    hot: list[np.ndarray] = []
+    for level in range(1, levels + 1):
+        found = met.where("line IS NULL AND c1 IS NULL").groupBy("token").agg(F.sum("word").alias("n")).limit(HOT_WORDS + 1).collect()
         if not found:
             break
         if len(found) > HOT_WORDS:
             raise ValueError("too many words that more than part classes share: choose a larger part")
-        hot.append(np.sort(np.array([r.token for r in found], np.int64).view(np.uint64)))
-        met = _survivors(_posted(docs, ranks, t, every(level), subs, hot, False), level, t, every(level), id_type, "chains")
-        left = left.union(met.where("c1 IS NOT NULL").select("c1", "token", "word", F.lit(level)))
+        found = sorted((r.token & (1 << 64) - 1, r.n) for r in found)
+        hot.append(np.array([x for x, _ in found], np.uint64))
+        blocks = np.array([-(-n // part) for _, n in found]) if level == levels else None
+        met = met_at(min(level + 1, levels), hot, blocks, "chains")
+        more = met.where("c1 IS NOT NULL").select("c1", "token", "word", F.lit(min(level + 1, levels)).alias("level"))
+        left = left.union(more.distinct() if blocks is not None else more)
+
+    # Groups of many survivors are compared block by block.
+    left = written(left, "left")
+    sizes = small(written(left.groupBy("token", "word", "level").count().where(F.col("count") > DEALT).select(F.col("token").alias("t1"), F.col("word").alias("w1"), F.col("level").alias("l1"), F.ceil(F.col("count") / DEALT).alias("blocks")), "groups"))
+    left = left.join(sizes, (F.col("token") == F.col("t1")) & (F.col("word") == F.col("w1")) & (F.col("level") == F.col("l1")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    left = left.withColumn("own", F.pmod(F.xxhash64("c1"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")) * 2 + (F.col("own") > F.col("other")).cast("long")
+    left = left.select("c1", "token", "word", "level", dealt.alias("dealt"))
 
     # Only classes of several lines, or with a survivor, are more than what their line says.
     first = F.min(F.struct("doc_id", "line", "th")).alias("first")
@@ -537,7 +624,7 @@ def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART
     classes = written(classes.join(small(partnered), F.col("c1") == F.col("s1"), "left").where("n > 1 OR s1 IS NOT NULL").drop("n"), "classes")
     # Classes are looked up by one sum of their words' hashes; two classes that agree in it are both taken.
     wanted = classes.where("s1 IS NOT NULL").select("c1", "first.doc_id", "first.th", "first.line")
-    lists = written(packed(left.join(wanted, "c1"), "line", "token", "word", "level"), "left-lists")
+    lists = written(packed(left.join(wanted, "c1"), "line", "token", "word", "level", "dealt"), "left-lists")
 
     def send(batches):
         """The sets of listed lines; of rows alike in doc_id and text one, as long as the task remembers it."""
@@ -550,7 +637,7 @@ def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART
                 if key in met_before:
                     continue
                 met_before.add(key)
-                listed_ = unpacked(blobs[r].as_py(), 4)
+                listed_ = unpacked(blobs[r].as_py(), 5)
                 numbers, of = np.unique(listed_[:, 0], return_inverse=True)
                 text = np.frombuffer(texts[r].as_py() or b"", np.uint8)
                 edge = np.concatenate(([-1], np.flatnonzero(text == 10), [len(text)]))
@@ -569,15 +656,19 @@ def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART
                 begin = np.cumsum(n) - n
                 held += [word[b : b + k].tobytes() for b, k in zip(begin.tolist(), n.tolist())]
             entries, rows = np.concatenate(entries), np.concatenate(rows)
-            sets_ = pa.array(held, pa.binary()).take(pa.array(entries[:, 4]))
+            sets_ = pa.array(held, pa.binary()).take(pa.array(entries[:, 5]))
             rows = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.ascontiguousarray(entries[:, k])) for k in (1, 2)), pa.array(entries[:, 3].astype(np.int32)), ids.take(rows), th.take(rows), pa.array(entries[:, 0].astype(np.int32)), sets_], ["token", "word", "level", "doc_id", "th", "line", "words"]
+                [
+                    *(pa.array(np.ascontiguousarray(c)) for c in (entries[:, 1], entries[:, 2], entries[:, 3].astype(np.int32), entries[:, 4] >> 1, (entries[:, 4] & 1).astype(np.int32))),
+                    *(ids.take(rows), th.take(rows), pa.array(entries[:, 0].astype(np.int32)), sets_),
+                ],
+                entry.names,
             )
 
-    entry = T.StructType([*T.StructType.fromDDL("token long, word long, level int"), T.StructField("doc_id", id_type), *T.StructType.fromDDL("th long, line int, words binary")])
+    entry = T.StructType([*T.StructType.fromDDL("token long, word long, level int, blocks long, side int"), T.StructField("doc_id", id_type), *T.StructType.fromDDL("th long, line int, words binary")])
     sent = listed(docs, lists, broadcast_bytes=LIST_BYTES).mapInArrow(send, entry)
-    sent = sent.repartition(partitions(spark), "token").sortWithinPartitions("token", "word", "level")
+    sent = sent.repartition(partitions(spark), "token", "blocks").sortWithinPartitions("token", "blocks")
 
     def compared(batches):
         held, n = [], 0
@@ -588,8 +679,8 @@ def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART
             n += batch.nbytes
             if n >= 32 << 20:
                 whole = pa.Table.from_batches(held)
-                token = whole["token"].to_numpy()
-                ends = np.flatnonzero(token != token[-1])
+                token, blocks = whole["token"].to_numpy(), whole["blocks"].to_numpy()
+                ends = np.flatnonzero((token != token[-1]) | (blocks != blocks[-1]))
                 if len(ends):
                     to = int(ends[-1]) + 1
                     yield _compared(whole.slice(0, to), ranks.value, t)
@@ -615,27 +706,29 @@ def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART
 
 
 def _compared(rows: pa.Table, ranks: np.ndarray, t: Fraction) -> pa.RecordBatch:
-    """(doc_id, th, line, links, earlier) of the rows with a similar partner in their group (token, word, level).
+    """(doc_id, th, line, links, earlier) of the rows with a similar partner in their group (token, word, level, blocks).
 
     A pair counts in the group whose chain are its first common words: then as many of its common
     words as the chain is long stand up to the chain's last.
     """
     names = ["doc_id", "th", "line"]
     id_rank = pc.rank(rows["doc_id"].combine_chunks(), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
-    token, last, level, th, number = (rows[c].to_numpy() for c in ("token", "word", "level", "th", "line"))
+    token, last, level, blocks, side, th, number = (rows[c].to_numpy() for c in ("token", "word", "level", "blocks", "side", "th", "line"))
     turn = np.lexsort((th, number, id_rank))
     place = np.empty(len(turn), np.int64)
     place[turn] = np.cumsum(np.concatenate(([0], np.any([c[turn][1:] != c[turn][:-1] for c in (id_rank, number, th)], axis=0))))[: len(turn)]
+    alone = blocks >> 31 == blocks & (1 << 31) - 1
     blobs = rows["words"].combine_chunks()
     bounds = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64) // 8
     size = np.diff(bounds)
     every = np.frombuffer(blobs.buffers()[2], np.uint64)[bounds[0] : bounds[-1]] if blobs.buffers()[2] is not None else np.zeros(0, np.uint64)
     # In order of group and size, each line once: rows alike in doc_id and text may come from different tasks.
-    order = np.lexsort((place, size, level, last, token))
-    same = np.all([c[order][1:] == c[order][:-1] for c in (place, level, last, token)], axis=0)
+    order = np.lexsort((place, size, blocks, level, last, token))
+    same = np.all([c[order][1:] == c[order][:-1] for c in (place, blocks, level, last, token)], axis=0)
     order = order[np.concatenate(([True], ~same))]
-    token, last, level, place, size, begin = token[order], last[order], level[order], place[order], size[order], bounds[:-1][order] - bounds[0]
-    group = np.cumsum(np.concatenate(([0], (token[1:] != token[:-1]) | (last[1:] != last[:-1]) | (level[1:] != level[:-1]))))
+    token, last, level, blocks, place, size, side, alone = (c[order] for c in (token, last, level, blocks, place, size, side, alone))
+    begin = bounds[:-1][order] - bounds[0]
+    group = np.cumsum(np.concatenate(([0], np.any([c[1:] != c[:-1] for c in (token, last, level, blocks)], axis=0))))
     # Words by their place in the order of all words that are here.
     words = np.unique(every)
     words = words[np.lexsort((words, ranks[_place(words)]))]
@@ -667,18 +760,18 @@ def _compared(rows: pa.Table, ranks: np.ndarray, t: Fraction) -> pa.RecordBatch:
                 both = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
                 shared = np.bincount(pair, both, len(a))
                 ahead = np.bincount(pair, both & (columns[where] <= own[a][pair]), len(a))
-                ok = (shared >= least_overlap(size[a] + size[b], t)) & (ahead == level[a])
+                ok = (shared >= least_overlap(size[a] + size[b], t)) & (ahead == level[a]) & (alone[a] | (side[a] != side[b]))
                 tell(a[ok], b[ok])
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         if b - a > FEW:
-            _dense_pairs(columns, starts[a:b], size[a:b], int(own[a]), int(level[a]), t, lambda i, j, a=a: tell(i + a, j + a))
+            _dense_pairs(columns, starts[a:b], size[a:b], None if alone[a] else side[a:b], int(own[a]), int(level[a]), t, lambda i, j, a=a: tell(i + a, j + a))
     told = links > 0
     out = rows.select(names).take(pa.array(order[told])).combine_chunks()
     return pa.RecordBatch.from_arrays([*(out[c].combine_chunks() for c in names), pa.array(links[told]), pa.array(earlier[told])], [*names, "links", "earlier"])
 
 
-def _dense_pairs(columns: np.ndarray, starts: np.ndarray, size: np.ndarray, own: int, level: int, t: Fraction, tell, step: int = 256, wide: int = 8192) -> None:
-    """The similar pairs of one group, whose rows are in order of size, by matrix products of blocks of rows."""
+def _dense_pairs(columns: np.ndarray, starts: np.ndarray, size: np.ndarray, side: np.ndarray | None, own: int, level: int, t: Fraction, tell, step: int = 256, wide: int = 8192) -> None:
+    """The similar pairs of one group, of different sides if there are any, by matrix products of blocks of rows, which are in order of size."""
     low, high = int(starts[0]), int(starts[-1] + size[-1])
     every, column = np.unique(columns[low:high], return_inverse=True)
     shared = np.bincount(column) > 1  # a word of one row is common to none
@@ -712,6 +805,8 @@ def _dense_pairs(columns: np.ndarray, starts: np.ndarray, size: np.ndarray, own:
                 if start < ahead_to:
                     ahead += left[:, : ahead_to - start] @ right[:, : ahead_to - start].T
             ok = (overlap >= least_overlap(size[lo:hi, None] + size[None, lo2:hi2], t)) & (ahead == level)
+            if side is not None:
+                ok &= side[lo:hi, None] != side[None, lo2:hi2]
             if x == y:
                 ok = np.triu(ok, 1)
             i, j = np.nonzero(ok)

@@ -1,6 +1,7 @@
 import random
 from fractions import Fraction
 
+from siftwell.llm import line_dedup
 from siftwell.llm.line_dedup import joined_lines, least_overlap, prefix_length, without_later_lines
 
 
@@ -55,7 +56,7 @@ def test_against_all_pairs(make_docs):
         assert got == brute(rows) and n == 200
 
 
-def test_large_groups_and_long_lines(make_docs):
+def test_large_groups_and_long_lines(make_docs, monkeypatch):
     """Groups that are compared by matrix products, whose words are split further, and sets with wide bitmaps."""
     r = random.Random(5)
     base = [f"b{i}" for i in range(120)]
@@ -66,7 +67,8 @@ def test_large_groups_and_long_lines(make_docs):
             for _ in range(r.randrange(most)):
                 line[r.randrange(len(line))] = f"x{r.randrange(40)}"
         rows.append((i, " ".join(short) + "\n" + " ".join(long)))
-    for part in (1 << 15, 20):
+    for part, dealt in ((1 << 15, 2048), (20, 60)):
+        monkeypatch.setattr(line_dedup, "DEALT", dealt)
         got, n = found(make_docs(rows), part=part)
         assert got == brute(rows) and n == 300
 
