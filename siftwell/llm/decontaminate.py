@@ -10,11 +10,14 @@ rarest term's posting stands, without another shuffle of postings.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import BROADCAST_ROWS, small, table, written
 
 WINDOW = 13
+#: Words of a document that are looked at together.
+PIECE = 512
 #: Fixed values of the contract: what parts words, once A-Z count as letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,27 +77,43 @@ def test_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
 
     n is the length of the item's windows. Terms are counted over all docs;
     windows with a term that no document has are left out, as they can't match.
+    Every term of an item is a row of its own, and windows roll over these rows,
+    so an item may be as long as a document.
     """
     each = items.select("item_id", F.transform(F.filter(parts(F.col("text")), lambda w: w != ""), lowered).alias("words")).where(F.size("words") > 0).distinct()
-    each = written(each.withColumn("item", F.xxhash64("item_id", "words")), "items")
+    each = written(each.withColumn("item", F.xxhash64("item_id", "words")).withColumn("size", F.size("words")), "items")
     terms = small(written(each.select(F.explode("words").alias("term")).distinct(), "terms"))
     found = docs.select(F.explode(parts(F.col("text"))).alias("word")).select(lowered(F.col("word")).alias("term"))
     counts = written(found.join(terms, "term").groupBy("term").agg(F.count("*").alias("n")), "counts")
-    places = each.select("item", F.posexplode("words").alias("at", "term")).join(small(counts), "term")
-    counted = places.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("at", F.col("n")))).alias("n_at"))
-    n = F.least(F.size("words"), F.lit(window))
-    starts = F.explode(F.sequence(F.lit(0), F.size("words") - n))
-    rarest = F.array_min(F.transform(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1), lambda p: F.struct(F.coalesce(F.try_element_at("n_at", p), F.lit(0)).alias("count"), p.alias("at"))))
-    chosen = each.join(counted, "item").select("item_id", "item", "words", "n_at", n.cast("int").alias("n"), starts.alias("start")).withColumn("rarest", rarest).where("rarest.count > 0")
-    around = F.transform(F.sequence(F.col("rarest.at") - (window - 1), F.col("rarest.at") + (window - 1)), lambda p: F.get("words", p))
-    return written(chosen.select(F.get("words", F.col("rarest.at")).alias("term"), "item_id", "n", around.alias("around")).distinct(), "windows")
+    places = each.select("item_id", "item", "size", F.posexplode("words").alias("at", "term")).join(small(counts), "term", "left")
+    in_order = W.partitionBy("item").orderBy("at")
+    near = F.array(*(F.lag("term", -d).over(in_order) if d < 0 else F.lead("term", d).over(in_order) for d in range(1 - window, window)))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("count"), "at")).over(in_order.rowsBetween(0, window - 1))
+    n = F.least(F.col("size"), F.lit(window)).cast("int")
+    rolled = written(places.select("item_id", "item", "size", "at", "term", n.alias("n"), near.alias("around"), rarest.alias("rarest")), "rolled")
+    led = rolled.where("at <= size - n AND rarest.count > 0").select("item", F.col("rarest.at").alias("at")).distinct()
+    return written(rolled.join(led, ["item", "at"], "left_semi").select("term", "item_id", "n", "around").distinct(), "windows")
 
 
 def postings(docs: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(term, doc_id, h, at, around): the index of docs (doc_id, text) for terms (term)."""
-    each = keyed(docs).select("doc_id", "h", "words", F.posexplode("words").alias("at", "word")).withColumn("term", lowered(F.col("word")))
-    around = F.transform(F.sequence(F.col("at") - (window - 1), F.col("at") + (window - 1)), lambda p: lowered(F.get("words", p)))
-    return each.join(small(terms), "term").select("term", "doc_id", "h", "at", around.alias("around"))
+    """(term, doc_id, h, at, around): the index of docs (doc_id, text) for terms (term).
+
+    A document's words are taken piece by piece, as the rows of an exploded array each hold what stands beside it.
+    Where the terms are few enough to be broadcast, the terms around a posting are looked up after the join.
+    Where they are shuffled, no row may carry its piece along: each has the terms around it from the start.
+    """
+    side = window - 1
+    start = lambda k: F.greatest(k * PIECE - side, F.lit(0))
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("words") / PIECE).cast("int") - 1, F.lit(0)))
+    pieces = F.transform(numbers, lambda k: F.slice("words", start(k) + 1, PIECE + 2 * side))
+    pieces = keyed(docs).select("doc_id", "h", F.posexplode(pieces).alias("k", "words"))
+    around = lambda i: F.transform(F.sequence(i - side, i + side), lambda p: lowered(F.get("words", p)))
+    own = lambda rows: rows.withColumn("at", start(F.col("k")) + F.col("i")).where((F.col("at") >= F.col("k") * PIECE) & (F.col("at") < (F.col("k") + 1) * PIECE))
+    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        each = own(pieces.select("doc_id", "h", "k", "words", F.posexplode("words").alias("i", "word"))).withColumn("term", lowered(F.col("word")))
+        return each.join(F.broadcast(terms), "term").select("term", "doc_id", "h", "at", around(F.col("i")).alias("around"))
+    each = own(pieces.select("doc_id", "h", "k", F.inline(F.transform("words", lambda w, i: F.struct(i.alias("i"), lowered(w).alias("term"), around(i).alias("around"))))))
+    return each.join(terms, "term").select("term", "doc_id", "h", "at", "around")
 
 
 def _agreeing(window: int) -> Column:
@@ -129,6 +148,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     Null and empty texts have no words. Repeated items count once; an item with
     a null id can hit words but isn't counted or listed. Rows that repeat a
     doc_id are judged each by its own text. Empty tables give no rows, or no hits.
+    Other columns of either table, of any name, aren't looked at. A text or an item may be of any length.
     """
     windows = test_windows(docs, items, window)
     index = written(postings(docs, windows.select("term").distinct(), window), "postings")
@@ -154,7 +174,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the contaminated ones."""
+    """docs without the contaminated ones; each row is judged by its own text, rows with a null text or id too.
+
+    All columns, of any name, and repeated rows stay as they are; an empty table, or an empty benchmark, changes nothing.
+    """
     judged = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    bad = small(written(judged.where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("h").alias("_bad_h")).distinct(), "contaminated"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == F.col("_bad_h")), "left_anti")
+    bad = small(written(judged.where("contaminated").select(F.col("doc_id").alias("id"), "h").distinct(), "contaminated"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["id"]) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == bad["h"]), "left_anti")

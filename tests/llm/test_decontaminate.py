@@ -4,6 +4,7 @@ import re
 
 import duckdb
 
+from siftwell.llm import decontaminate
 from siftwell.llm.decontaminate import ORACLE_SQL, contamination, decontamination_stage, postings, proximity_matches, test_windows as windows_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -73,3 +74,31 @@ def test_proximity_and_stage(spark, make_docs, tmp_path):
     items.write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = decontamination_stage(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3}
+
+
+def test_more_terms_than_may_be_broadcast(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    docs, items = fixture()
+    docs = [(i, t) for i, t in docs if i is not None and i < 20]
+    rows = contamination(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")).drop("h").collect()
+    assert sorted(map(tuple, rows)) == sorted((i, *brute(t, items)) for i, t in docs)
+
+
+def test_long_items(spark, make_docs):
+    """An item as long as a book: its windows roll over its words."""
+    long = [f"w{i}" for i in range(20_000)]
+    rare = " ".join(long[11_000:11_020])
+    docs = make_docs([(1, f"x {rare} y"), (2, "w5 w7 w9 " * 20), (3, " ".join(long))])
+    items = spark.createDataFrame([(7, " ".join(long)), (8, rare)], "item_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in contamination(docs, items).collect()}
+    assert found == {1: (22, 20, 2, True), 2: (60, 0, 0, False), 3: (20_000, 20_000, 2, True)}
+
+
+def test_columns_of_any_name(spark, make_docs, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(13))
+    docs = make_docs([(1, passage), (2, "clean"), (3, None)]).selectExpr("*", "'kept' AS h", "1 AS id", "2 AS _bad_id", "3 AS words", "4 AS term")
+    items = spark.createDataFrame([(7, passage, 1, 2)], "item_id long, text string, item int, n int")
+    assert {r.doc_id: r.n_hit for r in contamination(docs, items).collect()} == {1: 13, 2: 0, 3: 0}
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = decontamination_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {(r.doc_id, r.h) for r in kept.collect()} == {(2, "kept"), (3, "kept")}
