@@ -6,6 +6,11 @@ pre-tokens that it touches, and a few before as context, are split and encoded
 anew, until a boundary of the new text falls on one of the old text behind the edit;
 from there on the split is as before. The sums above the touched blocks are
 then renewed.
+
+``count_trees`` makes a table of trees, a row for each document, to be kept;
+``edit_trees`` applies a batch of edits to such a table and gives the next one,
+in which only what the edits touch has been encoded anew. ``edited_counts`` does
+both for texts that come with their edits.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import types as T
 from .common import narrow_batches, small, table
 
 #: Where the ranks of a public byte-level vocabulary are, and the pattern of its pre-tokens (fixed values).
+#: Every executor opens the file by this path: it is on each machine, or in a folder that all of them share.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters before an edit whose pre-tokens may see it: a pre-token looks less far ahead.
@@ -64,9 +70,14 @@ class Counter:
 class CountTree:
     """A text with its pre-tokens in a segment tree; tokens is the number of its tokens."""
 
-    def __init__(self, text: str, counter: Counter) -> None:
+    def __init__(self, text: str, counter: Counter, leaves: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """leaves: the lengths and counts of the text's pre-tokens if they are known; else it is encoded."""
         self.text, self.counter, self.encoded = text, counter, 0
-        self._build(*counter.measure(text))
+        self._build(*(counter.measure(text) if leaves is None else leaves))
+
+    def leaves_(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and counts of all pre-tokens, from which the tree can be built again without encoding."""
+        return tuple(np.concatenate([b[k] for b in self.blocks]).astype(np.int32) for k in range(2))
 
     def _build(self, lengths: np.ndarray, counts: np.ndarray) -> None:
         n = max(1, -(-len(lengths) // BLOCK))
@@ -171,11 +182,73 @@ EDITS = "array<struct<at:int,remove:int,insert:string>>"
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """docs with their edits (doc_id, seq, at, remove, insert), in order of seq, as the array _edits.
 
-    A document's edits are gathered in its row; documents without edits get an empty array.
+    A document's edits are gathered in its row; documents without edits get an empty array. A column _edits
+    that was there before is replaced, columns of other names stay.
     """
+    docs = docs.drop("_edits")
     listed = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "at", "remove", "insert"))).alias("e"))
-    listed = small(listed.select(F.col("doc_id").alias("_doc"), F.transform("e", lambda x: F.struct(x["at"].cast("int").alias("at"), x["remove"].cast("int").alias("remove"), x["insert"].alias("insert"))).alias("_edits")))
-    return docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select(*docs.columns, F.coalesce("_edits", F.array().cast(EDITS)).alias("_edits"))
+    listed = small(listed.select(F.col("doc_id").alias("id"), F.transform("e", lambda x: F.struct(x["at"].cast("int").alias("at"), x["remove"].cast("int").alias("remove"), x["insert"].alias("insert"))).alias("edits")))
+    return docs.join(listed, docs["doc_id"].eqNullSafe(listed["id"]), "left").select(*(docs[c] for c in docs.columns), F.coalesce(listed["edits"], F.array().cast(EDITS)).alias("_edits"))
+
+
+TREE = "version int, text string, lengths binary, counts binary, n_chars long, n_pretokens long, n_tokens long"
+
+
+def _tree_columns(trees: list[CountTree], versions: list[int]) -> list[pa.Array]:
+    leaves = [t.leaves_() for t in trees]
+    return [
+        pa.array(versions, pa.int32()), pa.array([t.text for t in trees], pa.string()), *(pa.array([x[k].tobytes() for x in leaves], pa.binary()) for k in range(2)),
+        *(pa.array(x, pa.int64()) for x in ([len(t.text) for t in trees], [t.pretokens for t in trees], [t.tokens for t in trees])),
+    ]
+
+
+def _apply(tree: CountTree, edits) -> int:
+    """Applies the edits in order; how many there are."""
+    for e in edits or ():
+        if e is not None:
+            tree.edit(e["at"] or 0, e["remove"] or 0, e["insert"] or "")
+    return len(edits or ())
+
+
+def count_trees(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, version 0, text, lengths, counts, n_chars, n_pretokens, n_tokens) for each row of docs (doc_id, text): trees to be stored.
+
+    A null text is empty. Repeated rows are trees of their own; other columns aren't looked at.
+    """
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(TREE)])
+
+    def run(batches):
+        counter = Counter(ranks, pattern)
+        for batch in narrow_batches(batches):
+            trees = [CountTree(t or "", counter) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_tree_columns(trees, [0] * len(trees))], schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """The next trees, with n_edits and n_encoded, from stored ones and edits (doc_id, seq, at, remove, insert).
+
+    Trees with edits get the next version; of their text only what the edits touch is encoded, n_encoded
+    pre-tokens in all. Trees without edits pass as they are. Edits of unknown documents do nothing; those of a
+    doc_id that has several trees apply to each. The vocabulary must be that of the stored counts.
+    """
+    schema = T.StructType([trees.schema["doc_id"], *T.StructType.fromDDL(f"{TREE}, n_edits long, n_encoded long")])
+    kept = schema.names[:-2]
+
+    def run(batches):
+        counter = Counter(ranks, pattern)
+        for batch in narrow_batches(batches):
+            columns = {c: batch.column(i).to_pylist() for i, c in enumerate([*kept[1:5], "_edits"])}
+            made, versions, done = [], [], []
+            for version, text, lengths, counts, own in zip(*columns.values()):
+                tree = CountTree(text or "", counter, (np.frombuffer(lengths or b"", np.int32), np.frombuffer(counts or b"", np.int32)))
+                done.append(_apply(tree, own))
+                made.append(tree)
+                versions.append(version + (done[-1] > 0))
+            yield pa.RecordBatch.from_arrays([batch.column(5), *_tree_columns(made, versions), pa.array(done, pa.int64()), pa.array([t.encoded for t in made], pa.int64())], schema.names)
+
+    return with_edits(trees.select(*kept[:5]), edits).select(*kept[1:5], "_edits", "doc_id").mapInArrow(run, schema)
 
 
 def edited_counts(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
@@ -184,7 +257,8 @@ def edited_counts(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -
 
     Edits apply one after the other, each to what the last one left. A null text
     is empty, a null array has no edits; a null place or length is 0, a null
-    insert is empty. Repeated rows are counted each.
+    insert is empty. Repeated rows are counted each; other columns aren't looked
+    at, and a table without rows gives none.
     """
     fields = "n_chars long, n_pretokens long, n_tokens long, n_edits long, n_encoded long, n_chars_after long, n_pretokens_after long, n_tokens_after long"
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(fields)])
@@ -196,10 +270,8 @@ def edited_counts(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -
             for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 tree = CountTree(text or "", counter)
                 before = (len(tree.text), tree.pretokens, tree.tokens)
-                for e in edits or ():
-                    if e is not None:
-                        tree.edit(e["at"] or 0, e["remove"] or 0, e["insert"] or "")
-                out.append((*before, len(edits or ()), tree.encoded, len(tree.text), tree.pretokens, tree.tokens))
+                n_edits = _apply(tree, edits)
+                out.append((*before, n_edits, tree.encoded, len(tree.text), tree.pretokens, tree.tokens))
             columns = [pa.array(list(c), pa.int64()) for c in (zip(*out) if out else [[]] * 8)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema.names)
 

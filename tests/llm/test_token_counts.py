@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm.token_counts import CountTree, Counter, edited_counts, revision, with_edits
+from siftwell.llm.token_counts import CountTree, Counter, count_trees, edit_trees, edited_counts, revision, with_edits
 
 PIECES = ["'", "l", "ll", " ", "  ", "\n", "a", "é", "1", "22", "!", " the", "'re", "\t \n", "x" * 30, "日本"]
 
@@ -41,3 +41,34 @@ def test_rows(spark, make_docs, counter):
     joined = {r.n_edits: r for r in edited_counts(with_edits(docs.where("doc_id = 0").limit(1), edits)).collect()}
     assert joined[2].n_tokens_after == len(counter.encoding.encode_ordinary("Bye w!!orld, it's me"))
     assert edited_counts(with_edits(docs, edits).limit(0)).collect() == []
+
+
+def test_stored_trees_encode_only_what_edits_touch(spark, make_docs, counter, tmp_path):
+    r = random.Random(8)
+    texts = {i: " ".join(r.choice(["word", "it's", "42", "naïve", "..."]) for _ in range(3000)) for i in range(3)} | {3: "", 4: None}
+    docs = make_docs(list(texts.items())).selectExpr("*", "'x' AS version", "1 AS _edits", "2 AS lengths")
+    count_trees(docs).write.parquet(str(tmp_path / "v0"))
+    now = {i: t or "" for i, t in texts.items()}
+    for version in (1, 2):
+        batch = [(i, k, r.randrange(len(now[i]) + 1), r.randrange(30), "new text") for i in (0, 1, 3) for k in range(2)] + [(99, 0, 0, 0, "x")]
+        for i, _, at, remove, insert in batch[:-1]:
+            now[i] = now[i][:at] + insert + now[i][at + remove :]
+        edits = spark.createDataFrame(batch, "doc_id long, seq int, at int, remove int, insert string")
+        edit_trees(spark.read.parquet(str(tmp_path / f"v{version - 1}")).drop("n_edits", "n_encoded"), edits).write.parquet(str(tmp_path / f"v{version}"))
+        rows = {x.doc_id: x for x in spark.read.parquet(str(tmp_path / f"v{version}")).collect()}
+        assert len(rows) == 5
+        for i, x in rows.items():
+            lengths, counts = counter.measure(now[i])
+            assert x.text == now[i] and x.lengths == lengths.tobytes() and x.counts == counts.tobytes()
+            assert (x.n_tokens, x.n_pretokens, x.n_chars) == (counts.sum(), len(lengths), len(now[i]))
+            edited = i in (0, 1, 3)
+            assert x.version == (version if edited else 0) and x.n_edits == 2 * edited and x.n_encoded <= 60 * edited
+    assert edit_trees(spark.read.parquet(str(tmp_path / "v0")).limit(0), edits).collect() == []
+
+
+def test_columns_of_any_name(spark, make_docs):
+    docs = make_docs(["a b", "c"]).selectExpr("*", "'kept' AS _doc", "1 AS id", "2 AS edits")
+    edits = spark.createDataFrame([(0, 1, 0, 1, "xy")], "doc_id long, seq int, at int, remove int, insert string")
+    out = with_edits(docs, edits)
+    assert out.columns == [*docs.columns, "_edits"] and {x._doc for x in out.collect()} == {"kept"}
+    assert {x.n_edits for x in edited_counts(out).collect()} == {0, 1}
