@@ -19,15 +19,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, scratch, small, table
+from .common import partitions, scratch, small, table, unused
 
 #: Bytes of a compacted file; a file of half of that counts as full.
 TARGET_BYTES = 32 << 20
+#: Files that a round of compaction merges, about, and what that may be raised to.
+FILES, MOST_FILES = 20_000, 100_000
 MANIFEST = "path string, bytes long, n_rows long"
 
 
 class ShardStore:
-    """Files and manifests below one folder, which may be on any file system that Spark writes to."""
+    """Files and manifests below one folder that the driver and all executors share.
+
+    Two writers are kept apart by a rename that fails where the target is there: HDFS does that in one
+    step. On file systems that look first and rename then (local folders, object stores) let one writer commit at a time.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -104,31 +110,37 @@ class ShardStore:
         packed = runs.withColumn("k", F.floor(F.coalesce(before, F.lit(0)) / target)).withColumn("n", F.count("*").over(W.partitionBy("tier", "k")))
         return packed.where("n > 1").select("path", "bytes", "n_rows", F.concat_ws("-", F.col("tier").cast("int"), "k").alias("shard_group"))
 
-    def compact(self, target: int = TARGET_BYTES, rounds: int = 8) -> int:
-        """Merges until no tier has two small files to merge; the newest version."""
+    def compact(self, target: int = TARGET_BYTES, files: int = FILES) -> int:
+        """Merges until no tier has two small files to merge; the newest version.
+
+        A round merges whole groups of at most ``files`` files, or one group, and commits: so many names are
+        in the driver at once. Every round leaves fewer files, so the rounds end.
+        """
         version = self.version()
         if not version:
             return 0
         schema = self.schema(version)
-        for _ in range(rounds):
-            chosen = small(self.plan(target, version)).persist()
-            paths = [r.path for r in chosen.select("path").collect()]  # names of files, not rows
-            if not paths:
-                chosen.unpersist()
+        while True:
+            most = min(files, MOST_FILES)
+            listed = self.plan(target, version).orderBy("shard_group", "path").limit(most + 1).collect()
+            if not listed:
                 break
+            if len(listed) > most:  # the last group may go on
+                whole = [r for r in listed if r.shard_group != listed[-1].shard_group]
+                listed = whole if whole else listed[:most]
+            chosen = self.spark.createDataFrame(listed, f"{MANIFEST}, shard_group string")
+            paths = [r.path for r in listed]
             folder = f"data/{uuid.uuid4().hex}"
             rows = self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p in paths))
             where = rows.metadataColumn("_metadata")["file_path"]
-            name = next(n for n in ("shard_group", "_shard_group", uuid.uuid4().hex) if n not in {c.lower() for c in rows.columns})
-            key = F.regexp_extract(where, "/(data/[^/]+/.*)$", 1)
-            rows = rows.select("*", key.alias("_path_of_file"))
-            group = F.broadcast(chosen.select(F.col("path").alias("_path_of_file"), F.col("shard_group").alias(name)))
-            n = max(1, min(chosen.select("shard_group").distinct().count(), 4 * partitions(self.spark)))
-            merged = rows.join(group, "_path_of_file").drop("_path_of_file").repartition(n, name).sortWithinPartitions(name)
+            name, path = unused(rows, "shard_group", "path_of_file")
+            rows = rows.select("*", F.regexp_extract(where, "/(data/[^/]+/.*)$", 1).alias(path))
+            group = F.broadcast(chosen.select(F.col("path").alias(path), F.col("shard_group").alias(name)))  # at most MOST_FILES rows
+            n = max(1, min(len({r.shard_group for r in listed}), 4 * partitions(self.spark)))
+            merged = rows.join(group, path).drop(path).repartition(n, name).sortWithinPartitions(name)
             merged.write.option("compression", "zstd").partitionBy(name).parquet(f"{self.root}/{folder}")
             kept = self.manifest(version).join(F.broadcast(chosen.select("path")), "path", "left_anti")
             version = self.commit(kept.unionByName(self._written(folder)), version, "compact", schema)
-            chosen.unpersist()
         return version
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -161,7 +173,7 @@ class ShardStore:
 def sharded(docs: DataFrame, root: str, target: int = TARGET_BYTES) -> DataFrame:
     """(doc_id, shard, shard_rows, shard_bytes, version) for each row of docs, after append and compaction in root.
 
-    All columns of docs are in the files. Nulls, repeated rows and long texts are
+    All columns of docs, of any name, are in the files. Nulls, repeated rows and long texts are
     written as they are; a table without rows gives no shards and no rows.
     """
     store = ShardStore(docs.sparkSession, root)
@@ -176,5 +188,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each row of docs is in the newest version of a new store of shards."""
+    """Where each row of docs is in the newest version of a new store of shards; see sharded for odd rows and columns."""
     return sharded(docs, scratch(spark, "shards"))

@@ -38,3 +38,16 @@ def test_rows(spark, make_docs):
     rows = sharded(docs, scratch(spark, "test")).collect()
     assert sorted(str(r.doc_id) for r in rows) == ["1", "1", "None"] and {r.shard_rows for r in rows} <= {1, 2, 3}
     assert sharded(docs.limit(0), scratch(spark, "test")).collect() == []
+
+
+def test_rounds_go_on_until_nothing_is_left(spark, make_docs):
+    """Few files a round, many rounds; columns named like the work columns."""
+    docs = make_docs([(i, f"t{i} " * 50) for i in range(60)]).selectExpr("*", "'kept' AS _path_of_file", "1 AS path_of_file", "2 AS shard_group")
+    store = ShardStore(spark, scratch(spark, "test"))
+    for k in range(6):
+        store.append(docs.where(f"doc_id % 6 = {k}"))
+    before = store.manifest().count()
+    version = store.compact(target=1 << 20, files=4)
+    assert store.plan(1 << 20).isEmpty() and store.manifest().count() < before and version > 7
+    rows = store.read().select(docs.columns)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, docs.collect()))
