@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,7 +122,7 @@ class Model:
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """In how many texts of class 0 and of class 1 each feature is, over all rows (quality, text).
 
-    Each task adds up its own rows and passes on vectors of fixed size in
+    Each task adds up its own rows and passes on what it counted, compressed, in
     SLOTS parts, so the driver and each adding task hold a fixed amount.
     """
 
@@ -131,13 +132,14 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for y, f in zip(batch["quality"].to_pylist(), features.texts(batch["text"])):
                 sums[y, f] += 1
         parts = sums.reshape(2, SLOTS, -1)
-        yield pa.RecordBatch.from_pydict({"slot": list(range(SLOTS)), "sums": [parts[:, s].tobytes() for s in range(SLOTS)]}, schema=pa.schema([("slot", pa.int32()), ("sums", pa.binary())]))
+        slots = [s for s in range(SLOTS) if parts[:, s].any()]
+        yield pa.RecordBatch.from_pydict({"slot": slots, "sums": [zstandard.compress(parts[:, s].tobytes(), 1) for s in slots]}, schema=pa.schema([("slot", pa.int32()), ("sums", pa.binary())]))
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, blob in zip(batch["slot"].to_pylist(), batch["sums"].to_pylist()):
-                part = np.frombuffer(blob, np.int64)
+                part = np.frombuffer(zstandard.decompress(blob), np.int64)
                 total[s] = total[s] + part if s in total else part
         yield pa.RecordBatch.from_pydict({"slot": list(total), "sums": [v.tobytes() for v in total.values()]}, schema=pa.schema([("slot", pa.int32()), ("sums", pa.binary())]))
 
@@ -195,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, smoothing:
     text is an empty one; repeated rows count as often as they stand there.
     With one class or none, every score is the (smoothed) share of label 1.
     Ratios come from all labelled rows; the hinge-loss model is fitted to at
-    most ``fit_rows`` rows of each class, those with the smallest hash of their id.
+    most ``fit_rows`` rows of each class, those with the smallest hash of their id
+    (where an id stands on several rows, on fewer ids: the first by id and features).
     """
     remainder = F.crc32(F.col("doc_id").cast("string")) % 3
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(remainder != 1).select("doc_id", F.col("quality").cast("int").alias("quality"))
@@ -218,14 +221,25 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, smoothing:
         chosen = part if chosen is None else chosen.union(part)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
 
+    def bounded(rows) -> list:
+        """The first fit_rows rows of each class in order, never holding many more."""
+        held: dict = {0: [], 1: []}
+        for row in rows:
+            own = held[row[1]]
+            own.append(row)
+            if len(own) >= 2 * fit_rows:
+                held[row[1]] = sorted(own)[:fit_rows]
+        return sorted(row for own in held.values() for row in sorted(own)[:fit_rows])
+
     def indicate(batches):
         features = Features()
-        for batch in narrow_batches(batches):
-            blobs = [f.astype(np.int32).tobytes() for f in features.texts(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["quality"], pa.array(blobs, pa.binary())], ["doc_id", "quality", "f"])
+        found = bounded((i, y, f.astype(np.int32).tobytes()) for batch in narrow_batches(batches) for i, y, f in zip(batch["doc_id"].cast(pa.int64()).to_pylist(), batch["quality"].to_pylist(), features.texts(batch["text"])))
+        for at in range(0, len(found), 256):
+            ids, labels_, blobs = zip(*found[at : at + 256])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels_, pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "quality", "f"])
 
     def train(batches):
-        rows = sorted((i, y, f) for b in batches for i, y, f in zip(b["doc_id"].to_pylist(), b["quality"].to_pylist(), b["f"].to_pylist()))
+        rows = bounded((i, y, f) for b in batches for i, y, f in zip(b["doc_id"].to_pylist(), b["quality"].to_pylist(), b["f"].to_pylist()))
         x = [np.frombuffer(f, np.int32) for _, _, f in rows]
         y = np.array([t for _, t, _ in rows])
         if len(set(y.tolist())) < 2:
@@ -288,5 +302,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the rows that the classifier, fitted to labels, rejects."""
+    """docs without the rows that the classifier, fitted to labels, rejects.
+
+    Rows are judged by their text alone, a null text as an empty one; see fit for labels. All columns, of any
+    name, and repeated rows stay as they are; an empty table stays empty.
+    """
     return score(docs, fit(docs, table(spark, sf_dir, "labels")), reject_below=0.5)

@@ -57,3 +57,11 @@ def test_without_labels_of_both_classes(spark, make_docs):
     one = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, quality int")
     assert {r.quality_score > 0.5 for r in score(docs, fit(docs, one)).collect()} == {True}
     assert score(docs.limit(0), fit(docs, one)).collect() == []
+
+
+def test_an_id_on_many_rows_fills_no_task(spark, make_docs):
+    rows = texts(200, 2)
+    docs = make_docs([(i, t) for i, t, _ in rows] + [(0, f"again {k}") for k in range(500)])
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    scores = [r.quality_score for r in score(docs, fit(docs, labels, fit_rows=30)).collect()]
+    assert len(scores) == 700 and all(0 <= s <= 1 for s in scores)
