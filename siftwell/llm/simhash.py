@@ -149,13 +149,23 @@ class _Forest:
                 up[:] = up[up]
 
 
+def exact_blocks(count: int, errors: int = ERRORS, part: int = PART) -> int:
+    """How many blocks to put on top, so that nodes of ``count`` evenly spread fingerprints have about ``part`` at most.
+
+    With one there are 5 tries with tops of 12 or 13 bits, with two 15 and 20 bits, with three 35 and 27 bits.
+    """
+    exact = 1
+    while exact < 4 and count > part << (64 * exact // (errors + exact)):
+        exact += 1
+    return exact
+
+
 def links(fps: DataFrame, errors: int = ERRORS, exact: int = 1, part: int = PART) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp), enough to join all within ``errors`` bits.
 
     A task passes on a star for each component it finds, no more edges than
     fingerprints, so a group of close copies never yields its pairs.
-    ``exact`` is the number of agreeing blocks on top of a trie: with 1 there
-    are 5 tries and tops of 12 or 13 bits, with 2 there are 15 and 20 bits.
+    ``exact`` is the number of agreeing blocks on top of a trie, see exact_blocks; results don't depend on it.
     Nodes of more than ``part`` fingerprints are cut in parts by hash and every
     pair of parts is a task's share: none is dropped.
     """
@@ -243,10 +253,10 @@ def _rooted(docs: DataFrame, errors: int = ERRORS, **how) -> DataFrame:
     """docs with fp, root and component_id in place of text, its last column; root tells components apart."""
     prints = written(fingerprints(docs, **how), "fingerprints")
     firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    roots = components(links(firsts, errors))
+    roots = components(links(firsts, errors, exact_blocks(firsts.count(), errors)))
     joined = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    named = joined.join(least, "root", "left").select("fp", "root", F.coalesce("component_id", "first").alias("component_id"))
+    named = joined.join(small(written(least, "components")), "root", "left").select("fp", "root", F.coalesce("component_id", "first").alias("component_id"))
     return prints.join(named, "fp").select(*prints.columns, "root", "component_id")
 
 
@@ -281,5 +291,8 @@ def first_of_each(docs: DataFrame, **how) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
+    """One document of each group of near copies: the one with the smallest doc_id; see first_of_each for nulls and repeated ids.
+
+    Texts that are null or have no words are copies of each other. All columns, of any name, stay; an empty table stays empty.
+    """
     return first_of_each(docs)

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from siftwell.llm.components import components
-from siftwell.llm.simhash import first_of_each, fingerprint, links, near_components, trie_pairs
+from siftwell.llm.simhash import exact_blocks, first_of_each, fingerprint, links, near_components, trie_pairs
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -96,3 +96,15 @@ def test_one_id_with_several_texts(make_docs):
     rows = [(3, a), (5, a + " end"), (5, b), (7, b + " end"), (5, c), (5, c), (5, c + " end"), (9, c), (3, None), (8, "")]
     kept = [(x.doc_id, (x.text or "")[:1]) for x in first_of_each(make_docs(rows)).collect()]
     assert sorted(kept) == [(3, ""), (3, "a"), (5, "b"), (5, "c")]
+
+
+def test_more_blocks_for_more_prints():
+    counts = (1, 10**6, 10**7, 10**9, 10**11, 10**14)
+    assert [exact_blocks(n) for n in counts] == [1, 1, 2, 2, 3, 4]
+
+
+def test_columns_of_any_name(spark, make_docs):
+    docs = make_docs([(2, "a b c d e"), (1, "a b c d e"), (3, None)]).selectExpr("*", "'kept' AS root", "1 AS fp", "2 AS th", "3 AS _id", "4 AS row", "5 AS component_id", "6 AS first")
+    kept = first_of_each(docs)
+    assert kept.columns == docs.columns and {(r.doc_id, r.root, r.row) for r in kept.collect()} == {(1, "kept", 4), (3, "kept", 4)}
+    assert {(r.doc_id, r.component_id) for r in near_components(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
