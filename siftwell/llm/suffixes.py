@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LIST_BYTES, byte_chunks, listed, narrow_batches, packed, partitions, table, unpacked, with_hash, written
+from .common import BROADCAST_ROWS, LIST_BYTES, byte_chunks, listed, narrow_batches, packed, partitions, small, table, to_arrow, unpacked, with_hash, written
 from .quality import _powers
 
 LENGTH = 200
 GRAM = 32
 #: Anchors with one fingerprint that are merged in one task.
 GROUP = 4096
+#: Copies of one surrounding that one task may look up.
+COPIES = 1 << 12
 PIECE = 1 << 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -246,14 +248,18 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     met = written(known.join(again, "h"), "met")
     one = F.min(F.struct("doc_id", "th", "lo", "off", "n")).alias("one")
     kinds = written(met.groupBy("h", "f").agg(F.count("*").alias("copies"), one), "kinds")
-    whole = kinds.where("copies > 1").select("h", "f")
-    copied = met.join(whole, ["h", "f"], "left_semi").select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1).alias("b"))
+    # Surroundings with very many copies are few, and are found by a broadcast; the others by a join.
+    often = max(COPIES, met.count() // BROADCAST_ROWS)
+    frequent = F.broadcast(kinds.where(F.col("copies") > often).select("h", "f"))  # at most BROADCAST_ROWS rows
+    whole = small(written(kinds.where(F.col("copies").between(2, often)).select("h", "f"), "whole"))
+    copied = met.join(frequent, ["h", "f"], "left_semi").union(met.join(frequent, ["h", "f"], "left_anti").join(whole, ["h", "f"], "left_semi"))
+    copied = copied.select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1).alias("b"))
 
     mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
     chosen = written(kinds.join(mixed, "h").select("one.*", "h", (F.col("kinds") > group).alias("hot")), "chosen")
 
     id_type = _id_field(docs)
-    id_arrow = pa.schema([("doc_id", _arrow(id_type.dataType))]).field(0).type
+    id_arrow = to_arrow(id_type.dataType)
     run_schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type.dataType)), T.StructField("numbers", T.BinaryType()), T.StructField("rests", T.BinaryType()), T.StructField("lefts", T.BinaryType())])
 
     def send(batches):
@@ -354,18 +360,13 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     return out.union(spelled.join(twice, "w", "left_semi").select("doc_id", "th", "a", F.col("a").alias("b")))
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, spans) for each row of docs (doc_id, text).
 
     kept: the bytes that stay; spans: [begin, end) pairs of what goes. A null
     text is empty. Texts shorter than ``length`` stay whole. Equal rows are
-    copies of each other, whatever their doc_id.
+    copies of each other, whatever their doc_id. Other columns, of any name, aren't
+    looked at; a table without rows gives none.
     """
     runs = written(repeated_starts(docs, length, gram, group), "repeated")
     lists = written(packed(runs, "a", "b"), "spans")
