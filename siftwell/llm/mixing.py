@@ -190,6 +190,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """docs, each row as often as its source's budget asks for; at least once.
 
     A row travels as one column, so columns of any name stand beside the work columns.
+    Nulls, repeated rows and sources without tokens are treated as in mixed; an empty table stays empty.
     """
     mixture = plan(written(token_rows(docs), "tokens"))
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), doc_hash(F.col("doc_id")).alias("h"))
