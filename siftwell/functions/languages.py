@@ -5,41 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A language's id, its grammar (- for none) and its file extensions.
-_TABLE = """
-typescript typescript .ts .mts .cts
-tsx tsx .tsx
-javascript javascript .js .mjs .cjs
-jsx javascript .jsx
-python python .py .pyw
-rust rust .rs
-go go .go
-java java .java
-c c .c .h
-cpp cpp .cpp .cc .cxx .hpp .hh .hxx
-csharp c_sharp .cs
-ruby ruby .rb
-php php .php
-swift swift .swift
-kotlin kotlin .kt .kts
-scala scala .scala
-html html .html .htm
-css css .css
-scss - .scss
-json json .json
-yaml - .yml .yaml
-toml - .toml
-markdown - .md .mdx
-sql - .sql
-shell bash .sh .bash .zsh
-dockerfile - .dockerfile
-lua lua .lua
-zig - .zig
-elixir - .ex .exs
-haskell - .hs
-"""
-ROWS = [line.split() for line in _TABLE.split("\n") if line]
-BY_EXTENSION = {ext: (lang, None if grammar == "-" else grammar) for lang, grammar, *exts in ROWS for ext in exts}
+# A language's id, its grammar (None for none) and its file extensions.
+ROWS = [
+    ("typescript", "typescript", [".ts", ".mts", ".cts"]),
+    ("tsx", "tsx", [".tsx"]),
+    ("javascript", "javascript", [".js", ".mjs", ".cjs"]),
+    ("jsx", "javascript", [".jsx"]),
+    ("python", "python", [".py", ".pyw"]),
+    ("rust", "rust", [".rs"]),
+    ("go", "go", [".go"]),
+    ("java", "java", [".java"]),
+    ("c", "c", [".c", ".h"]),
+    ("cpp", "cpp", [".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx"]),
+    ("csharp", "c_sharp", [".cs"]),
+    ("ruby", "ruby", [".rb"]),
+    ("php", "php", [".php"]),
+    ("swift", "swift", [".swift"]),
+    ("kotlin", "kotlin", [".kt", ".kts"]),
+    ("scala", "scala", [".scala"]),
+    ("html", "html", [".html", ".htm"]),
+    ("css", "css", [".css"]),
+    ("scss", None, [".scss"]),
+    ("json", "json", [".json"]),
+    ("yaml", None, [".yml", ".yaml"]),
+    ("toml", None, [".toml"]),
+    ("markdown", None, [".md", ".mdx"]),
+    ("sql", None, [".sql"]),
+    ("shell", "bash", [".sh", ".bash", ".zsh"]),
+    ("dockerfile", None, [".dockerfile"]),
+    ("lua", "lua", [".lua"]),
+    ("zig", None, [".zig"]),
+    ("elixir", None, [".ex", ".exs"]),
+    ("haskell", None, [".hs"]),
+]
+BY_EXTENSION = {ext: (lang, grammar) for lang, grammar, exts in ROWS for ext in exts}
 BY_NAME = {"Dockerfile": ("dockerfile", None), "Makefile": ("makefile", None)}
 LANGUAGE_IDS = [row[0] for row in ROWS] + ["makefile"]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from ..sources.files import FileRules
 
@@ -78,12 +78,8 @@ def load_config(project: str) -> Config:
 
 
 def with_overrides(config: Config, overrides: dict | None) -> Config:
-    """config changed by what init was told: provider, model and include replace, exclude adds."""
-    told = overrides or {}
-    config.embedding.provider = told.get("embeddingProvider") or config.embedding.provider
-    config.embedding.model = told.get("embeddingModel") or config.embedding.model
-    if told.get("includePatterns") is not None:
-        config.files.include = list(told["includePatterns"])
-    if told.get("excludePatterns") is not None:
-        config.files.exclude = [*config.files.exclude, *told["excludePatterns"]]
-    return config
+    """A configuration of its own: config with what init was told."""
+    told = {k: v for k, v in (overrides or {}).items() if v is not None}
+    embedding = {name: told[key] for name, key in (("provider", "embeddingProvider"), ("model", "embeddingModel")) if told.get(key)}
+    files = {"exclude": config.files.exclude + list(told.get("excludePatterns", ())), "include": list(told.get("includePatterns", config.files.include))}
+    return replace(config, embedding=replace(config.embedding, **embedding), files=replace(config.files, **files))

@@ -1,72 +1,44 @@
-"""Writes of a project one at a time: in this process by turns, across processes by a lock file."""
+"""Writes of a project one at a time: in this process by turns, across processes by a lock on a file.
+
+The lock is the operating system's (flock): it ends with the process that holds
+it, however that ends, so a lock never has to be judged or taken over. The file
+stays; what it says only tells others who is writing.
+"""
 
 from __future__ import annotations
 
-import json
+import fcntl
 import os
+import socket
 import threading
 import time
 from contextlib import contextmanager
-from datetime import datetime, timezone
-
-#: Seconds for which a lock file that can't be read may still be in writing.
-GRACE = 10.0
 
 
 class IndexLockedError(RuntimeError):
-    def __init__(self, path: str, holder: dict | None) -> None:
-        who = f"process {holder['pid']} (since {holder.get('startedAt')})" if holder else "another process"
-        super().__init__(f"The index is being written by {who}. Run this again once it has finished. If no such process is running, delete {path}.")
+    """Another writer is at work; ``said`` is what it left in the lock file."""
 
-
-def _holder(path: str) -> dict | None:
-    try:
-        with open(path, encoding="utf-8") as f:
-            found = json.load(f)
-    except (OSError, ValueError):
-        return None
-    return found if isinstance(found, dict) and isinstance(found.get("pid"), int) else None
-
-
-def _stale(path: str, holder: dict | None) -> bool:
-    if holder:
-        try:
-            os.kill(holder["pid"], 0)
-        except ProcessLookupError:
-            return True
-        except PermissionError:
-            return False
-        return False
-    try:
-        return time.time() - os.stat(path).st_mtime > GRACE
-    except FileNotFoundError:
-        return True
+    def __init__(self, path: str, said: str) -> None:
+        super().__init__(f"The index is in use by {said or 'another writer'}; its lock is {path}. Try again when that has finished.")
 
 
 @contextmanager
 def file_lock(path: str):
-    """Holds the lock file at path; fails at once if a living process holds it, and takes over what a dead one left."""
+    """Holds the lock on path's file, or raises IndexLockedError at once if some other handle has it."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    for attempt in (1, 2):
+    with open(path, "a+", encoding="utf-8") as held:
         try:
-            with open(path, "x", encoding="utf-8") as f:
-                json.dump({"pid": os.getpid(), "startedAt": datetime.now(timezone.utc).isoformat()}, f)
-            break
-        except FileExistsError:
-            holder = _holder(path)
-            if attempt == 2 or not _stale(path, holder):
-                raise IndexLockedError(path, holder) from None
-            try:
-                os.remove(path)
-            except FileNotFoundError:
-                pass
-    try:
-        yield
-    finally:
+            fcntl.flock(held, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except BlockingIOError:
+            held.seek(0)
+            raise IndexLockedError(path, held.read(200).strip()) from None
+        held.truncate(0)
+        held.write(f"process {os.getpid()} on {socket.gethostname()} since {time.strftime('%Y-%m-%d %H:%M:%S')}")
+        held.flush()
         try:
-            os.remove(path)
-        except FileNotFoundError:
-            pass
+            yield
+        finally:
+            held.truncate(0)  # closing the file ends the lock
 
 
 class WriteQueue:

@@ -19,10 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.languages import language_of
 
 # What an index leaves out unless its configuration says otherwise.
-DEFAULT_EXCLUDES = """
-**/node_modules/** **/dist/** **/build/** **/.git/** **/vendor/** **/__pycache__/** **/target/** **/.next/** **/coverage/**
-**/*.min.js **/*.min.css **/package-lock.json **/yarn.lock **/pnpm-lock.yaml
-""".split()
+DEFAULT_EXCLUDES = [
+    "**/node_modules/**",
+    "**/dist/**",
+    "**/build/**",
+    "**/.git/**",
+    "**/vendor/**",
+    "**/__pycache__/**",
+    "**/target/**",
+    "**/.next/**",
+    "**/coverage/**",
+    "**/*.min.js",
+    "**/*.min.css",
+    "**/package-lock.json",
+    "**/yarn.lock",
+    "**/pnpm-lock.yaml",
+]
 
 
 @dataclass

@@ -3,10 +3,11 @@ from hypothesis import strategies as st
 
 from siftwell.operators.chunking import chunk_text, line_chunks, line_windows, symbol_chunks
 
+#: A long function between short declarations and a statement.
 SOURCE = "\n".join(
-    ["import { createApp } from './app';", "", "const app = createApp();", "app.use(middleware);", "", "export function bootstrap() {"]
-    + [f"  step{i}();" for i in range(50)]
-    + ["}", "", "class Box { open() { return 1; } }", "", "app.listen(3000);"]
+    ["// orders of the day", "import * as shop from 'shop';", "let total = 0;"]
+    + ["export async function collect(day: string) {", *(f"  total += shop.count({k}, day);" for k in range(40)), "  return total;", "}"]
+    + ["interface Order { id: number }", "class Till { close() { return total; } }", "collect('monday');"]
 )
 
 
@@ -16,8 +17,8 @@ def uncovered(text, chunks):
 
 
 def test_windows():
-    assert line_windows(1, 50, 20, 5) == [(1, 20), (16, 35), (31, 50)]
-    assert line_windows(1, 30, 10, 10)[-1] == (21, 30)
+    assert line_windows(1, 26, 12, 5) == [(1, 12), (8, 19), (15, 26)]
+    assert line_windows(3, 40, 12, 12)[-1][1] == 40
     assert line_windows(1, 1) == [(1, 1)]
 
 
@@ -32,10 +33,11 @@ def test_windows_cover_all_lines(n, most, overlap):
 def test_typescript_symbols():
     chunks = chunk_text("src/main.ts", SOURCE, "typescript", 20, 5)
     assert uncovered(SOURCE, chunks) == []
-    parts = [c for c in chunks if c["symbolName"] == "bootstrap"]
+    parts = [c for c in chunks if c["symbolName"] == "collect"]
     assert len(parts) > 1 and {c["symbolType"] for c in parts} == {"function"}
-    assert min(c["startLine"] for c in parts) == 6 and max(c["endLine"] for c in parts) == 57
-    assert sorted(c["symbolName"] for c in chunks if c["startLine"] == 59) == ["Box", "open"]
+    assert min(c["startLine"] for c in parts) == 4 and max(c["endLine"] for c in parts) == 46
+    assert [c["symbolName"] for c in chunks if c["startLine"] == 47] == ["Order"]
+    assert sorted(c["symbolName"] for c in chunks if c["startLine"] == 48) == ["Till", "close"]
     assert len({c["id"] for c in chunks}) == len(chunks)
 
 

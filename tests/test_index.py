@@ -1,15 +1,20 @@
+import errno
 import json
 import os
+import socket
 import subprocess
+import sys
 import threading
 import time
+import urllib.error
+from http.client import RemoteDisconnected
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators.changes import detect_changes, merged, reused_vectors
 from siftwell.plans.config import Config, load_config, parse_config, with_overrides
-from siftwell.plans.embedding import HashProvider, QueryCache, create_provider, embedded, is_transient, with_retry
+from siftwell.plans.embedding import HashProvider, QueryCache, ServiceError, create_provider, embedded, is_transient, with_retry
 from siftwell.plans.locks import IndexLockedError, WriteQueue, file_lock
 from siftwell.plans.tools import Tools
 from siftwell.sources.files import FileRules, matches, scan_files
@@ -67,6 +72,8 @@ def test_config(tmp_path):
     assert load_config(str(tmp_path)) == Config()
     config = with_overrides(parse_config({"files": {"exclude": ["a"]}, "search": {"defaultLimit": 7}}), {"includePatterns": ["i"], "excludePatterns": ["b"], "embeddingProvider": "hash"})
     assert (config.files.include, config.files.exclude, config.default_limit, config.embedding.provider) == (["i"], ["a", "b"], 7, "hash")
+    plain = Config()
+    assert with_overrides(plain, None) == plain and with_overrides(plain, {"excludePatterns": ["z"]}).files.exclude != plain.files.exclude
 
 
 class Failing(HashProvider):
@@ -148,33 +155,34 @@ def test_cache_and_retry():
 
     def call():
         calls.append(1)
-        raise RuntimeError("embedding failed: 503 Busy")
+        raise ServiceError(503, "Busy")
 
     with pytest.raises(RuntimeError):
         with_retry(call, sleep=waits.append)
     assert waits == [1.0, 2.0, 4.0] and len(calls) == 4
-    assert not is_transient(RuntimeError("401 no")) and is_transient(TimeoutError())
+    passing = [TimeoutError(), ConnectionResetError(), ServiceError(429, ""), ServiceError(500, ""), urllib.error.URLError(ConnectionRefusedError()), urllib.error.URLError(socket.gaierror()), RemoteDisconnected(), OSError(errno.ENETUNREACH, "")]
+    lasting = [ServiceError(401, "timeout"), ServiceError(404, ""), ServiceError(501, ""), RuntimeError("503"), urllib.error.URLError("no such scheme"), ValueError(), OSError(errno.ENOENT, "")]
+    assert all(map(is_transient, passing)) and not any(map(is_transient, lasting))
     with pytest.raises(ValueError, match="API key"):
         create_provider(parse_config({"embedding": {"provider": "openai"}}).embedding)
 
 
 def test_file_lock(tmp_path):
-    path = str(tmp_path / "deep" / "index.lock")
+    path = str(tmp_path / "deep" / "writer")
     with file_lock(path):
-        assert json.load(open(path))["pid"] == os.getpid()
-        with pytest.raises(IndexLockedError, match=str(os.getpid())), file_lock(path):
+        with pytest.raises(IndexLockedError, match=f"process {os.getpid()} on "), file_lock(path):
             pass
-    assert not os.path.exists(path)
-    done = subprocess.Popen(["true"])
-    done.wait()
-    open(path, "w").write(json.dumps({"pid": done.pid, "startedAt": "x"}))
+    open(path, "w").write("left over, but locked by nobody")
     with file_lock(path):
         pass
-    open(path, "w").close()
-    with pytest.raises(IndexLockedError), file_lock(path):
+    code = "import sys, time; sys.path.insert(0, sys.argv[2])\nfrom siftwell.plans.locks import file_lock\nwith file_lock(sys.argv[1]):\n    print('held', flush=True)\n    time.sleep(60)"
+    other = subprocess.Popen([sys.executable, "-c", code, path, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))], stdout=subprocess.PIPE)
+    assert other.stdout.readline() == b"held\n"
+    with pytest.raises(IndexLockedError, match=f"process {other.pid} on "), file_lock(path):
         pass
-    os.utime(path, (time.time() - 60,) * 2)
-    with file_lock(path):
+    other.kill()
+    other.wait()
+    with file_lock(path):  # a killed writer leaves no lock
         pass
 
 

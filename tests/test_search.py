@@ -16,45 +16,50 @@ def chunk(id_, path, name="", kind="", content="x", vector=None, language="types
 
 
 @pytest.fixture(scope="module")
-def basic(spark):
-    rows = [chunk("c1", "src/auth.ts", "login", "function", "function login() {}"), chunk("c2", "src/session.ts", "SessionStore", "class", "class SessionStore {}"), chunk("c3", "lib/util.ts", "loginHelper", "function", "function loginHelper() {}")]
+def shop(spark):
+    rows = [
+        chunk("o1", "orders/cart.py", "price", "function", "def price(items): ...", language="python"),
+        chunk("o2", "orders/stock.py", "PriceList", "class", "class PriceList: ...", language="python"),
+        chunk("t1", "tools/money.py", "price_tag", "function", "def price_tag(item): ...", language="python"),
+        chunk("t2", "tools/money.py", "", "", "the price is shown", language="python"),
+    ]
     return spark.createDataFrame(rows, FIELDS)
 
 
-def test_scores_follow_the_angle(spark):
-    at = {0: 1.0, 45: math.sqrt(0.5), 90: 0.0, 180: -1.0}
-    rows = [chunk(str(d), f"f{d}.ts", vector=[c, math.sqrt(max(0, 1 - c * c))] + [0.0] * 14) for d, c in at.items()]
-    found = {r.filePath: r.score for r in search_code(spark.createDataFrame(rows, FIELDS), "no such words", [1.0] + [0.0] * 15).collect()}
-    assert found["f0.ts"] == pytest.approx(0.7) and found["f45.ts"] == pytest.approx(0.7 * math.sqrt(0.5), abs=1e-3)
-    assert "f90.ts" not in found and "f180.ts" not in found
+def test_scores_follow_the_cosine(spark):
+    at = {"near": 0.8, "far": 0.28, "across": 0.0, "against": -0.6}
+    rows = [chunk(n, f"{n}.go", vector=[c, math.sqrt(1 - c * c)] + [0.0] * 14) for n, c in at.items()]
+    found = {r.filePath: r.score for r in search_code(spark.createDataFrame(rows, FIELDS), "nothing says this", [2.0] + [0.0] * 15).collect()}
+    assert found == {"near.go": pytest.approx(0.7 * 0.8), "far.go": pytest.approx(0.7 * 0.28)}
 
 
-def test_filters(basic):
+def test_filters(shop):
     v = [1.0] + [0.0] * 15
-    assert {r.filePath for r in search_code(basic, "login", v, 10, None, "src/*").collect()} == {"src/auth.ts", "src/session.ts"}
-    assert [r.symbolName for r in search_symbols(basic, "login", v, 10, ["class"]).collect()] == ["SessionStore"]
-    assert len(search_symbols(basic, "login", v, 10, ["no type!"]).collect()) == 3
-    assert search_code(basic, "login", v, 10, "python").collect() == []
+    assert {r.filePath for r in search_code(shop, "price", v, 10, None, "orders/*").collect()} == {"orders/cart.py", "orders/stock.py"}
+    assert [r.symbolName for r in search_symbols(shop, "price", v, 10, ["class"]).collect()] == ["PriceList"]
+    assert search_symbols(shop, "price", v, 10, ["%%"]).count() == search_symbols(shop, "price", v, 10).count()
+    assert search_code(shop, "price", v, 10, "rust").collect() == []
     with pytest.raises(ValueError, match="Unknown language"):
-        search_code(basic, "login", v, 10, "x' OR '1'='1")
+        search_code(shop, "price", v, 10, "python\" OR true --")
 
 
-def test_symbols_by_name(basic):
+def test_symbols_by_name(shop):
     v = [1.0] + [0.0] * 15
-    rows = search_symbols(basic, "login", v, 10).collect()
-    assert [r.symbolName for r in rows][:2] == ["login", "loginHelper"] and rows[0].score == pytest.approx(1.35)
-    assert search_symbols(basic, "' OR 1=1", v, 10).count() == 3
+    rows = search_symbols(shop, "price", v, 10).collect()
+    assert [r.symbolName for r in rows][0] == "price" and {r.symbolName for r in rows} >= {"price", "PriceList", "price_tag"}
+    assert rows[0].score > max(r.score for r in rows[1:])
+    assert search_symbols(shop, "x') --", v, 10).count() == 3
 
 
 def test_content_fallback(spark):
-    rows = spark.createDataFrame([chunk("1", "a.ts", content="call fooBar here"), chunk("2", "b.ts", "other", "function", vector=[0.0, 1.0] + [0.0] * 14)], FIELDS)
-    best = search_symbols(rows, "fooBar", [0.0, 0.0, 1.0] + [0.0] * 13, 5).first()
-    assert (best.symbolName, best.symbolType, best.filePath) == ("fooBar", "unknown", "a.ts")
+    rows = spark.createDataFrame([chunk("1", "a.go", content="emit sendMail now"), chunk("2", "b.go", "other", "function", vector=[0.0, 1.0] + [0.0] * 14)], FIELDS)
+    best = search_symbols(rows, "sendMail", [0.0, 0.0, 1.0] + [0.0] * 13, 5).first()
+    assert (best.symbolName, best.symbolType, best.filePath) == ("sendMail", "unknown", "a.go")
 
 
 def test_file_search(spark):
-    rows = spark.createDataFrame([("src/auth.ts", embed_text("a", 16), "typescript", 3, 2), ("lib/x.ts", embed_text("b", 16), "typescript", 1, 0)], "filePath string, vector array<double>, language string, chunkCount int, symbolCount int")
-    assert search_files(rows, "auth", embed_text("q", 16)).first().filePath == "src/auth.ts"
+    rows = spark.createDataFrame([("orders/cart.py", embed_text("a", 16), "python", 4, 1), ("tools/x.py", embed_text("b", 16), "python", 1, 0)], "filePath string, vector array<double>, language string, chunkCount int, symbolCount int")
+    assert search_files(rows, "cart", embed_text("q", 16)).first().filePath == "orders/cart.py"
 
 
 def test_bm25_counts_repeated_terms_twice(spark):
@@ -76,12 +81,15 @@ def test_nearest(spark):
 
 
 def test_texts():
-    row = {"filePath": "src/auth.ts", "startLine": 3, "endLine": 5, "content": "export function login() {\n  return true;\n}", "symbolName": "login", "symbolType": "function", "language": "typescript", "score": 0.12345}
+    row = {"filePath": "orders/cart.py", "startLine": 12, "endLine": 13, "content": "def price(items):\n    return 0", "symbolName": "price", "symbolType": "function", "language": "python", "score": 0.98765}
     assert text.code_results([]) == "No matching code found."
-    assert text.code_results([row]) == "Found 1 result(s):\n\n--- Result 1 (score: 0.123) ---\nFile: src/auth.ts:3-5\nSymbol: function login\nLanguage: typescript\n```typescript\nexport function login() {\n  return true;\n}\n```\n"
+    shown = text.code_results([row])
+    assert shown.split("\n")[:6] == ["Found 1 result(s):", "", "--- Result 1 (score: 0.988) ---", "File: orders/cart.py:12-13", "Symbol: function price", "Language: python"]
+    assert "```python\ndef price(items):\n    return 0\n```" in shown
     assert "Symbol:" not in text.code_results([row | {"symbolName": ""}])
-    assert text.file_results([{"filePath": "src/auth.ts", "language": "typescript", "chunkCount": 3, "symbolCount": 2, "score": 0.5}]) == "Found 1 file(s):\n\n1. **src/auth.ts** (score: 0.500)\n   Language: typescript | Chunks: 3 | Symbols: 2"
-    shown = text.symbol_results([row | {"content": "\n".join(f"line {i}" for i in range(1, 9)), "score": 1.35}])
-    assert "line 5\n  // ..." in shown and "line 6" not in shown and "(score: 1.350)" in shown
-    assert text.skipped_files([]) == [] and text.skipped_files([(str(i), "bad") for i in range(12)])[-1] == "  … and 2 more (see server log)"
-    assert [text.age(m) for m in (5, 60, 1440)] == ["5m ago", "1h ago", "1d ago"]
+    files = text.file_results([{"filePath": "orders/cart.py", "language": "python", "chunkCount": 9, "symbolCount": 4, "score": 0.25}])
+    assert files.startswith("Found 1 file(s):") and "1. **orders/cart.py** (score: 0.250)" in files and "Language: python | Chunks: 9 | Symbols: 4" in files
+    symbols = text.symbol_results([row | {"content": "\n".join(f"row {i}" for i in range(1, 20)), "score": 2}])
+    assert "row 5\n  // ..." in symbols and "row 6" not in symbols and "(score: 2.000)" in symbols
+    assert text.skipped_files([]) == [] and "and 2 more" in text.skipped_files([(str(i), "bad") for i in range(12)])[-1]
+    assert [text.age(m) for m in (7, 130, 3000)] == ["7m ago", "2h ago", "2d ago"]
