@@ -6,6 +6,8 @@ import hashlib
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,11 @@ def similarity_to(a: Column, vector: Sequence[float]) -> Column:
     return F.when(F.size(a) == len(vector), F.try_divide(product, F.sqrt(square) * F.lit(length)))
 
 
+def mean_vector(vector: Column) -> Column:
+    """An aggregate: the component-wise mean of vectors of one length, with a map-side part."""
+    return vector_to_array(Summarizer.mean(array_to_vector(vector.cast("array<double>"))))
+
+
 def mean_vectors(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
     """(key, vector): the component-wise mean of each key's vectors, not scaled again.
 

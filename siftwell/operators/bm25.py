@@ -17,12 +17,34 @@ def frequency(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == F.lit(term)))
 
 
+def _score(terms: list[str], tf: dict[str, Column], df: dict[str, Column], n: Column, length: Column, mean: Column) -> Column:
+    score = F.lit(0.0)
+    for t in terms:
+        idf = F.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1)
+        score = score + F.when(tf[t] > 0, idf * tf[t] * (K1 + 1) / (tf[t] + K1 * (1 - B + B * F.try_divide(length, mean)))).otherwise(0.0)
+    return score
+
+
+def bm25_of_all(rows: DataFrame, query: str, text: Column, *keep: str) -> DataFrame:
+    """(keep, bm25) for all rows of a table of any size, whose statistics are those of the table.
+
+    They are sums of one row, which is broadcast: no row changes its task. The text is read for them once, for the scores again.
+    """
+    terms = query_tokens(query)
+    own = {t: f"_tf{i}" for i, t in enumerate(dict.fromkeys(terms))}
+    words = rows.select(*keep, tokens(F.coalesce(text, F.lit(""))).alias("_t"))
+    counts = words.select(*keep, F.size("_t").alias("_dl"), *(frequency(F.col("_t"), t).alias(c) for t, c in own.items()))
+    stats = counts.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_mean"), *(F.count_if(F.col(c) > 0).alias(f"_of{c}") for c in own.values()))
+    score = _score(terms, {t: F.col(c) for t, c in own.items()}, {t: F.col(f"_of{c}") for t, c in own.items()}, F.col("_n"), F.col("_dl"), F.col("_mean"))
+    return counts.crossJoin(F.broadcast(stats)).select(*keep, score.alias("bm25"))
+
+
 def with_bm25(rows: DataFrame, query: str, text: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """rows with bm25 (the score of text for the query) and bm25_share (that over the best, at least 0.001).
 
     Statistics are windows over the candidates (of each group ``by``), so the
     candidates are computed once. Terms count as often as the query repeats
-    them. Without ``by``, all candidates stand in one task: give it a limited set.
+    them. Without ``by``, all candidates stand in one task: give it a limited set, and whole tables to bm25_of_all.
     """
     over = W.partitionBy(*(by or (F.lit(0),)))
     rows = rows.withColumn("_tokens", tokens(F.coalesce(text, F.lit(""))))
@@ -33,11 +55,6 @@ def with_bm25(rows: DataFrame, query: str, text: Column, by: tuple[str, ...] = (
     for i, (t, count) in enumerate(tf.items()):
         rows = rows.withColumn(f"_tf{i}", count)
         rows = rows.withColumn(f"_df{i}", F.sum(F.when(F.col(f"_tf{i}") > 0, 1).otherwise(0)).over(over))
-    place = {t: i for i, t in enumerate(tf)}
-    score = F.lit(0.0)
-    for t in terms:
-        f, d = F.col(f"_tf{place[t]}"), F.col(f"_df{place[t]}")
-        idf = F.log((F.col("_n") - d + 0.5) / (d + 0.5) + 1)
-        score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.try_divide(F.col("_length"), F.col("_mean"))))).otherwise(0.0)
+    score = _score(terms, {t: F.col(f"_tf{i}") for i, t in enumerate(tf)}, {t: F.col(f"_df{i}") for i, t in enumerate(tf)}, F.col("_n"), F.col("_length"), F.col("_mean"))
     rows = rows.withColumn("bm25", score).drop("_tokens", "_length", "_n", "_mean", *(f"_{k}{i}" for i in range(len(tf)) for k in ("tf", "df")))
     return rows.withColumn("bm25_share", F.col("bm25") / F.greatest(F.max("bm25").over(over), F.lit(FLOOR)))

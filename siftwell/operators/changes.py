@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,12 +45,13 @@ def reused_vectors(fresh: DataFrame, stored: DataFrame) -> DataFrame:
     return fresh.drop("vector").withColumn("_s", F.sha2("summary", 256)).join(old, ["filePath", "id", "_s"], "left").drop("_s")
 
 
-def file_rollup(chunks: DataFrame) -> DataFrame:
-    """(filePath, language, fileHash, chunkCount, symbolCount, indexedAt): a row for each file of chunks."""
+def file_rollup(chunks: DataFrame, *more: Column) -> DataFrame:
+    """(filePath, language, fileHash, chunkCount, symbolCount, indexedAt) and more aggregates: a row for each file of chunks."""
     return chunks.groupBy("filePath").agg(
         F.first("language").alias("language"),
         F.first("fileHash").alias("fileHash"),
         F.count(F.lit(1)).cast("int").alias("chunkCount"),
         F.count_if(F.col("symbolName") != "").cast("int").alias("symbolCount"),
         F.max("indexedAt").alias("indexedAt"),
+        *more,
     )

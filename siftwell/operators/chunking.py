@@ -122,8 +122,8 @@ def chunk_text(path: str, content: str, language: str, max_lines: int = MAX_LINE
 def symbol_chunks(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
     """The chunks (CHUNK_COLUMNS, fileHash) of files (filePath, language, content, fileHash), and the column error.
 
-    A file that can't be chunked gives one row with its path and the reason in
-    error, and doesn't stop the others. Files keep to their tasks: no shuffle.
+    A file that can't be chunked, or that comes with an error of its own, gives one row with its path
+    and the reason in error, and doesn't stop the others. Files keep to their tasks: no shuffle.
     """
 
     def run(batches):
@@ -132,13 +132,16 @@ def symbol_chunks(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = O
             out: dict = {n: [] for n in names}
             for row in batch.to_pylist():
                 try:
+                    if row.get("error"):
+                        raise OSError(row["error"])
                     rows = chunk_text(row["filePath"], row["content"] or "", row["language"] or "unknown", max_lines, overlap)
                     problem = None
                 except Exception as error:  # one file says nothing about the others
-                    rows, problem = [{"filePath": row["filePath"]}], f"{type(error).__name__}: {error}"
+                    rows, problem = [{"filePath": row["filePath"]}], row.get("error") or f"{type(error).__name__}: {error}"
                 for chunk in rows:
                     for n in names:
                         out[n].append(problem if n == "error" else row["fileHash"] if n == "fileHash" else chunk.get(n))
             yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int32() if n in ("startLine", "endLine") else pa.string()) for n, v in out.items()})
 
-    return files.select("filePath", "language", "content", "fileHash").mapInArrow(run, f"{CHUNK_COLUMNS}, fileHash string, error string")
+    given = [c for c in ("filePath", "language", "content", "fileHash", "error") if c in files.columns]
+    return files.select(*given).mapInArrow(run, f"{CHUNK_COLUMNS}, fileHash string, error string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import similarity, similarity_to
 
-#: Queries that are broadcast to the rows at a time.
+#: Queries that are broadcast to the rows, or that stand in one block.
 QUERY_BLOCK = 1000
 
 
@@ -27,16 +27,20 @@ def nearest(rows: DataFrame, vector: Sequence[float], k: int, tie: str = "id", c
 def nearest_to_each(rows: DataFrame, queries: DataFrame, k: int, tie: str = "id", column: str = "vector") -> DataFrame:
     """(query_id, rank, tie, distance) of the k nearest rows to each of queries (query_id, query_vector).
 
-    A stated set of queries meets all rows in broadcast blocks of bounded size;
-    each task keeps its k best a query before anything is shuffled.
+    A stated set of queries meets all rows: broadcast if there are few, else in a grid of blocks, each of
+    some queries and some rows, so that the plan is the same for any number. Each task keeps its k best a
+    query before anything is shuffled for the ranking.
     """
-    ids = [r[0] for r in queries.select("query_id").distinct().orderBy("query_id").toLocalIterator()]
-    out = None
-    for at in range(0, max(1, len(ids)), QUERY_BLOCK):
-        block = ids[at : at + QUERY_BLOCK]
-        some = F.broadcast(queries.where(F.col("query_id").isin(block)) if len(ids) > QUERY_BLOCK else queries)
-        met = rows.select(tie, column).crossJoin(some).withColumn("distance", 1 - similarity(F.col(column), F.col("query_vector"))).where("distance IS NOT NULL")
-        ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", tie))).where(F.col("rank") <= k)
-        part = ranked.select("query_id", "rank", tie, "distance")
-        out = part if out is None else out.union(part)
-    return out
+    count = queries.count()
+    if count <= QUERY_BLOCK:
+        met = rows.select(tie, column).crossJoin(F.broadcast(queries))
+    else:
+        asked_in = -(-count // QUERY_BLOCK)
+        held_in = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // asked_in)
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        blocks = queries.select("query_id", "query_vector", F.pmod(F.xxhash64("query_id"), F.lit(asked_in)).cast("int").alias("_q"), each(held_in).alias("_r"))
+        spread = rows.select(tie, column, each(asked_in).alias("_q"), F.pmod(F.xxhash64(tie), F.lit(held_in)).cast("int").alias("_r"))
+        met = spread.join(blocks.hint("shuffle_hash"), ["_q", "_r"]).drop("_q", "_r")
+    met = met.withColumn("distance", 1 - similarity(F.col(column), F.col("query_vector"))).where("distance IS NOT NULL")
+    ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", tie))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", tie, "distance")

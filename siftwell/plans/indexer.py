@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import mean_vectors
+from ..functions.vectors import mean_vector
 from ..operators.changes import delete_paths, detect_changes, file_rollup, reused_vectors
 from ..operators.chunking import symbol_chunks
 from ..sources.files import read_files, scan_files
@@ -34,21 +34,28 @@ class IndexResult:
 def file_table(chunks: DataFrame) -> DataFrame:
     """The files table of chunks: counts, and the mean of a file's vectors."""
     names = [c.split()[0] for c in FILES.split(", ")]
-    return file_rollup(chunks).join(mean_vectors(chunks, "filePath"), "filePath").withColumn("vector", F.col("vector").cast("array<float>")).select(*names)
+    return file_rollup(chunks, mean_vector(F.col("vector")).cast("array<float>").alias("vector")).select(*names)
 
 
 class Indexer:
     def __init__(self, spark: SparkSession, project: str, store: IndexStore, provider: Provider, config: Config) -> None:
         self.spark, self.project, self.store, self.provider, self.config = spark, normalize_project(project), store, provider, config
+        self._held: list[DataFrame] = []
 
     def _chunks(self, paths: list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
-        """The chunks of files, cached, and the files that can't be read or chunked with the reasons."""
-        files = read_files(self.spark, self.project, paths)
-        unread = files.where("error IS NOT NULL").select("filePath", "error")
-        made = symbol_chunks(files.where("error IS NULL"), self.config.max_chunk_lines, self.config.overlap_lines).persist()
-        skipped = unread.union(made.where("error IS NOT NULL").select("filePath", "error")).collect()
+        """The chunks of files, cached until released, and the files that can't be read or chunked with the reasons.
+
+        A file that can't be read goes through the chunker with its error, so files are read once.
+        """
+        made = symbol_chunks(read_files(self.spark, self.project, paths), self.config.max_chunk_lines, self.config.overlap_lines).persist()
+        self._held.append(made)
+        skipped = made.where("error IS NOT NULL").select("filePath", "error").collect()
         return made.where("error IS NULL").drop("error"), [(r.filePath, r.error) for r in skipped]
 
+    def _release(self) -> None:
+        while self._held:
+            self._held.pop().unpersist()
+
     def _metadata(self, chunks: DataFrame, files: DataFrame, before: dict | None, overrides: dict | None) -> dict:
         now = datetime.now(timezone.utc).isoformat()
         counts = chunks.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("symbolName") != "").alias("s")).first()
@@ -57,6 +64,19 @@ class Indexer:
 
     def full_index(self, overrides: dict | None = None) -> IndexResult:
         """A new index of all files. It replaces the old one only when all of it is written."""
+        try:
+            return self._full_index(overrides)
+        finally:
+            self._release()
+
+    def incremental_update(self) -> IndexResult:
+        """The index brought up to date with the files. Chunks whose id and summary are unchanged keep their vectors."""
+        try:
+            return self._incremental_update()
+        finally:
+            self._release()
+
+    def _full_index(self, overrides: dict | None) -> IndexResult:
         began = time.monotonic()
         chunks, skipped = self._chunks(scan_files(self.project, self.config.files))
         try:
@@ -68,13 +88,13 @@ class Indexer:
         self.store.publish(version, meta)
         return IndexResult(meta["totalFiles"], 0, 0, 0, meta["totalChunks"], meta["totalSymbols"], skipped, time.monotonic() - began, self.provider.name)
 
-    def incremental_update(self) -> IndexResult:
-        """The index brought up to date with the files. Chunks whose id and summary are unchanged keep their vectors."""
+    def _incremental_update(self) -> IndexResult:
         began = time.monotonic()
         paths = scan_files(self.project, self.config.files)
         old_files, old_chunks = self.store.files(), self.store.chunks()
         current = read_files(self.spark, self.project, paths, with_content=False).select("filePath", "fileHash")
         changes = detect_changes(current, old_files.select("filePath", "fileHash")).persist()
+        self._held.append(changes)
         found = [(r.filePath, r.status) for r in changes.collect()]  # names of changed files of one tree
         if not found:
             return IndexResult(seconds=time.monotonic() - began)

@@ -7,17 +7,17 @@ searches themselves.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.languages import BY_EXTENSION, BY_NAME, with_language
 from ..functions.text import is_identifier, matches_glob, sha256, tokens
-from ..functions.vectors import embed_text, hash_embedding, mean_vectors, similarity
-from ..operators.bm25 import B, K1, frequency
+from ..functions.vectors import embed_text, hash_embedding, mean_vector, mean_vectors, similarity
+from ..operators.bm25 import bm25_of_all
 from ..operators.changes import change_counts, delete_paths, detect_changes, file_rollup, merged, reused_vectors
 from ..operators.chunking import line_chunks, symbol_chunks
 from ..operators.knn import nearest, nearest_to_each
-from ..operators.search import search_files, search_symbols
+from ..operators.search import search_code, search_files, search_symbols
 
 QUERY = "the heation of anand"
 WORD = "thand"
@@ -28,19 +28,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _files(spark: SparkSession, sf_dir: str, language: Column | None = None) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return docs.select(path.alias("filePath"), F.col("lang").alias("language"), F.col("text").alias("content"))
+    return docs.select(path.alias("filePath"), (F.col("lang") if language is None else language).alias("language"), F.col("text").alias("content"))
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir).withColumn("fileHash", sha256(F.col("content"))).withColumn("indexedAt", F.lit("2024-01-01").cast("timestamp"))
+def _chunks(spark: SparkSession, sf_dir: str, language: Column | None = None) -> DataFrame:
+    files = _files(spark, sf_dir, language).withColumn("fileHash", sha256(F.col("content"))).withColumn("indexedAt", F.lit("2024-01-01").cast("timestamp"))
     return line_chunks(files)
 
 
-def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).withColumn("vector", hash_embedding(F.col("summary")))
+def _embedded(spark: SparkSession, sf_dir: str, language: Column | None = None) -> DataFrame:
+    return _chunks(spark, sf_dir, language).withColumn("vector", hash_embedding(F.col("summary")))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def mean_vector_by_group(spark, sf_dir):
 
 def hash_embeddings(spark, sf_dir):
     files = _files(spark, sf_dir).select("filePath", hash_embedding(F.col("content"), 48).alias("v"))
-    return files.select("filePath", F.size("v").alias("dimensions"), F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(47)), 6).alias("last"))
+    return files.select("filePath", F.posexplode("v").alias("pos", "x")).select("filePath", "pos", F.round("x", 6).alias("x"))
 
 
 def content_hash(spark, sf_dir):
@@ -149,38 +149,23 @@ def index_status_counts(spark, sf_dir):
 
 
 def bm25_scores(spark, sf_dir):
-    """Scores of all documents for TERMS. Unlike a search's few candidates these are all rows, so the
-    statistics are sums of one row, broadcast, and no row changes its task."""
-    rows = _files(spark, sf_dir).select("filePath", tokens(F.col("content")).alias("t"))
-    rows = rows.select("filePath", F.size("t").alias("dl"), *(frequency(F.col("t"), w).alias(f"tf{i}") for i, w in enumerate(TERMS)))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(TERMS))))
-    score = F.lit(0.0)
-    for i in range(len(TERMS)):
-        f, d = F.col(f"tf{i}"), F.col(f"df{i}")
-        score = score + F.when(f > 0, F.log((F.col("n") - d + 0.5) / (d + 0.5) + 1) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.try_divide(F.col("dl"), F.col("mean"))))).otherwise(0.0)
-    return rows.crossJoin(F.broadcast(stats)).select("filePath", F.round(score, 6).alias("bm25"))
+    return bm25_of_all(_files(spark, sf_dir), " ".join(TERMS), F.col("content"), "filePath").select("filePath", F.round("bm25", 6).alias("bm25"))
 
 
 def hybrid_search_code(spark, sf_dir):
-    """search_code over chunks whose vectors are made on the way: the language is filtered in the scan."""
-    chunks = _embedded(spark, sf_dir)
-    from ..operators.search import _fused, _similar  # documents' languages aren't those of source files
-
-    found = _fused(_similar(chunks.where(F.col("language") == "en"), embed_text(QUERY), 30, "id"), QUERY, F.concat_ws(" ", "content", "symbolName", "filePath"))
-    best = found.orderBy(F.desc("score"), "distance", "id").limit(10)
-    return best.select("filePath", "startLine", "endLine", "symbolName", F.round("score", 6).alias("score"))
+    """search_code over chunks whose vectors are made on the way: English texts count as markdown, and that filter reaches the scan."""
+    language = F.when(F.col("lang") == "en", "markdown").otherwise("other")
+    found = search_code(_embedded(spark, sf_dir, language), QUERY, embed_text(QUERY), 10, "Markdown")
+    return found.select("filePath", "startLine", "endLine", "symbolName", "language", F.round("score", 6).alias("score"))
 
 
 def hybrid_search_code_pattern(spark, sf_dir):
-    from ..operators.search import search_code
-
     found = search_code(_embedded(spark, sf_dir), WORD, embed_text(WORD), 10, None, "src1*/*")
     return found.select("filePath", "startLine", "endLine", F.round("score", 6).alias("score"))
 
 
 def hybrid_search_files(spark, sf_dir):
-    chunks = _embedded(spark, sf_dir)
-    files = file_rollup(chunks).join(mean_vectors(chunks, "filePath"), "filePath")
+    files = file_rollup(_embedded(spark, sf_dir), mean_vector(F.col("vector")).alias("vector"))
     found = search_files(files, "src1 txt files", embed_text("src1 txt files"), 10)
     return found.select("filePath", "language", "chunkCount", "symbolCount", F.round("score", 6).alias("score"))
 
@@ -190,11 +175,7 @@ def _symbols(spark, sf_dir, query, types=None):
     return found.select("filePath", "symbolName", "symbolType", F.round("score", 6).alias("score"))
 
 
-def _first_name(spark, sf_dir):
-    return _parts(spark, sf_dir).where(F.col("symbolName") != "").orderBy("filePath").first().symbolName
-
-
-SYMBOL_NAME, SYMBOL_PART, SYMBOL_NOWHERE, SYMBOL_WORDS = "Part_1", "art_1", "Brand", "large polished part"
+SYMBOL_NAME, SYMBOL_PART, SYMBOL_NOWHERE, SYMBOL_WORDS = "red_gear", "_widget", "Brand", "large polished part"
 
 
 def hybrid_search_symbols(spark, sf_dir):
@@ -270,6 +251,7 @@ QUERIES = {
 # ---------------------------------------------------------------- the same in SQL
 
 _FILES = "files AS (SELECT source || '/' || doc_id || '.txt' AS filePath, lang AS language, text AS content FROM documents)"
+_MARKED = "files AS (SELECT source || '/' || doc_id || '.txt' AS filePath, CASE WHEN lang = 'en' THEN 'markdown' ELSE 'other' END AS language, text AS content FROM documents)"
 
 
 def _sql_embed(text: str, n: int = 64) -> str:
@@ -357,7 +339,7 @@ ORACLE_SQL = {
   (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 3""",
     "pair_similarity": "SELECT vec_id, round(greatest(0, list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_reverse(CAST(embedding AS DOUBLE[])))), 6) AS score FROM embeddings",
     "mean_vector_by_group": "SELECT label, CAST(pos - 1 AS INT) AS pos, round(avg(x), 6) AS x FROM (SELECT label, unnest(generate_series(1, len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, pos",
-    "hash_embeddings": f"WITH {_FILES}, e AS (SELECT filePath, {_sql_embed('content', 48)} AS v FROM files), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM e) SELECT filePath, CAST(len(v) AS INT) AS dimensions, round(v[1] / s, 6) AS first, round(v[48] / s, 6) AS last FROM n",
+    "hash_embeddings": f"WITH {_FILES}, e AS (SELECT filePath, {_sql_embed('content', 48)} AS v FROM files), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM e) SELECT filePath, CAST(pos - 1 AS INT) AS pos, round(x / s, 6) AS x FROM (SELECT filePath, s, unnest(generate_series(1, 48)) AS pos, unnest(v) AS x FROM n)",
     "content_hash": f"WITH {_FILES} SELECT filePath, sha256(content) AS fileHash FROM files",
     "tokenize": f"WITH {_FILES}, t AS (SELECT unnest(list_filter(string_split_regex(lower(content), '[^a-z0-9_]+'), lambda x: len(x) > 1)) AS token FROM files) SELECT token, count(*) AS n FROM t GROUP BY token",
     "language_lookup": f"""WITH m(key, language, grammar) AS (VALUES {_LOOKUP}), f AS (SELECT 'src/' || ['main.py', 'A.TS', 'x.d.ts', 'Dockerfile', 'Makefile', 'b.scss', '.gitignore', 'README', 'c.weird', 'm.hpp'][doc_id % 10 + 1] AS filePath FROM documents),
@@ -374,7 +356,7 @@ SELECT pattern, filePath FROM files, p WHERE filePath LIKE l ESCAPE '\\'""",
     "file_rollups": f"WITH {_PARTS} SELECT 'part/' || split_part(filePath, '/', 2) AS filePath, 'text' AS language, CAST(count(*) AS INT) AS chunkCount, CAST(count(*) FILTER (symbolName <> '') AS INT) AS symbolCount FROM parts GROUP BY 1",
     "index_status_counts": f"WITH {_PARTS} SELECT count(DISTINCT filePath) AS totalFiles, count(*) AS totalChunks, count(*) FILTER (symbolName <> '') AS totalSymbols FROM parts",
     "bm25_scores": f"WITH {_FILES}, all_ AS (SELECT *, 0.0 AS distance, 0.0 AS similarity FROM files), {_sql_rank('all_', ' '.join(TERMS), 'content', False, 'filePath')} SELECT filePath, round(bm, 6) AS bm25 FROM scored",
-    "hybrid_search_code": f"WITH {_FILES}, {_sql_chunks()}, {_EMBEDDED}, {_sql_near('embedded', QUERY, 30, 'id', chr(39).join(('language = ', 'en', '')))}, {_sql_rank('near', QUERY, chr(39).join(('content || ', ' ', ' || symbolName || ', ' ', ' || filePath')), False, 'distance, id')} SELECT filePath, startLine, endLine, symbolName, round(score, 6) AS score FROM best",
+    "hybrid_search_code": f"WITH {_MARKED}, {_sql_chunks()}, {_EMBEDDED}, {_sql_near('embedded', QUERY, 30, 'id', chr(39).join(('language = ', 'markdown', '')))}, {_sql_rank('near', QUERY, chr(39).join(('content || ', ' ', ' || symbolName || ', ' ', ' || filePath')), False, 'distance, id')} SELECT filePath, startLine, endLine, symbolName, language, round(score, 6) AS score FROM best",
     "hybrid_search_code_pattern": f"WITH {_FILES}, {_sql_chunks()}, {_EMBEDDED}, {_sql_near('embedded', WORD, 30, 'id', chr(39).join(('filePath LIKE ', 'src1%/%', '')))}, {_sql_rank('near', WORD, chr(39).join(('content || ', ' ', ' || symbolName || ', ' ', ' || filePath')), True, 'distance, id')} SELECT filePath, startLine, endLine, round(score, 6) AS score FROM best",
     "hybrid_search_files": f"""WITH {_FILES}, {_sql_chunks()}, {_EMBEDDED}, unit AS (SELECT *, list_transform(vector, lambda x: x / sqrt(list_sum(list_transform(vector, lambda y: y * y)))) AS u FROM embedded),
 vals AS (SELECT filePath, unnest(generate_series(1, 64)) AS pos, unnest(u) AS x FROM unit), means AS (SELECT filePath, list(m ORDER BY pos) AS vector FROM (SELECT filePath, pos, avg(x) AS m FROM vals GROUP BY filePath, pos) GROUP BY filePath),
@@ -390,5 +372,7 @@ rolled AS (SELECT filePath, first(language) AS language, CAST(count(*) AS INT) A
     "vector_reuse": f"""WITH {_FILES}, edited AS (SELECT filePath, language, CASE WHEN length(filePath) % 3 = 0 THEN 'new first line' || chr(10) || content WHEN length(filePath) % 3 = 1 THEN content || '!' ELSE content END AS content FROM files),
 old AS (WITH {_sql_chunks(20, 5)} SELECT * FROM chunks), new AS (WITH {_sql_chunks(20, 5, "edited")} SELECT * FROM chunks)
 SELECT n.filePath, count(*) AS chunks, count(*) FILTER (o.id IS NOT NULL) AS reused FROM new n LEFT JOIN old o ON n.filePath = o.filePath AND n.id = o.id AND n.summary = o.summary GROUP BY n.filePath""",
+    # A module, a class with a method, a blank line, and comments up to the end in windows of 100 lines that share 10.
+    "source_text": f"""WITH {_FILES} SELECT regexp_replace(filePath, 'txt$', 'py') AS filePath, 4 + CAST(ceil(greatest(0, len(string_split(content, chr(10))) - 100) / 90.0) AS BIGINT) AS chunks, 2 AS symbols, 0 AS errors FROM files""",
     "deleted_paths": f"WITH {_SNAPSHOTS} SELECT filePath, fileHash FROM stored WHERE filePath NOT IN (SELECT filePath FROM current_)",
 }

@@ -3,7 +3,8 @@ import math
 import pytest
 
 from siftwell.functions.vectors import embed_text
-from siftwell.operators.bm25 import with_bm25
+from siftwell.operators import knn
+from siftwell.operators.bm25 import bm25_of_all, with_bm25
 from siftwell.operators.knn import nearest, nearest_to_each
 from siftwell.operators.search import search_code, search_files, search_symbols
 from siftwell.plans import format as text
@@ -69,15 +70,21 @@ def test_bm25_counts_repeated_terms_twice(spark):
     once, twice = ({r.t: r.bm25 for r in with_bm25(rows, q, F.col("t")).collect()} for q in ("gamma", "gamma gamma"))
     idf, tf = math.log((3 - 1 + 0.5) / 1.5 + 1), 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / (5 / 3)))
     assert once["beta gamma gamma"] == pytest.approx(idf * tf) and twice["beta gamma gamma"] == pytest.approx(2 * idf * tf)
+    assert {r.t: r.bm25 for r in bm25_of_all(rows, "gamma gamma", F.col("t"), "t").collect()} == pytest.approx(twice)
     assert {r.bm25_share for r in with_bm25(rows, "zzz", F.col("t")).collect()} == {0.0}
     assert with_bm25(rows.limit(0), "x y", F.col("t")).collect() == []
 
 
-def test_nearest(spark):
+def test_nearest(spark, monkeypatch):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0])], "id int, vector array<double>")
     assert [r.id for r in nearest(rows, [1.0, 0.1], 10).collect()] == [1, 2, 3]
     queries = spark.createDataFrame([(7, [0.0, 2.0]), (8, [3.0, 0.0])], "query_id int, query_vector array<double>")
-    assert {(r.query_id, r["rank"], r.id) for r in nearest_to_each(rows, queries, 1).collect()} == {(7, 1, 3), (8, 1, 1)}
+    want = {(r.query_id, r["rank"], r.id) for r in nearest_to_each(rows, queries, 1).collect()}
+    assert want == {(7, 1, 3), (8, 1, 1)}
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 1)
+    assert {(r.query_id, r["rank"], r.id) for r in nearest_to_each(rows, queries, 1).collect()} == want
+    plan = nearest_to_each(rows, queries, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
 
 
 def test_texts():
