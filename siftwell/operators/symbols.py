@@ -1,8 +1,10 @@
 """Finding the symbols of a source text.
 
 Python is parsed by the standard library. Languages with braces are scanned:
-comments and strings are blanked out, and declarations are recognised where
-statements begin, at the top and within classes and modules.
+comments, strings and regular expressions are blanked out by the rules of each
+language, and declarations are recognised where statements begin, at the top,
+within classes and modules, and in the blocks and callbacks of other statements.
+Lua's blocks end with words and have a scan of their own.
 """
 
 from __future__ import annotations
@@ -30,8 +32,15 @@ def symbols_of(text: str, grammar: str) -> list[Symbol] | None:
             return _python(ast.parse(text).body, "")
         except (SyntaxError, ValueError, RecursionError):
             return None
+    if grammar == "lua":
+        return _lua(text)
     rules = _RULES.get(grammar)
-    return _Scan(text, rules).symbols(0, len(text), "", False) if rules else None
+    if not rules:
+        return None
+    try:
+        return _Scan(text, grammar, rules).symbols(0, len(text), "", False)
+    except RecursionError:  # thousands of blocks in each other
+        return None
 
 
 def _python(body: list, parent: str) -> list[Symbol]:
@@ -63,6 +72,7 @@ class _Rule:
     block: bool = True
     container: bool = False
     member: bool | None = None  # only within (True) or only outside (False) containers
+    value: bool = False  # may end with a value after = instead of a block, or without either
 
 
 _NAME = r"(?P<name>[A-Za-z_$][\w$]*)"
@@ -97,17 +107,187 @@ _JAVA = [
     _Rule("enum", rf"{_MODIFIERS}enum\s+{_NAME}"),
     _Rule("method", rf"{_MODIFIERS}(?:<[^()]*>\s*)?(?:[\w.$?]+(?:<[^()=;{{]*>)?(?:\[\])*\s+)?(?!(?:if|for|while|switch|catch|return|new|lock|using)\b){_NAME}\s*\(", member=True),
 ]
-_RULES = {"javascript": _JS, "typescript": _JS, "tsx": _JS, "rust": _RUST, "go": _GO, "java": _JAVA, "c_sharp": _JAVA}
+_KOTLIN_WORDS = r"(?:(?:public|private|protected|internal|open|abstract|final|override|suspend|inline|operator|infix|tailrec|external|data|sealed|inner|annotation|value|enum|actual|expect)\s+)*"
+_KOTLIN = [
+    _Rule("import", r"import\b", block=False, member=False),
+    _Rule("function", rf"{_KOTLIN_WORDS}fun\s+(?:<[^()]*>\s*)?(?:[\w<>?,. ]+\.)?{_NAME}\s*\(", value=True),
+    _Rule("class", rf"{_KOTLIN_WORDS}(?:class|(?:fun\s+)?interface)\s+{_NAME}", container=True, value=True),
+]
+_SWIFT_WORDS = r"(?:(?:public|private|fileprivate|internal|open|final|static|class|override|mutating|nonmutating|indirect|convenience|async)\s+)*"
+_SWIFT = [
+    _Rule("function", rf"{_SWIFT_WORDS}func\s+{_NAME}"),
+    _Rule("class", rf"{_SWIFT_WORDS}(?:class|struct|enum|extension|actor)\s+(?!func\b|var\b|let\b){_NAME}", container=True),
+]
+_SCALA_WORDS = r"(?:(?:private|protected|final|override|implicit|inline|lazy|sealed|abstract|case)(?:\[\w+\])?\s+)*"
+_SCALA = [
+    _Rule("function", rf"{_SCALA_WORDS}def\s+{_NAME}", value=True),
+    _Rule("class", rf"{_SCALA_WORDS}class\s+{_NAME}", container=True, value=True),
+    _Rule("enum", rf"{_SCALA_WORDS}enum\s+{_NAME}"),
+]
+_PHP_WORDS = r"(?:(?:abstract|final|readonly|public|private|protected|static)\s+)*"
+_PHP = [
+    _Rule("class", rf"{_PHP_WORDS}class\s+{_NAME}", container=True),
+    _Rule("interface", rf"interface\s+{_NAME}"),
+    _Rule("enum", rf"enum\s+{_NAME}"),
+    _Rule("method", rf"{_PHP_WORDS}function\s+&?\s*{_NAME}\s*\(", member=True),
+    _Rule("function", rf"function\s+&?\s*{_NAME}\s*\(", member=False),
+]
+_BASH = [_Rule("function", r"function\s+(?P<name>[\w:.-]+)\s*(?:\(\s*\))?(?=\s*\{)"), _Rule("function", r"(?P<name>[\w:.-]+)\s*\(\s*\)(?=\s*\{)")]
+_RULES = {
+    "javascript": _JS, "typescript": _JS, "tsx": _JS, "rust": _RUST, "go": _GO, "java": _JAVA, "c_sharp": _JAVA,
+    "c": [_Rule("function", "")], "cpp": [_Rule("function", "")], "kotlin": _KOTLIN, "swift": _SWIFT, "scala": _SCALA, "php": _PHP, "bash": _BASH,
+}
 #: What may stand before a declaration and isn't part of it.
-_BEFORE = re.compile(r"(?:export\s+(?:default\s+)?|declare\s+|namespace\s+[\w.]+\s*\{|package\s+[\w.]+\s*;)")
-_QUOTED = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+_BEFORE = re.compile(r"(?:export\s+(?:default\s+)?(?!=)|declare\s+|namespace\s+[\w.]+\s*\{|package\s+[\w.]+\s*;|template\s*<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>|(?:public|private|protected)\s*:(?!:)|<\?php\b|\?>)")
 _OPEN, _CLOSE = "([{", ")]}"
+_JS_LIKE = frozenset(("javascript", "typescript", "tsx"))
+#: Words after which a slash begins a regular expression.
+_VALUE_FOLLOWS = frozenset("return typeof case in of delete void throw new else do instanceof yield await".split())
+
+
+def _js_template(text: str, at: int) -> int:
+    """Where the template literal that begins at ``at`` ends; what it holds may be templates too."""
+    i, n = at + 1, len(text)
+    while i < n:
+        if text[i] == "\\":
+            i += 2
+        elif text[i] == "`":
+            return i + 1
+        elif text.startswith("${", i):
+            depth, i = 1, i + 2
+            while i < n and depth:
+                if text[i] == "`":
+                    i = _js_template(text, i)
+                    continue
+                depth += (text[i] == "{") - (text[i] == "}")
+                i += 1
+        else:
+            i += 1
+    return n
+
+
+def _js_regex(text: str, at: int) -> int:
+    """Where the regular expression that begins at ``at`` ends; ``at`` if its line has no end of one."""
+    i, set_ = at + 1, False
+    while i < len(text) and text[i] != "\n":
+        c = text[i]
+        if c == "\\":
+            i += 1
+        elif c == "/" and not set_:
+            return i + 1
+        elif c in "[]":
+            set_ = c == "["
+        i += 1
+    return at
+
+
+def _until(text: str, mark: str, at: int) -> int:
+    found = text.find(mark, at)
+    return len(text) if found < 0 else found + len(mark)
+
+
+_PLAIN = {q: re.compile(rf"{q}(?:\\.|[^{q}\\\n])*{q}?", re.S) for q in "\"'"}
+_MANY_LINES = {q: re.compile(rf"{q}(?:\\.|[^{q}\\])*{q}?", re.S) for q in "\"'"}
+_CHARACTER = re.compile(r"'(?:\\(?:u\{[^}\n]*\}|x[0-9a-fA-F]+|.)|[^'\\\n])'")
+_DIRECTIVE = re.compile(r"^[ \t]*#(?:\\\n|[^\n])*", re.M)
+_HEREDOC = re.compile(r"<<<[ \t]*(['\"]?)(\w+)\1\n.*?\n[ \t]*\2\b", re.S)
+_MARK = re.compile(r"""["'`/#]|<<<""")
+
+
+def _blanked(text: str, grammar: str) -> str:
+    """text with comments as spaces, and strings and regular expressions as underscores; line ends stay."""
+    if grammar in ("c", "cpp"):
+        text = _DIRECTIVE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    out, at = [], 0
+    while True:
+        mark = _MARK.search(text, at)
+        if not mark:
+            out.append(text[at:])
+            return "".join(out)
+        i, end, fill = mark.start(), mark.start(), "_"
+        c = text[i]
+        if text.startswith("//", i) and grammar != "bash":
+            end, fill = text.find("\n", i), " "
+            end = len(text) if end < 0 else end
+        elif text.startswith("/*", i) and grammar != "bash":
+            end, fill = _until(text, "*/", i + 2), " "
+            if grammar in ("rust", "swift", "kotlin", "scala"):  # these lie in each other
+                while text.count("/*", i, end) > text.count("*/", i, end) and end < len(text):
+                    end = _until(text, "*/", end)
+        elif c == "#":
+            if grammar in ("php", "bash") and not text.startswith("#[", i) and (i == 0 or text[i - 1].isspace() or text[i - 1] in ";{}"):
+                end, fill = text.find("\n", i), " "
+                end = len(text) if end < 0 else end
+        elif c == "<":
+            heredoc = _HEREDOC.match(text, i) if grammar == "php" else None
+            end = heredoc.end() if heredoc else i
+        elif c == "`":
+            end = _js_template(text, i) if grammar in _JS_LIKE else _until(text, "`", i + 1) if grammar in ("go", "bash") else i
+        elif c == "/":
+            if grammar in _JS_LIKE:
+                before = re.search(r"(\w+|\S)\s*\Z", "".join(out[-3:])[-200:] + text[at:i])
+                word = before.group(1) if before else ""
+                if not word or word in _VALUE_FOLLOWS or not (word[-1].isalnum() or word[-1] in "_$)]"):
+                    end = _js_regex(text, i)
+        elif text.startswith('"""', i) and grammar in ("java", "kotlin", "swift", "scala", "c_sharp"):
+            end = _until(text, '"""', i + 3)
+        elif c == '"':
+            raw = re.search(r"r(#*)\Z", text[max(0, i - 40) : i]) if grammar == "rust" else None
+            if raw:
+                end = _until(text, '"' + raw.group(1), i + 1)
+            elif grammar == "cpp" and text[max(0, i - 1) : i] == "R" and (mark2 := re.compile(r'"([^()\\\s]{0,16})\(').match(text, i)):
+                end = _until(text, f'){mark2.group(1)}"', mark2.end())
+            elif grammar == "c_sharp" and re.search(r"@\$?\Z", text[max(0, i - 2) : i]):
+                end = re.compile(r'"(?:""|[^"])*"?').match(text, i).end()
+            else:
+                end = (_MANY_LINES if grammar in ("rust", "php", "bash") else _PLAIN)[c].match(text, i).end()
+        elif grammar in ("rust", "kotlin", "scala", "swift", "java", "go", "c", "cpp", "c_sharp"):  # else a lifetime, a symbol or a digit's mark
+            found = _CHARACTER.match(text, i)
+            end = found.end() if found else i
+        else:
+            end = (_MANY_LINES if grammar in ("php", "bash") else _PLAIN)[c].match(text, i).end()
+        if end <= i:
+            out.append(text[at : i + len(mark.group())])
+            at = i + len(mark.group())
+            continue
+        out += [text[at:i], re.sub(r"[^\n]", fill, text[i:end])]
+        at = end
+
+
+_LUA_TOKEN = re.compile(r"--\[(=*)\[.*?\]\1\]|--[^\n]*|\[(=*)\[.*?\]\2\]|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|\b(?:function|if|do|repeat|end|until)\b", re.S)
+
+
+def _lua(text: str) -> list[Symbol]:
+    """Functions outside of functions: named ones by their name, others without."""
+    out: list[Symbol] = []
+    line = lambda at: text.count("\n", 0, at) + 1
+    depth, started = 0, None
+    for token in _LUA_TOKEN.finditer(text):
+        word = token.group()
+        if word in ("function", "if", "do", "repeat"):
+            if word == "function" and started is None:
+                name = re.compile(r"\s*([\w.:]+)").match(text, token.end())
+                local = re.search(r"\blocal\s+\Z", text[: token.start()][-40:])
+                begin = token.start() - (len(local.group()) if local and name else 0)
+                started = (depth, name.group(1) if name else "", begin)
+            depth += 1
+        elif word in ("end", "until"):
+            depth = max(0, depth - 1)
+            if started is not None and depth == started[0]:
+                out.append(Symbol("function", started[1], line(started[2]), line(token.start())))
+                started = None
+    return out
+
+
+#: A function's declarator: pointers, a name with its scopes, and what opens the parameters.
+_DECLARATOR = re.compile(r"(?:[*&]+\s*(?:const\s+)?)*(?:[A-Za-z_]\w*(?:<[^<>;{}()]*>)?\s*::\s*)*(?:operator\s*(?:\(\s*\)|[^\s(\w]+|[\w ]+)|~?\s*[A-Za-z_]\w*)\s*\(")
+_NO_FUNCTION = re.compile(r"(?:if|for|while|switch|return|else|do|case|default|goto|struct|class|union|enum|namespace|using|typedef|extern\s+_+|try|catch|asm)\b")
 
 
 class _Scan:
-    def __init__(self, text: str, rules: list[_Rule]) -> None:
-        self.text = _QUOTED.sub(lambda m: re.sub(r"[^\n]", "_" if m.group()[0] in "\"'`" else " ", m.group()), text)
-        self.rules = [(r, re.compile(r.pattern)) for r in rules]
+    def __init__(self, text: str, grammar: str, rules: list[_Rule]) -> None:
+        self.text, self.grammar = _blanked(text, grammar), grammar
+        self.rules = [(r, re.compile(r.pattern)) for r in rules if r.pattern]
         self.breaks = [i for i, c in enumerate(text) if c == "\n"]
 
     def line(self, at: int) -> int:
@@ -144,6 +324,88 @@ class _Scan:
             i += 1
         return end - 1, None
 
+    def _value_end(self, at: int, end: int) -> tuple[int, int | None]:
+        """As _statement_end, of a declaration whose body is a block, a value after =, or missing."""
+        i = at
+        while i < end:
+            c = self.text[i]
+            if c == "{":
+                return self._closing(i, end), i
+            if c == "=" and self.text[i + 1 : i + 2] != ">":
+                body = re.compile(r"=\s*\{").match(self.text, i, end)
+                return (self._closing(body.end() - 1, end), body.end() - 1) if body else self._statement_end(i, end, False)
+            if c == "\n" and not re.match(r"\s*[{:=,.?(-]|\s*(?:where|extends|with|throws)\b", self.text[i + 1 : i + 200]) and not re.search(r"[:,=(-]\s*$", self.text[max(at, i - 80) : i]):
+                return i - 1, None
+            if c in "([":
+                i = self._closing(i, end)
+            i += 1
+        return end - 1, None
+
+    def _function(self, at: int, end: int) -> tuple[int, str, int] | None:
+        """(where it opens, declarator, last character) of a C or C++ function definition that begins here."""
+        if _NO_FUNCTION.match(self.text, at, end):
+            return None
+        i, opened = at, None
+        while i < end:
+            c = self.text[i]
+            if c in ";}" or c == "=" and opened is None and not re.search(r"operator\s*[=!<>+*/%&|^-]*$", self.text[max(at, i - 20) : i]):
+                return None
+            if c == "(":
+                if opened is None:
+                    opened = i
+                i = self._closing(i, end)
+            elif c == "{":
+                break
+            i += 1
+        else:
+            return None
+        if opened is None:
+            return None
+        found = None
+        for match in _DECLARATOR.finditer(self.text, at, opened + 1):
+            if match.end() == opened + 1:
+                found = match
+        if not found:
+            return None
+        tail = re.compile(r"(?:\s*(?:const|volatile|noexcept|override|final|&&?)\b)*").match(self.text, self._closing(opened, end) + 1, end).end()
+        return i, re.sub(r"\s+", " ", self.text[found.start() : tail]).strip(), self._closing(i, end)
+
+    def _nested(self, at: int, end: int, parent: str) -> list[Symbol]:
+        """The symbols in the blocks of a statement that is none itself; in JavaScript also its arrow functions."""
+        out: list[Symbol] = []
+        i = at
+        while i < end:
+            c = self.text[i]
+            if c == "{":
+                last = self._closing(i, end)
+                out += self.symbols(i + 1, last, parent, False)
+                i = last
+            elif c == "=" and self.text.startswith("=>", i) and self.grammar in _JS_LIKE:
+                head = re.search(r"(?:async\s+)?(?:[\w$]+|(?P<list>\)))\s*(?::[^()=;{}]*)?\Z", self.text[at:i])
+                begin = at + head.start() if head else i
+                if head and head.group("list"):
+                    depth, begin = 0, at + head.start("list")
+                    while begin > at:
+                        depth += (self.text[begin] in _CLOSE) - (self.text[begin] in _OPEN)
+                        if not depth:
+                            break
+                        begin -= 1
+                    word = re.search(r"async\s*\Z", self.text[at:begin])
+                    begin -= len(word.group()) if word else 0
+                last = i + 2
+                while last < end and self.text[last].isspace():
+                    last += 1
+                if self.text[last : last + 1] == "{":
+                    last = self._closing(last, end)
+                else:
+                    while last < end and self.text[last] not in ",;)]}":
+                        last = self._closing(last, end) + 1 if self.text[last] in _OPEN else last + 1
+                    last = min(last, end) - 1
+                out.append(Symbol("function", "", self.line(begin), self.line(last), parent))
+                i = last
+            i += 1
+        return out
+
     def symbols(self, at: int, end: int, parent: str, inside: bool) -> list[Symbol]:
         out: list[Symbol] = []
         while at < end:
@@ -155,12 +417,18 @@ class _Scan:
             if before:
                 at = before.end()
                 continue
+            defined = self._function(at, end) if self.grammar in ("c", "cpp") else None
+            if defined:
+                _, name, last = defined
+                out.append(Symbol("function", name, self.line(at), self.line(last), parent))
+                at = last + 1
+                continue
             for rule, pattern in self.rules:
                 match = pattern.match(self.text, at, end) if rule.member is None or rule.member == inside else None
                 if match:
                     name = match.groupdict().get("name") or ""
-                    start = self._closing(match.end() - 1, end) + 1 if self.text[match.end() - 1] == "(" else match.start()
-                    last, brace = self._statement_end(start, end, rule.block)
+                    start = self._closing(match.end() - 1, end) + 1 if self.text[match.end() - 1] == "(" else match.end() if rule.value else match.start()
+                    last, brace = self._value_end(start, end) if rule.value else self._statement_end(start, end, rule.block)
                     if rule.kind == "method" and brace is None:
                         continue  # a call, a field or a signature
                     symbol = Symbol(rule.kind, name, self.line(at), self.line(last), parent, rule.container)
@@ -170,7 +438,9 @@ class _Scan:
                     at = last + 1
                     break
             else:
-                # Another statement: on to its end. A decorator or attribute ends with its line.
+                # Another statement: on to its end, and what its blocks declare. A decorator or attribute ends with its line.
                 last, _ = self._statement_end(at, end, False)
-                at = max(at, last) + 1
+                last = max(at, last)
+                out += self._nested(at, last + 1, parent)
+                at = last + 1
         return out

@@ -50,6 +50,45 @@ def test_python_symbols():
     assert all(c["symbolType"] == "" for c in chunk_text("a.py", "def broken(:\n", "python"))
 
 
+def found_in(path, text):
+    chunks = chunk_text(path, text, "x")
+    assert uncovered(text, chunks) == []
+    return [(c["symbolType"], c["symbolName"], c["startLine"], c["endLine"], c["parentSymbol"]) for c in chunks if c["symbolType"]]
+
+
+def test_slashes_quotes_and_templates_hide_nothing():
+    js = "class Dec {\n  cut(s) { return s.split(/[{]/).length / 2; }\n}\nconst q = `a ${f({x: `}`})} {`;\nclass After {}\nfunction last() { return a / b; }\n"
+    assert found_in("a.js", js) == [("class", "Dec", 1, 3, ""), ("method", "cut", 2, 2, "Dec"), ("variable", "q", 4, 4, ""), ("class", "After", 5, 5, ""), ("function", "last", 6, 6, "")]
+    rust = "struct P<'a> { x: &'a str }\nimpl<'a> P<'a> {\n    fn get(&self) -> char { '{' }\n}\nfn raw() -> &'static str { r#\"}\"#  }\nfn end() {}\n"
+    assert [x[:2] for x in found_in("a.rs", rust)] == [("type", "P"), ("class", ""), ("function", "get"), ("function", "raw"), ("function", "end")]
+    java = 'class A {\n  String s = """\n  { " """;\n  char c = \'{\';\n  void m() { }\n}\n'
+    assert [x[:2] for x in found_in("A.java", java)] == [("class", "A"), ("method", "m")]
+
+
+def test_declarations_in_blocks_and_callbacks():
+    js = "if (a) {\n  function g() {}\n}\ndescribe('x', () => {\n  it('y', async (t) => t.ok());\n});\ntry { class K { m() {} } } catch (e) {}\nlist.map(x => x + 1);\n"
+    assert found_in("a.ts", js) == [("function", "g", 2, 2, ""), ("function", "", 4, 6, ""), ("class", "K", 7, 7, ""), ("method", "m", 7, 7, "K"), ("function", "", 8, 8, "")]
+
+
+def test_more_languages():
+    c = "#include <x.h>\n#define M(a) { a\nstatic int *table;\nint main(void) {\n  return '{';\n}\nchar *dup(const char *s)\n{\n  return 0;\n}\nstruct s { int a; };\n"
+    assert found_in("a.c", c) == [("function", "main(void)", 4, 6, ""), ("function", "*dup(const char *s)", 7, 10, "")]
+    cpp = "namespace n {\ntemplate <typename T> T top(T a) { return a; }\nclass B : public A {\npublic:\n  B(int x) : a(x) {}\n  int run() const { return R\"({)\"[0]; }\n  int a = 0;\n};\nint B::other(int y) { return y; }\n}\n"
+    assert [x[1:3] for x in found_in("a.cpp", cpp)] == [("top(T a)", 2), ("B(int x)", 5), ("run() const", 6), ("B::other(int y)", 9)]
+    php = "<?php\nnamespace A;\n# {\nfinal class C extends D {\n  public static function make(): self { return new self(); }\n}\nfunction top($a) {\n  return \"{$a}\";\n}\ninterface I { function f(); }\n"
+    assert [x[:3] for x in found_in("a.php", php)] == [("class", "C", 4), ("method", "make", 5), ("function", "top", 7), ("interface", "I", 10)]
+    kotlin = "import a.b\ndata class P(val x: Int)\nclass Q {\n  fun one() = 1\n  fun two(): Int {\n    return 2\n  }\n}\nfun top(a: String): Int = a.length\n"
+    assert [x[:4] for x in found_in("a.kt", kotlin)] == [("import", "", 1, 1), ("class", "P", 2, 2), ("class", "Q", 3, 8), ("function", "one", 4, 4), ("function", "two", 5, 7), ("function", "top", 9, 9)]
+    swift = "public struct S {\n  mutating func go(x: Int) -> Int { return x }\n}\nextension S {\n  static func make() {}\n}\nfunc top() {}\n"
+    assert [x[:3] for x in found_in("a.swift", swift)] == [("class", "S", 1), ("function", "go", 2), ("class", "S", 4), ("function", "make", 5), ("function", "top", 7)]
+    scala = "class A(x: Int) {\n  def f: Int = x\n}\nobject O {\n  def g(y: Int) = { y }\n}\n"
+    assert [x[:3] for x in found_in("a.scala", scala)] == [("class", "A", 1), ("function", "f", 2), ("function", "g", 5)]
+    lua = "local x = 1 -- function\nlocal function f(a)\n  if a then return 'end' end\nend\nfunction M.g() for i = 1, 2 do x = i end end\nM.h = function() end\n"
+    assert [x[:4] for x in found_in("a.lua", lua)] == [("function", "f", 2, 4), ("function", "M.g", 5, 5), ("function", "", 6, 6)]
+    bash = "#!/bin/bash\nset -e # {\ngo() {\n  echo \"}\"\n}\nfunction stop {\n  exit\n}\n"
+    assert [x[:4] for x in found_in("a.sh", bash)] == [("function", "go", 3, 5), ("function", "stop", 6, 8)]
+
+
 def test_oversized_class_keeps_a_header():
     text = "class Big {\n" + "".join(f"  m{i}() {{\n    return {i};\n  }}\n" for i in range(20)) + "}\n"
     chunks = chunk_text("b.ts", text, "typescript", 20, 5)
@@ -60,7 +99,7 @@ def test_oversized_class_keeps_a_header():
 @given(st.text(alphabet="ab{}();\n \"'`/*class functiox=>", max_size=300))
 @settings(max_examples=300, deadline=None)
 def test_any_text_is_covered(text):
-    for path in ("a.ts", "a.rs", "a.go", "a.java", "a.py"):
+    for path in ("a.ts", "a.rs", "a.go", "a.java", "a.py", "a.cpp", "a.php", "a.kt", "a.swift", "a.lua", "a.sh"):
         chunks = chunk_text(path, text, "x", 10, 2)
         assert chunks and uncovered(text, chunks) == []
 
