@@ -49,6 +49,12 @@ ASIDE_WORDS = frozenset(
 HEADER_WORDS = frozenset(["header", "pageheader", "siteheader", "topbar"])
 #: Of these, the words for what readers write.
 READER_WORDS = frozenset("comment comments disqus replies reply respond".split())
+#: Of the words, those that a heading of an article may begin with too, as in id="search-algorithms", unless what follows names a part of a page.
+TOPIC_WORDS = frozenset("banner menu menus navigation notice notices recommended related search share social widget widgets".split())
+PAGE_PARTS = frozenset(
+    "area article articles bar block body box button buttons column container content count entries feed field follow form group heading icon icons inner input item items left link links list "
+    "main media more news now on page pages panel post posts products read reading result results right section sites stories story tags teaser text this title toggle top topics us via wrap wrapper".split()
+)
 PUNCTUATION = frozenset(".,;:!?…。，；：！？、؟،।¡¿")
 SMOOTHING = (0.2741, 0.4518, 0.2741)
 #: Share of the mean fused value that a path must reach, and share of the chosen text that the article's element holds.
@@ -77,7 +83,8 @@ class _Page(HTMLParser):
         self.pathed = [0]
         self.current = None
         self.links = 0
-        self.raw = 0
+        #: Elements whose words may be those of a heading.
+        self.topics: set = set()
 
     def _end_block(self) -> None:
         self.current = None
@@ -106,10 +113,14 @@ class _Page(HTMLParser):
         elif tag in ("td", "th"):
             self.handle_data(" ")
         words: set = set()
-        hidden = False
+        hidden, topical = False, True
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                words.update(w.lower() for w in _WORDS.findall(value))
+                for token in value.split():
+                    parts = [w.lower() for w in _WORDS.findall(token)]
+                    words.update(parts)
+                    if ASIDE_WORDS & set(parts):
+                        topical = topical and len(parts) > 1 and parts[0] in TOPIC_WORDS and not (ASIDE_WORDS | PAGE_PARTS) & set(parts[1:])
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 hidden = True
         frame = tag in ("html", "body", "main", "article") and not words & {"comment", "comments", "reply", "replies", "ad", "ads", "advert"}
@@ -117,6 +128,8 @@ class _Page(HTMLParser):
         aside = sure or (not frame and bool(words & ASIDE_WORDS))
         header = tag == "header" or (not frame and tag not in HEADINGS and bool(words & HEADER_WORDS))
         doubt = 0 if sure or tag == "header" or not (aside or header) else HOLDS if words & READER_WORDS else MOST
+        if doubt and topical and not header:
+            self.topics.add(len(self.elements))
         parent = self.open[-1]
         self.open.append(len(self.elements))
         path = self.pathed[-1]
@@ -250,14 +263,32 @@ def _misnamed(elements: list, texts: list) -> set:
     return out
 
 
+def _prose(page: _Page) -> set:
+    """Of the elements whose words may be a heading's, those that hold sentences and hardly a link."""
+    if not page.topics:
+        return set()
+    sums: dict = {i: [0, 0, 0] for i in page.topics}
+    for element, _, parts, links in page.blocks:
+        text = _SPACE.sub(" ", "".join(parts)).strip()
+        i = element
+        while i > 0:
+            if i in sums:
+                sums[i][0] += len(text)
+                sums[i][1] += links
+                sums[i][2] += len(text) >= 40 and text[-1] in PUNCTUATION
+            i = page.elements[i][1]
+    return {i for i, (n, links, sentences) in sums.items() if sentences and links <= 0.1 * n}
+
+
 def main_text(html: str) -> str:
     """The article of a page: its blocks in order, one a line; empty if there is none."""
     page = _Page()
     page.feed(html)
     page.close()
+    page.topics = _prose(page)
     elements = page.elements
     texts = [(element, path, text, links) for element, path, parts, links in page.blocks if (text := _SPACE.sub(" ", "".join(parts)).strip())]
-    misnamed = _misnamed(elements, texts)
+    misnamed = _misnamed(elements, texts) | page.topics
     aside, header, framed = [False] * len(elements), [-1] * len(elements), [False] * len(elements)
     titled: set = set()
     for i, (tag, parent, own, head, _, _) in enumerate(elements):
@@ -311,8 +342,22 @@ def main_text(html: str) -> str:
             i = elements[i][1]
         return i == root
 
-    kept = [text for element, path, text, links in blocks if below(element) and not (path not in chosen and links >= 0.9 * len(text) and not heading(element))]
-    return "\n".join(kept)
+    def paragraph(i: int) -> int:
+        while i > 0 and elements[i][0] != "p":
+            i = elements[i][1]
+        return i
+
+    # A paragraph that is one link belongs to the article if paragraphs of the chosen paths stand beside it.
+    homes = {elements[p][1] for element, path, _, _ in blocks if path in chosen and (p := paragraph(element)) > 0}
+
+    def listed(element: int, path: int, text: str, links: int) -> bool:
+        """Whether a block is one of a list of links."""
+        if path in chosen or links < 0.9 * len(text) or heading(element):
+            return False
+        p = paragraph(element)
+        return not (p > 0 and elements[p][1] in homes)
+
+    return "\n".join(block[2] for block in blocks if below(block[0]) and not listed(*block))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

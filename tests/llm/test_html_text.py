@@ -79,3 +79,23 @@ def test_rows(spark):
     assert sorted((r.page_id, len(r.text)) for r in found) == [(1, len(main_text(PAGE)))] * 2 + [(2, 0), (3, 0), (4, 20000 * 11 + 19999)]
     assert {r.text.count("\n") for r in found if r.page_id == 4} == {19999}
     assert extracted(pages.limit(0)).collect() == []
+
+
+def test_headings_words_are_no_menus():
+    """An article's section about a topic isn't what its id's first word names elsewhere."""
+    lead = "".join(f"<p>Sentence number {i} of the lead, long enough to be one of an article, with commas.</p>" for i in range(4))
+    for own in ('section id="search-algorithms"', 'p class="related-work"', 'div id="social-history"'):
+        tag = own.split()[0]
+        inner = "Breadth first comes before depth first, and both come before the best of all."
+        page = f"<html><body><article><h1>Title</h1>{lead}<{own}>{inner if tag == 'p' else f'<h2>Topic</h2><p>{inner}</p>'}</{tag}></article></body></html>"
+        assert inner in main_text(page), own
+    for own in ('div class="related-posts"', 'div class="search-box"', 'div id="share-buttons"', 'div class="related"', 'section id="search-engines"'):
+        inner = "<a href=x>Another story that you may like to read, about things.</a>"
+        page = f"<html><body><article><h1>Title</h1>{lead}<{own}><p>{inner}</p></{own.split()[0]}></article></body></html>"
+        assert "Another story" not in main_text(page), own
+
+
+def test_a_paragraph_that_is_one_link():
+    lead = "".join(f"<p>Sentence number {i} of the text, long enough to be one of an article, with commas.</p>" for i in range(4))
+    page = f"<body><article>{lead}<p><a href=x>The report in full</a></p>{lead}<ul><li><a href=y>Elsewhere</a></li></ul></article></body>"
+    assert "The report in full" in main_text(page) and "Elsewhere" not in main_text(page)
