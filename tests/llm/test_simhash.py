@@ -99,7 +99,7 @@ def test_one_id_with_several_texts(make_docs):
 
 
 def test_more_blocks_for_more_prints():
-    counts = (1, 10**6, 10**7, 10**9, 10**11, 10**14)
+    counts = (1, 512 << 12, 1 + (512 << 12), 512 << 21, 512 << 27, 1 + (512 << 27))
     assert [exact_blocks(n) for n in counts] == [1, 1, 2, 2, 3, 4]
 
 
