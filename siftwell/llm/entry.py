@@ -16,6 +16,8 @@ _MODULES = {
     "op8_quality_classifier": "quality",
     "op9_simhash_near_dedup": "simhash",
     "op10_sharding": "sharding",
+    "op11_best_fit_packing": "packing",
+    "op12_source_divergence": "divergence",
 }
 
 
