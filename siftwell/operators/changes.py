@@ -33,6 +33,13 @@ def delete_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:
     return rows.join(paths.select("filePath"), "filePath", "left_anti").select(rows.columns)
 
 
+def newest_of(log: DataFrame, key: str, order: str) -> DataFrame:
+    """Of a log's rows the one of each key with the largest ``order``; ties by the other columns, so that equal logs give equal rows."""
+    rest = [c for c in log.columns if c not in (key, order)]
+    newest = log.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("_row"))
+    return newest.select(key, "_row.*").select(log.columns)
+
+
 def merged(stored: DataFrame, changes: DataFrame, fresh: DataFrame) -> DataFrame:
     """The next version of a table: without the rows of modified and deleted files, with the fresh ones."""
     gone = changes.where(F.col("status").isin("modified", "deleted"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import similarity, similarity_to
 
-#: Queries that are broadcast to the rows, or that stand in one block.
-QUERY_BLOCK = 1000
+#: Queries that are broadcast to the rows, or that stand in one block; rows of a block.
+QUERY_BLOCK, ROW_BLOCK = 1000, 50_000
 
 
 def nearest(rows: DataFrame, vector: Sequence[float], k: int, tie: str = "id", column: str = "vector") -> DataFrame:
@@ -27,16 +27,16 @@ def nearest(rows: DataFrame, vector: Sequence[float], k: int, tie: str = "id", c
 def nearest_to_each(rows: DataFrame, queries: DataFrame, k: int, tie: str = "id", column: str = "vector") -> DataFrame:
     """(query_id, rank, tie, distance) of the k nearest rows to each of queries (query_id, query_vector).
 
-    A stated set of queries meets all rows: broadcast if there are few, else in a grid of blocks, each of
-    some queries and some rows, so that the plan is the same for any number. Each task keeps its k best a
-    query before anything is shuffled for the ranking.
+    A stated set of queries meets all rows: broadcast if there are few, else in a grid of blocks of at most about
+    QUERY_BLOCK queries and ROW_BLOCK rows, whatever the number of either: a row is sent once for so many queries
+    that it is compared with. Each task keeps its k best a query before anything is shuffled for the ranking.
     """
     count = queries.count()
     if count <= QUERY_BLOCK:
         met = rows.select(tie, column).crossJoin(F.broadcast(queries))
     else:
         asked_in = -(-count // QUERY_BLOCK)
-        held_in = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // asked_in)
+        held_in = max(1, -(-rows.count() // ROW_BLOCK))
         each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         blocks = queries.select("query_id", "query_vector", F.pmod(F.xxhash64("query_id"), F.lit(asked_in)).cast("int").alias("_q"), each(held_in).alias("_r"))
         spread = rows.select(tie, column, each(asked_in).alias("_q"), F.pmod(F.xxhash64(tie), F.lit(held_in)).cast("int").alias("_r"))

@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.languages import LANGUAGE_IDS
-from ..functions.text import is_identifier_query, matches_glob, sanitize_language, sanitize_symbol_type, without_controls
-from .bm25 import with_bm25
-from .knn import nearest
+from ..functions.text import is_identifier, is_identifier_query, matches_glob, sanitize_language, sanitize_symbol_type, without_controls
+from .bm25 import bm25_of_each, with_bm25
+from .knn import nearest, nearest_to_each
 
 #: Results below this score are noise; so many times the limit are fetched to be ranked anew.
 LEAST_SCORE = 0.05
@@ -54,6 +54,20 @@ def search_code(chunks: DataFrame, query: str, vector: Sequence[float], limit: i
     return best.select("filePath", "startLine", "endLine", "content", "symbolName", "symbolType", "language", "score")
 
 
+def search_code_of_each(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, rank, filePath, startLine, endLine, content, symbolName, symbolType, language, score): search_code for each of queries (query_id, query, query_vector).
+
+    Ids of chunks and of queries are distinct. All queries meet the chunks in one pass; contents are looked up for the candidates alone.
+    """
+    near = nearest_to_each(chunks, queries, limit * OVERFETCH, "id").drop("rank")
+    found = near.join(queries.select("query_id", "query"), "query_id").join(chunks.select("id", "filePath", "startLine", "endLine", "content", "symbolName", "symbolType", "language"), "id")
+    found = bm25_of_each(found, F.concat_ws(" ", "content", F.coalesce("symbolName", F.lit("")), "filePath"), F.col("query"), "query_id", "id")
+    of_words = F.when(is_identifier(F.col("query")), 0.7).otherwise(0.3)
+    found = found.withColumn("score", (1 - of_words) * F.greatest(F.lit(0.0), 1 - F.col("distance")) + of_words * F.col("bm25_share")).where(F.col("score") >= LEAST_SCORE)
+    found = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "distance", "id"))).where(F.col("rank") <= limit)
+    return found.select("query_id", "rank", "filePath", "startLine", "endLine", "content", "symbolName", "symbolType", "language", "score")
+
+
 def search_files(files: DataFrame, query: str, vector: Sequence[float], limit: int = 10) -> DataFrame:
     """(filePath, language, chunkCount, symbolCount, score), best first: mean vectors, and BM25 over paths."""
     found = _fused(_similar(files, vector, limit * OVERFETCH, "filePath"), query, F.col("filePath"))

@@ -13,8 +13,8 @@ from ..operators.chunking import line_chunks
 
 
 def latest_files(batch: DataFrame) -> DataFrame:
-    """The newest row of each filePath in a batch (filePath, language, content, ts)."""
-    newest = F.row_number().over(W.partitionBy("filePath").orderBy(F.desc("ts")))
+    """The newest row of each filePath in a batch (filePath, language, content, ts); of equally new ones the last by content, however often a batch runs."""
+    newest = F.row_number().over(W.partitionBy("filePath").orderBy(F.desc("ts"), F.desc("content"), "language"))
     return batch.withColumn("_n", newest).where("_n = 1").drop("_n")
 
 
