@@ -44,8 +44,8 @@ BITS = 24
 SLOTS = 64
 #: Classes that share a prefix word, or the first words of a chain, and are joined in one task.
 PART = 1 << 15
-#: Words that may be sent to all tasks because more than PART classes share them.
-HOT_WORDS = 1 << 22
+#: Words that are sent to all tasks at once because more than PART classes share them; of more, texts are read again for each so many.
+HOT_WORDS = 1 << 18
 #: Postings that a receiver holds at once, about, and those that a sender gathers.
 HELD = GATHERED = 1 << 19
 #: Bitmaps have 64 bits for sets of up to so many words, and twice as many for each of these bounds that a set exceeds.
@@ -567,7 +567,7 @@ def _posted(docs: DataFrame, ranks, t: Fraction, part: float, subs: int, hot: li
     return with_hash(docs).mapInArrow(run, schema)
 
 
-def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART) -> DataFrame:
+def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART, hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, th, line, class_doc_id, class_line, n_links, removed) for each line of docs (doc_id, text).
 
     The class of a line is named by its first line in order of doc_id and line;
@@ -577,7 +577,8 @@ def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART
     document; their lines are judged alike. A null text is one empty line, a null
     doc_id comes before all others. Other columns of docs, of any name, aren't
     looked at; a table without rows gives none. ``part`` is the number of classes
-    that share a word beyond which these are told apart by a second one.
+    that share a word beyond which these are told apart by a second one; ``hot_words`` is how many such
+    words tasks know at once, and any number of them is worked off.
     """
     t = Fraction(similarity)
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType
@@ -592,22 +593,29 @@ def joined_lines(docs: DataFrame, similarity: str = SIMILARITY, part: int = PART
         most = part if dealt is None else float("inf")
         return _survivors(_posted(docs, ranks, t, most, subs, hot, dealt, not hot), level, t, most, dealt is not None, id_type, what)
 
+    def settled(level: int, met: DataFrame, hot: list):
+        """The survivors of what too many classes shared at a level, and, slice by slice of such words, at the levels after it."""
+        counts = written(met.where("line IS NULL AND c1 IS NULL").groupBy("token").agg(F.sum("word").alias("n")), "hot")
+        slices = -(-counts.count() // hot_words)
+        for k in range(slices):
+            found = counts.where(F.pmod(F.xxhash64("token"), F.lit(slices)) == k).toArrow()
+            tokens, n = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
+            order = np.argsort(tokens)
+            chains, upto = [*hot, tokens[order]], min(level + 1, levels)
+            blocks = -(-n[order] // part) if level == levels else None
+            met = met_at(upto, chains, blocks, "chains")
+            more = met.where("c1 IS NOT NULL").select("c1", "token", "word", F.lit(upto).alias("level"))
+            if blocks is not None:
+                yield more.distinct()
+            else:
+                yield more
+                yield from settled(level + 1, met, chains)
+
     met = met_at(1, [], None, "lines")
     lines = met.where("line IS NOT NULL").select("doc_id", "th", "line", "c1", "c2")
     left = met.where("line IS NULL AND c1 IS NOT NULL").select("c1", "token", "word", F.lit(1).alias("level"))
-    hot: list[np.ndarray] = []
-    for level in range(1, levels + 1):
-        found = met.where("line IS NULL AND c1 IS NULL").groupBy("token").agg(F.sum("word").alias("n")).limit(HOT_WORDS + 1).collect()
-        if not found:
-            break
-        if len(found) > HOT_WORDS:
-            raise ValueError("too many words that more than part classes share: choose a larger part")
-        found = sorted((r.token & (1 << 64) - 1, r.n) for r in found)
-        hot.append(np.array([x for x, _ in found], np.uint64))
-        blocks = np.array([-(-n // part) for _, n in found]) if level == levels else None
-        met = met_at(min(level + 1, levels), hot, blocks, "chains")
-        more = met.where("c1 IS NOT NULL").select("c1", "token", "word", F.lit(min(level + 1, levels)).alias("level"))
-        left = left.union(more.distinct() if blocks is not None else more)
+    for more in settled(1, met, []):
+        left = left.union(more)
 
     # Groups of many survivors are compared block by block.
     left = written(left, "left")

@@ -207,7 +207,7 @@ def best_packing(spark: SparkSession, counts: dict, room: int = ROOM, islands: i
     members = spark.createDataFrame([(i, 0, 0, "") for i in range(islands)], state)
     for epoch in range(epochs):
         evolve = _epoch(counts, room, f"{seed}/{epoch}", population, generations)
-        members = written(members.groupBy("island").applyInPandas(evolve, state), "islands")
+        members = written(members.repartition(islands, "island").groupBy("island").applyInPandas(evolve, state), "islands")
         if members.agg(F.min("bins")).first()[0] == least:
             break
         elites = members.where(F.col("place") < ELITES).withColumn("island", (F.col("island") + 1) % islands)

@@ -56,6 +56,13 @@ def test_against_all_pairs(make_docs):
         assert got == brute(rows) and n == 200
 
 
+def test_any_number_of_frequent_words(make_docs):
+    """With room for a few of them at once, words that many classes share are worked off slice by slice at each level."""
+    rows = some_rows(4, 0.95)[:25]
+    got, n = found(make_docs(rows), part=6, hot_words=25)
+    assert got == brute(rows) and n == 125
+
+
 def test_large_groups_and_long_lines(make_docs, monkeypatch):
     """Groups that are compared by matrix products, whose words are split further, and sets with wide bitmaps."""
     r = random.Random(5)
