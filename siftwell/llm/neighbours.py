@@ -115,7 +115,13 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _evened(rows: np.ndarray) -> np.ndarray:
+    """The rows, each times the power of two that brings its largest component to about 1: squares then stay finite and positive, and no cosine changes."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True, initial=0))[1])
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = _evened(rows)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -172,7 +178,7 @@ def _nearest(queries: np.ndarray, points: np.ndarray, k: int):
     k = min(k, len(points))
     least = -np.partition(-rough, k - 1, axis=1)[:, k - 1] - 1e-9
     q, p = np.nonzero(rough >= least[:, None])
-    a, b = queries[q], points[p]
+    a, b = _evened(queries)[q], _evened(points)[p]
     return q, p, np.add.reduce(a * b, axis=1) / (np.sqrt(np.add.reduce(a * a, axis=1)) * np.sqrt(np.add.reduce(b * b, axis=1)))
 
 

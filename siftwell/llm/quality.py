@@ -199,7 +199,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, smoothing:
     Ratios come from all labelled rows; the hinge-loss model is fitted to at
     most ``fit_rows`` rows of each class, those with the smallest hash of their id
     (where an id stands on several rows, on fewer ids: the first by id and features).
+    N-grams that stand once in all labelled rows tell nothing and have the ratio of none.
+    Ids may be of any type; those that aren't integers are known by a hash of their text.
     """
+    integral = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    number = F.col("doc_id").cast("long") if integral else F.xxhash64(F.col("doc_id").cast("string"))
     remainder = F.crc32(F.col("doc_id").cast("string")) % 3
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(remainder != 1).select("doc_id", F.col("quality").cast("int").alias("quality"))
     known = small(written(known, "labels"))
@@ -219,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, smoothing:
     for label in (0, 1):
         part = known.where(F.col("quality") == label).select("doc_id", "quality").distinct().orderBy(order, "doc_id").limit(fit_rows)
         chosen = part if chosen is None else chosen.union(part)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(number.alias("doc_id"), "quality", "text")
 
     def bounded(rows) -> list:
         """The first fit_rows rows of each class in order, never holding many more."""
@@ -233,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, smoothing:
 
     def indicate(batches):
         features = Features()
-        found = bounded((i, y, f.astype(np.int32).tobytes()) for batch in narrow_batches(batches) for i, y, f in zip(batch["doc_id"].cast(pa.int64()).to_pylist(), batch["quality"].to_pylist(), features.texts(batch["text"])))
+        found = bounded((i, y, f.astype(np.int32).tobytes()) for batch in narrow_batches(batches) for i, y, f in zip(batch["doc_id"].to_pylist(), batch["quality"].to_pylist(), features.texts(batch["text"])))
         for at in range(0, len(found), 256):
             ids, labels_, blobs = zip(*found[at : at + 256])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels_, pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "quality", "f"])

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell.llm.neighbours import grow, search
@@ -62,3 +65,17 @@ def test_repeated_query_id(spark):
         found.setdefault(x.query_id, []).append((x["rank"], x.vec_id))
     assert sorted(found[50]) == sorted([(1, 51), (2, 52), (3, 53), (4, 54), (5, 54)] * 8)
     assert sorted(found[100]) == sorted([(i + 1, 101 + i) for i in range(5)] * 8)
+
+
+def test_vectors_whose_squares_overflow_or_vanish(spark):
+    """Cosines don't depend on lengths, however large or small."""
+    near = [([3.0, 4.0], 1.0), ([4.0, 3.0], 0.96), ([-4.0, 3.0], 0.0), ([-3.0, -4.0], -1.0)]
+    rows = [(50, [3e200, 4e200]), (100, [3e-200, 4e-200])]
+    for k, scale in enumerate((1e250, 1e-250, 1.0, 5e-324)):
+        rows += [(51 + 10 * k + i, [x * scale for x in v]) for i, (v, _) in enumerate(near)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = search(table, F.col("vec_id") % 50 == 0, 17).collect()
+    cosine = lambda v: (3 * v[0] + 4 * v[1]) / (5 * math.hypot(*v))
+    known = {i: cosine([x / max(map(abs, v)) for x in v]) for i, v in rows}
+    assert len(found) == 34 and all(r.score == pytest.approx(known[r.vec_id], abs=1e-14) for r in found)
+    assert all(r.score > 1 - 1e-14 for r in found if r["rank"] <= 4) and all(r.score < -0.9 for r in found if r["rank"] > 14)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from siftwell.llm.quality import SIZE, Features, class_counts, fit, quality_stage, score
 
@@ -65,3 +66,11 @@ def test_an_id_on_many_rows_fills_no_task(spark, make_docs):
     labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
     scores = [r.quality_score for r in score(docs, fit(docs, labels, fit_rows=30)).collect()]
     assert len(scores) == 700 and all(0 <= s <= 1 for s in scores)
+
+
+def test_ids_that_are_text(spark, make_docs):
+    rows = texts(400, 3)
+    docs = make_docs([(i, t) for i, t, _ in rows]).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    labels = spark.createDataFrame([(f"d{i}", q) for i, _, q in rows], "doc_id string, quality int")
+    scored = {r.doc_id: r.quality_score for r in score(docs, fit(docs, labels)).collect()}
+    assert np.mean([(scored[f"d{i}"] >= 0.5) == bool(q) for i, _, q in rows if zlib.crc32(f"d{i}".encode()) % 3 == 1]) > 0.95
