@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import mean_vector
-from ..operators.changes import delete_paths, detect_changes, file_rollup, reused_vectors
+from ..operators.changes import detect_changes, file_rollup, reused_vectors
 from ..operators.chunking import symbol_chunks
 from ..sources.files import read_files, scan_files
-from ..sources.store import FILES, VERSION, IndexStore, normalize_project
+from ..sources.store import FILES, VERSION, ConflictError, IndexStore, Snapshot, names, normalize_project
 from .config import Config
 from .embedding import Provider, embedded
 
+#: Modified files up to which their names are a filter of the scan for their old rows, and runs of an update that meets other writers.
+NAMED_FILES, ATTEMPTS = 200, 3
+
 
 @dataclass
 class IndexResult:
@@ -33,8 +36,37 @@ class IndexResult:
 
 def file_table(chunks: DataFrame) -> DataFrame:
     """The files table of chunks: counts, and the mean of a file's vectors."""
-    names = [c.split()[0] for c in FILES.split(", ")]
-    return file_rollup(chunks, mean_vector(F.col("vector")).cast("array<float>").alias("vector")).select(*names)
+    return file_rollup(chunks, mean_vector(F.col("vector")).cast("array<float>").alias("vector")).select(*names(FILES))
+
+
+def stage_index(store: IndexStore, chunks: DataFrame, provider: Provider, batch: int = 50) -> Snapshot:
+    """A whole index of chunks (without vectors), written but not published."""
+    rows = embedded(chunks, provider, batch=batch).withColumn("indexedAt", F.current_timestamp())
+    return store.stage(rows, file_table)
+
+
+def stage_update(store: IndexStore, base: Snapshot, changes: DataFrame, chunks: DataFrame, provider: Provider, batch: int = 50, modified: list[str] | None = None) -> Snapshot:
+    """What changes (filePath, status) make of base, written but not published: ``chunks`` are those of added and modified files.
+
+    Modified files keep the vectors of chunks whose id and summary are the same. Rows of files that didn't change
+    are neither read, but for hashes, nor written. modified: the names of modified files, if they are few.
+    """
+    old = base.chunks.select("filePath", "id", "summary", "vector")
+    if modified is not None and len(modified) <= NAMED_FILES:
+        old = old.where(F.col("filePath").isin(modified))  # reaches the scan, whose files are in order of path
+    else:
+        old = old.join(changes.where(F.col("status") == "modified").select("filePath"), "filePath", "left_semi")
+    known = reused_vectors(chunks, old)
+    missing = embedded(known.where("vector IS NULL").drop("vector"), provider, batch=batch)
+    fresh = known.where("vector IS NOT NULL").unionByName(missing).withColumn("indexedAt", F.current_timestamp())
+    # A stored file without a hash comes as added, so what is dead is told by what is stored.
+    dead = changes.select("filePath").join(base.files.select("filePath"), "filePath", "left_semi")
+    return store.stage_change(base, fresh, file_table, dead)
+
+
+def totals(files: DataFrame) -> dict:
+    found = files.agg(F.count(F.lit(1)).alias("f"), F.sum("chunkCount").alias("c"), F.sum("symbolCount").alias("s")).first()
+    return {"totalFiles": found.f, "totalChunks": found.c or 0, "totalSymbols": found.s or 0}
 
 
 class Indexer:
@@ -56,64 +88,67 @@ class Indexer:
         while self._held:
             self._held.pop().unpersist()
 
-    def _metadata(self, chunks: DataFrame, files: DataFrame, before: dict | None, overrides: dict | None) -> dict:
+    def _metadata(self, files: DataFrame, before: dict | None, overrides: dict | None) -> dict:
         now = datetime.now(timezone.utc).isoformat()
-        counts = chunks.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("symbolName") != "").alias("s")).first()
         base = before or {"projectPath": self.project, "embeddingProvider": self.provider.name, "embeddingModel": self.provider.model, "dimensions": self.provider.dimensions, "createdAt": now, "version": VERSION, "initOverrides": overrides}
-        return {**base, "totalFiles": files.count(), "totalChunks": counts.n, "totalSymbols": counts.s, "lastIndexedAt": now}
+        return {**base, **totals(files), "lastIndexedAt": now}
 
     def full_index(self, overrides: dict | None = None) -> IndexResult:
         """A new index of all files. It replaces the old one only when all of it is written."""
-        try:
-            return self._full_index(overrides)
-        finally:
-            self._release()
+        return self._attempted(lambda: self._full_index(overrides), "Indexing aborted, the existing index was not changed")
 
     def incremental_update(self) -> IndexResult:
         """The index brought up to date with the files. Chunks whose id and summary are unchanged keep their vectors."""
+        return self._attempted(self._incremental_update, "Update aborted, the index was not changed")
+
+    def _attempted(self, run, failed: str) -> IndexResult:
+        """The result of run, begun again from the newest commit where another writer came first."""
+        for attempt in range(ATTEMPTS):
+            try:
+                return run()
+            except ConflictError as error:
+                if attempt == ATTEMPTS - 1:
+                    raise RuntimeError(f"{failed}: {error}") from error
+            finally:
+                self._release()
+        raise AssertionError
+
+    def _staged(self, write, began_at: int, failed: str) -> Snapshot:
         try:
-            return self._incremental_update()
-        finally:
-            self._release()
+            return write()
+        except Exception as error:
+            now = self.store.snapshot()
+            if (now.number if now else 0) > began_at:  # another writer may have removed what this one was reading
+                raise ConflictError(str(error)) from error
+            raise RuntimeError(f"{failed}: {error}") from error
 
     def _full_index(self, overrides: dict | None) -> IndexResult:
-        began = time.monotonic()
+        began, before = time.monotonic(), self.store.snapshot()
         chunks, skipped = self._chunks(scan_files(self.project, self.config.files))
-        try:
-            rows = embedded(chunks, self.provider, batch=self.config.embedding.batch_size).withColumn("indexedAt", F.current_timestamp())
-            version, kept, files = self.store.stage(rows, file_table)
-        except Exception as error:
-            raise RuntimeError(f"Indexing aborted, the existing index was not changed: {error}") from error
-        meta = self._metadata(kept, files, None, overrides)
-        self.store.publish(version, meta)
+        write = lambda: stage_index(self.store, chunks, self.provider, self.config.embedding.batch_size)
+        staged = self._staged(write, before.number if before else 0, "Indexing aborted, the existing index was not changed")
+        meta = self._metadata(staged.files, None, overrides)
+        self.store.publish(staged, meta)
         return IndexResult(meta["totalFiles"], 0, 0, 0, meta["totalChunks"], meta["totalSymbols"], skipped, time.monotonic() - began, self.provider.name)
 
     def _incremental_update(self) -> IndexResult:
         began = time.monotonic()
         paths = scan_files(self.project, self.config.files)
-        old_files, old_chunks = self.store.files(), self.store.chunks()
+        base = self.store.snapshot()
         current = read_files(self.spark, self.project, paths, with_content=False).select("filePath", "fileHash")
-        changes = detect_changes(current, old_files.select("filePath", "fileHash")).persist()
+        changes = detect_changes(current, (base.files if base else self.store.files()).select("filePath", "fileHash")).persist()
         self._held.append(changes)
         found = [(r.filePath, r.status) for r in changes.collect()]  # names of changed files of one tree
         if not found:
             return IndexResult(seconds=time.monotonic() - began)
-        count = lambda status: sum(s == status for _, s in found)
-        chunks, skipped = self._chunks([p for p, s in found if s != "deleted"])
+        of = lambda status: [p for p, s in found if s == status]
+        chunks, skipped = self._chunks(of("added") + of("modified"))
+        write = lambda: stage_update(self.store, base, changes, chunks, self.provider, self.config.embedding.batch_size, of("modified"))
+        staged = self._staged(write, base.number, "Update aborted, the index was not changed")
+        created = chunks.count()
+        self.store.publish(staged, self._metadata(staged.files, base.metadata, None))
         try:
-            modified = changes.where(F.col("status") == "modified").select("filePath")
-            before = old_chunks.join(modified, "filePath", "left_semi")
-            known = reused_vectors(chunks, before)
-            missing = embedded(known.where("vector IS NULL").drop("vector"), self.provider, batch=self.config.embedding.batch_size)
-            fresh = known.where("vector IS NOT NULL").unionByName(missing).withColumn("indexedAt", F.current_timestamp())
-            gone = changes.where(F.col("status") != "added")
-            rows = delete_paths(old_chunks, gone).unionByName(fresh)
-            # Files that keep their rows keep their place in the files table too; only changed ones are rolled up.
-            touched = changes.select("filePath")
-            files_of = lambda kept: delete_paths(old_files, gone).unionByName(file_table(kept.join(touched, "filePath", "left_semi")))
-            version, kept, files = self.store.stage(rows, files_of)
-        except Exception as error:
-            raise RuntimeError(f"Update aborted, the index was not changed: {error}") from error
-        created = kept.join(touched, "filePath", "left_semi").count()
-        self.store.publish(version, self._metadata(kept, files, self.store.metadata(), None))
-        return IndexResult(0, count("added"), count("modified"), count("deleted"), created, 0, skipped, time.monotonic() - began, self.provider.name)
+            self.store.compact()
+        except ConflictError:  # the writer that came first will do it
+            pass
+        return IndexResult(0, len(of("added")), len(of("modified")), len(of("deleted")), created, 0, skipped, time.monotonic() - began, self.provider.name)

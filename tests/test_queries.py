@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.vectors import embed_text
 from siftwell.operators.search import search_code
-from siftwell.plans.queries import ORACLE_SQL, QUERIES, SYMBOL_NAME, SYMBOL_NOWHERE, SYMBOL_PART, _parts
+from siftwell.plans import index_queries, job_queries, queries
+from siftwell.plans.queries import SYMBOL_NAME, SYMBOL_NOWHERE, SYMBOL_PART, _parts
 
+QUERIES = queries.QUERIES | index_queries.QUERIES | job_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | index_queries.ORACLE_SQL | job_queries.ORACLE_SQL
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
