@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -78,18 +78,19 @@ def search_files(files: DataFrame, query: str, vector: Sequence[float], limit: i
 _ORDER = ("filePath", "startLine", "id")
 
 
-def search_symbols(chunks: DataFrame, query: str, vector: Sequence[float], limit: int = 10, symbol_types: Sequence[str] | None = None) -> DataFrame:
+def search_symbols(chunks: DataFrame, query: str, vector: Sequence[float], limit: int = 10, symbol_types: Sequence[str] | None = None, containing: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """(filePath, startLine, endLine, symbolName, symbolType, content, language, score), best first.
 
     A name is looked for as a symbol's whole name, then as part of one, and, if
     neither finds any, in the contents; the nearest chunks come in addition. A
     chunk counts once, for the first way that found it. Matches of each way are
     taken in order of path, line and id. Symbol types that aren't words are
-    ignored; if none is left, nothing is filtered.
+    ignored; if none is left, nothing is filtered. containing: gives the chunks whose content
+    contains a literal, where an index knows them; else they are scanned.
     """
     types = [t for t in (sanitize_symbol_type(x) for x in symbol_types or ()) if t]
-    if types:
-        chunks = chunks.where(F.col("symbolType").isin(types))
+    of_types = lambda found: found.where(F.col("symbolType").isin(types)) if types else found
+    chunks = of_types(chunks)
     fields = ["id", "filePath", "startLine", "endLine", "symbolName", "symbolType", "content", "language"]
     rows = chunks.select(*fields, "vector")
     own_text = F.concat_ws(" ", "symbolName", "symbolType", "content")
@@ -109,7 +110,8 @@ def search_symbols(chunks: DataFrame, query: str, vector: Sequence[float], limit
         by_name = exact.union(partial)
         # Whether a name was found is one row, so the fall-back needs no second job.
         none = F.broadcast(by_name.agg((F.count(F.lit(1)) == 0).alias("_none")))
-        inside = rows.where(F.contains("content", F.lit(name))).orderBy(*_ORDER).limit(limit).crossJoin(none).where("_none").drop("_none")
+        inside = of_types(containing(name)).select(*fields, "vector") if containing else rows.where(F.contains("content", F.lit(name)))
+        inside = inside.orderBy(*_ORDER).limit(limit).crossJoin(none).where("_none").drop("_none")
         filled = inside.withColumn("symbolName", F.when(F.col("symbolName") == "", query).otherwise(F.col("symbolName"))).withColumn("symbolType", F.when(F.col("symbolType") == "", "unknown").otherwise(F.col("symbolType")))
         ways = by_name.union(way(filled, 2, 0.3, F.concat_ws(" ", F.lit(query), "content"))).union(ways)
     first = ways.withColumn("_turn", F.row_number().over(W.partitionBy("id").orderBy("way"))).where("_turn = 1")

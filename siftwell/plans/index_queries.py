@@ -11,11 +11,13 @@ from ..functions.text import sha256
 from ..functions.vectors import embed_text
 from ..operators.changes import detect_changes
 from ..operators.chunking import line_chunks
+from ..operators.clustered import cluster, nearest_to_each_stored
 from ..operators.search import search_code, search_files
 from ..sources.shared import shared_dir
 from ..sources.store import IndexStore
 from .embedding import HashProvider
 from .indexer import stage_index, stage_update, totals
+from .queries import ORACLE_SQL as ENGINE_SQL
 from .queries import QUERY, _files, _sql_chunks, _sql_rank, _sql_vector, _table
 
 
@@ -28,10 +30,10 @@ def _before_and_now(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return files.where(number % 13 != 0), now
 
 
-def updated_index(spark: SparkSession, sf_dir: str) -> tuple[IndexStore, DataFrame]:
+def updated_index(spark: SparkSession, sf_dir: str, with_runs: bool = False) -> tuple[IndexStore, DataFrame]:
     """A store with the index of the earlier day, brought up to today; and the changes."""
     before, now = _before_and_now(spark, sf_dir)
-    store, provider = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "documents"), HashProvider()
+    store, provider = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "documents", with_runs), HashProvider()
     staged = stage_index(store, line_chunks(before), provider)
     store.publish(staged, totals(staged.files))
     base = store.snapshot()
@@ -66,7 +68,29 @@ def search_files_after_update(spark, sf_dir):
     return found.select("filePath", "language", "chunkCount", "symbolCount", F.round("score", 5).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (index_after_update, index_status_after_update, search_code_after_update, search_files_after_update)}
+#: Literals of several lengths, with and without special characters, in many chunks and in none.
+LITERALS = ("%", "é", "qu", "'", "%%%", "heation", "changed since", "the heation of anand", "nowhere at all")
+
+
+def contents_by_trigrams(spark, sf_dir):
+    """The chunks that contain each of some literals, found through the index of runs after an update."""
+    store, _ = updated_index(spark, sf_dir, with_runs=True)
+    snapshot, found = store.snapshot(), None
+    for literal in LITERALS:
+        rows = snapshot.containing(literal).select(F.lit(literal).alias("literal"), "filePath", "startLine")
+        found = rows if found is None else found.union(rows)
+    return found
+
+
+def knn_in_stored_clusters(spark, sf_dir):
+    """batched_knn from an index that is stored by cluster and read in part."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    index = cluster(rows, f"{shared_dir(spark)}/clusters-{uuid.uuid4().hex}", "vec_id")
+    asked = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return nearest_to_each_stored(index, asked, 3, "vec_id").select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+QUERIES = {f.__name__: f for f in (contents_by_trigrams, knn_in_stored_clusters, index_after_update, index_status_after_update, search_code_after_update, search_files_after_update)}
 
 _DAY = "source || '/' || doc_id || '.txt' AS filePath, lang AS language"
 _NOW = f"""files AS (SELECT {_DAY}, CASE WHEN doc_id % 17 <> 0 AND doc_id % 7 = 0 THEN text || chr(10) || 'changed since' ELSE text END AS content
@@ -79,7 +103,10 @@ def _near(rows: str, query: str, tie: str) -> str:
     return f"near AS (SELECT *, greatest(0, 1 - distance) AS similarity FROM (SELECT *, 1 - list_cosine_similarity(vector, {_sql_vector(query)}) AS distance FROM {rows}) ORDER BY distance, {tie} LIMIT 30)"
 
 
+_LITERALS = ", ".join("('" + x.replace("'", "''") + "')" for x in LITERALS)
 ORACLE_SQL = {
+    "knn_in_stored_clusters": ENGINE_SQL["batched_knn"],
+    "contents_by_trigrams": f"WITH {_NOW}, {_sql_chunks()}, l(literal) AS (VALUES {_LITERALS}) SELECT literal, filePath, startLine FROM chunks, l WHERE contains(content, literal)",
     "index_after_update": f"""WITH {_NOW}, {_sql_chunks()}, hashes AS (SELECT filePath, sha256(content) AS fileHash FROM files)
 SELECT id, c.filePath, startLine, endLine, sha256(content) AS content_hash, summary, language, fileHash FROM chunks c JOIN hashes h ON c.filePath = h.filePath""",
     "index_status_after_update": f"""WITH {_NOW}, {_sql_chunks()}

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from ..functions.languages import SYMBOL_TYPES
 from ..operators.search import search_code, search_files, search_symbols
-from ..sources.store import IndexStore, normalize_project
+from ..sources.store import IndexStore, Snapshot, normalize_project
 from . import format as text
 from .config import Config, load_config, with_overrides
 from .embedding import QueryCache, create_provider
@@ -30,19 +30,19 @@ class NoIndexError(LookupError):
 class _Open:
     """A project that is being searched: its provider, its tables and when it was last used."""
 
-    def __init__(self, config: Config, cache: QueryCache, chunks, files) -> None:
-        self.config, self.cache, self.chunks, self.files, self.used = config, cache, chunks, files, time.monotonic()
+    def __init__(self, config: Config, cache: QueryCache, index: Snapshot) -> None:
+        self.config, self.cache, self.index, self.chunks, self.files, self.used = config, cache, index, index.chunks, index.files, time.monotonic()
 
 
 class Tools:
-    """The tools of one session. home: where indexes are kept; provider: makes a provider from settings."""
+    """The tools of one session. home: where indexes are kept; provider: makes a provider from settings; with_runs: whether new indexes find substrings without a scan."""
 
-    def __init__(self, spark: SparkSession, home: str | None = None, provider=create_provider) -> None:
-        self.spark, self.home, self._provider = spark, home or os.path.expanduser("~/.siftwell"), provider
+    def __init__(self, spark: SparkSession, home: str | None = None, provider=create_provider, with_runs: bool = False) -> None:
+        self.spark, self.home, self._provider, self._with_runs = spark, home or os.path.expanduser("~/.siftwell"), provider, with_runs
         self._queue, self._guard, self._open = WriteQueue(), threading.RLock(), {}
 
     def _store(self, project: str) -> IndexStore:
-        return IndexStore(self.spark, self.home, project)
+        return IndexStore(self.spark, self.home, project, self._with_runs)
 
     def _context(self, project: str) -> _Open:
         with self._guard:  # one caller opens a project, others wait for it
@@ -50,13 +50,13 @@ class Tools:
             for key in [k for k, c in self._open.items() if now - c.used > KEPT_OPEN]:
                 del self._open[key]
             if project not in self._open:
-                store = self._store(project)
-                meta = store.metadata()
-                if not meta:
+                index = self._store(project).snapshot()
+                if index is None:
                     raise NoIndexError(project)
+                meta = index.metadata
                 config = load_config(project)
                 config.embedding.provider, config.embedding.model = meta["embeddingProvider"], meta["embeddingModel"]
-                self._open[project] = _Open(config, QueryCache(self._provider(config.embedding)), store.chunks(), store.files())
+                self._open[project] = _Open(config, QueryCache(self._provider(config.embedding)), index)
             self._open[project].used = now
             return self._open[project]
 
@@ -89,7 +89,7 @@ class Tools:
     def search_symbols(self, project_path: str, query: str, symbol_types: list[str] | None = None, limit: int | None = None) -> str:
         if any(t not in SYMBOL_TYPES for t in symbol_types or ()):
             raise ValueError(f"symbol types are {', '.join(SYMBOL_TYPES)}")
-        run = lambda c, n: search_symbols(c.chunks, query, c.cache.embed([query])[0], n, symbol_types)
+        run = lambda c, n: search_symbols(c.chunks, query, c.cache.embed([query])[0], n, symbol_types, c.index.containing)
         return self._search(project_path, limit, run, text.symbol_results)
 
     def _write(self, project: str, run):

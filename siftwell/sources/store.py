@@ -23,10 +23,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.trigrams import containing, in_order, postings
 from .folders import Folder
 
 CHUNKS = "id string, vector array<float>, filePath string, startLine int, endLine int, content string, symbolName string, symbolType string, language string, parentSymbol string, summary string, fileHash string, indexedAt timestamp"
 FILES = "filePath string, vector array<float>, language string, fileHash string, chunkCount int, symbolCount int, indexedAt timestamp"
+RUNS = "run string, filePath string, startLine int"
 VERSION = "0.1.0"
 #: Dead paths up to which they are sent to all tasks that read, and batches up to which a version isn't written anew.
 SENT_PATHS, MOST_BATCHES = 200_000, 32
@@ -88,12 +90,25 @@ class Snapshot:
     def files(self) -> DataFrame:
         return self._live("files", FILES)
 
+    def containing(self, literal: str) -> DataFrame:
+        """The chunks whose content contains the literal: by the index of runs if the version has one, else by a scan."""
+        if not self.store.folder.exists(f"{self.version}/runs/batch={self.batches[0]}"):
+            return self.chunks.where(F.contains("content", F.lit(literal)))
+        base = f"{self.store.root}/{self.version}/runs"
+        # Postings of dead rows lead to nothing, or to newer rows that are compared like any other.
+        index = self.store.spark.read.schema(RUNS).option("basePath", base).parquet(*(f"{base}/batch={b}" for b in self.batches))
+        return containing(self.chunks, index, literal)
+
 
 class IndexStore:
-    """One project's index below ``home``, a folder of any file system that driver and executors share."""
+    """One project's index below ``home``, a folder of any file system that driver and executors share.
+
+    with_runs: new versions have an index of the runs of three characters in contents beside the chunks, and
+    updates go on with what a version has.
+    """
 
-    def __init__(self, spark: SparkSession, home: str, project: str) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, home: str, project: str, with_runs: bool = False) -> None:
+        self.spark, self.with_runs = spark, with_runs
         self.root = f"{home.rstrip('/')}/projects/{project_key(project)}"
         self.folder = Folder(spark, self.root)
         #: For writers of one machine; those of different ones are kept apart by the numbers of commits.
@@ -132,25 +147,27 @@ class IndexStore:
     def files(self) -> DataFrame:
         return self._newest("files").files
 
-    def _write(self, version: str, batch: str, chunks: DataFrame, files_of) -> DataFrame:
+    def _write(self, version: str, batch: str, chunks: DataFrame, files_of, with_runs: bool) -> DataFrame:
         """The chunks of a batch as written, and beside them files_of these. In order of path, so that a file's rows stand together."""
         base = f"{self.root}/{version}"
         ordered = chunks.select(*names(CHUNKS)).sortWithinPartitions("language", "filePath", "startLine")
         ordered.write.partitionBy("language").parquet(f"{base}/chunks/batch={batch}")
         kept = self.spark.read.schema(CHUNKS).parquet(f"{base}/chunks/batch={batch}")
         files_of(kept).select(*names(FILES)).write.parquet(f"{base}/files/batch={batch}")
+        if with_runs:
+            in_order(postings(kept, "content", "filePath", "startLine"), "filePath").write.parquet(f"{base}/runs/batch={batch}")
         return kept
 
     def stage(self, chunks: DataFrame, files_of) -> Snapshot:
         """Writes a version that isn't published yet: chunks by language, and files_of(chunks as written)."""
         before, version, batch = self._numbers(), uuid.uuid4().hex, "000000"
-        self._write(version, batch, chunks, files_of)
+        self._write(version, batch, chunks, files_of, self.with_runs)
         return Snapshot(self, before[-1] if before else 0, version, [batch], 0, {})
 
     def stage_change(self, base: Snapshot, chunks: DataFrame, files_of, dead: DataFrame) -> Snapshot:
         """Writes a batch on top of base: the chunks of changed files, and the paths whose earlier rows are dead (filePath)."""
         batch = f"{int(base.batches[-1].split('-')[0]) + 1:06d}-{uuid.uuid4().hex[:8]}"
-        self._write(base.version, batch, chunks, files_of)
+        self._write(base.version, batch, chunks, files_of, self.folder.exists(f"{base.version}/runs"))
         path = f"{self.root}/{base.version}/dead/batch={batch}"
         dead.select("filePath").distinct().write.parquet(path)
         count = self.spark.read.schema("filePath string").parquet(path).count()
@@ -175,7 +192,7 @@ class IndexStore:
         if len(staged.batches) == 1:
             self.folder.delete(staged.version)
         else:
-            for name in ("chunks", "files", "dead"):
+            for name in ("chunks", "files", "dead", "runs"):
                 self.folder.delete(f"{staged.version}/{name}/batch={staged.batches[-1]}")
 
     def compact(self) -> bool:

@@ -177,3 +177,37 @@ def test_null_texts_are_embedded_as_empty_ones(spark):
 
     rows = spark.createDataFrame([("1", "ab"), ("2", None), ("3", "")], "id string, summary string")
     assert {r.id: list(r.vector) for r in embedded(rows, Lengths()).collect()} == {"1": [2.0], "2": [0.0], "3": [0.0]}
+
+
+def test_substrings_by_the_index_of_runs(spark, tmp_path):
+    import random
+
+    r = random.Random(4)
+    alphabet = "ab%_ '\\é日😀\n"
+    rows = {f"f{i:03}": "".join(r.choice(alphabet) for _ in range(r.randrange(40))) for i in range(300)} | {"e": "", "n": "ab\0cd"}
+    store = IndexStore(spark, str(tmp_path), "/p", with_runs=True)
+    full(store, files_of(spark, rows))
+    rows["f000"], rows["new"] = "completely %different 😀", "😀😀😀 a_b"
+    del rows["f001"]
+    update(store, files_of(spark, rows))
+    snapshot = store.snapshot()
+    literals = ["", "a", "é", "😀", "%", "'", "\\", "ab", "a\n", "日😀", "\0c", "aba", "%_ ", "a_b", "😀😀😀", "different", "completely %different 😀", "nothing like it, however long it may be"]
+    literals += ["".join(r.choice(alphabet) for _ in range(r.randrange(1, 6))) for _ in range(12)]
+    for literal in literals:
+        got = sorted((x.filePath, x.startLine) for x in snapshot.containing(literal).collect())
+        assert got == sorted((p, a) for p, a, c in want(rows)[0] if literal in c), repr(literal)
+
+
+def test_the_index_of_runs_leaves_most_rows_unread(spark, tmp_path):
+    from siftwell.operators.trigrams import candidates, postings
+
+    rows = {f"src/f{i:04}.txt": f"file {i}\n" + "some line of text\n" * 5 for i in range(400)}
+    chunks = line_chunks(files_of(spark, rows)).persist()
+    index = postings(chunks, "content", "filePath", "startLine").persist()
+    assert {r.filePath for r in candidates(index, "file 77\n", "filePath", "startLine").collect()} == {"src/f0077.txt"}
+    assert candidates(index, "zz", "filePath", "startLine").isEmpty() and candidates(index, "e 1", "filePath", "startLine").count() == 111
+    monkey = IndexStore(spark, str(tmp_path), "/p", with_runs=True)
+    full(monkey, files_of(spark, rows))
+    plan = monkey.snapshot().containing("file 77\n")._jdf.queryExecution().executedPlan().toString()
+    assert "In(filePath" in plan or "EqualTo(filePath,src/f0077.txt)" in plan
+    chunks.unpersist(), index.unpersist()
