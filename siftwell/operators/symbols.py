@@ -1,6 +1,7 @@
 """Finding the symbols of a source text.
 
-Python is parsed by the standard library. Languages with braces are scanned:
+Python is parsed by the standard library, and where a text has errors, statement
+by statement, so that only what doesn't parse is lost. Languages with braces are scanned:
 comments, strings and regular expressions are blanked out by the rules of each
 language, and declarations are recognised where statements begin, at the top,
 within classes and modules, and in the blocks and callbacks of other statements.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 
@@ -30,7 +32,9 @@ def symbols_of(text: str, grammar: str) -> list[Symbol] | None:
     if grammar == "python":
         try:
             return _python(ast.parse(text).body, "")
-        except (SyntaxError, ValueError, RecursionError):
+        except (SyntaxError, ValueError):
+            return _python_with_errors(text.split("\n"), "")
+        except RecursionError:
             return None
     if grammar == "lua":
         return _lua(text)
@@ -63,6 +67,73 @@ def _python(body: list, parent: str) -> list[Symbol]:
     return out
 
 
+#: Lines that go on with a statement that began before, though they aren't indented.
+_GOES_ON = re.compile(r"[)\]}#'\"]|(?:else|elif|except|finally|case)\b")
+_DEFINES = re.compile(r"(?P<kind>(?:async\s+)?def|class)\s+(?P<name>\w+)")
+#: Statements, as their indentation tells them, that are put together to find one that parses.
+TRIES = 12
+
+
+def _shifted(symbols: list[Symbol], lines: int) -> list[Symbol]:
+    for s in symbols:
+        s.first, s.last = s.first + lines, s.last + lines
+        _shifted(s.members, lines)
+    return symbols
+
+
+def _python_with_errors(lines: list[str], parent: str, before: int = 0) -> list[Symbol]:
+    """The symbols of lines that don't parse as a whole; ``before`` lines of the file come first.
+
+    A statement begins at a line that isn't indented. Statements are parsed one by one; a string over several
+    lines may look like more than one, so one that fails is tried with those after it. What doesn't parse then is
+    a definition all the same if its head does, and the members of such a class are found in the same way.
+    """
+    begin = [i for i, line in enumerate(lines) if line.strip() and not line[0].isspace() and not _GOES_ON.match(line)]
+    # A decorator belongs to what it decorates.
+    begin = [b for k, b in enumerate(begin) if not (k and lines[begin[k - 1]].startswith("@"))] if begin else []
+    out: list[Symbol] = []
+    k = 0
+    while k < len(begin):
+        for j in range(k + 1, min(k + TRIES, len(begin)) + 1):
+            until = begin[j] if j < len(begin) else len(lines)
+            try:
+                body = ast.parse("\n".join(lines[begin[k] : until])).body
+            except (SyntaxError, ValueError, RecursionError):
+                continue
+            out += _shifted(_python(body, parent), before + begin[k])
+            k = j
+            break
+        else:
+            found, head = _broken(lines[begin[k] :], parent, before + begin[k], [b - begin[k] for b in begin[k + 1 :]])
+            out += found
+            k = bisect_left(begin, begin[k] + max(1, head))
+    return out
+
+
+def _broken(lines: list[str], parent: str, before: int, begin: list[int]) -> tuple[list[Symbol], int]:
+    """The definition that lines begin with though it doesn't parse, if its head does, and how many lines the head has; other statements begin at ``begin``."""
+    at = next((i for i, line in enumerate(lines) if not line.startswith("@")), len(lines))
+    defined = _DEFINES.match(lines[at]) if at < len(lines) else None
+    if not defined:
+        return [], 0
+    for to in range(at + 1, min(at + 20, len(lines)) + 1):
+        try:
+            ast.parse("\n".join(lines[at:to]) + " pass")
+        except (SyntaxError, ValueError, RecursionError):
+            continue
+        break
+    else:
+        return [], 0
+    end = next((b for b in begin if b >= to), len(lines))
+    last = max(i for i, line in enumerate(lines[:end]) if line.strip())
+    plain_class = defined["kind"] == "class" and not at
+    symbol = Symbol("class" if plain_class else "function", defined["name"], before + 1, before + last + 1, parent, plain_class)
+    if plain_class:
+        inner = next((line[: len(line) - len(line.lstrip())] for line in lines[to:end] if line.strip()), "")
+        symbol.members = _python_with_errors([line.removeprefix(inner) for line in lines[to:end]], symbol.name, before + to) if inner else []
+    return [symbol], to
+
+
 @dataclass
 class _Rule:
     """A declaration: its kind, its pattern with the group name, and how it ends."""
@@ -73,6 +144,7 @@ class _Rule:
     container: bool = False
     member: bool | None = None  # only within (True) or only outside (False) containers
     value: bool = False  # may end with a value after = instead of a block, or without either
+    see_through: bool = False  # is no symbol, but what it holds is
 
 
 _NAME = r"(?P<name>[A-Za-z_$][\w$]*)"
@@ -105,6 +177,7 @@ _JAVA = [
     _Rule("class", rf"{_MODIFIERS}class\s+{_NAME}", container=True),
     _Rule("interface", rf"{_MODIFIERS}interface\s+{_NAME}"),
     _Rule("enum", rf"{_MODIFIERS}enum\s+{_NAME}"),
+    _Rule("record", rf"{_MODIFIERS}record\s+(?:class\s+|struct\s+)?{_NAME}\s*(?=[(<{{])", see_through=True),
     _Rule("method", rf"{_MODIFIERS}(?:<[^()]*>\s*)?(?:[\w.$?]+(?:<[^()=;{{]*>)?(?:\[\])*\s+)?(?!(?:if|for|while|switch|catch|return|new|lock|using)\b){_NAME}\s*\(", member=True),
 ]
 _KOTLIN_WORDS = r"(?:(?:public|private|protected|internal|open|abstract|final|override|suspend|inline|operator|infix|tailrec|external|data|sealed|inner|annotation|value|enum|actual|expect)\s+)*"
@@ -291,8 +364,6 @@ class _Scan:
         self.breaks = [i for i, c in enumerate(text) if c == "\n"]
 
     def line(self, at: int) -> int:
-        from bisect import bisect_left
-
         return bisect_left(self.breaks, at) + 1
 
     def _closing(self, at: int, end: int) -> int:
@@ -431,6 +502,10 @@ class _Scan:
                     last, brace = self._value_end(start, end) if rule.value else self._statement_end(start, end, rule.block)
                     if rule.kind == "method" and brace is None:
                         continue  # a call, a field or a signature
+                    if rule.see_through:
+                        out += self.symbols(brace + 1, last, parent, True) if brace is not None else []
+                        at = last + 1
+                        break
                     symbol = Symbol(rule.kind, name, self.line(at), self.line(last), parent, rule.container)
                     if rule.container and brace is not None:
                         symbol.members = self.symbols(brace + 1, last, name, True)

@@ -232,9 +232,21 @@ def vector_reuse(spark, sf_dir):
     return found.groupBy("filePath").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("vector").isNotNull()).alias("reused"))
 
 
+#: Heads of source files by turns: extension, language, mark of a comment, text. The chunks and the named ones in them are in the query's SQL.
+HEADS = (
+    ("py", "python", "# ", "import os\n\nclass A:\n    def f(self):\n        pass\n\n"),
+    ("py", "python", "# ", "import os\n\ndef f(a):\n    return (a\n\nclass A:\n    def g(self):\n        pass\n\n"),
+    ("ts", "typescript", "// ", "import x from 'y';\n\nclass A {\n  f() { return 1; }\n}\n\n"),
+    ("java", "java", "// ", "record R(int x) {\n  int m() { return x; }\n}\n\nclass A {\n  void g() { }\n}\n\n"),
+)
+
+
 def source_text(spark, sf_dir):
-    """symbol_chunks over documents as Python files: texts that don't parse fall back to lines."""
-    files = _files(spark, sf_dir).select(F.regexp_replace("filePath", r"txt\z", "py").alias("filePath"), F.lit("python").alias("language"), F.concat(F.lit("import os\n\nclass A:\n    def f(self):\n        pass\n\n# "), F.regexp_replace("content", "\n", "\n# ")).alias("content"), F.lit("h").alias("fileHash"))
+    """symbol_chunks over documents as source files: a head with symbols, one with an error too, and the text in comments below it."""
+    files = _files(spark, sf_dir).withColumn("turn", F.pmod(F.regexp_extract("filePath", r"/(\d+)\.txt\z", 1).cast("long"), F.lit(len(HEADS))).cast("int"))
+    of = lambda k: F.get(F.array(*(F.lit(h[k]) for h in HEADS)), F.col("turn"))
+    content = F.concat(of(3), of(2), F.replace("content", F.lit("\n"), F.concat(F.lit("\n"), of(2))))
+    files = files.select(F.concat(F.regexp_replace("filePath", r"txt\z", ""), of(0)).alias("filePath"), of(1).alias("language"), content.alias("content"), F.lit("h").alias("fileHash"))
     return symbol_chunks(files).groupBy("filePath").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("symbolName") != "").alias("symbols"), F.count_if(F.col("error").isNotNull()).alias("errors"))
 
 
@@ -372,7 +384,9 @@ rolled AS (SELECT filePath, first(language) AS language, CAST(count(*) AS INT) A
     "vector_reuse": f"""WITH {_FILES}, edited AS (SELECT filePath, language, CASE WHEN length(filePath) % 3 = 0 THEN 'new first line' || chr(10) || content WHEN length(filePath) % 3 = 1 THEN content || '!' ELSE content END AS content FROM files),
 old AS (WITH {_sql_chunks(20, 5)} SELECT * FROM chunks), new AS (WITH {_sql_chunks(20, 5, "edited")} SELECT * FROM chunks)
 SELECT n.filePath, count(*) AS chunks, count(*) FILTER (o.id IS NOT NULL) AS reused FROM new n LEFT JOIN old o ON n.filePath = o.filePath AND n.id = o.id AND n.summary = o.summary GROUP BY n.filePath""",
-    # A module, a class with a method, a blank line, and comments up to the end in windows of 100 lines that share 10.
-    "source_text": f"""WITH {_FILES} SELECT regexp_replace(filePath, 'txt$', 'py') AS filePath, 4 + CAST(ceil(greatest(0, len(string_split(content, chr(10))) - 100) / 90.0) AS BIGINT) AS chunks, 2 AS symbols, 0 AS errors FROM files""",
+    # What is left of each head, and the comments up to the end in windows of 100 lines that share 10.
+    "source_text": f"""WITH {_FILES}, t AS (SELECT *, CAST(regexp_extract(filePath, '/([0-9]+)\\.txt$', 1) AS BIGINT) % 4 AS turn FROM files)
+SELECT regexp_replace(filePath, 'txt$', CASE turn WHEN 2 THEN 'ts' WHEN 3 THEN 'java' ELSE 'py' END) AS filePath,
+  CASE turn WHEN 1 THEN 5 WHEN 3 THEN 6 ELSE 4 END + CAST(ceil(greatest(0, len(string_split(content, chr(10))) - 100) / 90.0) AS BIGINT) AS chunks, CAST(CASE turn WHEN 0 THEN 2 WHEN 2 THEN 2 ELSE 3 END AS BIGINT) AS symbols, CAST(0 AS BIGINT) AS errors FROM t""",
     "deleted_paths": f"WITH {_SNAPSHOTS} SELECT filePath, fileHash FROM stored WHERE filePath NOT IN (SELECT filePath FROM current_)",
 }

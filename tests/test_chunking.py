@@ -56,6 +56,30 @@ def found_in(path, text):
     return [(c["symbolType"], c["symbolName"], c["startLine"], c["endLine"], c["parentSymbol"]) for c in chunks if c["symbolType"]]
 
 
+def test_python_with_errors():
+    """One broken function among ten, in a module and in a class: the others are found as before."""
+    function = lambda k, pad="": f"{pad}def f{k}(a,\n{pad}        b=\'\'\'x\ny {k}\'\'\'):\n{pad}    return a\n\n"
+    whole = "import os\n\n" + "".join(function(k) for k in range(10))
+    good = found_in("a.py", whole)
+    for k in range(10):
+        broken = found_in("a.py", whole.replace(f"y {k}\'\'\'):\n    return a", f"y {k}\'\'\'):\n    return (a"))
+        assert [x[:2] for x in broken] == [x[:2] for x in good] and [x for x in broken if x[1] != f"f{k}"] == [x for x in good if x[1] != f"f{k}"]
+    methods = "class C(object):\n    x = 1\n" + "".join(f"    @deco\n    def m{k}(self):\n        return {k}\n" for k in range(10)) + "\nclass D: pass\n\nif x:\n    def late(): pass\n"
+    good = found_in("a.py", methods)
+    assert len(good) == 13
+    for wrong in ("return 4 +", "return [4", "retur n 4", "if 4 return", "x = = 4"):
+        assert found_in("a.py", methods.replace("return 4", wrong)) == good
+    cut = found_in("a.py", methods.replace("def m4(self):", "def m4(self:"))  # a head that doesn't parse is no definition
+    assert cut == [x for x in good if x[1] != "m4"]
+    assert found_in("a.py", "def ok():\n    pass\n}}\nprint 'old'\ndef also():\n\tpass\n") == [("function", "ok", 1, 3, ""), ("function", "also", 5, 6, "")]
+    assert found_in("a.py", "x = (\n" * 5 + "def f(): pass") == [("function", "f", 6, 6, "")]
+
+
+def test_java_records_are_seen_through():
+    java = "record R(int x, String y) implements I {\n  R { check(x); }\n  int twice() { return 2 * x; }\n}\npublic record Empty() {}\nclass A {\n  record P<T>(T t) { T get() { return t; } }\n  void m() {}\n}\n"
+    assert [x[:2] + x[4:] for x in found_in("A.java", java)] == [("method", "twice", ""), ("class", "A", ""), ("method", "get", "A"), ("method", "m", "A")]
+
+
 def test_slashes_quotes_and_templates_hide_nothing():
     js = "class Dec {\n  cut(s) { return s.split(/[{]/).length / 2; }\n}\nconst q = `a ${f({x: `}`})} {`;\nclass After {}\nfunction last() { return a / b; }\n"
     assert found_in("a.js", js) == [("class", "Dec", 1, 3, ""), ("method", "cut", 2, 2, "Dec"), ("variable", "q", 4, 4, ""), ("class", "After", 5, 5, ""), ("function", "last", 6, 6, "")]
