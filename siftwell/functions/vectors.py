@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 64
-#: Up to this length a product with a fixed vector is written out, which compiles to straight code.
-_UNROLLED = 256
 
 
 def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -53,16 +51,19 @@ def similarity(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def similarity_to(a: Column, vector: Sequence[float]) -> Column:
-    """Cosine with a fixed vector; for another length than that of a, null."""
+def similarity_to(column: str, vector: Sequence[float]) -> Column:
+    """Cosine of a column's vectors with a fixed vector; for another length than that of the column's, null.
+
+    One text of SQL, as many calls into the JVM as the vector is long would take longer than most searches; and a loop
+    over the components, as written out for each they make a method that is too large to be compiled to machine code.
+    """
     length = math.sqrt(sum(float(v) ** 2 for v in vector))
-    if len(vector) > _UNROLLED or not length:
-        return similarity(a, F.array(*(F.lit(float(v)) for v in vector)))
-    terms = [F.get(a, F.lit(i)).cast("double") for i in range(len(vector))]
-    product, square = F.lit(0.0), F.lit(0.0)
-    for x, v in zip(terms, vector):
-        product, square = product + x * F.lit(float(v)), square + x * x
-    return F.when(F.size(a) == len(vector), F.try_divide(product, F.sqrt(square) * F.lit(length)))
+    a = "`" + column.replace("`", "``") + "`"
+    number = lambda v: f"CAST('{float(v)!r}' AS DOUBLE)"
+    fixed = f"array({', '.join(map(number, vector))})" if len(vector) else "CAST(array() AS ARRAY<DOUBLE>)"
+    product = f"aggregate(zip_with({a}, {fixed}, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, x) -> s + x)"
+    square = f"aggregate({a}, 0D, (s, x) -> s + CAST(x AS DOUBLE) * CAST(x AS DOUBLE))"
+    return F.expr(f"CASE WHEN size({a}) = {len(vector)} THEN try_divide({product}, sqrt({square}) * {number(length)}) END")
 
 
 def mean_vector(vector: Column) -> Column:

@@ -46,18 +46,19 @@ def with_bm25(rows: DataFrame, query: str, text: Column, by: tuple[str, ...] = (
     candidates are computed once. Terms count as often as the query repeats
     them. Without ``by``, all candidates stand in one task: give it a limited set, and whole tables to bm25_of_all.
     """
-    over = W.partitionBy(*(by or (F.lit(0),)))
-    rows = rows.withColumn("_tokens", tokens(F.coalesce(text, F.lit(""))))
-    rows = rows.withColumn("_length", F.size("_tokens").cast("double"))
+    # Written as texts of SQL: a search has few rows, and making each of these as an object costs it more than they do.
+    over = "OVER (PARTITION BY " + (", ".join(f"`{c}`" for c in by) or "0") + ")"
     terms = query_tokens(query)
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(over)).withColumn("_mean", F.avg("_length").over(over))
-    tf = {t: frequency(F.col("_tokens"), t).cast("double") for t in dict.fromkeys(terms)}
-    for i, (t, count) in enumerate(tf.items()):
-        rows = rows.withColumn(f"_tf{i}", count)
-        rows = rows.withColumn(f"_df{i}", F.sum(F.when(F.col(f"_tf{i}") > 0, 1).otherwise(0)).over(over))
-    score = _score(terms, {t: F.col(f"_tf{i}") for i, t in enumerate(tf)}, {t: F.col(f"_df{i}") for i, t in enumerate(tf)}, F.col("_n"), F.col("_length"), F.col("_mean"))
-    rows = rows.withColumn("bm25", score).drop("_tokens", "_length", "_n", "_mean", *(f"_{k}{i}" for i in range(len(tf)) for k in ("tf", "df")))
-    return rows.withColumn("bm25_share", F.col("bm25") / F.greatest(F.max("bm25").over(over), F.lit(FLOOR)))
+    place = {t: i for i, t in enumerate(dict.fromkeys(terms))}
+    known = rows.columns
+    words = rows.withColumn("_tokens", tokens(F.coalesce(text, F.lit(""))))
+    counts = words.selectExpr("*", "CAST(size(_tokens) AS DOUBLE) AS _length", *(f"CAST(size(filter(_tokens, x -> x = '{t}')) AS DOUBLE) AS _tf{i}" for t, i in place.items()))
+    stats = counts.selectExpr("*", f"count(1) {over} AS _n", f"avg(_length) {over} AS _mean", *(f"count_if(_tf{i} > 0) {over} AS _df{i}" for i in place.values()))
+    idf = "ln((_n - _df{i} + 0.5D) / (_df{i} + 0.5D) + 1)"
+    share = f"{idf} * _tf{{i}} * {K1 + 1}D / (_tf{{i}} + {K1}D * ({1 - B}D + {B}D * try_divide(_length, _mean)))"
+    score = " + ".join(f"CASE WHEN _tf{place[t]} > 0 THEN {share.format(i=place[t])} ELSE 0.0D END" for t in terms) or "0.0D"
+    scored = stats.selectExpr(*(f"`{c}`" for c in known), f"{score} AS bm25")
+    return scored.selectExpr("*", f"bm25 / greatest(max(bm25) {over}, {FLOOR}D) AS bm25_share")
 
 
 def bm25_of_each(rows: DataFrame, text: Column, query: Column, by: str, key: str) -> DataFrame:

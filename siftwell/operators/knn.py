@@ -19,7 +19,7 @@ def nearest(rows: DataFrame, vector: Sequence[float], k: int, tie: str = "id", c
 
     Filter rows first: the filter then reaches the scan. Zero vectors have no distance and are left out.
     """
-    found = rows.withColumn("distance", 1 - similarity_to(F.col(column), vector))
+    found = rows.withColumn("distance", 1 - similarity_to(column, vector))
     # Filtered after the limit: before it, the filter would repeat the whole distance below every projection.
     return found.orderBy(F.asc_nulls_last("distance"), tie).limit(k).where("distance IS NOT NULL")
 

@@ -56,6 +56,6 @@ def test_embedding_is_the_same_in_both_places(spark):
 
 def test_similarity_and_mean(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 3.0]), ("b", [0.0, 0.0])], "k string, vector array<double>")
-    found = {tuple(r.vector): r.s for r in rows.withColumn("s", similarity_to(F.col("vector"), [1.0, 1.0])).collect()}
+    found = {tuple(r.vector): r.s for r in rows.withColumn("s", similarity_to("vector", [1.0, 1.0])).collect()}
     assert found[(1.0, 0.0)] == pytest.approx(0.5**0.5) and found[(0.0, 0.0)] is None
     assert {r.k: r.vector for r in mean_vectors(rows, "k").collect()} == {"a": [0.5, 1.5], "b": [0.0, 0.0]}
