@@ -7,10 +7,12 @@ anew, until a boundary of the new text falls on one of the old text behind the e
 from there on the split is as before. The sums above the touched blocks are
 then renewed.
 
-``count_trees`` makes a table of trees, a row for each document, to be kept;
-``edit_trees`` applies a batch of edits to such a table and gives the next one,
-in which only what the edits touch has been encoded anew. ``edited_counts`` does
-both for texts that come with their edits.
+``count_trees`` makes a table of trees, a row for each document, to be kept with
+its sums; ``edit_trees`` applies a batch of edits to such a table and gives the
+next one, in which only what the edits touch has been encoded anew and only edited
+trees have been opened. ``save_trees``, ``edit_saved`` and ``current_trees`` keep such
+a table in batches: a batch of edits writes the trees that it changes and no others.
+``edited_counts`` stores the trees of texts that come with their edits and edits these.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import narrow_batches, small, table
+from .common import narrow_batches, small, table, written
 
 #: Where the ranks of a public byte-level vocabulary are, and the pattern of its pre-tokens (fixed values).
 #: Every executor opens the file by this path: it is on each machine, or in a folder that all of them share.
@@ -70,10 +72,25 @@ class Counter:
 class CountTree:
     """A text with its pre-tokens in a segment tree; tokens is the number of its tokens."""
 
-    def __init__(self, text: str, counter: Counter, leaves: tuple[np.ndarray, np.ndarray] | None = None) -> None:
-        """leaves: the lengths and counts of the text's pre-tokens if they are known; else it is encoded."""
+    def __init__(self, text: str, counter: Counter, leaves: tuple[np.ndarray, np.ndarray] | None = None, sums: np.ndarray | None = None) -> None:
+        """leaves: the lengths and counts of the text's pre-tokens if they are known; else it is encoded. sums: those of the tree over them."""
         self.text, self.counter, self.encoded = text, counter, 0
-        self._build(*(counter.measure(text) if leaves is None else leaves))
+        if sums is None:
+            self._build(*(counter.measure(text) if leaves is None else leaves))
+            return
+        self.blocks = self._blocks(*leaves)
+        self.sums = sums.reshape(-1, 3).tolist()
+        self.leaves = len(self.sums) // 2
+
+    @staticmethod
+    def _blocks(lengths: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(lengths[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, max(1, len(lengths)), BLOCK)]
+
+    def stored(self) -> tuple[bytes, bytes, bytes]:
+        """Lengths, counts and sums, from which the tree can be made again without encoding or adding up."""
+        if any(len(b[0]) != BLOCK for b in self.blocks[:-1]):  # edits leave blocks of other sizes
+            self._build(*self.leaves_())
+        return (*(x.tobytes() for x in self.leaves_()), np.array(self.sums, np.int64).tobytes())
 
     def leaves_(self) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and counts of all pre-tokens, from which the tree can be built again without encoding."""
@@ -81,7 +98,7 @@ class CountTree:
 
     def _build(self, lengths: np.ndarray, counts: np.ndarray) -> None:
         n = max(1, -(-len(lengths) // BLOCK))
-        self.blocks = [(lengths[i * BLOCK : (i + 1) * BLOCK], counts[i * BLOCK : (i + 1) * BLOCK]) for i in range(n)]
+        self.blocks = self._blocks(lengths, counts)
         self.leaves = 1 << (n - 1).bit_length()
         level = np.zeros((self.leaves, 3), np.int64)
         if len(lengths):
@@ -191,17 +208,25 @@ def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     return docs.join(listed, docs["doc_id"].eqNullSafe(listed["id"]), "left").select(*(docs[c] for c in docs.columns), F.coalesce(listed["edits"], F.array().cast(EDITS)).alias("_edits"))
 
 
-TREE = "version int, text string, lengths binary, counts binary, n_chars long, n_pretokens long, n_tokens long"
+TREE = "version int, text string, lengths binary, counts binary, sums binary, n_chars long, n_pretokens long, n_tokens long"
+_STORED = ("text", "lengths", "counts", "sums")
 
 
 def _tree_columns(trees: list[CountTree], versions: list[int]) -> list[pa.Array]:
-    leaves = [t.leaves_() for t in trees]
+    stored = [t.stored() for t in trees]
     return [
-        pa.array(versions, pa.int32()), pa.array([t.text for t in trees], pa.string()), *(pa.array([x[k].tobytes() for x in leaves], pa.binary()) for k in range(2)),
+        pa.array(versions, pa.int32()), pa.array([t.text for t in trees], pa.string()), *(pa.array([x[k] for x in stored], pa.binary()) for k in range(3)),
         *(pa.array(x, pa.int64()) for x in ([len(t.text) for t in trees], [t.pretokens for t in trees], [t.tokens for t in trees])),
     ]
 
 
+def _opened(batch: pa.RecordBatch, counter: Counter):
+    """The stored trees of a batch."""
+    for text, *arrays in zip(*(batch[c].to_pylist() for c in _STORED)):
+        lengths, counts, sums = (np.frombuffer(x or b"", kind) for x, kind in zip(arrays, (np.int32, np.int32, np.int64)))
+        yield CountTree(text or "", counter, (lengths, counts), sums)
+
+
 def _apply(tree: CountTree, edits) -> int:
     """Applies the edits in order; how many there are."""
     for e in edits or ():
@@ -210,50 +235,76 @@ def _apply(tree: CountTree, edits) -> int:
     return len(edits or ())
 
 
-def count_trees(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """(doc_id, version 0, text, lengths, counts, n_chars, n_pretokens, n_tokens) for each row of docs (doc_id, text): trees to be stored.
+def count_trees(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN, keep: tuple = ()) -> DataFrame:
+    """(doc_id, tree, version 0, text, lengths, counts, sums, n_chars, n_pretokens, n_tokens) for each row of docs (doc_id, text): trees to be stored.
 
-    A null text is empty. Repeated rows are trees of their own; other columns aren't looked at.
+    A null text is empty. Repeated rows are trees of their own, told apart by the number ``tree``; other columns
+    aren't looked at, but those named in keep stay behind the others.
     """
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(TREE)])
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(f"tree long, {TREE}"), *(docs.schema[c] for c in keep)])
 
     def run(batches):
-        counter = Counter(ranks, pattern)
+        from pyspark import TaskContext
+
+        counter, number = Counter(ranks, pattern), TaskContext.get().partitionId() << 40
         for batch in narrow_batches(batches):
             trees = [CountTree(t or "", counter) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_tree_columns(trees, [0] * len(trees))], schema.names)
+            numbers = pa.array(range(number, number + len(trees)), pa.int64())
+            number += len(trees)
+            yield pa.RecordBatch.from_arrays([batch.column(0), numbers, *_tree_columns(trees, [0] * len(trees)), *batch.columns[2:]], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, schema)
 
 
-def edit_trees(trees: DataFrame, edits: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+def edit_trees(trees: DataFrame, edits: DataFrame, ranks: str = RANKS, pattern: str = PATTERN, only_edited: bool = False) -> DataFrame:
     """The next trees, with n_edits and n_encoded, from stored ones and edits (doc_id, seq, at, remove, insert).
 
     Trees with edits get the next version; of their text only what the edits touch is encoded, n_encoded
-    pre-tokens in all. Trees without edits pass as they are. Edits of unknown documents do nothing; those of a
-    doc_id that has several trees apply to each. The vocabulary must be that of the stored counts.
+    pre-tokens in all. Trees without edits pass as they are and don't leave the JVM; with only_edited they are left out. Edits of
+    unknown documents do nothing; those of a doc_id that has several trees apply to each. The vocabulary must be that of the stored counts.
     """
-    schema = T.StructType([trees.schema["doc_id"], *T.StructType.fromDDL(f"{TREE}, n_edits long, n_encoded long")])
+    schema = T.StructType([trees.schema["doc_id"], *T.StructType.fromDDL(f"tree long, {TREE}, n_edits long, n_encoded long")])
     kept = schema.names[:-2]
 
     def run(batches):
         counter = Counter(ranks, pattern)
         for batch in narrow_batches(batches):
-            columns = {c: batch.column(i).to_pylist() for i, c in enumerate([*kept[1:5], "_edits"])}
-            made, versions, done = [], [], []
-            for version, text, lengths, counts, own in zip(*columns.values()):
-                tree = CountTree(text or "", counter, (np.frombuffer(lengths or b"", np.int32), np.frombuffer(counts or b"", np.int32)))
-                done.append(_apply(tree, own))
-                made.append(tree)
-                versions.append(version + (done[-1] > 0))
-            yield pa.RecordBatch.from_arrays([batch.column(5), *_tree_columns(made, versions), pa.array(done, pa.int64()), pa.array([t.encoded for t in made], pa.int64())], schema.names)
+            made = list(_opened(batch, counter))
+            done = [_apply(tree, own) for tree, own in zip(made, batch["_edits"].to_pylist())]
+            versions = [v + 1 for v in batch["version"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tree"], *_tree_columns(made, versions), pa.array(done, pa.int64()), pa.array([t.encoded for t in made], pa.int64())], schema.names)
+
+    known = with_edits(trees.select(*kept), edits)
+    touched = known.where(F.size("_edits") > 0).mapInArrow(run, schema)
+    if only_edited:
+        return touched
+    none = F.lit(0).cast("long")
+    return touched.unionByName(known.where(F.size("_edits") == 0).select(*kept, none.alias("n_edits"), none.alias("n_encoded")))
+
+
+def save_trees(docs: DataFrame, root: str, ranks: str = RANKS, pattern: str = PATTERN) -> None:
+    """Writes the trees of docs as batch 0 below root."""
+    none = F.lit(0).cast("long")
+    count_trees(docs, ranks, pattern).select("*", none.alias("n_edits"), none.alias("n_encoded")).write.mode("overwrite").parquet(f"{root}/batch=0")
+
+
+def current_trees(spark: SparkSession, root: str, upto: int) -> DataFrame:
+    """The newest version of each tree in batches 0 to upto. Only numbers are shuffled to find it, and from one batch nothing."""
+    rows = spark.read.parquet(*(f"{root}/batch={n}" for n in range(upto + 1)))
+    if not upto:
+        return rows
+    later = spark.read.parquet(*(f"{root}/batch={n}" for n in range(1, upto + 1))).groupBy(F.col("tree").alias("_tree")).agg(F.max("version").alias("_newest"))
+    return rows.join(later, (F.col("tree") == F.col("_tree")) & (F.col("version") < F.col("_newest")), "left_anti")
+
 
-    return with_edits(trees.select(*kept[:5]), edits).select(*kept[1:5], "_edits", "doc_id").mapInArrow(run, schema)
+def edit_saved(spark: SparkSession, root: str, batch: int, edits: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> None:
+    """Applies edits to the trees of the batches before and writes those that change as this batch; run again, it replaces the batch."""
+    edit_trees(current_trees(spark, root, batch - 1), edits, ranks, pattern, only_edited=True).write.mode("overwrite").parquet(f"{root}/batch={batch}")
 
 
 def edited_counts(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_chars, n_pretokens, n_tokens, n_edits, n_encoded, n_chars_after, n_pretokens_after, n_tokens_after)
-    for each row of docs (doc_id, text, _edits).
+    for each row of docs (doc_id, text, _edits): trees are stored, and the edits then applied to the stored ones.
 
     Edits apply one after the other, each to what the last one left. A null text
     is empty, a null array has no edits; a null place or length is 0, a null
@@ -262,20 +313,20 @@ def edited_counts(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -
     """
     fields = "n_chars long, n_pretokens long, n_tokens long, n_edits long, n_encoded long, n_chars_after long, n_pretokens_after long, n_tokens_after long"
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(fields)])
+    trees = written(count_trees(docs.select("doc_id", "text", "_edits"), ranks, pattern, keep=("_edits",)), "trees")
 
     def run(batches):
         counter = Counter(ranks, pattern)
         for batch in narrow_batches(batches):
             out = []
-            for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                tree = CountTree(text or "", counter)
+            for tree, edits in zip(_opened(batch, counter), batch["_edits"].to_pylist()):
                 before = (len(tree.text), tree.pretokens, tree.tokens)
                 n_edits = _apply(tree, edits)
                 out.append((*before, n_edits, tree.encoded, len(tree.text), tree.pretokens, tree.tokens))
             columns = [pa.array(list(c), pa.int64()) for c in (zip(*out) if out else [[]] * 8)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema.names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], schema.names)
 
-    return docs.select("doc_id", "text", "_edits").mapInArrow(run, schema)
+    return trees.select("doc_id", *_STORED, "_edits").mapInArrow(run, schema)
 
 
 def revision(text: Column, lang: Column, source: Column) -> Column:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm.token_counts import CountTree, Counter, count_trees, edit_trees, edited_counts, revision, with_edits
+from siftwell.llm.token_counts import Counter, CountTree, count_trees, current_trees, edit_saved, edit_trees, edited_counts, revision, save_trees, with_edits
 
 PIECES = ["'", "l", "ll", " ", "  ", "\n", "a", "é", "1", "22", "!", " the", "'re", "\t \n", "x" * 30, "日本"]
 
@@ -66,6 +66,29 @@ def test_stored_trees_encode_only_what_edits_touch(spark, make_docs, counter, tm
     assert edit_trees(spark.read.parquet(str(tmp_path / "v0")).limit(0), edits).collect() == []
 
 
+def test_batches_of_edits_write_the_trees_they_change(spark, make_docs, counter, tmp_path):
+    r = random.Random(9)
+    texts = {i: " ".join(r.choice(["word", "it's", "42", "naïve", "..."]) for _ in range(r.randrange(700))) for i in range(30)}
+    save_trees(make_docs([*texts.items(), (3, texts[3])]), str(tmp_path))
+    now = dict(texts)
+    for batch in (1, 2, 3):
+        changes = [(i, k, r.randrange(len(now[i]) + 1), r.randrange(40), r.choice(["", " more", "x" * 200])) for i in r.sample(range(30), 4) + [3] for k in range(2)]
+        changes = list({c[:2]: c for c in changes}.values())
+        for i, _, at, remove, insert in sorted(changes):
+            now[i] = now[i][:at] + insert + now[i][at + remove :]
+        edits = spark.createDataFrame(changes, "doc_id long, seq int, at int, remove int, insert string")
+        for _ in range(2):  # a batch that runs again replaces itself
+            edit_saved(spark, str(tmp_path), batch, edits)
+        own = spark.read.parquet(f"{tmp_path}/batch={batch}").collect()
+        assert len(own) == len({c[0] for c in changes}) + 1 and all(x.n_encoded < 2 * (x.n_edits * 60) for x in own)
+        rows = current_trees(spark, str(tmp_path), batch).collect()
+        assert sorted(x.doc_id for x in rows) == sorted([*texts, 3])
+        for x in rows:
+            lengths, counts = counter.measure(now[x.doc_id])
+            assert x.text == now[x.doc_id] and x.lengths == lengths.tobytes() and x.n_tokens == counts.sum()
+            assert x.sums == np.array(CountTree(x.text, counter).sums, np.int64).tobytes()
+
+
 def test_columns_of_any_name(spark, make_docs):
     docs = make_docs(["a b", "c"]).selectExpr("*", "'kept' AS _doc", "1 AS id", "2 AS edits")
     edits = spark.createDataFrame([(0, 1, 0, 1, "xy")], "doc_id long, seq int, at int, remove int, insert string")
