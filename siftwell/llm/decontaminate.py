@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, small, table, written
 
 WINDOW = 13
+#: Share of a window's different terms that stand near each other in a proximity match.
+NEAR = 0.8
 #: Words of a document that are looked at together.
 PIECE = 512
 #: Fixed values of the contract: what parts words, once A-Z count as letters.
@@ -72,6 +74,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), parts(F.col("text")).alias("words"))
 
 
+def _places(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, item, size, at, term, n): every term of each item as a row of its own, written, with its number in all docs or null."""
+    each = items.select("item_id", F.transform(F.filter(parts(F.col("text")), lambda w: w != ""), lowered).alias("words")).where(F.size("words") > 0).distinct()
+    each = written(each.withColumn("item", F.xxhash64("item_id", "words")).withColumn("size", F.size("words")), "items")
+    terms = small(written(each.select(F.explode("words").alias("term")).distinct(), "terms"))
+    found = docs.select(F.explode(parts(F.col("text"))).alias("word")).select(lowered(F.col("word")).alias("term"))
+    counts = written(found.join(terms, "term").groupBy("term").agg(F.count("*").alias("n")), "counts")
+    return each.select("item_id", "item", "size", F.posexplode("words").alias("at", "term")).join(small(counts), "term", "left")
+
+
 def test_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(term, item_id, n, around): the rarest term of each window of each item, and the item's terms around it.
 
@@ -80,12 +92,7 @@ def test_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     Every term of an item is a row of its own, and windows roll over these rows,
     so an item may be as long as a document.
     """
-    each = items.select("item_id", F.transform(F.filter(parts(F.col("text")), lambda w: w != ""), lowered).alias("words")).where(F.size("words") > 0).distinct()
-    each = written(each.withColumn("item", F.xxhash64("item_id", "words")).withColumn("size", F.size("words")), "items")
-    terms = small(written(each.select(F.explode("words").alias("term")).distinct(), "terms"))
-    found = docs.select(F.explode(parts(F.col("text"))).alias("word")).select(lowered(F.col("word")).alias("term"))
-    counts = written(found.join(terms, "term").groupBy("term").agg(F.count("*").alias("n")), "counts")
-    places = each.select("item_id", "item", "size", F.posexplode("words").alias("at", "term")).join(small(counts), "term", "left")
+    places = _places(docs, items)
     in_order = W.partitionBy("item").orderBy("at")
     near = F.array(*(F.lag("term", -d).over(in_order) if d < 0 else F.lead("term", d).over(in_order) for d in range(1 - window, window)))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("count"), "at")).over(in_order.rowsBetween(0, window - 1))
@@ -95,6 +102,22 @@ def test_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     return written(rolled.join(led, ["item", "at"], "left_semi").select("term", "item_id", "n", "around").distinct(), "windows")
 
 
+def proximity_windows(docs: DataFrame, items: DataFrame, least: float = NEAR, window: int = WINDOW) -> DataFrame:
+    """(term, item_id, terms): for each window of each item its different terms, a row for each of the rarest of these that leads.
+
+    What has the share ``least`` of a window's m terms lacks m - need of them at most, so it has one of the
+    m - need + 1 rarest: each of these leads the window, but for those that no document has.
+    """
+    in_window = W.partitionBy("item").orderBy("at").rowsBetween(0, window - 1)
+    ranked = F.array_sort(F.collect_set(F.struct(F.coalesce("n", F.lit(0)).alias("count"), "term")).over(in_window))
+    n = F.least(F.col("size"), F.lit(window))
+    rolled = _places(docs, items).withColumn("ranked", ranked).where(F.col("at") <= F.col("size") - n)
+    m = F.size("ranked")
+    leading = F.slice("ranked", F.lit(1), (m - F.ceil(m * F.lit(least) - 1e-9) + 1).cast("int"))
+    led = rolled.select("item_id", F.transform("ranked", lambda x: x["term"]).alias("terms"), F.explode(leading).alias("lead"))
+    return written(led.where("lead.count > 0").select(F.col("lead.term").alias("term"), "item_id", "terms").distinct(), "near-windows")
+
+
 def postings(docs: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
     """(term, doc_id, h, at, around): the index of docs (doc_id, text) for terms (term).
 
@@ -130,16 +153,27 @@ def phrase_matches(index: DataFrame, windows: DataFrame, window: int = WINDOW) -
     return met.withColumn("left", left).withColumn("right", right).where("left + right + 1 >= n").select("doc_id", "h", "item_id", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.col("right")).alias("last"))
 
 
-def proximity_matches(index: DataFrame, windows: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, h, item_id, at, share): places where at least the share ``least`` of the terms around
-    a window's rarest term stand within the same distance of it, in whatever order.
+def proximity_matches(index: DataFrame, windows: DataFrame, least: float = NEAR) -> DataFrame:
+    """(doc_id, h, item_id, at, share): places of leading terms of proximity_windows with at least the share ``least`` of
+    a window's different terms within 12 words on either side, in whatever order; the largest share of the item's windows.
+
+    Every stretch of 13 words that holds such a share of a window holds a leading term, and so is found. The index must
+    have the postings of the windows' terms.
+    """
+    share = F.size(F.array_intersect("terms", F.array_compact("around"))) / F.size("terms")
+    met = index.join(windows, "term").select("doc_id", "h", "item_id", "at", share.alias("share")).where(F.col("share") >= least - 1e-9)
+    return met.groupBy("doc_id", "h", "item_id", "at").agg(F.max("share").alias("share"))
+
+
+def near_contamination(docs: DataFrame, items: DataFrame, least: float = NEAR, window: int = WINDOW) -> DataFrame:
+    """proximity_matches of all docs (doc_id, text) and items (item_id, text).
 
-    Places without the window's rarest term aren't found, nor are windows with a term that no
-    document has: test_windows leaves these out, which is right for exact phrases only.
+    Null and empty texts match nothing, repeated rows and items once, an item with a null id like any other; tables
+    without rows give none, and other columns aren't looked at.
     """
-    wanted = F.array_distinct(F.array_compact("wanted"))
-    share = F.size(F.array_intersect(wanted, F.array_compact("around"))) / F.size(wanted)
-    return index.join(windows.withColumnRenamed("around", "wanted"), "term").select("doc_id", "h", "item_id", "at", share.alias("share")).where(F.col("share") >= least)
+    windows = proximity_windows(docs, items, least, window)
+    index = written(postings(docs, windows.select("term").distinct(), window), "near-postings")
+    return proximity_matches(index, windows, least)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

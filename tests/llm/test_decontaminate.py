@@ -1,11 +1,12 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import duckdb
 
 from siftwell.llm import decontaminate
-from siftwell.llm.decontaminate import ORACLE_SQL, contamination, decontamination_stage, postings, proximity_matches, test_windows as windows_of
+from siftwell.llm.decontaminate import ORACLE_SQL, contamination, decontamination_stage, near_contamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -68,14 +69,60 @@ def test_proximity_and_stage(spark, make_docs, tmp_path):
     mixed = " ".join(f"p{i}" for i in (3, 2, 1, 0, 4, 6, 5, 8, 7, 9, 11, 12, 10))
     docs = make_docs([(1, f"a b {passage} c"), (2, f"a {mixed} b"), (3, "clean text")])
     items = spark.createDataFrame([(7, passage)], "item_id long, text string")
-    windows = windows_of(docs, items)
-    near = proximity_matches(postings(docs, windows.select("term").distinct()), windows)
-    assert {r.doc_id for r in near.collect()} >= {1}
+    assert {r.doc_id for r in near_contamination(docs, items).collect()} == {1, 2}
     items.write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = decontamination_stage(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3}
 
 
+def near_brute(docs, items, least=0.8):
+    """{(doc_id, item_id): places}: leading terms by the texts alone, and the stretches of 13 words that have to be found."""
+    counts = Counter(w for _, t in docs for w in words(t))
+    places, stretches = {}, set()
+    for item_id, item in items:
+        v = words(item)
+        n = min(13, len(v))
+        for window in {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else ():
+            terms = set(window)
+            need = min(c for c in range(1, len(terms) + 1) if c >= least * len(terms) - 1e-9)
+            leads = sorted(terms, key=lambda t: (counts[t], t.encode()))[: len(terms) - need + 1]
+            for doc_id, text in docs:
+                w = words(text)
+                for p, word in enumerate(w):
+                    share = len(terms & set(w[max(0, p - 12) : p + 13])) / len(terms)
+                    if word in leads and share >= least - 1e-9:
+                        old = places.setdefault((doc_id, item_id), {})
+                        old[p] = max(old.get(p, 0), share)
+                    if len(terms & set(w[p : p + 13])) >= need:
+                        stretches.add((doc_id, item_id))
+    return places, stretches
+
+
+def test_proximity_like_brute_force(spark, make_docs):
+    r = random.Random(6)
+    common = [f"c{i}" for i in range(12)]
+    items = [(i, " ".join(r.choice([f"r{i}x{k}", r.choice(common)]) for k in range(r.choice([1, 4, 13, 16, 30])))) for i in range(12)] + [(None, "alone c1 c2"), (50, None), (51, "never seen here " * 3), (3, "c0 c0 c0")]
+    docs = []
+    for d in range(40):
+        text = [r.choice(common) for _ in range(r.randrange(40))]
+        for _, item in r.sample(items[:12], 2):
+            part = words(item)[: r.choice([13, 20, 40])]
+            for _ in range(r.randrange(4)):  # changed, dropped and moved words
+                k = r.randrange(len(part))
+                part = r.choice([part[:k] + ["changed"] + part[k + 1 :], part[:k] + part[k + 1 :] or part, sorted(part, key=lambda _: r.random())])
+            at = r.randrange(len(text) + 1)
+            text[at:at] = part
+        docs.append((d, " ".join(text)))
+    docs += [(100, None), (101, "")]
+    found = {}
+    for x in near_contamination(make_docs(docs), spark.createDataFrame(items + items[:2], "item_id long, text string")).collect():
+        found.setdefault((x.doc_id, x.item_id), {})[x.at] = x.share
+    want, stretches = near_brute(docs, items)
+    assert stretches <= found.keys() and len(stretches) > 20
+    assert {k: {p: round(s, 9) for p, s in v.items()} for k, v in found.items()} == {k: {p: round(s, 9) for p, s in v.items()} for k, v in want.items()}
+    assert near_contamination(make_docs(docs).limit(0), spark.createDataFrame(items, "item_id long, text string")).collect() == []
+
+
 def test_more_terms_than_may_be_broadcast(spark, make_docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     docs, items = fixture()
