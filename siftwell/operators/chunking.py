@@ -6,6 +6,7 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.languages import language_of
@@ -42,7 +43,11 @@ def line_chunks(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVE
     cut = files.withColumn("_lines", F.split(F.coalesce("content", F.lit("")), "\n", -1)).drop("content")
     cut = cut.withColumn("_n", F.size("_lines")).withColumn("startLine", F.explode(window_starts(F.col("_n"), max_lines, overlap)))
     cut = cut.withColumn("endLine", F.least(F.col("startLine") + max_lines - 1, F.col("_n")))
-    cut = cut.withColumn("_part", F.slice("_lines", F.col("startLine"), F.col("endLine") - F.col("startLine") + 1)).drop("_lines", "_n")
+    return _described(cut.withColumn("_part", F.slice("_lines", F.col("startLine"), F.col("endLine") - F.col("startLine") + 1)).drop("_lines", "_n"))
+
+
+def _described(cut: DataFrame) -> DataFrame:
+    """Line chunks from rows with filePath, language, startLine, endLine and their lines as the array _part."""
     where = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
     lead = F.substring(F.array_join(F.slice(F.filter("_part", lambda x: _trimmed(x) != ""), 1, 5), " "), 1, 200)
     path, a, b = F.col("filePath"), F.col("startLine"), F.col("endLine")
@@ -56,6 +61,36 @@ def line_chunks(files: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVE
     )
 
 
+def uncovered_lines(covered: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(filePath, first, last): the maximal runs of lines that no interval of covered (filePath, startLine, endLine) holds, in files of lengths (filePath, n).
+
+    Gaps and islands over the intervals themselves: no line is a row. Intervals may overlap; a file has one row in lengths.
+    """
+    ends = lengths.select("filePath", (F.col("n") + 1).alias("startLine"), (F.col("n") + 1).alias("endLine"))
+    rows = covered.select("filePath", F.col("startLine").cast("int"), F.col("endLine").cast("int")).unionByName(ends)
+    before = W.partitionBy("filePath").orderBy("startLine", "endLine").rowsBetween(W.unboundedPreceding, -1)
+    first = F.coalesce(F.max("endLine").over(before), F.lit(0)) + 1
+    return rows.withColumn("first", first).where(F.col("startLine") > F.col("first")).select("filePath", "first", (F.col("startLine") - 1).alias("last"))
+
+
+def gap_chunks(files: DataFrame, covered: DataFrame, max_lines: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
+    """The line chunks (CHUNK_COLUMNS, and other columns of files) over what covered (filePath, startLine, endLine) leaves of files (filePath, language, content).
+
+    Each run that nothing covers is cut into windows from its first to its last line that isn't blank; blank runs give
+    nothing. With the symbols' chunks as covered, these are the chunks that chunk_text adds to them. Paths are distinct.
+    """
+    cut = files.withColumn("_lines", F.split(F.coalesce("content", F.lit("")), "\n", -1)).drop("content")
+    runs = uncovered_lines(covered, cut.select("filePath", F.size("_lines").alias("n")))
+    cut = cut.join(runs, "filePath").withColumn("_run", F.slice("_lines", F.col("first"), F.col("last") - F.col("first") + 1)).drop("_lines")
+    said = F.transform("_run", lambda x: _trimmed(x) != "")
+    cut = cut.withColumn("_skip", F.array_position(said, True).cast("int") - 1).where("_skip >= 0")
+    cut = cut.withColumn("_n", F.size("_run") - F.array_position(F.reverse(said), True).cast("int") + 1 - F.col("_skip"))
+    cut = cut.withColumn("_at", F.explode(window_starts(F.col("_n"), max_lines, overlap)))
+    size = F.least(F.lit(max_lines), F.col("_n") - F.col("_at") + 1)
+    cut = cut.withColumn("startLine", F.col("first") + F.col("_skip") + F.col("_at") - 1).withColumn("endLine", F.col("startLine") + size - 1)
+    return _described(cut.withColumn("_part", F.slice("_run", F.col("_skip") + F.col("_at"), size)).drop("_run", "_skip", "_n", "_at", "first", "last"))
+
+
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
 

@@ -15,7 +15,7 @@ from ..functions.text import is_identifier, matches_glob, sha256, tokens
 from ..functions.vectors import embed_text, hash_embedding, mean_vector, mean_vectors, similarity
 from ..operators.bm25 import bm25_of_all
 from ..operators.changes import change_counts, delete_paths, detect_changes, file_rollup, merged, reused_vectors
-from ..operators.chunking import line_chunks, symbol_chunks
+from ..operators.chunking import gap_chunks, line_chunks, symbol_chunks
 from ..operators.knn import nearest, nearest_to_each
 from ..operators.search import search_code, search_files, search_symbols
 
@@ -250,12 +250,21 @@ def source_text(spark, sf_dir):
     return symbol_chunks(files).groupBy("filePath").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("symbolName") != "").alias("symbols"), F.count_if(F.col("error").isNotNull()).alias("errors"))
 
 
+def gap_chunk_rows(spark, sf_dir):
+    """The chunks of what two kinds of intervals leave of each document: some overlap, some end with the text."""
+    files = _files(spark, sf_dir)
+    n = files.select("filePath", F.size(F.split("content", "\n", -1)).alias("n"))
+    every = lambda step, first, more: n.select("filePath", "n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / step).cast("int"))).alias("k")).select("filePath", (F.col("k") * step + first).alias("startLine"), F.least(F.col("n"), F.col("k") * step + first + more).alias("endLine"), "n").where("startLine <= n")
+    covered = every(37, 9, F.col("k") % 3 * 2).unionByName(every(41, 5, F.lit(6)))
+    return gap_chunks(files, covered, 20, 5).select("id", "filePath", "startLine", "endLine", sha256(F.col("content")).alias("content_hash"), "summary", "language")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         hybrid_search_code, hybrid_search_code_pattern, hybrid_search_files, hybrid_search_symbols, hybrid_search_symbols_partial, hybrid_search_symbols_content, hybrid_search_symbols_words,
         knn_cosine_topk, batched_knn, pair_similarity, mean_vector_by_group, hash_embeddings, content_hash, tokenize, language_lookup, identifier_queries, glob_filter, contains_literal,
-        symbol_type_filter, line_count, line_windows, line_chunk_rows, file_rollups, index_status_counts, bm25_scores, detected_changes, changes_by_status, incremental_merge, deleted_paths, vector_reuse, source_text,
+        symbol_type_filter, line_count, line_windows, line_chunk_rows, file_rollups, index_status_counts, bm25_scores, detected_changes, changes_by_status, incremental_merge, deleted_paths, vector_reuse, source_text, gap_chunk_rows,
     )
 }
 
@@ -388,5 +397,17 @@ SELECT n.filePath, count(*) AS chunks, count(*) FILTER (o.id IS NOT NULL) AS reu
     "source_text": f"""WITH {_FILES}, t AS (SELECT *, CAST(regexp_extract(filePath, '/([0-9]+)\\.txt$', 1) AS BIGINT) % 4 AS turn FROM files)
 SELECT regexp_replace(filePath, 'txt$', CASE turn WHEN 2 THEN 'ts' WHEN 3 THEN 'java' ELSE 'py' END) AS filePath,
   CASE turn WHEN 1 THEN 5 WHEN 3 THEN 6 ELSE 4 END + CAST(ceil(greatest(0, len(string_split(content, chr(10))) - 100) / 90.0) AS BIGINT) AS chunks, CAST(CASE turn WHEN 0 THEN 2 WHEN 2 THEN 2 ELSE 3 END AS BIGINT) AS symbols, CAST(0 AS BIGINT) AS errors FROM t""",
+    # Line by line: which no interval holds, their runs, and of each run the lines from the first to the last that isn't blank.
+    "gap_chunk_rows": f"""WITH {_FILES}, cut AS (SELECT *, string_split(content, chr(10)) AS l FROM files),
+covered AS (SELECT filePath, a, b FROM (SELECT filePath, len(l) AS n, k * 37 + 9 AS a, least(len(l), k * 37 + 9 + k % 3 * 2) AS b FROM (SELECT *, unnest(generate_series(0, len(l) // 37)) AS k FROM cut)) WHERE a <= n
+  UNION ALL SELECT filePath, a, b FROM (SELECT filePath, len(l) AS n, k * 41 + 5 AS a, least(len(l), k * 41 + 11) AS b FROM (SELECT *, unnest(generate_series(0, len(l) // 41)) AS k FROM cut)) WHERE a <= n),
+lines AS (SELECT filePath, unnest(generate_series(1, len(l))) AS i, unnest(l) AS x FROM cut),
+free AS (SELECT * FROM lines f WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.filePath = f.filePath AND f.i BETWEEN c.a AND c.b)),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY filePath ORDER BY i) AS run FROM free),
+kept AS (SELECT filePath, min(i) AS a, max(i) AS b FROM runs WHERE regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY filePath, run),
+starts AS (SELECT *, CAST(unnest(generate_series(0, greatest(0, CAST(ceil((b - a + 1 - 20) / 15.0) AS BIGINT)))) * 15 + a AS INT) AS startLine FROM kept),
+ranges AS (SELECT s.filePath, language, startLine, CAST(least(startLine + 19, b) AS INT) AS endLine, l[startLine:least(startLine + 19, b)] AS part FROM starts s JOIN cut c ON s.filePath = c.filePath)
+SELECT sha256(filePath || ':' || startLine || ':' || endLine) AS id, filePath, startLine, endLine, sha256(array_to_string(part, chr(10))) AS content_hash, language,
+  language || ' code in ' || filePath || ' (lines ' || startLine || '-' || endLine || '): ' || substr(array_to_string(list_filter(part, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '')[1:5], ' '), 1, 200) AS summary FROM ranges""",
     "deleted_paths": f"WITH {_SNAPSHOTS} SELECT filePath, fileHash FROM stored WHERE filePath NOT IN (SELECT filePath FROM current_)",
 }

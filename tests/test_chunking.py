@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siftwell.operators.chunking import chunk_text, line_chunks, line_windows, symbol_chunks
+from siftwell.operators.chunking import chunk_text, gap_chunks, line_chunks, line_windows, symbol_chunks
 
 #: A long function between short declarations and a statement.
 SOURCE = "\n".join(
@@ -140,3 +140,17 @@ def test_symbol_chunks_in_batches(spark):
     files = spark.createDataFrame([("a.py", "python", "def f():\n  pass\n", "h1"), ("b.md", "markdown", None, "h2")], "filePath string, language string, content string, fileHash string")
     rows = {r.filePath: r for r in symbol_chunks(files).collect()}
     assert rows["a.py"].symbolName == "f" and rows["a.py"].fileHash == "h1" and rows["b.md"].content == "" and rows["b.md"].error is None
+
+
+def test_gaps_are_those_of_the_chunker(spark):
+    """What symbols leave of files, as relations and as chunk_text cuts it."""
+    blank = "\n\n  \n\t\n"
+    texts = {"a.ts": SOURCE, "b.py": blank + "import os\n" + blank + "x = 1\n" * 30 + blank + "def f(): pass\n" + blank + "y = 2\n" + blank, "c.py": "def f(): pass", "d.go": "func f() {}\n// end\n\n// more\nfunc g() {}\n" + blank, "e.py": "class A:\n" + "    x = 1\n\n" * 40 + "    def f(self): pass\n" + "    y = 2\n" * 50}
+    files = spark.createDataFrame([(p, "x", t) for p, t in texts.items()], "filePath string, language string, content string")
+    every = {p: chunk_text(p, t, "x", 12, 3) for p, t in texts.items()}
+    symbols = spark.createDataFrame([(p, c["startLine"], c["endLine"]) for p, cs in every.items() for c in cs if c["symbolType"]], "filePath string, startLine int, endLine int")
+    fields = ("id", "filePath", "startLine", "endLine", "content", "symbolName", "language", "summary")
+    got = sorted(tuple(r[f] for f in fields) for r in gap_chunks(files, symbols, 12, 3).collect())
+    assert got == sorted(tuple(c[f] for f in fields) for cs in every.values() for c in cs if not c["symbolType"]) and len(got) > 12
+    whole = gap_chunks(files, symbols.limit(0), 12, 3)  # with nothing covered, blanks at the ends are left out
+    assert {(r.filePath, r.startLine) for r in whole.collect() if r.filePath == "c.py"} == {("c.py", 1)} and gap_chunks(files.limit(0), symbols, 12, 3).collect() == []
