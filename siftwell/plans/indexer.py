@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -17,6 +18,8 @@ from ..sources.store import FILES, VERSION, ConflictError, IndexStore, Snapshot,
 from .config import Config
 from .embedding import Provider, embedded
 
+log = logging.getLogger(__name__)
+
 #: Modified files up to which their names are a filter of the scan for their old rows, and runs of an update that meets other writers.
 NAMED_FILES, ATTEMPTS = 200, 3
 
@@ -39,9 +42,9 @@ def file_table(chunks: DataFrame) -> DataFrame:
     return file_rollup(chunks, mean_vector(F.col("vector")).cast("array<float>").alias("vector")).select(*names(FILES))
 
 
-def stage_index(store: IndexStore, chunks: DataFrame, provider: Provider, batch: int = 50) -> Snapshot:
-    """A whole index of chunks (without vectors), written but not published."""
-    rows = embedded(chunks, provider, batch=batch).withColumn("indexedAt", F.current_timestamp())
+def stage_index(store: IndexStore, chunks: DataFrame, provider: Provider, batch: int = 50, known: DataFrame | None = None) -> Snapshot:
+    """A whole index of chunks (without vectors), written but not published. known: (text, vector) that needn't be embedded again."""
+    rows = embedded(chunks, provider, batch=batch, known=known).withColumn("indexedAt", F.current_timestamp())
     return store.stage(rows, file_table)
 
 
@@ -93,8 +96,15 @@ class Indexer:
         base = before or {"projectPath": self.project, "embeddingProvider": self.provider.name, "embeddingModel": self.provider.model, "dimensions": self.provider.dimensions, "createdAt": now, "version": VERSION, "initOverrides": overrides}
         return {**base, **totals(files), "lastIndexedAt": now}
 
+    def _same_model(self, meta: dict) -> bool:
+        return (meta.get("embeddingProvider"), meta.get("embeddingModel"), meta.get("dimensions")) == (self.provider.name, self.provider.model, self.provider.dimensions)
+
     def full_index(self, overrides: dict | None = None) -> IndexResult:
-        """A new index of all files. It replaces the old one only when all of it is written."""
+        """A new index of all files. It replaces the old one only when all of it is written.
+
+        Texts that the old one has vectors of, made by the same model, aren't embedded again: the index is its own
+        cache, and what a new index doesn't use goes with the old one.
+        """
         return self._attempted(lambda: self._full_index(overrides), "Indexing aborted, the existing index was not changed")
 
     def incremental_update(self) -> IndexResult:
@@ -125,7 +135,16 @@ class Indexer:
     def _full_index(self, overrides: dict | None) -> IndexResult:
         began, before = time.monotonic(), self.store.snapshot()
         chunks, skipped = self._chunks(scan_files(self.project, self.config.files))
-        write = lambda: stage_index(self.store, chunks, self.provider, self.config.embedding.batch_size)
+
+        def write() -> Snapshot:
+            size = self.config.embedding.batch_size
+            if before and self._same_model(before.metadata):
+                try:
+                    return stage_index(self.store, chunks, self.provider, size, before.chunks.select(F.col("summary").alias("text"), "vector"))
+                except Exception as error:  # an index that can't be read is what a new one is made for
+                    log.warning("vectors of the index before aren't used: %s", str(error).split("\n")[0])
+            return stage_index(self.store, chunks, self.provider, size)
+
         staged = self._staged(write, before.number if before else 0, "Indexing aborted, the existing index was not changed")
         meta = self._metadata(staged.files, None, overrides)
         self.store.publish(staged, meta)

@@ -211,3 +211,38 @@ def test_the_index_of_runs_leaves_most_rows_unread(spark, tmp_path):
     plan = monkey.snapshot().containing("file 77\n")._jdf.queryExecution().executedPlan().toString()
     assert "In(filePath" in plan or "EqualTo(filePath,src/f0077.txt)" in plan
     chunks.unpersist(), index.unpersist()
+
+
+def test_a_new_index_embeds_only_new_texts(spark, tmp_path):
+    class Counted:
+        name, model, dimensions = "counted", "m1", 2
+
+        def __init__(self, texts):
+            self.texts = texts
+
+        def embed(self, texts):
+            self.texts.add(len(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+    project = tmp_path / "p"
+    project.mkdir()
+    for n in "abc":
+        (project / f"{n}.md").write_text(f"text of {n}")
+    config = parse_config({"files": {"gitOnly": False}})
+    store = IndexStore(spark, str(tmp_path / "home"), str(project))
+
+    def index(model="m1"):
+        provider = Counted(spark.sparkContext.accumulator(0))
+        provider.model = model
+        Indexer(spark, str(project), store, provider, config).full_index()
+        assert all(list(r.vector) == [float(len(r.summary)), 1.0] for r in store.chunks().collect())
+        return provider.texts.value
+
+    assert index() == 3
+    (project / "a.md").write_text("other text of a")
+    (project / "d.md").write_text("text of d")
+    assert index() == 2 and index() == 0
+    assert index("m2") == 4
+    for file in Path(store.root).rglob("chunks/**/*.parquet"):
+        file.write_bytes(b"no longer a table")
+    assert index("m2") == 4 and store.metadata()["totalFiles"] == 4
