@@ -87,6 +87,39 @@ def test_nearest(spark, monkeypatch):
     assert "Union" not in plan
 
 
+def test_nearest_to_each_on_odd_vectors(spark, monkeypatch):
+    """Copies, ties, nulls, NaN, infinite, vast, tiny and zero vectors of several lengths: what the expression gives, without a row for each pair."""
+    import random
+
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from siftwell.functions.vectors import similarity
+
+    r = random.Random(6)
+    vectors = [[r.choice((-1.0, 0.0, 0.5, 2.0)) for _ in range(r.choice((3, 3, 3, 2)))] for _ in range(150)] + [[1.0, 2.0, 3.0]] * 30 + [[2.0, 4.0, 6.0]] * 3
+    vectors += [None, [], [0.0, 0.0, 0.0], [1.0, None, 1.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 1.0], [1e200, 1e200, 0.0], [1e-200, 0.0, 0.0], [-0.0, 1.0, 0.0], [0.1, 0.2, 0.3]]
+    rows = spark.createDataFrame([(f"é{i:03}", v) for i, v in enumerate(vectors)], "id string, vector array<double>").repartition(3)
+    queries = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    met = rows.crossJoin(queries).withColumn("distance", 1 - similarity(F.col("vector"), F.col("query_vector"))).where("distance IS NOT NULL")
+    met = met.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id")))
+    text = lambda df: sorted((x.query_id, x["rank"], x.id, repr(x.distance)) for x in df.select("query_id", "rank", "id", "distance").collect())
+    for k in (1, 4, 500):
+        want = text(met.where(F.col("rank") <= k))
+        found = nearest_to_each(rows, queries, k)
+        assert text(found) == want
+        assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(knn, "QUERY_BLOCK", 50), m.setattr(knn, "ROW_BLOCK", 40), m.setattr(knn, "MET", 15)
+            assert text(nearest_to_each(rows, queries, k)) == want
+    floats = rows.select("id", F.col("vector").cast("array<float>").alias("vector"))
+    own = queries.select("query_id", F.col("query_vector").cast("array<float>").alias("query_vector"))
+    met = floats.crossJoin(own).withColumn("distance", 1 - similarity(F.col("vector"), F.col("query_vector"))).where("distance IS NOT NULL")
+    want = text(met.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where("rank <= 3"))
+    assert text(nearest_to_each(floats, own, 3)) == want
+    assert nearest_to_each(rows, queries.limit(0), 3).collect() == [] and nearest_to_each(rows.limit(0), queries, 3).collect() == []
+
+
 def test_texts():
     row = {"filePath": "orders/cart.py", "startLine": 12, "endLine": 13, "content": "def price(items):\n    return 0", "symbolName": "price", "symbolType": "function", "language": "python", "score": 0.98765}
     assert text.code_results([]) == "No matching code found."
