@@ -12,7 +12,7 @@ from __future__ import annotations
 import argparse
 import logging
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.vectors import hash_embedding
@@ -34,8 +34,16 @@ def run(spark: SparkSession, files_path: str, queries_path: str, output_path: st
     chunks = line_chunks(files, config["max_lines"], config["overlap"]).withColumn("vector", hash_embedding(F.col("summary")))
     asked = spark.read.parquet(queries_path).select(F.col(config["query_column"]).cast("long").alias("query_id"), F.coalesce(config["query_text_column"], F.lit("")).alias("query")).dropDuplicates(["query_id"])
     asked = asked.withColumn("query_vector", hash_embedding(F.col("query")))
-    hits = search_code_of_each(chunks, asked, config["limit"])
+    candidates = []
+
+    def held(found: DataFrame) -> DataFrame:
+        candidates.append(found.persist())
+        return candidates[-1]
+
+    hits = search_code_of_each(chunks, asked, config["limit"], held)
     hits.select(*(c.split()[0] for c in HITS.split(", "))).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("language").parquet(output_path)
+    for found in candidates:
+        found.unpersist()
     kept = spark.read.schema(HITS).parquet(output_path)
     found = kept.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()
     by_language = {r.language: r.n for r in found}

@@ -18,16 +18,19 @@ LEAST, MOST = 1e-100, 1e100
 
 
 def by_length(column) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, matrix) for each length of vectors of an Arrow list column that has no nulls."""
+    """(places, matrix) for each length of vectors of an Arrow list column; null and empty vectors and those with a null component are left out."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-    flat, starts = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    out = []
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat, starts = column.flatten(), np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    whole = np.ones(len(lengths), bool)
+    if flat.null_count:
+        whole[pc.list_parent_indices(column).to_numpy()[flat.is_null().to_numpy(zero_copy_only=False)]] = False
+    values, out = flat.to_numpy(zero_copy_only=False), []
     for n in np.unique(lengths[lengths > 0]):
-        at = np.flatnonzero(lengths == n)
-        part = flat.reshape(-1, n) if len(at) == len(lengths) else flat[starts[at][:, None] + np.arange(n)]
+        at = np.flatnonzero((lengths == n) & whole)
+        part = values.reshape(-1, n) if len(at) == len(lengths) else values[starts[at][:, None] + np.arange(n)]
         out.append((at, part.astype(np.float64)))
     return out
 
@@ -41,7 +44,7 @@ def norms(matrix: np.ndarray) -> np.ndarray:
 
 
 class Nearest:
-    """The k best rows, so far, of each of some queries. ids and vectors: Arrow columns, vectors without nulls; within: what is known to bound the k-th distance of each."""
+    """The k best rows, so far, of each of some queries. ids and vectors: Arrow columns; within: what is known to bound the k-th distance of each."""
 
     def __init__(self, ids, vectors, k: int, within: np.ndarray | None = None) -> None:
         self.ids, self.k = ids, k

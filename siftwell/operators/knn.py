@@ -29,10 +29,9 @@ def nearest(rows: DataFrame, vector: Sequence[float], k: int, tie: str = "id", c
 
 
 def sendable(rows: DataFrame, column: str) -> DataFrame:
-    """The rows whose vectors may have a distance, ready to be matrices: without nulls and empty ones, of floats or doubles."""
-    if rows.schema[column].dataType != T.ArrayType(T.FloatType(), rows.schema[column].dataType.containsNull):
-        rows = rows.withColumn(column, F.col(column).cast("array<double>"))
-    return rows.where((F.size(column) > 0) & F.forall(column, lambda x: x.isNotNull()))
+    """Vectors as arrays of floats or doubles. None is filtered here: that would repeat what makes them below every projection."""
+    kind = rows.schema[column].dataType
+    return rows if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType)) else rows.withColumn(column, F.col(column).cast("array<double>"))
 
 
 def nearest_to_each(rows: DataFrame, queries: DataFrame, k: int, tie: str = "id", column: str = "vector") -> DataFrame:

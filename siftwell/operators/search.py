@@ -16,6 +16,8 @@ from .knn import nearest, nearest_to_each
 #: Results below this score are noise; so many times the limit are fetched to be ranked anew.
 LEAST_SCORE = 0.05
 OVERFETCH = 3
+#: Queries up to which the candidates are sent to all contents.
+SENT_QUERIES = 1000
 
 
 def _weights(query: str) -> tuple[float, float]:
@@ -54,13 +56,17 @@ def search_code(chunks: DataFrame, query: str, vector: Sequence[float], limit: i
     return best.select("filePath", "startLine", "endLine", "content", "symbolName", "symbolType", "language", "score")
 
 
-def search_code_of_each(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+def search_code_of_each(chunks: DataFrame, queries: DataFrame, limit: int = 10, held: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
     """(query_id, rank, filePath, startLine, endLine, content, symbolName, symbolType, language, score): search_code for each of queries (query_id, query, query_vector).
 
     Ids of chunks and of queries are distinct. All queries meet the chunks in one pass; contents are looked up for the candidates alone.
+    held: keeps the candidates, at most limit * OVERFETCH a query, as persist() does, so that they aren't made again for each use.
     """
-    near = nearest_to_each(chunks, queries, limit * OVERFETCH, "id").drop("rank")
-    found = near.join(queries.select("query_id", "query"), "query_id").join(chunks.select("id", "filePath", "startLine", "endLine", "content", "symbolName", "symbolType", "language"), "id")
+    near = nearest_to_each(chunks, queries, limit * OVERFETCH, "id").drop("rank").join(queries.select("query_id", "query"), "query_id")
+    contents = chunks.select("id", "filePath", "startLine", "endLine", "content", "symbolName", "symbolType", "language")
+    if queries.count() <= SENT_QUERIES:  # few candidates go to the contents, which stay where they are
+        near = F.broadcast(near)
+    found = held(contents.join(near, "id"))
     found = bm25_of_each(found, F.concat_ws(" ", "content", F.coalesce("symbolName", F.lit("")), "filePath"), F.col("query"), "query_id", "id")
     of_words = F.when(is_identifier(F.col("query")), 0.7).otherwise(0.3)
     found = found.withColumn("score", (1 - of_words) * F.greatest(F.lit(0.0), 1 - F.col("distance")) + of_words * F.col("bm25_share")).where(F.col("score") >= LEAST_SCORE)
