@@ -49,7 +49,7 @@ class Nearest:
     def __init__(self, ids, vectors, k: int, within: np.ndarray | None = None) -> None:
         self.ids, self.k = ids, k
         self.queries = [(at, matrix, norms(matrix)) for at, matrix in by_length(vectors)]
-        self.least = np.full(len(ids), -np.inf) if within is None else 1 - within
+        self.least = np.full(len(ids), -np.inf) if within is None else np.where(np.isnan(within), -np.inf, 1 - within)
         self.best, self.waiting, self.pairs = None, [], 0
 
     def meet(self, ties, vectors, only: np.ndarray | None = None) -> None:

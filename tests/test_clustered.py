@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell.operators import clustered
 from siftwell.operators.clustered import ClusteredIndex, cluster, nearest_stored, nearest_to_each_stored
 from siftwell.operators.knn import nearest, nearest_to_each
 
@@ -47,6 +48,20 @@ def test_clustered_rows_are_read_in_part(spark, tmp_path):
     got.unpersist()
 
 
+def test_clusters_meet_queries_in_blocks(spark, tmp_path, monkeypatch):
+    """Small blocks, clusters larger than one, many copies, a NaN query: as a scan, and no pair of query and row is a row."""
+    r = random.Random(5)
+    rows = [(i, [r.gauss(i % 3, 1) for _ in range(6)]) for i in range(300)] + [(1000 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(150)]
+    table = spark.createDataFrame(rows, "id long, vector array<double>")
+    index = cluster(table, str(tmp_path), clusters=7)
+    asked = table.where("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")).unionAll(spark.createDataFrame([(-1, [float("nan")] * 6), (-2, [0.0] * 6)], "query_id long, query_vector array<double>"))
+    want = repr(sorted(found(nearest_to_each(table, asked, 4)).items()))  # NaN isn't equal to itself, its text is
+    monkeypatch.setattr(clustered, "ROW_BLOCK", 40), monkeypatch.setattr(clustered, "QUERY_BLOCK", 30)
+    got = nearest_to_each_stored(index, asked, 4)
+    assert repr(sorted(found(got).items())) == want
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_few_rows(spark, tmp_path):
     table = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vector array<double>")
     index = cluster(table, str(tmp_path / "two"))
