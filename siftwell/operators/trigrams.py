@@ -9,11 +9,18 @@ are written in order of run: the files and row groups of other runs aren't read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fills up the runs at the end of a text; a text may hold it too, which at most makes it a candidate.
 END = "\0"
+#: Rows whose runs are held at once.
+ROWS = 256
 #: Runs of a literal that are looked up: as many more hardly leave out what these don't.
 MOST_RUNS = 12
 #: Files up to which the candidates' names are a filter of the scan.
@@ -29,8 +36,25 @@ def runs_of(text: Column) -> Column:
 
 
 def postings(rows: DataFrame, text: str = "content", *keys: str) -> DataFrame:
-    """(run, keys) for each different run of each row's text."""
-    return rows.select(F.explode(runs_of(F.col(text))).alias("run"), *keys)
+    """(run, keys) for each different run of each row's text. The runs of a batch of rows are numbers, found by one sort a text."""
+    made = rows.select(F.col(text).alias("_text"), *keys).mapInArrow(_with_runs, T.StructType([T.StructField("run", T.ArrayType(T.StringType())), *rows.select(*keys).schema.fields]))
+    return made.select(F.explode("run").alias("run"), *keys)
+
+
+def _with_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            part = batch.slice(at, ROWS)
+            lists = [None if t is None else _runs(t) for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string())), *part.columns[1:]], ["run", *part.schema.names[1:]])
+
+
+def _runs(text: str) -> list[str]:
+    chars = np.frombuffer((text + END * 2).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    found = np.unique(chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:])
+    three = np.stack([found >> 42, found >> 21 & 0x1FFFFF, found & 0x1FFFFF], axis=1).astype(np.uint32)
+    whole = three.tobytes().decode("utf-32-le")
+    return [whole[i : i + 3] for i in range(0, len(whole), 3)]
 
 
 def in_order(found: DataFrame, *keys: str) -> DataFrame:

@@ -198,6 +198,17 @@ def test_substrings_by_the_index_of_runs(spark, tmp_path):
         assert got == sorted((p, a) for p, a, c in want(rows)[0] if literal in c), repr(literal)
 
 
+def test_runs_are_found_in_batches(spark):
+    """As the expression finds them: ends, repeats, characters of four bytes, the filling character itself, empty and null texts."""
+    from siftwell.operators.trigrams import postings, runs_of
+
+    texts = ["", "a", "ab", "aaaa", "é日😀😀é日😀", "ab\0cd\0", None, "one line\nand another\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = postings(rows, "text", "id")
+    assert sorted(found.collect()) == sorted(rows.select(F.explode(runs_of(F.col("text"))).alias("run"), "id").collect())
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_index_of_runs_leaves_most_rows_unread(spark, tmp_path):
     from siftwell.operators.trigrams import candidates, postings
 
